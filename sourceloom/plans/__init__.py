@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["evidence_queries", "scoring_queries", "usage_queries"]
+MODULES = ["evidence_queries", "scoring_queries", "usage_queries", "state_queries"]
 
 
 def all_queries():
