@@ -123,12 +123,12 @@ def tree_paths(nodes: DataFrame, root: Column) -> DataFrame:
     state = cut(rows)
     total = state.count()
     # ``up`` ends at the root, at null (missing parent), or circles for ever.
-    parents = state.select("scope", F.col("id").alias("_id"), F.col("up").alias("_up"))
+    parents = state.select(F.col("scope").alias("_scope"), F.col("id").alias("_id"), F.col("up").alias("_up"))
     for _ in range(ceil(log2(max(total, 2))) + 1):
-        joined = state.join(parents, (state["scope"] == parents["scope"]) & (state["up"] == parents["_id"]), "left")
+        joined = state.join(parents, (F.col("scope") == F.col("_scope")) & (F.col("up") == F.col("_id")), "left")
         at_root = F.col("up") == F.col("root")
-        state = cut(joined.select(state["scope"], "id", F.when(at_root, F.col("up")).otherwise(F.col("_up")).alias("up"), "root"))
-        parents = state.select("scope", F.col("id").alias("_id"), F.col("up").alias("_up"))
+        state = cut(joined.select("scope", "id", F.when(at_root, F.col("up")).otherwise(F.col("_up")).alias("up"), "root"))
+        parents = state.select(F.col("scope").alias("_scope"), F.col("id").alias("_id"), F.col("up").alias("_up"))
         if state.filter("up IS NOT NULL AND up <> root").isEmpty():
             break
     return state.select("scope", "id", F.coalesce(F.col("up") == F.col("root"), F.lit(False)).alias("valid"))
@@ -172,7 +172,7 @@ def link_frontier(seeds: DataFrame, links: DataFrame, depth: int, allowance: int
     frontier = seeds.select("scope", "page_key")
     followed = None
     for level in range(1, depth + 1):
-        found = frontier.join(links, "page_key").filter("link_key <> ''").groupBy("scope", F.col("link_key").alias("key")).agg(
+        found = frontier.join(links, "page_key").filter(F.col("link_key").cast("string") != "").groupBy("scope", F.col("link_key").alias("key")).agg(
             F.min(F.struct("page_key", "pos")).alias("at"), F.max(likely).alias("likely"))
         new = found.join(known, ["scope", "key"], "left_anti")
         chosen = cut(top_k(new, ["scope"], [F.col("likely").desc(), F.col("at"), F.col("key")], allowance).select(

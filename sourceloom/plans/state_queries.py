@@ -182,22 +182,15 @@ def fair_allocation(t):
 
 
 @query("W14", """
-SELECT source, string_agg(d, ',' ORDER BY day NULLS LAST, doc_id) AS timeline FROM (
-  SELECT source, doc_id, doc_id::VARCHAR AS d, CASE WHEN doc_id % 4 <> 0 THEN DATE '2024-01-01' + CAST(n_chars % 300 AS INT) END AS day FROM documents)
-GROUP BY source""")
+SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN doc_id % 4 <> 0 THEN DATE '2024-01-01' + CAST(n_chars % 300 AS INT) END NULLS LAST, doc_id) AS position
+FROM documents""")
 def source_timeline(t):
-    """Timeline order per source: parseable dates first, unknown last.
-
-    The order is a sort over (source, day, position); only the printable line
-    per source is folded at the end.
-    """
+    """Position of every document in its source's timeline: parseable dates first, unknown last."""
     i = F.col("doc_id")
     label = F.when(i % 4 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n_chars") % 300).cast("int")).cast("string")).otherwise("unknown")
     d = t("documents").select("source", "doc_id", label.alias("label"))
-    day = F.to_date(F.try_to_timestamp("label", F.lit("yyyy-MM-dd")))
-    key = F.struct(day.isNull().alias("a"), F.coalesce(day, F.lit("9999-12-31").cast("date")).alias("b"), i.alias("c"))
-    return d.groupBy("source").agg(F.array_sort(F.collect_list(key)).alias("k")).select(
-        "source", F.array_join(F.transform("k", lambda s: s["c"].cast("string")), ",").alias("timeline"))
+    day = F.coalesce(F.to_date(F.try_to_timestamp("label", F.lit("yyyy-MM-dd"))), F.lit("9999-12-31").cast("date"))
+    return S.sequence_numbers(d.withColumn("day", day), ["source"], "day", [i]).select("doc_id", F.col("sequence").alias("position"))
 
 
 @query("R4 R7", """
