@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .let import let
+
 # The patterns that decide whether a text carries a signal.
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
 WEEKDAYS = "monday|tuesday|wednesday|thursday|friday|saturday|sunday"
@@ -69,7 +71,10 @@ def required_dimensions(c: Column) -> Column:
 
 def word_forms(token: Column) -> Column:
     """The token plus its stems under the endings ing, ed, es and s."""
-    t = F.lower(token)
+    return let(F.lower(token), _forms)
+
+
+def _forms(t: Column) -> Column:
     n = F.length(t)
     cut = lambda k: t.substr(F.lit(1), n - k)
     none = F.array().cast("array<string>")
@@ -98,10 +103,15 @@ def claim_tokens(c: Column) -> Column:
 
 def ordered_match(target: Column, basis: Column) -> Column:
     """Every target token finds a word-form match in the basis, in the same order."""
-    def step(cursor, token):
-        forms = word_forms(token)
-        hit = F.array_position(F.transform(basis, lambda b, i: (i >= cursor) & F.arrays_overlap(forms, word_forms(b))), True)
-        return F.when(cursor < 0, cursor).when(hit > 0, hit.cast("int")).otherwise(F.lit(-1))
+    return ordered_forms(F.transform(target, word_forms), F.transform(basis, word_forms))
+
+
+def ordered_forms(target: Column, basis: Column) -> Column:
+    """``ordered_match`` over arrays that already hold each token's forms."""
+    def step(cursor, forms):
+        hits = F.transform(basis, lambda b, i: (i >= cursor) & F.arrays_overlap(forms, b))
+        found = let(F.array_position(hits, True), lambda h: F.when(h > 0, h.cast("int")).otherwise(F.lit(-1)))
+        return F.when(cursor < 0, cursor).otherwise(found)
     return F.aggregate(target, F.lit(0), step) >= 0
 
 
@@ -160,21 +170,14 @@ def comparison_constraint(c: Column) -> Column:
             .when(low.rlike(r"\b(?:less\s+than|under|below|fewer\s+than)\b"), pair("less", False)))
 
 
-def _units_only(markers: Column) -> Column:
-    return F.array_sort(F.filter(markers, lambda m: ~F.startswith(m, F.lit("number:"))))
-
-
-def comparison_outcome(probe: Column, basis: Column) -> Column:
-    """``supported``, ``contradicted`` or ``undecided`` for a threshold claim.
+def comparison_decision(want: Column, seen: Column, limits: Column, values: Column, want_units: Column, seen_units: Column) -> Column:
+    """``supported``, ``contradicted`` or ``undecided`` for a threshold claim, from extracted columns.
 
     Decided only when each side holds exactly one number and equal units.
     """
-    want, seen = comparison_constraint(probe), comparison_constraint(basis)
-    limits, values = numeric_values(probe), numeric_values(basis)
     limit, value = F.get(limits, F.lit(0)), F.get(values, F.lit(0))
     usable = (want.isNotNull() & (want["direction"] != "hedged") & (F.size(limits) == 1) & (F.size(values) == 1)
-              & (_units_only(quantity_markers(probe)) == _units_only(quantity_markers(basis)))
-              & F.coalesce(seen["direction"] != "hedged", F.lit(True)))
+              & (want_units == seen_units) & F.coalesce(seen["direction"] != "hedged", F.lit(True)))
     up = want["direction"] == "greater"
     beyond = F.when(up, value > limit).otherwise(value < limit)
     reaches = F.when(up, value >= limit).otherwise(value <= limit)
@@ -185,23 +188,33 @@ def comparison_outcome(probe: Column, basis: Column) -> Column:
     return F.coalesce(F.when(usable, F.when(seen.isNull(), plain).otherwise(stated)), F.lit("undecided"))
 
 
+def unit_markers(quantity: Column) -> Column:
+    return F.array_sort(F.filter(quantity, lambda m: ~F.startswith(m, F.lit("number:"))))
+
+
+def comparison_outcome(probe: Column, basis: Column) -> Column:
+    """The comparison decision straight from two texts."""
+    side = lambda c: F.struct(comparison_constraint(c).alias("c"), numeric_values(c).alias("n"), unit_markers(quantity_markers(c)).alias("u"))
+    return let(F.struct(side(probe).alias("p"), side(basis).alias("b")), lambda s: comparison_decision(
+        s["p"]["c"], s["b"]["c"], s["p"]["n"], s["b"]["n"], s["p"]["u"], s["b"]["u"]))
+
+
 def predicate_markers(c: Column) -> Column:
     """Stems of the claim's verb; for auxiliaries, stems of the content words after it."""
     verb = F.lower(F.regexp_extract(c, _I + "(" + PREDICATE + ")", 1))
     tail = _all(F.lower(F.regexp_extract(c, rf"(?is){PREDICATE}(.*)$", 1)), "[a-z]{3,}")
     stems = F.array_distinct(F.flatten(F.transform(F.filter(tail, lambda t: ~t.isin(TAIL_IGNORED)), word_forms)))
-    return (F.when(verb == "", F.array().cast("array<string>"))
-            .when(~verb.isin(AUXILIARIES), word_forms(verb))
-            .when(F.size(stems) > 0, stems).otherwise(F.array(verb)))
+    return let(F.struct(verb.alias("v"), stems.alias("s")), lambda x: (
+        F.when(x["v"] == "", F.array().cast("array<string>")).when(~x["v"].isin(AUXILIARIES), word_forms(x["v"]))
+        .when(F.size(x["s"]) > 0, x["s"]).otherwise(F.array(x["v"]))))
 
 
 def _kind(markers: Column, kind: str) -> Column:
     return F.filter(markers, lambda m: F.startswith(m, F.lit(kind)))
 
 
-def time_contradiction(probe: Column, basis: Column) -> Column:
-    """Years or quarters are both stated and share nothing, or the relation words clash."""
-    p, b = temporal_markers(probe), temporal_markers(basis)
+def time_clash(p: Column, b: Column) -> Column:
+    """Years or quarters are both stated and share nothing, or the relation words clash; on marker arrays."""
     apart = lambda kind: ((F.size(_kind(p, kind)) > 0) & (F.size(_kind(b, kind)) > 0)
                           & (F.size(F.array_intersect(_kind(p, kind), _kind(b, kind))) == 0))
     directions = F.array(*[F.lit(x) for x in ("before", "after", "until", "since")])
@@ -212,6 +225,11 @@ def time_contradiction(probe: Column, basis: Column) -> Column:
     return apart("year:") | apart("quarter:") | (shared & clash)
 
 
+def time_contradiction(probe: Column, basis: Column) -> Column:
+    """Explicit time contradiction between two texts."""
+    return let(F.struct(temporal_markers(probe).alias("p"), temporal_markers(basis).alias("b")), lambda s: time_clash(s["p"], s["b"]))
+
+
 def author_match(clue_norm: Column, given_norm: Column, family_norm: Column) -> Column:
     """Family name closes the clue and the given name agrees in full or by initial."""
     parts, family, given = (F.split(c, " ") for c in (clue_norm, family_norm, given_norm))

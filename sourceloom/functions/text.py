@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Stop words and character ranges of the term rules.
 SEARCH_STOPWORDS = ["the", "and", "for", "that", "with", "find", "provide",
@@ -91,7 +92,7 @@ def evidence_terms(c: Column) -> Column:
     return F.array_distinct(F.concat(latin, cjk))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _starts(lengths: pd.Series) -> pd.Series:
     """Running start offset of each piece from the piece lengths."""
     return lengths.map(lambda v: (np.cumsum(v) - v).astype("int32"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .let import let
+
 _SPLIT = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 _LABELS = r"^[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?(\.[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?)*$"
 _V4 = r"^\d{1,3}(\.\d{1,3}){3}$"
@@ -18,14 +20,18 @@ PRIVATE_V4 = (r"^(0|10|127|22[4-9]|23\d|24\d|25[0-5])\.|^100\.(6[4-9]|[7-9]\d|1[
               r"^198\.51\.100\.|^203\.0\.113\.")
 
 
-def _part(url: Column, n: int) -> Column:
-    return F.regexp_extract(url, _SPLIT, n)
+_HOST_PORT = r"^(\[[^\]]*\]|[^:]*)(?::(\d*))?$"
 
 
-def _host_port(netloc: Column) -> tuple[Column, Column]:
-    host = F.regexp_extract(netloc, r"^(\[[^\]]*\]|[^:]*)(?::(\d*))?$", 1)
-    port = F.regexp_extract(netloc, r"^(\[[^\]]*\]|[^:]*)(?::(\d*))?$", 2)
-    return F.lower(F.regexp_replace(host, r"\.+$", "")), port
+def _parts(url: Column) -> Column:
+    """Struct of scheme, netloc, host, port, path and query."""
+    first = lambda u: F.struct(u.alias("url"), *[F.regexp_extract(u, _SPLIT, n).alias(k) for n, k in enumerate(
+        ("scheme", "netloc", "path", "query"), 1)])
+    second = lambda p: F.struct(
+        p["url"].alias("url"), F.lower(p["scheme"]).alias("scheme"), p["netloc"].alias("netloc"), p["path"].alias("path"), p["query"].alias("query"),
+        F.lower(F.regexp_replace(F.regexp_extract(p["netloc"], _HOST_PORT, 1), r"\.+$", "")).alias("host"),
+        F.regexp_extract(p["netloc"], _HOST_PORT, 2).alias("port"))
+    return let(let(url, first), second)
 
 
 def _clean(url: Column) -> Column:
@@ -48,91 +54,100 @@ def _form_encode(c: Column) -> Column:
     return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+def _pair(p: Column) -> Column:
+    return F.struct(F.try_url_decode(F.regexp_replace(p, "=.*$", "")).alias("k"),
+                    F.try_url_decode(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v"))
+
+
 def canonical_url(url: Column) -> Column:
     """Canonical HTTP(S) URL or null: no default port, tracking keys or fragment; sorted query.
 
     Hosts outside ASCII are rejected, so callers keep them as reject rows.
     """
-    scheme, netloc, path, query = F.lower(_part(url, 1)), _part(url, 2), _part(url, 3), _part(url, 4)
-    host, port = _host_port(netloc)
-    ok = (_clean(url) & scheme.isin("http", "https") & ~F.contains(netloc, F.lit("@"))
-          & (host.rlike(_LABELS) | host.rlike(_V6)) & _port_ok(netloc, port))
-    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
-    decoded = F.transform(pairs, lambda p: F.struct(
-        F.try_url_decode(F.regexp_replace(p, "=.*$", "")).alias("k"),
-        F.try_url_decode(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v")))
-    kept = F.filter(decoded, lambda s: ~F.startswith(F.lower(s["k"]), F.lit("utm_"))
-                    & ~F.lower(s["k"]).isin(TRACKING))
-    text = F.array_join(F.transform(F.array_sort(kept), lambda s: F.concat(
-        _form_encode(s["k"]), F.lit("="), _form_encode(s["v"]))), "&")
-    out = F.concat(scheme, F.lit("://"), host, _port_suffix(scheme, port),
-                   F.when(path == "", F.lit("/")).otherwise(path),
-                   F.when(text == "", F.lit("")).otherwise(F.concat(F.lit("?"), text)))
-    return F.when(F.coalesce(ok, F.lit(False)), out)
+    def build(p: Column) -> Column:
+        ok = (_clean(p["url"]) & p["scheme"].isin("http", "https") & ~F.contains(p["netloc"], F.lit("@"))
+              & (p["host"].rlike(_LABELS) | p["host"].rlike(_V6)) & _port_ok(p["netloc"], p["port"]))
+        pairs = F.transform(F.filter(F.split(p["query"], "&"), lambda x: x != ""), _pair)
+        kept = F.filter(pairs, lambda s: ~F.startswith(F.lower(s["k"]), F.lit("utm_")) & ~F.lower(s["k"]).isin(TRACKING))
+        text = F.array_join(F.transform(F.array_sort(kept), lambda s: F.concat(
+            _form_encode(s["k"]), F.lit("="), _form_encode(s["v"]))), "&")
+        head = F.concat(p["scheme"], F.lit("://"), p["host"], _port_suffix(p["scheme"], p["port"]),
+                        F.when(p["path"] == "", F.lit("/")).otherwise(p["path"]))
+        return F.when(F.coalesce(ok, F.lit(False)), let(text, lambda q: F.concat(
+            head, F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))))
+
+    return let(_parts(url), build)
 
 
 def _quote(c: Column, extra: str = "") -> Column:
-    safe = r"^[A-Za-z0-9/%:@!$&'()*+,;=\-._~" + extra + "]$"
-    return F.array_join(F.transform(F.split(c, ""), lambda ch: F.when(
-        (ch == "") | ch.rlike(safe), ch).otherwise(F.url_encode(ch))), "")
+    safe = r"[A-Za-z0-9/%:@!$&'()*+,;=\-._~" + extra + "]"
+    return F.when(c.rlike("^" + safe + "*$"), c).otherwise(F.array_join(F.transform(F.split(c, ""), lambda ch: F.when(
+        (ch == "") | ch.rlike("^" + safe + "$"), ch).otherwise(F.url_encode(ch))), ""))
 
 
 def public_url(url: Column) -> Column:
     """Public HTTP(S) URL or null: local names and private addresses rejected, query order kept."""
-    scheme, netloc, path, query = F.lower(_part(url, 1)), _part(url, 2), _part(url, 3), _part(url, 4)
-    host, port = _host_port(netloc)
-    v4 = host.rlike(_V4)
-    v4_ok = v4 & host.rlike(r"^((25[0-5]|2[0-4]\d|1?\d?\d)(\.|$)){4}$") & ~host.rlike(PRIVATE_V4)
-    v6_ok = host.rlike(r"^\[[23][0-9a-f]{3}:[0-9a-f:]*\]$") & ~host.rlike(r"^\[2001:0?db8:")
-    name_ok = ~v4 & host.rlike(_LABELS) & F.contains(host, F.lit(".")) & ~host.rlike(LOCAL_SUFFIXES)
-    port_ok = _port_ok(netloc, port) & ((port == "") | (port.try_cast("int") >= 1))
-    ok = ((F.length(url).between(1, 4096)) & _clean(url) & scheme.isin("http", "https")
-          & ~F.contains(netloc, F.lit("@")) & (v4_ok | v6_ok | name_ok) & port_ok)
-    out = F.concat(scheme, F.lit("://"), host, _port_suffix(scheme, port),
-                   _quote(F.when(path == "", F.lit("/")).otherwise(path)),
-                   F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), _quote(query, "?"))))
-    return F.when(F.coalesce(ok, F.lit(False)), out)
+    def build(p: Column) -> Column:
+        host, port = p["host"], p["port"]
+        v4 = host.rlike(_V4)
+        v4_ok = v4 & host.rlike(r"^((25[0-5]|2[0-4]\d|1?\d?\d)(\.|$)){4}$") & ~host.rlike(PRIVATE_V4)
+        v6_ok = host.rlike(r"^\[[23][0-9a-f]{3}:[0-9a-f:]*\]$") & ~host.rlike(r"^\[2001:0?db8:")
+        name_ok = ~v4 & host.rlike(_LABELS) & F.contains(host, F.lit(".")) & ~host.rlike(LOCAL_SUFFIXES)
+        port_ok = _port_ok(p["netloc"], port) & ((port == "") | (port.try_cast("int") >= 1))
+        ok = ((F.length(p["url"]).between(1, 4096)) & _clean(p["url"]) & p["scheme"].isin("http", "https")
+              & ~F.contains(p["netloc"], F.lit("@")) & (v4_ok | v6_ok | name_ok) & port_ok)
+        out = F.concat(p["scheme"], F.lit("://"), host, _port_suffix(p["scheme"], port),
+                       F.when(p["path"] == "", F.lit("/")).otherwise(_quote(p["path"])),
+                       F.when(p["query"] == "", F.lit("")).otherwise(F.concat(F.lit("?"), _quote(p["query"], "?"))))
+        return F.when(F.coalesce(ok, F.lit(False)), out)
+
+    return let(_parts(url), build)
 
 
 def url_key(url: Column) -> Column:
     """Comparison key: scheme, host, port, path and query; empty text when not HTTP(S)."""
-    u = F.trim(url)
-    scheme, netloc, path, query = F.lower(_part(u, 1)), _part(u, 2), _part(u, 3), _part(u, 4)
-    bare = F.regexp_replace(netloc, r"^:?@", "")
-    host = F.lower(F.regexp_extract(bare, r"^(\[[^\]]*\]|[^:]*)(?::(\d*))?$", 1))
-    port = F.regexp_extract(bare, r"^(\[[^\]]*\]|[^:]*)(?::(\d*))?$", 2)
-    ok = (scheme.isin("http", "https") & (host != "") & ~F.contains(bare, F.lit("@"))
-          & _port_ok(bare, port))
-    zero = port.rlike("^0+$")
-    out = F.concat(scheme, F.lit("://"), host,
-                   F.when(zero, F.lit("")).otherwise(_port_suffix(scheme, port)),
-                   F.when(path == "", F.lit("/")).otherwise(path),
-                   F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
-    return F.when(F.coalesce(ok, F.lit(False)), out).otherwise(F.lit(""))
+    def build(p: Column) -> Column:
+        bare = F.regexp_replace(p["netloc"], r"^:?@", "")
+        return let(F.struct(bare.alias("bare"), F.lower(F.regexp_extract(bare, _HOST_PORT, 1)).alias("host"),
+                            F.regexp_extract(bare, _HOST_PORT, 2).alias("port")), lambda h: _key(p, h))
+
+    def _key(p: Column, h: Column) -> Column:
+        ok = (p["scheme"].isin("http", "https") & (h["host"] != "") & ~F.contains(h["bare"], F.lit("@")) & _port_ok(h["bare"], h["port"]))
+        out = F.concat(p["scheme"], F.lit("://"), h["host"],
+                       F.when(h["port"].rlike("^0+$"), F.lit("")).otherwise(_port_suffix(p["scheme"], h["port"])),
+                       F.when(p["path"] == "", F.lit("/")).otherwise(p["path"]),
+                       F.when(p["query"] == "", F.lit("")).otherwise(F.concat(F.lit("?"), p["query"])))
+        return F.when(F.coalesce(ok, F.lit(False)), out).otherwise(F.lit(""))
+
+    return let(_parts(F.trim(url)), build)
 
 
 def host_of(url: Column) -> Column:
     """Lower-case host name, ``unknown`` when there is none."""
-    host, _ = _host_port(F.regexp_replace(_part(url, 2), "^.*@", ""))
+    netloc = F.regexp_replace(F.regexp_extract(url, _SPLIT, 2), "^.*@", "")
+    host = F.lower(F.regexp_replace(F.regexp_extract(netloc, _HOST_PORT, 1), r"\.+$", ""))
     return F.when(host == "", F.lit("unknown")).otherwise(host)
 
 
 def resolve_href(base: Column, href: Column) -> Column:
     """Absolute form of a link found on a page (absolute, rooted, query or relative)."""
-    scheme, netloc, path = _part(base, 1), _part(base, 2), _part(base, 3)
-    root = F.concat(scheme, F.lit("://"), netloc)
-    folder = F.regexp_replace(F.when(path == "", F.lit("/")).otherwise(path), "[^/]*$", "")
-    joined = F.concat(folder, href)
-    for _ in range(4):
-        joined = F.regexp_replace(joined, r"/\./", "/")
-        joined = F.regexp_replace(joined, r"/(?!\.\./)[^/?#]+/\.\./", "/")
-    joined = F.regexp_replace(joined, r"^(/\.\.)+/", "/")
-    return (F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-            .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
-            .when(F.startswith(href, F.lit("/")), F.concat(root, href))
-            .when(F.startswith(href, F.lit("?")), F.concat(root, path, href))
-            .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), href))
-            .otherwise(F.concat(root, joined)))
+    def dots(path: Column) -> Column:
+        for _ in range(4):
+            path = F.regexp_replace(F.regexp_replace(path, r"/\./", "/"), r"/(?!\.\./)[^/?#]+/\.\./", "/")
+        return F.regexp_replace(path, r"^(/\.\.)+/", "/")
+
+    def build(p: Column) -> Column:
+        root = F.concat(p["scheme"], F.lit("://"), p["netloc"])
+        folder = F.regexp_replace(F.when(p["path"] == "", F.lit("/")).otherwise(p["path"]), "[^/]*$", "")
+        return let(href, lambda h: (
+            F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
+            .when(F.startswith(h, F.lit("//")), F.concat(p["scheme"], F.lit(":"), h))
+            .when(F.startswith(h, F.lit("/")), F.concat(root, h))
+            .when(F.startswith(h, F.lit("?")), F.concat(root, p["path"], h))
+            .when(F.startswith(h, F.lit("#")), F.concat(F.regexp_replace(p["url"], "#.*$", ""), h))
+            .otherwise(F.concat(root, dots(F.concat(folder, h))))))
+
+    return let(_parts(base), build)
 
 
 _RAW_URL = r"https?://[^\s<>\[\]\"']+"

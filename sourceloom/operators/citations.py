@@ -131,12 +131,12 @@ def citation_proofs(candidates: DataFrame, documents: DataFrame, archived: DataF
     """
     c = F.col
     source = documents.select(c("url").alias("source_url"), c("content").alias("_source"))
-    target = archived.select(F.rtrim(F.lit("/"), c("url")).alias("_key"), c("content").alias("text"), c("title").alias("page_title"),
+    target = archived.select(F.rtrim(c("url"), F.lit("/")).alias("_key"), c("content").alias("text"), c("title").alias("page_title"),
                              "capture_at", "available_at", "archive_url", c("url").alias("target_url"))
-    rows = candidates.withColumn("_key", F.rtrim(F.lit("/"), c("publisher_url"))).join(source, "source_url", "left").join(target, "_key", "left")
+    rows = candidates.withColumn("_key", F.rtrim(c("publisher_url"), F.lit("/"))).join(source, "source_url", "left").join(target, "_key", "left")
     front = F.left("text", F.lit(FRONT_CHARS))
     stamp = capture_ts(F.regexp_extract("archive_url", ARCHIVE, 1))
-    original = F.rtrim(F.lit("/"), F.regexp_extract("archive_url", ARCHIVE, 2))
+    original = F.rtrim(F.regexp_extract("archive_url", ARCHIVE, 2), F.lit("/"))
     text_norm = word_norm(c("text"))
     checks = {
         "source_context_bound": F.size("citation_quotes") > 0, "source_unchanged": content_hash(c("_source")) == c("source_sha256"),

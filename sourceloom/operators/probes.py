@@ -100,41 +100,53 @@ SIGNALS = {
     "negation": C.DIMENSION_SIGNALS["negation"], "condition": C.DIMENSION_SIGNALS["condition"]}
 
 
+NEGATION = "(?i)" + C.DIMENSION_SIGNALS["negation"]
+
+
+def text_marks(df: DataFrame, text: str, prefix: str) -> DataFrame:
+    """Everything the pair rules need, extracted once per text instead of once per pair."""
+    x = F.col(text)
+    quantity = C.quantity_markers(x)
+    return df.withColumns({
+        f"{prefix}terms": evidence_terms(x), f"{prefix}time": C.temporal_markers(x), f"{prefix}quantity": quantity,
+        f"{prefix}units": C.unit_markers(quantity), f"{prefix}numbers": C.numeric_values(x), f"{prefix}compare": C.comparison_constraint(x),
+        f"{prefix}tokens": F.transform(C.claim_tokens(x), C.word_forms), f"{prefix}negated": x.rlike(NEGATION)})
+
+
 def grounding(probes: DataFrame, passages: DataFrame, scope: list[str]) -> DataFrame:
     """Which passages carry a probe's dimensions, as supported or contradicted flags.
 
-    Probes meet passages on shared grounding terms (hot terms salted); every
-    candidate pair is then judged once by Column functions on terms, word order,
-    time, quantity and comparison.
+    Markers are extracted per text first.  Probes then meet passages on shared
+    grounding terms (hot terms salted), and every candidate pair is judged once
+    on terms, word order, time, quantity and comparison.
     """
     c = F.col
-    p = probes.select(*scope, "probe_id", c("text").alias("probe"), evidence_terms(c("text")).alias("pt"))
-    b = passages.select(*scope, "passage_id", c("text").alias("basis"), evidence_terms(c("text")).alias("bt"))
-    left = b.select(*scope, "passage_id", F.explode("bt").alias("term"))
-    right = p.select(*scope, "probe_id", F.explode("pt").alias("term"))
+    p = text_marks(probes.select(*scope, "probe_id", c("text").alias("probe")), "probe", "p_").withColumns({
+        "verb": C.predicate_markers(c("probe")), "dimensions": C.required_dimensions(c("probe"))})
+    stems = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(F.lower("basis"), F.lit("[a-z]{3,}"), 0), C.word_forms)))
+    signals = F.array_compact(F.array(*[F.when(c("basis").rlike("(?i)" + v), F.lit(k)) for k, v in SIGNALS.items()]))
+    b = text_marks(passages.select(*scope, "passage_id", c("text").alias("basis")), "basis", "b_").withColumns({"stems": stems, "signals": signals})
+    left = b.select(*scope, "passage_id", F.explode("b_terms").alias("term"))
+    right = p.select(*scope, "probe_id", F.explode("p_terms").alias("term"))
     pairs = salted_join(left, right, [*scope, "term"], salts=4).select(*scope, "probe_id", "passage_id").distinct()
-    rows = pairs.join(p, [*scope, "probe_id"]).join(b, [*scope, "passage_id"])
-    rows = rows.withColumn("dimension", F.explode(C.required_dimensions(c("probe"))))
-    d, probe, basis = c("dimension"), c("probe"), c("basis")
-    signal = F.lit(True)
-    for name, pattern in SIGNALS.items():
-        signal = F.when(d == name, basis.rlike("(?i)" + pattern)).otherwise(signal)
-    stems = F.flatten(F.transform(F.regexp_extract_all(F.lower(basis), F.lit("[a-z]{3,}"), 0), C.word_forms))
-    verb = C.predicate_markers(probe)
-    verb_ok = (F.size(verb) == 0) | F.arrays_overlap(verb, stems)
-    negated = basis.rlike("(?i)" + C.DIMENSION_SIGNALS["negation"]) & ~probe.rlike("(?i)" + C.DIMENSION_SIGNALS["negation"])
-    order = C.ordered_match(C.claim_tokens(probe), C.claim_tokens(basis))
-    pm, bm = C.temporal_markers(probe), C.temporal_markers(basis)
-    clash = C.time_contradiction(probe, basis)
-    outcome = C.comparison_outcome(probe, basis)
-    compares = C.comparison_constraint(probe).isNotNull() & (C.comparison_constraint(probe)["direction"] != "hedged")
-    pq, bq = C.quantity_markers(probe), C.quantity_markers(basis)
-    apart = (F.size(C.numeric_values(probe)) > 0) & (F.size(C.numeric_values(basis)) > 0) & ~F.arrays_overlap(C.numeric_values(probe), C.numeric_values(basis))
-    supported = (F.when(d.isin("actor_subject", "scope_location"), order).when(d == "predicate_object", order & verb_ok & ~negated)
-                 .when(d == "time", (F.size(F.array_except(pm, bm)) == 0) & ~clash)
-                 .when(d == "quantity_unit_denominator", F.when(compares, outcome == "supported").otherwise(F.size(F.array_except(pq, bq)) == 0))
-                 .when(d == "comparison_baseline", outcome == "supported").otherwise(F.lit(True)))
-    contradicted = (F.when(d == "predicate_object", negated & order).when(d == "time", clash)
-                    .when(d == "quantity_unit_denominator", F.when(compares, outcome == "contradicted").otherwise(apart))
-                    .when(d == "comparison_baseline", outcome == "contradicted").otherwise(F.lit(False)))
+    rows = pairs.join(p.drop("probe", "p_terms"), [*scope, "probe_id"]).join(b.drop("basis", "b_terms"), [*scope, "passage_id"])
+    negated = c("b_negated") & ~c("p_negated")
+    rows = rows.withColumns({
+        "order": C.ordered_forms(c("p_tokens"), c("b_tokens")), "clash": C.time_clash(c("p_time"), c("b_time")),
+        "outcome": C.comparison_decision(c("p_compare"), c("b_compare"), c("p_numbers"), c("b_numbers"), c("p_units"), c("b_units")),
+        "negation_added": negated, "verb_ok": (F.size("verb") == 0) | F.arrays_overlap("verb", "stems"),
+        "time_held": F.size(F.array_except("p_time", "b_time")) == 0, "quantity_held": F.size(F.array_except("p_quantity", "b_quantity")) == 0,
+        "numbers_apart": (F.size("p_numbers") > 0) & (F.size("b_numbers") > 0) & ~F.arrays_overlap("p_numbers", "b_numbers"),
+        "compares": F.coalesce(c("p_compare")["direction"] != "hedged", F.lit(False))})
+    rows = rows.select(*scope, "probe_id", "passage_id", F.explode("dimensions").alias("dimension"), "signals", "order", "clash", "outcome",
+                       "negation_added", "verb_ok", "time_held", "quantity_held", "numbers_apart", "compares")
+    d = c("dimension")
+    signal = d.isin(C.CORE_DIMENSIONS) | F.array_contains("signals", d)
+    supported = (F.when(d.isin("actor_subject", "scope_location"), c("order")).when(d == "predicate_object", c("order") & c("verb_ok") & ~c("negation_added"))
+                 .when(d == "time", c("time_held") & ~c("clash"))
+                 .when(d == "quantity_unit_denominator", F.when(c("compares"), c("outcome") == "supported").otherwise(c("quantity_held")))
+                 .when(d == "comparison_baseline", c("outcome") == "supported").otherwise(F.lit(True)))
+    contradicted = (F.when(d == "predicate_object", c("negation_added") & c("order")).when(d == "time", c("clash"))
+                    .when(d == "quantity_unit_denominator", F.when(c("compares"), c("outcome") == "contradicted").otherwise(c("numbers_apart")))
+                    .when(d == "comparison_baseline", c("outcome") == "contradicted").otherwise(F.lit(False)))
     return rows.select(*scope, "probe_id", "passage_id", "dimension", (signal & supported).alias("supported"), (signal & contradicted).alias("contradicted"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["evidence_queries", "scoring_queries", "usage_queries", "state_queries", "retrieval_queries", "lineage_queries", "audit_queries", "source_queries"]
+MODULES = ["evidence_queries", "scoring_queries", "usage_queries", "state_queries", "retrieval_queries", "lineage_queries", "audit_queries", "source_queries", "stream_queries"]
 
 
 def all_queries():

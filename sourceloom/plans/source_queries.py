@@ -20,9 +20,9 @@ from .registry import query
 
 
 @query("S1", """
-SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'extra' ELSE '' END AS unknown_fields, CASE WHEN event_id % 11 = 0 THEN 'user' ELSE '' END AS missing_fields,
-  CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_type END AS kind FROM events""".replace("CASE WHEN event_id % 13 = 0 THEN 'extra' ELSE '' END AS unknown_fields, CASE WHEN event_id % 11 = 0 THEN 'user' ELSE '' END AS missing_fields",
-    "CASE WHEN event_id % 17 <> 0 AND event_id % 13 = 0 THEN 'extra' ELSE '' END AS unknown_fields, CASE WHEN event_id % 17 = 0 THEN 'kind,user' WHEN event_id % 11 = 0 THEN 'user' ELSE '' END AS missing_fields"))
+SELECT event_id, CASE WHEN event_id % 17 <> 0 AND event_id % 13 = 0 THEN 'extra' ELSE '' END AS unknown_fields,
+  CASE WHEN event_id % 17 = 0 THEN 'kind,user' WHEN event_id % 11 = 0 THEN 'user' ELSE '' END AS missing_fields,
+  CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_type END AS kind FROM events""")
 def record_load(t):
     """Typed load of raw records; missing and unknown fields named, nothing dropped."""
     i = F.col("event_id")
@@ -355,24 +355,25 @@ def _claim_text(t):
     """Claims made from order rows: counts, comparisons, dates, negation and modality by number."""
     i = F.col("o_orderkey")
     n = F.floor("o_totalprice").cast("long")
-    base = F.concat(F.lit("Company"), F.col("o_custkey"), F.lit(" shipped "))
+    name = F.translate(F.col("o_custkey").cast("string"), "0123456789", "abcdefghij")
+    base = F.concat(F.lit("Company"), name, F.lit(" shipped "))
     return t("orders").select(
         i, "o_orderdate", n.alias("n"), (F.when(i % 6 == 0, F.concat(base, F.lit("more than "), n, F.lit(" units before "), F.date_format("o_orderdate", "MMMM yyyy")))
         .when(i % 6 == 1, F.concat(base, F.format_number(n, 0), F.lit(" boxes at $5 each"))).when(i % 6 == 2, F.concat(F.lit("The office may not open if rates exceed "), n, F.lit(" percent")))
-        .when(i % 6 == 3, F.concat(base, F.lit("at most "), n, F.lit(" kilograms per day; it was paid"))).when(i % 6 == 4, F.concat(base, F.lit("goods and Partner"), "o_custkey", F.lit(" paid taxes in "), F.year("o_orderdate")))
+        .when(i % 6 == 3, F.concat(base, F.lit("at most "), n, F.lit(" kilograms per day; it was paid"))).when(i % 6 == 4, F.concat(base, F.lit("goods and Partner"), name, F.lit(" paid taxes in "), F.year("o_orderdate")))
         .otherwise(F.concat(base, F.lit("goods according to the ministry")))).alias("text"))
 
 
 @query("X32", """
-SELECT o_orderkey, 'actor_subject,predicate_object,scope_location' || CASE o_orderkey % 6 WHEN 0 THEN ',quantity_unit_denominator,time,comparison_baseline' WHEN 1 THEN ',quantity_unit_denominator'
-  WHEN 2 THEN ',quantity_unit_denominator,negation,condition,modality' WHEN 3 THEN ',quantity_unit_denominator' WHEN 4 THEN ',quantity_unit_denominator,time' ELSE ',attribution_causality' END AS dimensions FROM orders""")
+SELECT o_orderkey, 'actor_subject,predicate_object,scope_location' || CASE o_orderkey % 6 WHEN 0 THEN ',quantity_unit_denominator,time' || CASE WHEN month(o_orderdate) = 5 THEN ',modality' ELSE '' END || ',comparison_baseline' WHEN 1 THEN ',quantity_unit_denominator'
+  WHEN 2 THEN ',quantity_unit_denominator,time,negation,condition,modality' WHEN 3 THEN ',quantity_unit_denominator' WHEN 4 THEN ',time' ELSE ',attribution_causality' END AS dimensions FROM orders""")
 def claim_dimensions(t):
     """Dimensions each claim must have settled."""
     return _claim_text(t).select("o_orderkey", F.array_join(C.required_dimensions(F.col("text")), ",").alias("dimensions"))
 
 
 @query("X25", """
-SELECT o_orderkey, CASE o_orderkey % 6 WHEN 1 THEN floor(o_totalprice)::BIGINT || ',5' WHEN 4 THEN '' WHEN 5 THEN '' ELSE (floor(o_totalprice)::BIGINT)::VARCHAR END AS numbers FROM orders""".replace("WHEN 4 THEN ''", "WHEN 4 THEN ''"))
+SELECT o_orderkey, CASE o_orderkey % 6 WHEN 1 THEN floor(o_totalprice)::BIGINT || ',5' WHEN 4 THEN '' WHEN 5 THEN '' ELSE (floor(o_totalprice)::BIGINT)::VARCHAR END AS numbers FROM orders""")
 def numeric_values(t):
     """Numbers in claims with separators dropped and time text blanked."""
     return _claim_text(t).select("o_orderkey", F.array_join(F.transform(C.numeric_values(F.col("text")), lambda v: v.cast("long").cast("string")), ",").alias("numbers"))
@@ -380,9 +381,9 @@ def numeric_values(t):
 
 @query("X24 X26 X27", """
 SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'greater' WHEN 3 THEN 'less' END AS direction, CASE o_orderkey % 6 WHEN 0 THEN false WHEN 3 THEN true END AS inclusive,
-  CASE o_orderkey % 6 WHEN 0 THEN 'before,' || lower(strftime(o_orderdate, '%B')) || ',' || lower(strftime(o_orderdate, '%B')) || year(o_orderdate) || ',quarter:' || quarter(o_orderdate) || ',year:' || year(o_orderdate)
-    WHEN 4 THEN 'year:' || year(o_orderdate) ELSE '' END AS time_markers,
-  CASE o_orderkey % 6 WHEN 1 THEN 'currency:usd,denominator:' WHEN 2 THEN 'unit:percent' WHEN 3 THEN 'denominator:day,unit:day,unit:kilogram' ELSE '' END AS units FROM orders""".replace("'currency:usd,denominator:'", "'currency:usd'"))
+  CASE o_orderkey % 6 WHEN 0 THEN array_to_string(list_sort(['before', lower(strftime(o_orderdate, '%B')), lower(strftime(o_orderdate, '%B')) || year(o_orderdate), 'quarter:' || quarter(o_orderdate), 'year:' || year(o_orderdate)]), ',')
+    WHEN 4 THEN 'year:' || year(o_orderdate) WHEN 2 THEN 'may,quarter:2' ELSE '' END AS time_markers,
+  CASE o_orderkey % 6 WHEN 1 THEN 'currency:usd' WHEN 2 THEN 'unit:percent' WHEN 3 THEN 'denominator:day,unit:day,unit:kilogram' ELSE '' END AS units FROM orders""")
 def claim_markers(t):
     """Comparison constraint, time markers and unit markers of claims."""
     x = F.col("text")
@@ -405,7 +406,7 @@ def comparison_outcomes(t):
 
 
 @query("X34", """
-SELECT o_orderkey, o_orderkey % 4 IN (0, 2) AND year(o_orderdate) <> 1996 OR o_orderkey % 4 = 1 AND quarter(o_orderdate) <> 2 AS contradicted FROM orders""".replace("o_orderkey % 4 IN (0, 2)", "o_orderkey % 4 = 0"))
+SELECT o_orderkey, o_orderkey % 4 = 0 AND year(o_orderdate) <> 1996 OR o_orderkey % 4 = 1 AND quarter(o_orderdate) <> 2 AS contradicted FROM orders""")
 def time_contradictions(t):
     """Explicit contradiction of years and quarters."""
     i, d = F.col("o_orderkey"), F.col("o_orderdate")

@@ -7,6 +7,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.let import let
 from ..functions.text import norm_ws
 from ..functions.times import publication_ts
 from ..functions.urls import public_url, resolve_href
@@ -39,18 +40,18 @@ def attribute(tag: Column, name: str) -> Column:
 def unescape(c: Column) -> Column:
     """Character references to characters, numeric ones and the standard named ones."""
     table = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
-    pieces = F.split(c, "&")
 
     def decode(piece: Column, i: Column) -> Column:
         name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]{1,31});", 1)
         dec, hexa = F.regexp_extract(piece, r"^#(\d{1,7});", 1), F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]{1,6});", 1)
         code = F.when(dec != "", F.hex(dec.cast("int"))).when(hexa != "", hexa)
         char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-        rest = F.regexp_replace(piece, r"^[^;]*;", "")
-        return (F.when(i == 0, piece).when((name != "") & table[name].isNotNull(), F.concat(table[name], rest))
-                .when(code.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), piece)))
+        found = F.when(name != "", table[name]).otherwise(char)
+        return F.when(i == 0, piece).otherwise(let(found, lambda x: F.when(
+            x.isNotNull(), F.concat(x, F.regexp_replace(piece, r"^[^;]*;", ""))).otherwise(F.concat(F.lit("&"), piece))))
 
-    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, decode), "")).otherwise(c)
+    return let(c, lambda text: F.when(F.contains(text, F.lit("&")), F.array_join(
+        F.transform(F.split(text, "&"), decode), "")).otherwise(text))
 
 
 def _anchors(html: Column) -> Column:
@@ -60,7 +61,7 @@ def _anchors(html: Column) -> Column:
 
 def _link_target(piece: Column, url: Column) -> Column:
     href = attribute(F.regexp_extract(piece, r"(?is)^(<a\b[^>]*>)", 1), "href")
-    return F.when(F.length(href) > 0, public_url(resolve_href(url, F.trim(href))))
+    return let(href, lambda h: F.when(F.length(h) > 0, public_url(resolve_href(url, F.trim(h)))))
 
 
 def _strip(html: Column) -> Column:
@@ -95,7 +96,7 @@ def visible_text(html: Column, url: Column) -> Column:
 
 def page_title(html: Column, url: Column) -> Column:
     title = norm_ws(unescape(F.regexp_extract(without_hidden(html), r"(?is)<title\b[^>]*>(.*?)</title", 1)))
-    return F.when(title == "", url).otherwise(title)
+    return let(title, lambda t: F.when(t == "", url).otherwise(t))
 
 
 def published_at(html: Column) -> Column:
@@ -106,8 +107,8 @@ def published_at(html: Column) -> Column:
         low = lambda name: F.lower(F.coalesce(attribute(tag, name), F.lit("")))
         meta = F.lower(tag).rlike(r"^<meta\b")
         named = (low("property") == "article:published_time") | (low("itemprop") == "datepublished") | low("name").isin(PUBLISHED_NAMES)
-        return F.when(meta & named, publication_ts(attribute(tag, "content"))).when(
-            ~meta & (low("itemprop") == "datepublished"), publication_ts(attribute(tag, "datetime")))
+        label = F.when(meta & named, attribute(tag, "content")).when(~meta & (low("itemprop") == "datepublished"), attribute(tag, "datetime"))
+        return let(label, publication_ts)
 
     return F.get(F.filter(F.transform(tags, stated), lambda x: x.isNotNull()), F.lit(0))
 
