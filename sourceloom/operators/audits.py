@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import spans as S
+from ..functions.let import let
 from ..functions.text import content_hash, is_blank, norm_ws
+from ..session import bounded_broadcast
 from .admission import VERDICTS, reason_codes
 from .skew import salted_join
 
@@ -165,24 +167,29 @@ def contained_pairs(quotes: DataFrame, documents: DataFrame, grams: int = 3) ->
     """
     q = quotes.select("quote_id", norm_ws(F.col("quote")).alias("q")).filter("q <> ''").withColumn("w", F.split("q", " "))
     d = documents.select("doc_id", norm_ws(F.col("text")).alias("d"))
-    runs = lambda words: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(words) - grams, F.lit(0))),
-        lambda i: F.array_join(F.slice(words, i + 1, grams), " "))
-    inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
-    long_q = q.filter(F.size("w") >= grams + 2)
+
+    def runs(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (grams - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, grams), " "))
+
+    def matches(posted: DataFrame, anchors: DataFrame) -> DataFrame:
+        small = bounded_broadcast(anchors)
+        joined = salted_join(posted, anchors, ["anchor"]) if small is anchors else posted.join(small, "anchor")
+        return joined.select("quote_id", "doc_id")
+
     # The longest inner run is the most selective one that needs no corpus statistics.
-    anchored = long_q.select("quote_id", "q", F.expr("1").alias("_o"), F.element_at(F.array_sort(F.transform(
-        runs(inner), lambda r: F.struct(F.length(r).alias("n"), r.alias("r")))), -1)["r"].alias("anchor"))
-    posted = d.select("doc_id", F.explode(F.array_distinct(runs(F.split("d", " ")))).alias("anchor"))
-    hits = salted_join(posted, anchored.select("quote_id", "anchor"), ["anchor"], salts=4).select("quote_id", "doc_id")
-    for size in (1, 2, 3):
-        few = q.filter((F.size("w") < grams + 2) & ((F.length("q") >= 3) if size == 3 else (F.length("q") == size)))
-        if few.isEmpty():
-            continue
-        head = few.select("quote_id", F.substring("q", 1, size).alias("anchor"))
+    inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
+    longest = let(inner, lambda words: F.array_max(F.transform(runs(words), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"])
+    anchored = q.filter(F.size("w") >= grams + 2).select("quote_id", longest.alias("anchor"))
+    posted = d.select("doc_id", F.explode(F.array_distinct(let(F.split("d", " "), runs))).alias("anchor"))
+    hits = matches(posted, anchored)
+    short = q.filter(F.size("w") < grams + 2)
+    sizes = short.select(F.least(F.length("q"), F.lit(3)).alias("n")).distinct()
+    for size in sorted(r["n"] for r in sizes.collect()):  # at most the three values 1, 2, 3
+        head = short.filter(F.least(F.length("q"), F.lit(3)) == size).select("quote_id", F.substring("q", 1, size).alias("anchor"))
         chars = d.filter(F.length("d") >= size).select("doc_id", F.explode(F.array_distinct(F.transform(
             F.sequence(F.lit(1), F.length("d") - (size - 1)), lambda i: F.col("d").substr(i, F.lit(size))))).alias("anchor"))
-        hits = hits.unionByName(salted_join(chars, head, ["anchor"], salts=4).select("quote_id", "doc_id"))
+        hits = hits.unionByName(matches(chars, head))
     found = hits.distinct().join(q.select("quote_id", "q"), "quote_id").join(d, "doc_id")
     return found.filter(F.contains("d", F.col("q"))).select("quote_id", "doc_id")
 

@@ -18,10 +18,17 @@ def evidence_keys() -> dict[str, Column]:
             "url": canonical_url(c("url")), "content": content_hash(fold(norm_ws(c("content"))))}
 
 
-def _by_root(pairs: DataFrame, hot_rows: int) -> DataFrame:
+def _lookup(big: DataFrame, small: DataFrame, key: str, rows: int, hot_rows: int) -> DataFrame:
+    """Split lookup of hot keys; with fewer rows than one hot key needs, none can exist."""
+    if rows <= hot_rows:
+        return big.join(small, key)
+    return split_lookup(big, small, [key], "_n", hot_rows)
+
+
+def _by_root(pairs: DataFrame, rows: int, hot_rows: int) -> DataFrame:
     """Attach the smallest neighbour to every (node, neighbour) pair."""
     low = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n"))
-    return split_lookup(pairs, low, ["u"], "_n", hot_rows)
+    return _lookup(pairs, low, "u", rows, hot_rows)
 
 
 def connected(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -36,10 +43,10 @@ def connected(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
                   .filter("u <> v").distinct())
     state = fingerprint_rows(current, "u", "v")
     while state[0] > 0:
+        rows = 2 * state[0]
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _by_root(both, hot_rows).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        rooted = _by_root(large, hot_rows)
+        large = _by_root(both, rows, hot_rows).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        rooted = _by_root(large, rows, hot_rows)
         small = rooted.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             rooted.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         current = cut(small)
@@ -67,7 +74,7 @@ def source_groups(rows: DataFrame, scope: list[str], keys: dict[str, Column], id
         *scope, F.lit(k).alias("kind"), F.col(k).alias("value"))))) for k in names]))
     links = named.select("node", F.explode(tokens).alias("k"))
     leads = links.groupBy("k").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    edges = split_lookup(links, leads, ["k"], "_n", hot_rows).select(
+    edges = _lookup(links, leads, "k", named.count() * len(names), hot_rows).select(
         F.col("node").alias("u"), F.col("lead").alias("v")).filter("u <> v")
     labels = connected(edges, hot_rows)
     out = named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

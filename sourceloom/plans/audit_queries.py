@@ -49,7 +49,7 @@ _QUOTE = "substr(text, 2 + doc_id % 5, 3 + doc_id % 12)"
 
 
 @query("F9 X1", f"""
-SELECT doc_id, instr(text, q) - 1 AS start, instr(text, q) > 0 AND instr(substr(text, instr(text, q) + 1), q) = 0 AS once
+SELECT doc_id, CASE WHEN q = '' THEN -1 ELSE instr(text, q) - 1 END AS start, q <> '' AND instr(text, q) > 0 AND instr(substr(text, instr(text, q) + 1), q) = 0 AS once
 FROM (SELECT doc_id, text, {_QUOTE} AS q FROM documents)""")
 def unique_quotes(t):
     """Zero-based offset of a quote and whether it occurs exactly once, overlaps counted."""

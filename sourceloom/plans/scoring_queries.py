@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bootstrap as B
 from ..operators import scoring as M
+from ..session import cut
 from . import derive as D
 from .registry import query
 
@@ -194,7 +195,7 @@ SELECT metric, round(max(baseline) FILTER (draw = -1), 9) + 0.0 AS baseline, rou
 FROM d GROUP BY metric"""))
 def event_bootstrap(t):
     """Paired bootstrap over event clusters; the candidate corrects every even case."""
-    facts = _facts(t)
+    facts = cut(_facts(t))
     even = F.col("id") % 2 == 0
     better = facts.withColumns({
         "accepted_true": F.when(even, F.col("true")).otherwise(F.col("accepted_true")),

@@ -381,8 +381,9 @@ def numeric_values(t):
 
 @query("X24 X26 X27", """
 SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'greater' WHEN 3 THEN 'less' END AS direction, CASE o_orderkey % 6 WHEN 0 THEN false WHEN 3 THEN true END AS inclusive,
-  CASE o_orderkey % 6 WHEN 0 THEN array_to_string(list_sort(['before', lower(strftime(o_orderdate, '%B')), lower(strftime(o_orderdate, '%B')) || year(o_orderdate), 'quarter:' || quarter(o_orderdate), 'year:' || year(o_orderdate)]), ',')
-    WHEN 4 THEN 'year:' || year(o_orderdate) WHEN 2 THEN 'may,quarter:2' ELSE '' END AS time_markers,
+  CASE o_orderkey % 6 WHEN 0 THEN array_to_string(list_sort(list_distinct(['before', lower(strftime(o_orderdate, '%B')), lower(strftime(o_orderdate, '%B')) || year(o_orderdate), 'quarter:' || quarter(o_orderdate), 'year:' || year(o_orderdate),
+      CASE WHEN floor(o_totalprice) BETWEEN 1900 AND 2099 THEN 'year:' || floor(o_totalprice)::BIGINT ELSE 'before' END])), ',')
+    WHEN 4 THEN 'year:' || year(o_orderdate) WHEN 2 THEN 'may,quarter:2' || CASE WHEN floor(o_totalprice) BETWEEN 1900 AND 2099 THEN ',year:' || floor(o_totalprice)::BIGINT ELSE '' END ELSE '' END AS time_markers,
   CASE o_orderkey % 6 WHEN 1 THEN 'currency:usd' WHEN 2 THEN 'unit:percent' WHEN 3 THEN 'denominator:day,unit:day,unit:kilogram' ELSE '' END AS units FROM orders""")
 def claim_markers(t):
     """Comparison constraint, time markers and unit markers of claims."""
