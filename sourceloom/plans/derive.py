@@ -32,7 +32,7 @@ def vid(c: Column) -> Column:
 
 def evidence(t: Tables) -> DataFrame:
     """Documents as evidence; the claim groups documents of one language."""
-    d = t("documents").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
+    d = t.spread("documents", "doc_id", "text", "lang", "source").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
     i = F.col("doc_id")
     claim = F.concat_ws("/", "lang", (i % 25).cast("string"))
     pub = F.lit(EPOCH) + (i % 400) * HOUR

@@ -20,7 +20,7 @@ def _tasks(t):
 
 
 def _docs(t):
-    return t("documents").select(F.col("doc_id").alias("version_id"), "text")
+    return t.spread("documents", "doc_id", "text").select(F.col("doc_id").alias("version_id"), "text")
 
 
 @query("T1 T2 T8", D.with_ctes(_TERMS, body="""
@@ -42,7 +42,7 @@ FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN b ON b.doc_id = d.
 def term_counts(t):
     """Distinct routing terms and grounding terms per document."""
     x = F.col("text")
-    return t("documents").select("doc_id", F.size(search_terms(x)).cast("long").alias("search_terms"),
+    return t.spread("documents", "doc_id", "text").select("doc_id", F.size(search_terms(x)).cast("long").alias("search_terms"),
                                  F.size(evidence_terms(x)).cast("long").alias("evidence_terms"))
 
 

@@ -49,20 +49,23 @@ WITH a AS (SELECT doc_id, 'k' || (doc_id // 3) AS version_id, md5(trim(regexp_re
 f AS (SELECT version_id, min(doc_id) AS p, arg_min(fp, doc_id) AS fp FROM a GROUP BY version_id)
 SELECT a.doc_id, CASE WHEN a.doc_id = p THEN 'first' WHEN a.fp = f.fp THEN 'duplicate' ELSE 'collision' END AS arrival FROM a JOIN f USING (version_id)""")
 def stream_dedup(t):
-    """Arrivals classified in keyed state across micro-batches, in position order."""
+    """Arrivals classified across micro-batches against a growing table of first fingerprints."""
     d = t("documents").select(F.col("doc_id").alias("position"), F.concat(F.lit("k"), F.floor(F.col("doc_id") / 3)).alias("version_id"),
                               F.md5(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("fingerprint"))
     edges = d.agg(F.max("position").alias("m"))
     staged = d.join(F.broadcast(edges)).withColumn("part", F.least(F.floor(F.col("position") * 3 / (F.col("m") + 1)), F.lit(2))).drop("m")
     stream = _replayed(staged, "part", 3)
-    return _run(A.classify_stream(stream), "append").select(F.col("position").alias("doc_id"), "arrival")
+    out = _folder(t.spark)
+    q = stream.writeStream.foreachBatch(A.classified_batches(out)).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return t.spark.read.parquet(f"{out}/arrivals").select(F.col("position").alias("doc_id"), "arrival")
 
 
 @query("R3", D.with_ctes(D.GAP_EVENTS_SQL, body="""
 SELECT target_id, gap_id, coalesce(max(epoch) FILTER (op = 'open'), -1) AS last_open, coalesce(max(epoch) FILTER (op = 'close'), -1) AS last_close,
   CASE WHEN coalesce(max(epoch) FILTER (op = 'open'), -1) > coalesce(max(epoch) FILTER (op = 'close'), -1) THEN 'open' ELSE 'closed' END AS state FROM gap_events GROUP BY target_id, gap_id"""))
 def stream_gap_ledger(t):
-    """Gap ledger in keyed state; events arrive out of order and the epochs decide."""
+    """Gap ledger in streaming state; events arrive out of order and the epochs decide."""
     stream = _replayed(D.gap_events(t).select("target_id", "gap_id", "op", "epoch"), "epoch", 3)
     out = _run(A.gap_ledger_stream(stream), "update")
     last = out.groupBy("target_id", "gap_id").agg(F.max_by(F.struct("last_open", "last_close", "state"), "batch").alias("s"))

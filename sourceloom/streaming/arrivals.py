@@ -1,7 +1,8 @@
 """Arriving versions and gap events as Structured Streaming jobs.
 
-State is kept per key by ``applyInPandasWithState`` or as tables that
-``foreachBatch`` extends; each job has a batch twin with the same answer.
+State is kept by the built-in streaming aggregate, by ``applyInPandasWithState``
+or as tables that ``foreachBatch`` extends; each job has a batch twin with the
+same answer.
 """
 
 from __future__ import annotations
@@ -14,35 +15,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.admission import material_fingerprint, with_eligibility
+from ..operators.skew import split_lookup
 
-ARRIVAL_OUT = "version_id string, position long, arrival string"
-ARRIVAL_STATE = "fingerprint string, position long"
+def classified_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` job: first, duplicate or collision for every arriving version.
 
-
-def _classify(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    first = state.get if state.exists else None
-    rows = pd.concat(list(batches)).sort_values("position")  # one id within one micro-batch
-    kinds = []
-    for fp, pos in zip(rows["fingerprint"], rows["position"]):
-        if first is None:
-            first = (fp, int(pos))
-            kinds.append("first")
-        else:
-            kinds.append("duplicate" if fp == first[0] else "collision")
-    state.update(first)
-    yield pd.DataFrame({"version_id": key[0], "position": rows["position"].values, "arrival": kinds})
-
-
-def classify_stream(arrivals: DataFrame) -> DataFrame:
-    """First, duplicate or collision for every arriving version, across micro-batches.
-
-    ``arrivals(version_id, fingerprint, position)``.  Exact repeats inside one
-    micro-batch are folded before they reach the keyed state, so a mass of
-    copies of one version cannot fill a task; they are counted by the batch twin.
+    ``arrivals(version_id, fingerprint, position)``.  The first fingerprint of
+    each id is kept as a table that every batch extends by the ids it sees
+    first.  A batch is classified by joins that split hot ids, so a mass of
+    copies never meets in one task; a replayed batch overwrites its own folders.
     """
-    folded = arrivals.select("version_id", "fingerprint", "position")
-    return folded.groupBy("version_id").applyInPandasWithState(
-        _classify, ARRIVAL_OUT, ARRIVAL_STATE, "append", GroupStateTimeout.NoTimeout)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = spark.createDataFrame([], "version_id string, fingerprint string, at long")
+        for n in range(batch_id):
+            seen = seen.unionByName(spark.read.schema(seen.schema).parquet(f"{path}/first/n={n}"))
+        own = batch.groupBy("version_id").agg(F.min_by("fingerprint", "position").alias("fingerprint"), F.min("position").alias("at"),
+                                              F.count(F.lit(1)).alias("rows"))
+        new = own.join(seen.select("version_id"), "version_id", "left_anti")
+        new.drop("rows").write.mode("overwrite").parquet(f"{path}/first/n={batch_id}")
+        known = own.select("version_id", "rows").join(seen.unionByName(spark.read.parquet(f"{path}/first/n={batch_id}")), "version_id") \
+            .withColumnRenamed("fingerprint", "_fp")
+        kind = F.when(F.col("position") == F.col("at"), "first").when(F.col("fingerprint") == F.col("_fp"), "duplicate").otherwise("collision")
+        out = split_lookup(batch, known, ["version_id"], "rows").withColumn("arrival", kind)
+        out.select("version_id", "position", "arrival").write.mode("overwrite").parquet(f"{path}/arrivals/n={batch_id}")
+    return write
 
 
 def route_late(arrivals: DataFrame) -> DataFrame:
@@ -51,29 +48,16 @@ def route_late(arrivals: DataFrame) -> DataFrame:
     return rows.withColumn("sink", F.when(F.size("reasons") == 0, "graph").otherwise("archive"))
 
 
-LEDGER_OUT = "target_id string, gap_id string, last_open long, last_close long, state string"
-LEDGER_STATE = "last_open long, last_close long"
-
-
-def _fold_gap(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last_open, last_close = state.get if state.exists else (-1, -1)
-    for rows in batches:
-        last_open = max(last_open, int(rows["opened"].max()))
-        last_close = max(last_close, int(rows["closed"].max()))
-    state.update((last_open, last_close))
-    yield pd.DataFrame([{"target_id": key[0], "gap_id": key[1], "last_open": last_open, "last_close": last_close,
-                         "state": "open" if last_open > last_close else "closed"}])
-
-
 def gap_ledger_stream(events: DataFrame) -> DataFrame:
     """Current state per gap; later rows replace earlier ones (update mode).
 
     Epochs decide, not arrival, so late and duplicate events change nothing.
+    The fold is two maxima, which the built-in streaming aggregate keeps as
+    keyed state with map-side combine; no Python runs per gap.
     """
-    marked = events.select("target_id", "gap_id", F.when(F.col("op") == "open", F.col("epoch")).otherwise(F.lit(-1)).alias("opened"),
-                           F.when(F.col("op") == "close", F.col("epoch")).otherwise(F.lit(-1)).alias("closed"))
-    return marked.groupBy("target_id", "gap_id").applyInPandasWithState(
-        _fold_gap, LEDGER_OUT, LEDGER_STATE, "update", GroupStateTimeout.NoTimeout)
+    at = lambda op: F.coalesce(F.max(F.when(F.col("op") == op, F.col("epoch"))), F.lit(-1))
+    last = events.groupBy("target_id", "gap_id").agg(at("open").alias("last_open"), at("close").alias("last_close"))
+    return last.withColumn("state", F.when(F.col("last_open") > F.col("last_close"), "open").otherwise("closed"))
 
 
 GATE_OUT = "target_id string, round long, fingerprint string, verified boolean"
