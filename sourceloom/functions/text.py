@@ -58,11 +58,6 @@ def record_fingerprint(**fields: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*ordered), {"ignoreNullFields": "false"}), 256)
 
 
-def state_fingerprint(records: Column) -> Column:
-    """Hash of a set of records (array of structs), independent of arrival order."""
-    return F.sha2(F.to_json(F.array_sort(records)), 256)
-
-
 def _grams(run: Column, width: int) -> Column:
     starts = F.sequence(F.lit(1), F.greatest(F.length(run) - (width - 1), F.lit(1)))
     grams = F.transform(starts, lambda i: run.substr(i, F.lit(width)))

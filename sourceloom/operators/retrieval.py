@@ -101,7 +101,7 @@ def greedy_cover(tasks: DataFrame, options: DataFrame, capacity: int) -> DataFra
             step = cut(chose.select("pool_id", F.col("_b.v").alias("version_id"), number.cast("int").alias("pick")))
             if step.isEmpty():
                 break
-            chosen = step if chosen is None else cut(chosen.unionByName(step))
+            chosen = step if chosen is None else chosen.unionByName(step)
     return fill_capacity(pairs, chosen, capacity)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .admission import reason_codes
-from .skew import lagged, running_sums
+from .skew import lagged, running_sums, top_k
 
 KEY = ["target_id", "gap_id"]
 
@@ -40,9 +40,13 @@ def round_limits(arrivals: DataFrame, max_rounds: int, max_documents: int) -> Da
     return rows.select("claim_id", F.explode(plan).alias("p")).select("claim_id", "p.*")
 
 
-def examined_rows(evidence: DataFrame, limits: DataFrame, order: list[Column]) -> DataFrame:
-    """Rows inside their round's limit, by arrival order."""
-    ranked = evidence.withColumn("position", F.row_number().over(W.partitionBy("claim_id", "round").orderBy(*order)))
+def examined_rows(evidence: DataFrame, limits: DataFrame, order: list[Column], max_documents: int) -> DataFrame:
+    """Rows inside their round's limit, by arrival order.
+
+    No round can examine more than the whole budget, so each map task first
+    keeps only that many rows per round.
+    """
+    ranked = top_k(evidence, ["claim_id", "round"], order, max_documents, "position")
     return ranked.join(limits.select("claim_id", "round", "limit"), ["claim_id", "round"]).filter("position <= limit")
 
 
@@ -105,6 +109,20 @@ def close_epochs(closures: DataFrame, bucket: str) -> DataFrame:
     return out.withColumn("effective_epoch", F.coalesce("_local", "_carry")).drop("_local", "_carry")
 
 
+def set_fingerprints(records: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Fingerprint of each key's set of records, independent of order and repeats.
+
+    Record hashes are folded by xor and sum, so a key of any size is one
+    partial aggregate and nothing is collected.
+    """
+    distinct = records.select(*keys, *fields).distinct()
+    digest = F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
+    part = lambda n: F.conv(F.substring(digest, n, 15), 16, 10).cast("long")
+    folded = distinct.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(part(1)).alias("a"), F.bit_xor(part(16)).alias("b"), F.sum(part(31).cast("decimal(38,0)")).alias("c"))
+    return folded.select(*keys, F.sha2(F.concat_ws("|", "n", "a", "b", "c"), 256).alias("fingerprint"))
+
+
 def change_events(rows: DataFrame, keys: list[str], bucket: str, order: Column, value: str) -> DataFrame:
     """Rows whose value differs from the row before; the first row is a change too."""
     out = lagged(rows, keys, bucket, order, F.col(value), "previous")
@@ -198,7 +216,7 @@ def capped_lengths(docs: DataFrame, group: str, bucket: str, order: list[Column]
     return summed.withColumn("allocated", F.greatest(F.lit(0), F.least(F.col("_cap"), F.lit(budget) - before))).drop("_cap", "_run")
 
 
-def fair_shares(docs: DataFrame, group: str, order: str, length: str, cap: int, budget: int) -> DataFrame:
+def fair_shares(docs: DataFrame, group: str, bucket: str, order: str, length: str, cap: int, budget: int) -> DataFrame:
     """Water-filling: equal character shares per group, bounded per document and in total.
 
     The level is found on the histogram of capped lengths (at most ``cap + 1``
@@ -223,8 +241,7 @@ def fair_shares(docs: DataFrame, group: str, order: str, length: str, cap: int,
                          F.when(rest > 0, F.floor(left / rest)).otherwise(0).alias("_level"),
                          F.when(rest > 0, F.pmod(left, rest)).otherwise(0).alias("_extra"))
     joined = rows.join(plan, group).withColumn("_open", F.col("_want") > F.col("_top"))
-    # The remainder is smaller than the number of open rows: rank only those.
-    ranked = joined.filter("_open").withColumn("_rank", F.row_number().over(W.partitionBy(group).orderBy(order))) \
+    ranked = running_sums(joined.filter("_open"), [group], bucket, [F.col(order)], {"_rank": F.lit(1)}) \
         .filter(F.col("_rank") <= F.col("_extra")).select(group, order, F.lit(1).alias("_bonus"))
     out = joined.join(ranked, [group, order], "left")
     got = F.when(F.col("_open"), F.col("_level") + F.coalesce("_bonus", F.lit(0))).otherwise(F.col("_want"))

@@ -342,11 +342,11 @@ def gap_cleanup(t):
 
 @query("F39", """
 SELECT doc_id, trim(substr(text, 1, 500)) AS body, length(text) > 500 AS cut, array_to_string(list_distinct_ordered, ',') AS tags, len(tags) > 6 AS tags_cut
-FROM (SELECT doc_id, text, string_split(regexp_replace(lower(substr(text, 1, 200)), '\\s+', ' ', 'g'), ' ') AS tags FROM documents) d,
+FROM (SELECT doc_id, text, string_split(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ') AS tags FROM documents) d,
 LATERAL (SELECT list(x ORDER BY p) AS list_distinct_ordered FROM (SELECT x, min(p) AS p FROM (SELECT trim(tags[p]) AS x, p FROM range(1, 7) r(p) WHERE p <= len(tags)) WHERE x <> '' GROUP BY x)) q""")
 def bounded_fields(t):
     """Bounded text and list fields with truncation flags."""
-    tags = F.split(F.regexp_replace(F.lower(F.substring("text", 1, 200)), r"\s+", " "), " ")
+    tags = F.split(F.regexp_replace(F.lower("text"), r"\s+", " "), " ")
     body, cut = A.bounded_text(F.col("text"), 500)
     items, tags_cut = A.bounded_list(tags, 6)
     return t("documents").select("doc_id", body.alias("body"), cut.alias("cut"), F.array_join(items, ",").alias("tags"), tags_cut.alias("tags_cut"))

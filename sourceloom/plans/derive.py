@@ -2,6 +2,8 @@
 
 Each function returns a DataFrame; the matching ``*_SQL`` text is a CTE body for
 the comparison queries.  Times are UTC timestamps here and epoch seconds there.
+Every query reads whole tables.  Conditions on a number only decide which part a
+row plays, or plant the defects that an audit has to find.
 """
 
 from __future__ import annotations
@@ -270,7 +272,8 @@ def gap_events(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     return t("events").select(
         F.concat(F.lit("u"), u).alias("target_id"), F.concat(F.lit("g"), (k % 4).cast("string")).alias("gap_id"),
-        op.alias("op"), i.alias("epoch"), F.to_date("ts").alias("day"), (k % 3 == 0).alias("blocking"),
+        op.alias("op"), i.alias("epoch"), F.to_date("ts").alias("day"), F.date_trunc("hour", "ts").alias("slot"),
+        (k % 3 == 0).alias("blocking"),
         F.concat(F.lit("basis"), (k % 5).cast("string")).alias("basis"),
         F.when(k % 4 < 2, "provenance").otherwise("verification").alias("stage"),
         F.concat(F.lit("owner"), (i % 3).cast("string")).alias("owner")).filter("op IS NOT NULL")

@@ -47,60 +47,61 @@ def term_counts(t):
 
 
 @query("J14 T8", D.with_ctes(D.MATERIALS_SQL, body="""
-SELECT version_id, url, issuer, substr(content, 1, 800) AS preview FROM materials m
-WHERE available_at <= 1705000000 AND doc_id % 2 <> 0"""))
+SELECT version_id, url, issuer, substr(content, 1, 800) AS preview FROM materials m JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)
+WHERE available_at <= 1705000000 AND lang <> 'en'"""))
 def catalog_preview(t):
     """Preview of versions that were not returned yet and were available at the cutoff."""
     m = D.materials(t)
-    returned = m.filter("doc_id % 2 = 0").select("pool_id", "version_id")
+    returned = t("documents").filter("lang = 'en'").select(F.floor(F.col("doc_id") / 21).alias("pool_id"), D.vid(F.col("doc_id")).alias("version_id"))
     return R.catalog(m, returned, D.ts(F.lit(1705000000))).select("version_id", "url", "issuer", "preview")
 
 
-_POOL_TASKS = D.MATERIALS_SQL + """, tasks AS (
-  SELECT pool_id, 'f' || doc_id AS task_id, 'fetch' AS action, 'q' AS question, CASE WHEN doc_id % 2 = 0 THEN url ELSE version_id END AS locator
-    FROM materials WHERE doc_id % 7 < 2
-  UNION ALL SELECT pool_id, 'r' || doc_id, 'reanalyse', 'q', version_id FROM materials WHERE doc_id % 7 = 3),
-ret AS (SELECT pool_id, version_id FROM materials WHERE doc_id % 9 = 0 OR doc_id % 14 = 3),
+_POOL_TASKS = D.MATERIALS_SQL + """, alltasks AS (
+  SELECT pool_id, 't' || doc_id AS task_id, ['fetch','reanalyse','search'][(doc_id % 3) + 1] AS action,
+    CASE WHEN doc_id % 3 < 2 THEN 'q' ELSE regexp_extract(content, '^\\s*((?:\\S+\\s+){0,11}\\S+)', 1) END AS question,
+    CASE WHEN doc_id % 3 = 2 THEN NULL WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN url ELSE version_id END AS locator FROM materials),
+tasks AS (SELECT * FROM alltasks WHERE action <> 'search'),
+ret AS (SELECT pool_id, version_id FROM materials WHERE issuer IN ('src1', 'src4', 'src9', 'src12', 'src16')),
 opt AS (SELECT DISTINCT t.pool_id, t.task_id, m.version_id FROM tasks t JOIN materials m ON m.pool_id = t.pool_id AND (m.url = t.locator OR m.version_id = t.locator)
     WHERE action = 'fetch' AND m.version_id NOT IN (SELECT version_id FROM ret)
   UNION SELECT t.pool_id, t.task_id, t.locator FROM tasks t WHERE action = 'reanalyse' AND t.locator IN (SELECT version_id FROM ret))"""
 
 
-def _pool_tasks(t, searches: bool):
+def _pool_tasks(t):
+    """Every document states one task of its pool; versions of five issuers were returned before."""
     m, i = D.materials(t), F.col("doc_id")
-    fetch = m.filter(i % 7 < 2).select("pool_id", F.concat(F.lit("f"), i).alias("task_id"), F.lit("fetch").alias("action"), F.lit("q").alias("question"),
-                                       F.when(i % 2 == 0, F.col("url")).otherwise(F.col("version_id")).alias("locator"))
-    again = m.filter(i % 7 == 3).select("pool_id", F.concat(F.lit("r"), i).alias("task_id"), F.lit("reanalyse").alias("action"), F.lit("q").alias("question"),
-                                        F.col("version_id").alias("locator"))
-    out = fetch.unionByName(again)
-    if searches:
-        out = out.unionByName(m.filter(i % 7 > 4).select(
-            "pool_id", F.concat(F.lit("s"), i).alias("task_id"), F.lit("search").alias("action"),
-            F.regexp_extract("content", r"^\s*((?:\S+\s+){0,11}\S+)", 1).alias("question"), F.lit(None).cast("string").alias("locator")))
-    returned = m.filter((i % 9 == 0) | (i % 14 == 3)).select("pool_id", "version_id")
-    return m, out, returned
+    tasks = m.select(
+        "pool_id", F.concat(F.lit("t"), i).alias("task_id"), D.pick(i % 3, "fetch", "reanalyse", "search").alias("action"),
+        F.when(i % 3 < 2, "q").otherwise(F.regexp_extract("content", r"^\s*((?:\S+\s+){0,11}\S+)", 1)).alias("question"),
+        F.when(i % 3 == 2, F.lit(None)).when((i % 2 == 0) & (i % 3 == 0), F.col("url")).otherwise(F.col("version_id")).alias("locator"))
+    returned = m.filter(F.col("issuer").isin("src1", "src4", "src9", "src12", "src16")).select("pool_id", "version_id")
+    return m, tasks, returned
+
+
+def _exact(tasks):
+    return tasks.filter("action <> 'search'")
 
 
 @query("J12 T3 T5", D.with_ctes(_POOL_TASKS, body="SELECT pool_id, task_id, version_id FROM opt"))
 def locator_candidates(t):
     """Candidate versions of exact tasks, by address or version id."""
-    m, tasks, returned = _pool_tasks(t, False)
-    return R.candidates(tasks, m, returned).distinct()
+    m, tasks, returned = _pool_tasks(t)
+    return R.candidates(_exact(tasks), m, returned).distinct()
 
 
 @query("T3", D.with_ctes(_POOL_TASKS, body="""
-SELECT pool_id, task_id, row_number() OVER (PARTITION BY pool_id ORDER BY CASE action WHEN 'fetch' THEN 0 ELSE 1 END, action, locator, question, task_id) AS position FROM tasks"""))
+SELECT pool_id, task_id, row_number() OVER (PARTITION BY pool_id ORDER BY CASE action WHEN 'fetch' THEN 0 WHEN 'reanalyse' THEN 1 ELSE 2 END, action, coalesce(locator, ''), question, task_id) AS position FROM alltasks"""))
 def task_priority(t):
     """Order of tasks inside a pool: fetch, reanalyse, search, then locator, question and id."""
     from pyspark.sql import Window as W
-    _, tasks, _ = _pool_tasks(t, False)
+    _, tasks, _ = _pool_tasks(t)
     return tasks.select("pool_id", "task_id", F.row_number().over(W.partitionBy("pool_id").orderBy(*R.task_order())).cast("long").alias("position"))
 
 
 @query("T4 T5")
 def greedy_cover(t):
     """At most three versions per pool chosen so that constrained tasks are covered first."""
-    m, tasks, returned = _pool_tasks(t, True)
+    m, tasks, returned = _pool_tasks(t)
     options = R.candidates(tasks, m, returned)
     return R.greedy_cover(tasks, options, 3)
 
@@ -113,7 +114,8 @@ SELECT pool_id, task_id, returned, CASE WHEN returned > 0 THEN 'returned' WHEN n
 """.replace("\n, ch AS", ", ch AS", 1)))
 def task_feedback(t):
     """Status per task when one version per pool was returned."""
-    m, tasks, returned = _pool_tasks(t, False)
+    m, tasks, returned = _pool_tasks(t)
+    tasks = _exact(tasks)
     options = R.candidates(tasks, m, returned)
     chosen = options.groupBy("pool_id").agg(F.min("version_id").alias("version_id"))
     return R.task_feedback(tasks, options, chosen)
@@ -176,15 +178,13 @@ def word_form_table(t):
 
 
 @query("X13 X15", """
-WITH p AS (SELECT doc_id, regexp_extract_all(lower(substr(text, 1, 400)), '[a-z]{3,}') AS w FROM documents),
-k AS (SELECT doc_id, w, CASE WHEN doc_id % 3 = 0 THEN [w[5], w[2]] ELSE [w[2], w[5]] END AS probe FROM p WHERE len(w) >= 6),
-g AS (SELECT doc_id, len(w) AS n FROM k)
-SELECT doc_id, doc_id % 3 <> 0 AS in_order FROM g""".replace("SELECT doc_id, doc_id % 3 <> 0 AS in_order FROM g", """SELECT k.doc_id,
-  coalesce(list_position(list_slice(w, list_position(w, probe[1]) + 1, len(w)), probe[2]) > 0, false) AS exact_order FROM k"""))
+WITH p AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{3,}') AS w FROM documents),
+k AS (SELECT doc_id, w, CASE WHEN doc_id % 3 = 0 THEN [w[5], w[2]] ELSE [w[2], w[5]] END AS probe FROM p WHERE len(w) >= 6)
+SELECT doc_id, coalesce(list_position(list_slice(w, list_position(w, probe[1]) + 1, len(w)), probe[2]) > 0, false) AS exact_order FROM k""")
 def ordered_tokens(t):
     """Whether two words of a text occur in the probed order (exact words; stems are a superset)."""
-    w = F.regexp_extract_all(F.lower(F.substring("text", 1, 400)), F.lit("[a-z]{3,}"), 0)
-    rows = t("documents").select("doc_id", w.alias("w")).filter(F.size("w") >= 6)
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)
+    rows = t.spread("documents", "doc_id", "text").select("doc_id", w.alias("w")).filter(F.size("w") >= 6)
     g = lambda i: F.get("w", F.lit(i))
     probe = F.when(F.col("doc_id") % 3 == 0, F.array(g(4), g(1))).otherwise(F.array(g(1), g(4)))
     rows = rows.withColumn("probe", probe)

@@ -10,8 +10,6 @@ from ..session import cut
 from . import derive as D
 from .registry import query
 
-_START = F.concat(F.lit("case"), F.col("id"))
-
 _FACTS = f"""{D.CASES_SQL}, {D.GOLD_EDGES_SQL}, {D.PRED_EDGES_SQL}, {D.CASE_EVIDENCE_SQL},
 reach_p AS (SELECT id, 'case' || id AS node FROM cases
   UNION SELECT r.id, e."to" FROM reach_p r JOIN pred_edges e ON e.id = r.id AND e."from" = r.node),
@@ -49,7 +47,7 @@ _SCORE = "100 * " + " * ".join(f'pow("{k}", {w})' for k, w in M.WEIGHTS.items())
 
 
 def _facts(t):
-    return M.case_facts(D.cases(t), D.case_edges(t, False), D.case_edges(t, True), D.case_evidence(t), _START)
+    return M.case_facts(D.cases(t), D.case_edges(t, False), D.case_edges(t, True), D.case_evidence(t), F.concat(F.lit("case"), F.col("id")))
 
 
 def _rounded(df, *names):

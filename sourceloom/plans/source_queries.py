@@ -9,10 +9,11 @@ from ..functions import claims as C
 from ..functions import spans as S
 from ..functions import times as TM
 from ..functions import urls as UR
-from ..functions.text import contains_phrase, sentence_passages, state_fingerprint, word_norm
+from ..functions.text import contains_phrase, sentence_passages, word_norm
 from ..operators import admission as A
 from ..operators import citations as B
 from ..operators import probes as P
+from ..operators.state import set_fingerprints
 from ..sources import pages as PG
 from ..sources import records as R
 from . import derive as D
@@ -212,8 +213,8 @@ SELECT count(*) AS users, count(DISTINCT sig) AS states FROM (SELECT user_id, st
   (SELECT DISTINCT user_id, event_type, props FROM events) GROUP BY user_id)""")
 def state_fingerprints(t):
     """Order-free fingerprints of each trace's structure."""
-    per = t("events").groupBy("user_id").agg(F.collect_set(F.struct("event_type", "props")).alias("records"))
-    return per.agg(F.count(F.lit(1)).alias("users"), F.count_distinct(state_fingerprint(F.col("records"))).alias("states"))
+    per = set_fingerprints(t("events"), ["user_id"], ["event_type", "props"])
+    return per.agg(F.count(F.lit(1)).alias("users"), F.count_distinct("fingerprint").alias("states"))
 
 
 @query("X23", """

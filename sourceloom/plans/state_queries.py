@@ -34,9 +34,9 @@ def combined_closures(t):
 @query("W3", """
 SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events""")
 def operation_sequence(t):
-    """Sequence number of every operation in its trace, counted day by day."""
-    e = t("events").select("event_id", "user_id", "ts", F.to_date("ts").alias("day"))
-    return S.sequence_numbers(e, ["user_id"], "day", [F.col("ts"), F.col("event_id")]).select("event_id", "sequence")
+    """Sequence number of every operation in its trace, counted hour by hour."""
+    e = t("events").select("event_id", "user_id", "ts", F.date_trunc("hour", "ts").alias("slot"))
+    return S.sequence_numbers(e, ["user_id"], "slot", [F.col("ts"), F.col("event_id")]).select("event_id", "sequence")
 
 
 @query("W4", D.with_ctes(D.GAP_EVENTS_SQL, body="""
@@ -54,7 +54,7 @@ SELECT *, concat_ws(',', CASE WHEN identities > 1 THEN 'conflicting_identity' EN
 def lifecycle_violations(t):
     """Gap ids whose identity changes or whose severity weakens."""
     rows = D.gap_events(t).withColumn("identity", F.concat("stage", "basis"))
-    return S.lifecycle_codes(rows, "day").withColumn("reasons", F.array_join("reasons", ","))
+    return S.lifecycle_codes(rows, "slot").withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("W7", D.with_ctes(D.GAP_EVENTS_SQL, body="""
@@ -65,7 +65,7 @@ SELECT target_id, gap_id, owner, epoch, coalesce(pb <> basis, true) AS renewed,
 def close_epochs(t):
     """Close epoch carried while the basis is unchanged."""
     closes = D.gap_events(t).filter("op = 'close'")
-    return S.close_epochs(closes, "day").select("target_id", "gap_id", "owner", "epoch", "renewed", "effective_epoch")
+    return S.close_epochs(closes, "slot").select("target_id", "gap_id", "owner", "epoch", "renewed", "effective_epoch")
 
 
 @query("W8", """
@@ -73,8 +73,8 @@ SELECT event_id, event_type, previous FROM (SELECT event_id, event_type, lag(eve
 WHERE event_type IS DISTINCT FROM previous""")
 def assessment_changes(t):
     """Change events: rows whose assessment differs from the one before."""
-    e = t("events").select("event_id", "user_id", "ts", "event_type", F.to_date("ts").alias("day"))
-    return S.change_events(e, ["user_id"], "day", F.struct("ts", "event_id"), "event_type").select("event_id", "event_type", "previous")
+    e = t("events").select("event_id", "user_id", "ts", "event_type", F.date_trunc("hour", "ts").alias("slot"))
+    return S.change_events(e, ["user_id"], "slot", F.struct("ts", "event_id"), "event_type").select("event_id", "event_type", "previous")
 
 
 @query("W9", """
@@ -83,9 +83,9 @@ SELECT trace_id, round, CASE WHEN row_number() OVER (PARTITION BY trace_id, fp O
   WHEN fp IS NOT DISTINCT FROM lag(fp) OVER (PARTITION BY trace_id ORDER BY round) THEN 'unchanged' ELSE 'repeated' END AS progress FROM r""")
 def progress_test(t):
     """New structure, repeated or unchanged state per round."""
-    r = t("events").select(F.col("user_id").alias("trace_id"), F.col("event_id").alias("round"), F.to_date("ts").alias("day"),
+    r = t("events").select(F.col("user_id").alias("trace_id"), F.col("event_id").alias("round"), F.date_trunc("hour", "ts").alias("slot"),
                            F.concat("event_type", F.substring(F.get_json_object("props", "$.k"), 1, 1)).alias("fingerprint"))
-    return S.progress(r, "day").select("trace_id", "round", "progress")
+    return S.progress(r, "slot").select("trace_id", "round", "progress")
 
 
 @query("W1", """
@@ -104,6 +104,22 @@ def budget_spread(t):
     return S.round_limits(a, max_rounds=3, max_documents=30)
 
 
+@query("W1", """
+WITH r AS (SELECT event_id, user_id, k % 3 + 1 AS round, row_number() OVER (PARTITION BY user_id, k % 3 ORDER BY ts, event_id) AS position,
+    count(*) OVER (PARTITION BY user_id, k % 3) AS n FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)),
+a AS (SELECT user_id, coalesce(max(n) FILTER (round = 1), 0) AS a1, coalesce(max(n) FILTER (round = 2), 0) AS a2 FROM r GROUP BY user_id),
+u AS (SELECT *, least(10, a1) AS t1 FROM a),
+l AS (SELECT *, CAST(ceil((30 - t1) / 2) AS BIGINT) AS l2 FROM u),
+m AS (SELECT *, 30 - t1 - least(l2, a2) AS l3 FROM l)
+SELECT event_id, round FROM r JOIN m USING (user_id) WHERE position <= CASE round WHEN 1 THEN 10 WHEN 2 THEN l2 ELSE l3 END""")
+def examined_evidence(t):
+    """Evidence rows a bounded run looks at, round by round."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    e = t("events").select("event_id", "ts", F.col("user_id").alias("claim_id"), (k % 3 + 1).alias("round"))
+    limits = S.round_limits(e.groupBy("claim_id", "round").agg(F.count(F.lit(1)).alias("available")), max_rounds=3, max_documents=30)
+    return S.examined_rows(e, limits, [F.col("ts"), F.col("event_id")], 30).select("event_id", "round")
+
+
 @query("W12", """
 SELECT user_id, arg_min(event_type, event_id) AS first, arg_max(event_type, event_id) AS last, count(*) AS checkpoints FROM events GROUP BY user_id""")
 def first_last_decision(t):
@@ -121,8 +137,8 @@ def reanalysis_audit(t):
     """Revisions with their predecessor and the versions first seen since."""
     k = F.get_json_object("props", "$.k").cast("long")
     h = t("events").select(F.col("user_id").alias("trace_id"), F.concat("event_type", (k % 5).cast("string")).alias("version_id"),
-                           F.col("event_id").alias("revision"), F.floor(k / 10).alias("analysis"), F.to_date("ts").alias("day"))
-    return S.reanalysis_audit(h, "day")
+                           F.col("event_id").alias("revision"), F.floor(k / 10).alias("analysis"), F.date_trunc("hour", "ts").alias("slot"))
+    return S.reanalysis_audit(h, "slot")
 
 
 @query("W11", """
@@ -178,7 +194,8 @@ SELECT doc_id, CASE WHEN want <= top THEN want ELSE (budget // rest)::BIGINT + C
 FROM (SELECT w.*, q.top, q.budget, q.rest, row_number() OVER (PARTITION BY w.source, want > q.top ORDER BY doc_id) AS rn FROM w JOIN q ON q.source = w.source)""")
 def fair_allocation(t):
     """Equal character shares per source, bounded per document and in total."""
-    return S.fair_shares(t("documents").select("doc_id", "source", "n_chars"), "source", "doc_id", "n_chars", 1600, 9000).select("doc_id", "allocated")
+    d = t("documents").select("doc_id", "source", "n_chars", F.floor(F.col("doc_id") / 1000).alias("block"))
+    return S.fair_shares(d, "source", "block", "doc_id", "n_chars", 1600, 9000).select("doc_id", "allocated")
 
 
 @query("W14", """

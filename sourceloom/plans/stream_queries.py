@@ -85,8 +85,8 @@ def stream_late_routing(t):
 SELECT event_id, coalesce(event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), true) AS verified FROM events""")
 def input_gate(t):
     """Rounds that need a new verification because their input changed."""
-    r = t("events").select(F.col("user_id").cast("string").alias("target_id"), F.col("event_id").alias("round"), F.col("event_type").alias("fingerprint"), F.to_date("ts").alias("day"))
-    return A.input_gate(r, "day").select(F.col("round").alias("event_id"), "verified")
+    r = t("events").select(F.col("user_id").cast("string").alias("target_id"), F.col("event_id").alias("round"), F.col("event_type").alias("fingerprint"), F.date_trunc("hour", "ts").alias("slot"))
+    return A.input_gate(r, "slot").select(F.col("round").alias("event_id"), "verified")
 
 
 @query("R5", """
