@@ -174,24 +174,26 @@ def contained_pairs(quotes: DataFrame, documents: DataFrame, grams: int = 3) ->
 
     def matches(posted: DataFrame, anchors: DataFrame) -> DataFrame:
         small = bounded_broadcast(anchors)
-        joined = salted_join(posted, anchors, ["anchor"]) if small is anchors else posted.join(small, "anchor")
-        return joined.select("quote_id", "doc_id")
+        holds = F.contains("d", F.col("q"))
+        if small is not anchors:  # judged inside the scan, no text is shuffled
+            return posted.join(small, "anchor").filter(holds).select("quote_id", "doc_id")
+        ids = salted_join(posted.drop("d"), anchors.drop("q"), ["anchor"]).select("quote_id", "doc_id").distinct()
+        return ids.join(anchors.select("quote_id", "q"), "quote_id").join(d, "doc_id").filter(holds).select("quote_id", "doc_id")
 
     # The longest inner run is the most selective one that needs no corpus statistics.
     inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
     longest = let(inner, lambda words: F.array_max(F.transform(runs(words), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"])
-    anchored = q.filter(F.size("w") >= grams + 2).select("quote_id", longest.alias("anchor"))
-    posted = d.select("doc_id", F.explode(F.array_distinct(let(F.split("d", " "), runs))).alias("anchor"))
+    anchored = q.filter(F.size("w") >= grams + 2).select("quote_id", "q", longest.alias("anchor"))
+    posted = d.select("doc_id", "d", F.explode(F.array_distinct(let(F.split("d", " "), runs))).alias("anchor"))
     hits = matches(posted, anchored)
     short = q.filter(F.size("w") < grams + 2)
     sizes = short.select(F.least(F.length("q"), F.lit(3)).alias("n")).distinct()
     for size in sorted(r["n"] for r in sizes.collect()):  # at most the three values 1, 2, 3
-        head = short.filter(F.least(F.length("q"), F.lit(3)) == size).select("quote_id", F.substring("q", 1, size).alias("anchor"))
-        chars = d.filter(F.length("d") >= size).select("doc_id", F.explode(F.array_distinct(F.transform(
+        head = short.filter(F.least(F.length("q"), F.lit(3)) == size).select("quote_id", "q", F.substring("q", 1, size).alias("anchor"))
+        chars = d.filter(F.length("d") >= size).select("doc_id", "d", F.explode(F.array_distinct(F.transform(
             F.sequence(F.lit(1), F.length("d") - (size - 1)), lambda i: F.col("d").substr(i, F.lit(size))))).alias("anchor"))
         hits = hits.unionByName(matches(chars, head))
-    found = hits.distinct().join(q.select("quote_id", "q"), "quote_id").join(d, "doc_id")
-    return found.filter(F.contains("d", F.col("q"))).select("quote_id", "doc_id")
+    return hits.distinct()
 
 
 def repeated_exposures(packets: DataFrame) -> DataFrame:

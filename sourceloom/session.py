@@ -43,11 +43,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast only when a counted bound holds; otherwise leave the join to shuffle."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def bounded_broadcast(df: DataFrame, max_rows: int = 200_000, max_chars: int = 64_000_000) -> DataFrame:
+    """Broadcast only when the counted rows and text sizes hold; otherwise leave the join to shuffle."""
+    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    size = sum((F.coalesce(F.sum(F.length(c)), F.lit(0)) for c in texts), F.lit(0))
+    head = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), size.alias("chars")).first()
+    return F.broadcast(df) if head["n"] <= max_rows and head["chars"] <= max_chars else df
 
 
 def fingerprint_rows(df: DataFrame, *columns: str) -> tuple[int, int]:
