@@ -30,7 +30,7 @@ def reach(starts: DataFrame, edges: DataFrame, max_hops: int = 1_000) -> DataFra
     Frontier join: a pass extends only rows found by the pass before, drops the
     visited ones and is written to the checkpoint folder.
     """
-    links = edges.select("scope", "src", "dst").distinct()
+    links = cut(edges.select("scope", "src", "dst").distinct())
     seen = cut(starts.select("scope", "start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct())
     frontier = seen
     for hop in range(1, max_hops + 1):
@@ -50,6 +50,7 @@ def edge_paths(starts: DataFrame, edges: DataFrame, max_hops: int = 1_000) -> Da
 
     ``starts(scope, start)``, ``edges(scope, src, dst, edge_id)``.
     """
+    edges = cut(edges.select("scope", "src", "dst", "edge_id"))
     seen = cut(starts.select("scope", "start", F.col("start").alias("node"),
                              F.array().cast("array<string>").alias("path")).distinct())
     frontier = seen
@@ -73,8 +74,7 @@ def origin_reached(targets: DataFrame, relations: DataFrame, origins: DataFrame)
     The question is the same for every target of one source version, so the walk
     runs backwards from the originals once and the targets look their source up.
     """
-    links = direct_lineage(relations).select(
-        F.lit(0).alias("scope"), F.col("to_version").alias("src"), F.col("from_version").alias("dst"))
+    links = cut(direct_lineage(relations).select(F.col("to_version").alias("src"), F.col("from_version").alias("dst")).distinct())
     good = cut(origins.select(F.col("version_id").alias("node")).distinct())
     frontier = good
     hops = 0
@@ -136,6 +136,7 @@ def tree_paths(nodes: DataFrame, root: Column) -> DataFrame:
 
 def flatten_tree(nodes: DataFrame, max_depth: int = 1_000) -> DataFrame:
     """Depth and slash path of every node under its root, parents before children."""
+    nodes = cut(nodes.select("scope", "id", "parent_id"))
     level = cut(nodes.filter("parent_id IS NULL").select("scope", "id", F.lit(0).alias("depth"), F.col("id").alias("path")))
     out, depth = level, 0
     while depth < max_depth:
@@ -168,6 +169,7 @@ def link_frontier(seeds: DataFrame, links: DataFrame, depth: int, allowance: int
     """
     likely = F.exists(F.array(*[F.lit(w) for w in SOURCE_LIKE]), lambda w: F.contains(
         F.lower(F.concat_ws(" ", "text", "link_key")), w))
+    links = cut(links.select("page_key", "pos", "link_key", "text"))
     known = cut(seeds.select("scope", F.col("page_key").alias("key")))
     frontier = seeds.select("scope", "page_key")
     followed = None
@@ -200,6 +202,7 @@ def revisit_cascade(requests: DataFrame, starts: DataFrame, max_depth: int = 1_0
 
     ``requests(from_version, to_version)``; returns (visited, cycle_log).
     """
+    requests = cut(requests)
     visited = cut(starts.select("scope", F.col("version_id").alias("node"), F.lit(0).alias("depth")))
     frontier, log = visited, None
     for depth in range(1, max_depth + 1):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
@@ -39,7 +40,7 @@ def attribute(tag: Column, name: str) -> Column:
 
 def unescape(c: Column) -> Column:
     """Character references to characters, numeric ones and the standard named ones."""
-    table = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
+    table = F.from_json(F.lit(json.dumps({name: chr(code) for name, code in name2codepoint.items()})), "map<string,string>")
 
     def decode(piece: Column, i: Column) -> Column:
         name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]{1,31});", 1)
