@@ -640,7 +640,7 @@ def credibility_counts(t):
 
 
 @query("A48 F38", """
-SELECT page_id AS event_id, page_id % 9 AS proposed_count, CAST(page_id % 3 <> 0 AS BIGINT) AS unique_sources, 1 AS rejected_refs FROM pages""")
+SELECT page_id AS event_id, page_id % 9 AS proposed_count, CAST(page_id % 3 <> 0 AS BIGINT) AS unique_sources, CAST(1 AS BIGINT) AS rejected_refs FROM pages""")
 def timeline_sources(t):
     """Timeline events with admitted distinct sources; proposed counts kept apart."""
     i = F.col("page_id")

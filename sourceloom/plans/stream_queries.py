@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import state as S
-from ..session import ensure_checkpoint_dir
+from ..session import cut, ensure_checkpoint_dir
 from ..streaming import arrivals as A
 from ..streaming import plugins as P
 from . import derive as D
@@ -24,26 +24,37 @@ def _folder(spark) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
-def _replayed(df, by: str, parts: int):
-    """Write a table as ``parts`` numbered folders and read it back as a stream of that many batches."""
+def _replay(df, part, parts: int, start) -> None:
+    """Let a table arrive in ``parts`` steps: append the rows of one step, then run the stream over what is new.
+
+    ``start`` gets the streaming DataFrame and returns a started query; the
+    query resumes from its own checkpoint in every step.
+    """
     spark, folder = df.sparkSession, _folder(df.sparkSession)
+    staged = cut(df.withColumn("_part", part))
     for n in range(parts):
-        df.filter(F.pmod(F.col(by), F.lit(parts)) == n).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        staged.filter(F.col("_part") == n).drop("_part").write.mode("append").parquet(folder)
+        start(spark.readStream.schema(df.schema).parquet(folder)).awaitTermination()
 
 
-def _run(stream, mode: str):
-    """Run a stream to the end of its input and return what it wrote, with the batch number."""
-    out, spark = _folder(stream.sparkSession), stream.sparkSession
+def _run(df, part, parts: int, job, mode: str):
+    """Run ``job`` as a stream over the replayed table; returns its rows with the batch number."""
+    spark, out = df.sparkSession, _folder(df.sparkSession)
 
     def sink(batch, batch_id):
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/data/n={batch_id}")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    _replay(df, part, parts, lambda stream: job(stream).writeStream.outputMode(mode).foreachBatch(sink).option(
+        "checkpointLocation", f"{out}/state").trigger(availableNow=True).start())
     return spark.read.parquet(f"{out}/data").drop("n")
 
 
+def _thirds(df, column: str):
+    """Arrival step 0, 1 or 2 by position in the column's range."""
+    top = df.agg(F.max(column).alias("_max"))
+    return df.join(F.broadcast(top)).withColumn("step", F.least(F.floor(F.col(column) * 3 / (F.col("_max") + 1)), F.lit(2))).drop("_max")
+
+
 @query("R1 S2", """
 WITH a AS (SELECT doc_id, 'k' || (doc_id // 3) AS version_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS fp FROM documents),
 f AS (SELECT version_id, min(doc_id) AS p, arg_min(fp, doc_id) AS fp FROM a GROUP BY version_id)
@@ -52,12 +63,9 @@ def stream_dedup(t):
     """Arrivals classified across micro-batches against a growing table of first fingerprints."""
     d = t("documents").select(F.col("doc_id").alias("position"), F.concat(F.lit("k"), F.floor(F.col("doc_id") / 3)).alias("version_id"),
                               F.md5(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("fingerprint"))
-    edges = d.agg(F.max("position").alias("m"))
-    staged = d.join(F.broadcast(edges)).withColumn("part", F.least(F.floor(F.col("position") * 3 / (F.col("m") + 1)), F.lit(2))).drop("m")
-    stream = _replayed(staged, "part", 3)
     out = _folder(t.spark)
-    q = stream.writeStream.foreachBatch(A.classified_batches(out)).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    _replay(_thirds(d, "position"), F.col("step"), 3, lambda stream: stream.writeStream.foreachBatch(A.classified_batches(out)).option(
+        "checkpointLocation", f"{out}/state").trigger(availableNow=True).start())
     return t.spark.read.parquet(f"{out}/arrivals").select(F.col("position").alias("doc_id"), "arrival")
 
 
@@ -66,8 +74,8 @@ SELECT target_id, gap_id, coalesce(max(epoch) FILTER (op = 'open'), -1) AS last_
   CASE WHEN coalesce(max(epoch) FILTER (op = 'open'), -1) > coalesce(max(epoch) FILTER (op = 'close'), -1) THEN 'open' ELSE 'closed' END AS state FROM gap_events GROUP BY target_id, gap_id"""))
 def stream_gap_ledger(t):
     """Gap ledger in streaming state; events arrive out of order and the epochs decide."""
-    stream = _replayed(D.gap_events(t).select("target_id", "gap_id", "op", "epoch"), "epoch", 3)
-    out = _run(A.gap_ledger_stream(stream), "update")
+    e = D.gap_events(t).select("target_id", "gap_id", "op", "epoch")
+    out = _run(e, F.pmod("epoch", F.lit(3)), 3, A.gap_ledger_stream, "update")
     last = out.groupBy("target_id", "gap_id").agg(F.max_by(F.struct("last_open", "last_close", "state"), "batch").alias("s"))
     return last.select("target_id", "gap_id", "s.*")
 
@@ -77,8 +85,8 @@ SELECT version_id, CASE WHEN {D.ELIGIBILITY_SQL} = '' THEN 'graph' ELSE 'archive
 def stream_late_routing(t):
     """Versions available after the cutoff are archived, not dropped."""
     m = D.materials(t).withColumn("as_of", D.ts(F.lit(1705500000))).drop("content")
-    stream = _replayed(m, "doc_id", 2)
-    return _run(A.route_late(stream).select("version_id", "sink"), "append").select("version_id", "sink")
+    out = _run(_thirds(m, "doc_id"), F.col("step"), 3, lambda stream: A.route_late(stream).select("version_id", "sink"), "append")
+    return out.select("version_id", "sink")
 
 
 @query("R5", """
@@ -93,11 +101,9 @@ def input_gate(t):
 SELECT event_id, coalesce(event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), true) AS verified FROM events""")
 def stream_input_gate(t):
     """The same gate in keyed state; batches follow the round order."""
-    e = t("events")
-    top = e.agg(F.max("event_id").alias("m"))
-    r = e.join(F.broadcast(top)).select(F.col("user_id").cast("string").alias("target_id"), F.col("event_id").alias("round"), F.col("event_type").alias("fingerprint"),
-                                        F.least(F.floor(F.col("event_id") * 2 / (F.col("m") + 1)), F.lit(1)).alias("part"))
-    return _run(A.input_gate_stream(_replayed(r, "part", 2)), "append").select(F.col("round").alias("event_id"), "verified")
+    r = t("events").select(F.col("user_id").cast("string").alias("target_id"), F.col("event_id").alias("round"), F.col("event_type").alias("fingerprint"))
+    out = _run(_thirds(r, "round"), F.col("step"), 3, A.input_gate_stream, "append")
+    return out.select(F.col("round").alias("event_id"), "verified")
 
 
 @query("R6 R7", """

@@ -104,3 +104,23 @@ def test_bucketed_windows_equal_plain_windows(spark):
     want = sorted((r["t"], r["s"], r["p"]) for r in df.select("t", F.sum("v").over(w).alias("s"), F.lag("v").over(w).alias("p")).na.fill(-1).collect())
     got = lagged(running_sums(df, ["k"], "b", [F.col("t")], {"s": F.col("v")}), ["k"], "b", F.col("t"), F.col("v"), "p")
     assert sorted((r["t"], r["s"], r["p"]) for r in got.na.fill(-1).collect()) == want
+
+
+def test_language_groups_against_union_find(spark):
+    """The stress case: component counts per language equal an independent union-find."""
+    import hashlib
+    import __spark_entry__ as entry
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    edges = []
+    for d in docs:
+        text = " ".join(d["text"].split())
+        keys = ("p", f"{d['source']}/{d['doc_id'] // 40}"), ("o", " ".join(text.split(" ")[:5]).lower()), ("h", hashlib.sha256(text.lower().encode()).hexdigest())
+        edges += [((d["lang"], "d", str(d["doc_id"])), (d["lang"], *k)) for k in keys]
+    roots = union_find(edges)
+    want = {}
+    for node, root in roots.items():
+        if node[1] == "d":
+            want.setdefault(node[0], set()).add(root)
+    got = {r["lang"]: r["groups"] for r in entry.queries()["language_source_groups"](spark, folder).collect()}
+    assert got == {k: len(v) for k, v in want.items()}
