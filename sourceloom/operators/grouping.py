@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, fold, norm_ws
@@ -18,17 +19,21 @@ def evidence_keys() -> dict[str, Column]:
             "url": canonical_url(c("url")), "content": content_hash(fold(norm_ws(c("content"))))}
 
 
-def _lookup(big: DataFrame, small: DataFrame, key: str, rows: int, hot_rows: int) -> DataFrame:
-    """Split lookup of hot keys; with fewer rows than one hot key needs, none can exist."""
+def _with_min(pairs: DataFrame, key: str, value: str, name: str, rows: int, hot_rows: int) -> DataFrame:
+    """Attach the smallest ``value`` of its key to every row.
+
+    With no more rows than one hot key needs, a window does it in one shuffle;
+    otherwise a partial aggregate is looked up with the hot keys split off.
+    """
     if rows <= hot_rows:
-        return big.join(small, key)
-    return split_lookup(big, small, [key], "_n", hot_rows)
+        return pairs.withColumn(name, F.min(value).over(W.partitionBy(key)))
+    low = pairs.groupBy(key).agg(F.min(value).alias(name), F.count(F.lit(1)).alias("_n"))
+    return split_lookup(pairs, low, [key], "_n", hot_rows).drop("_n")
 
 
 def _by_root(pairs: DataFrame, rows: int, hot_rows: int) -> DataFrame:
-    """Attach the smallest neighbour to every (node, neighbour) pair."""
-    low = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n"))
-    return _lookup(pairs, low, "u", rows, hot_rows)
+    """Attach the smallest of a node and its neighbours to every (node, neighbour) pair."""
+    return _with_min(pairs, "u", "v", "m", rows, hot_rows).withColumn("m", F.least("m", "u"))
 
 
 def connected(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -73,8 +78,7 @@ def source_groups(rows: DataFrame, scope: list[str], keys: dict[str, Column], id
     tokens = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.md5(F.to_json(F.struct(
         *scope, F.lit(k).alias("kind"), F.col(k).alias("value"))))) for k in names]))
     links = named.select("node", F.explode(tokens).alias("k"))
-    leads = links.groupBy("k").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    edges = _lookup(links, leads, "k", named.count() * len(names), hot_rows).select(
+    edges = _with_min(links, "k", "node", "lead", named.count() * len(names), hot_rows).select(
         F.col("node").alias("u"), F.col("lead").alias("v")).filter("u <> v")
     labels = connected(edges, hot_rows)
     out = named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
