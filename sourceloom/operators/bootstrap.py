@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .scoring import LOWER_IS_BETTER, counter_sums, merge_sums, metric_rows, metric_values
 
 
@@ -23,9 +24,9 @@ def _slot(seed: int) -> Column:
 def multiplicities(events: DataFrame, draws: int, seed: int) -> DataFrame:
     """How often each event is drawn: ``draws`` samples of as many events with replacement.
 
-    Event numbers come from a ranking of the distinct ids through range
-    partitions, and every draw generates its slots next to the event's number,
-    so the sample table grows as draws x events and is never collected.
+    Event numbers come from ranks inside hash buckets of the distinct ids, and
+    every draw generates its slots next to the event's number, so the sample
+    table grows as draws x events and is never collected.
     """
     indexed = _numbered(events)
     slots = indexed.withColumnRenamed("event_no", "slot").drop("event_id").withColumn(
@@ -36,7 +37,7 @@ def multiplicities(events: DataFrame, draws: int, seed: int) -> DataFrame:
 
 
 def _numbered(events: DataFrame) -> DataFrame:
-    """Distinct events with a dense number in id order and the total, without one global sort task."""
+    """Distinct events with a dense number in hash order and the total, without one global sort task."""
     ids = events.select("event_id").distinct().withColumn("_b", F.substring(F.md5("event_id"), 1, 3))
     sizes = ids.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     base = sizes.withColumns({  # at most 4096 rows
@@ -55,7 +56,7 @@ def event_bootstrap(baseline: DataFrame, candidate: DataFrame, draws: int = 500,
     draw suppresses the metric's interval, the valid-draw count stays.
     """
     arms = baseline.withColumn("arm", F.lit("a")).unionByName(candidate.withColumn("arm", F.lit("b")))
-    per_event = arms.groupBy("arm", "event_id").agg(*counter_sums())
+    per_event = cut(arms.groupBy("arm", "event_id").agg(*counter_sums()))
     values = metric_values()
     overall = per_event.groupBy("arm").agg(*merge_sums(F.lit(1))).select("arm", *[v.alias(k) for k, v in values.items()])
     observed = metric_rows(overall, ["arm"]).groupBy("metric").agg(

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.urls import url_key
 from ..operators import lineage as L
-from ..operators import usage as U
 from . import derive as D
 from .registry import query
 

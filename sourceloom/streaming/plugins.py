@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.admission import duplicate_keys, reason_codes
 from ..operators.audits import basis_codes, check_spans
-from ..operators.lineage import LINEAGE_KINDS, ORIGINAL_KINDS, RELATION_KINDS, RELATION_STATUS, tree_paths
+from ..operators.lineage import ORIGINAL_KINDS, RELATION_KINDS, RELATION_STATUS, tree_paths
 
 FRAGMENT = "target_id string, version_id string, fragment_id string, parent_id string, text string, start int, end int, quote string"
 VERDICT = "target_id string, verdict string, evidence_count long, rationale string"
@@ -88,5 +88,5 @@ def origin_codes(origins: DataFrame) -> DataFrame:
         (~F.col("material_kind").isin(ORIGINAL_KINDS), "invalid_kind"), (F.trim("rationale") == "", "empty_rationale")).alias("reasons"))
 
 
-__all__ = ["LINEAGE_KINDS", "Provider", "annotated", "decompose", "fragment_codes", "origin_codes", "relation_codes",
+__all__ = ["Provider", "annotated", "decompose", "fragment_codes", "origin_codes", "relation_codes",
            "verdict_summary", "verify", "whole_text_fragments"]
