@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.let import let
 
 BLANKS = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 # Rules in bit order; a rule is true where the document fails.  Ratios are integer comparisons.
 RULES: dict[str, str] = {
@@ -49,9 +49,9 @@ def _repeat_words(words: Column) -> Column:
         placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         twice = let(placed, lambda s: F.filter(F.transform(s, lambda x, j: F.when(
             (F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"]), x["i"])), lambda i: i.isNotNull()))
+        # a repeated window adds three words, or fewer where the next one begins sooner; least() skips the missing next
         return let(F.sort_array(twice), lambda at: F.aggregate(
-            F.transform(at, lambda p, j: F.coalesce(F.least(F.lit(3), F.get(at, j + 1) - p), F.lit(3))),
-            F.lit(0), lambda total, n: total + n))
+            F.transform(at, lambda p, j: F.least(F.lit(3), F.get(at, j + 1) - p)), F.lit(0), lambda total, n: total + n))
 
     return let(words, lambda w: F.when(F.size(w) < 4, F.lit(0)).otherwise(let(windows(w), lambda h: F.when(
         F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))))
@@ -60,14 +60,14 @@ def _repeat_words(words: Column) -> Column:
 def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and the measurements of every whole text; one projection, no shuffle."""
     body = F.coalesce(F.col(text), F.lit(""))
-    words = F.filter(F.split(body, BLANKS), lambda w: w != "")
+    words = F.array_remove(F.split(body, BLANKS), "")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     shape = let(words, lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"), _repeat_words(w).cast("long").alias("n_repeat_words"),
-        F.aggregate(w, F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("word_chars")))
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars")))
     by_line = let(lines, lambda x: F.struct(
         F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    symbols = (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long")
+    symbols = F.regexp_count(body, F.lit(SYMBOLS)).cast("long")
     return docs.select(F.col(doc_id).alias("doc_id"), shape.alias("_w"), by_line.alias("_l"), symbols.alias("n_symbols")).select(
         "doc_id", "_w.n_words", "_w.word_chars", "n_symbols", "_l.n_lines", "_l.n_dup_lines", "_w.n_repeat_words")
 
