@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality
+from . import chat, packing, quality, token_codec, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,6 +59,24 @@ def op1_chat_formatting(spark, folder):
         F.length("formatted").cast("long").alias("formatted_chars"), "round_trip_ok")
 
 
+@query()
+def op2_token_files(spark, folder):
+    read = token_files.round_trip(_table(spark, folder, "documents"))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op3_bpe_codec(spark, folder):
+    coded = token_codec.encode_decode(_table(spark, folder, "documents"))
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op4_token_counts(spark, folder):
+    return token_counts.count_tokens(_table(spark, folder, "documents"))
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
@@ -81,3 +99,8 @@ def op6_quality_rules(spark, folder):
     rows = quality.apply_policy(quality.ledger(_table(spark, folder, "documents")), "v1")
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed",
                        (F.col("failed").bitwiseAND(quality.mask(quality.POLICIES["base"])) != 0).alias("base_failed"), "kept")
+
+
+@query()
+def op9_best_fit_packing(spark, folder):
+    return packing.pack(_table(spark, folder, "documents"))
