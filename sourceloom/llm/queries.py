@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, quality, token_codec, token_counts, token_files
+from . import chat, langid, packing, quality, simhash, token_codec, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -104,3 +104,18 @@ def op6_quality_rules(spark, folder):
 @query()
 def op9_best_fit_packing(spark, folder):
     return packing.pack(_table(spark, folder, "documents"))
+
+
+@query()
+def op8_simhash_near_dedup(spark, folder):
+    rows = simhash.components(_table(spark, folder, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op10_language_id(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(langid.fold("doc_id", 5) == 0, F.lit(False))
+    prototypes = langid.train(docs.filter(langid.fold("doc_id", 5) != 0))
+    return langid.predict(docs.select("doc_id", "text"), prototypes).select(
+        "doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
