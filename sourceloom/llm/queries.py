@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, packing, quality, simhash, token_codec, token_counts, token_files
+from . import ann, chat, langid, lm, packing, quality, simhash, token_codec, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -119,3 +119,13 @@ def op10_language_id(spark, folder):
     prototypes = langid.train(docs.filter(langid.fold("doc_id", 5) != 0))
     return langid.predict(docs.select("doc_id", "text"), prototypes).select(
         "doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
+
+
+@query()
+def op5_nearest_neighbours(spark, folder):
+    return ann.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query()
+def op7_language_model(spark, folder):
+    return lm.score(_table(spark, folder, "documents"), langid.fold("doc_id", 7) != 2)
