@@ -7,7 +7,7 @@ trees ascend together, one bit at a time, and take in the rows that match up to
 candidates is reached (the last step is taken whole).  Candidates are compared with the original vectors, and the best of all
 shards are the answer.
 
-A shard's size and its number of candidates are fixed, so recall does not change with the table.  Each shard is one sorted
+A shard's size and its share of candidates are fixed, so recall does not change with the table.  Each shard is one sorted
 run of (shard, rows before queries) and queries are streamed past it, so a task holds one shard and one batch of queries.
 
 Defined cases: vectors that are null, zero, empty or hold a null, NaN or infinite component take no part; neither do those
@@ -139,10 +139,10 @@ def _raw(batches):
 
 
 def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5, trees: int = 48,
-           shard_rows: int = 32_768, candidate_share: float = 0.4, seed: int = 11, query_rows: int = 512) -> DataFrame:
+           shard_rows: int = 32_768, candidate_share: float = 0.4, least: int = 2_048, seed: int = 11, query_rows: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found, by cosine, of every row that ``is_query`` holds for.
 
-    ``candidate_share`` of ``shard_rows`` is the number of candidates per shard: the trade of work for recall.
+    ``candidate_share`` of a shard's rows, ``least`` at least, is the number of candidates per shard: the trade of work for recall.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     usable = stored(rows.mapInArrow(_raw, "id long, vector binary, dims int, asks boolean"), "vectors")
@@ -153,7 +153,7 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddi
     entries = usable.select(F.pmod(F.xxhash64("id", "vector"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("ask"), "id", "vector")
     asked = usable.filter("asks").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("ask"), "id", "vector")
     runs = entries.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "ask")
-    wanted = int(candidate_share * min(shard_rows, -(-sizes["n"] // shards)))
-    found = runs.mapInArrow(_search(trees, k, max(wanted, 4 * k), seed, query_rows), "query_id long, vec_id long, score double")
+    wanted = int(candidate_share * -(-sizes["n"] // shards))
+    found = runs.mapInArrow(_search(trees, k, max(wanted, least), seed, query_rows), "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

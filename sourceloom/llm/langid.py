@@ -137,6 +137,13 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     return docs.withColumn(output, F.pandas_udf(judge, "lang_pred string, score double")(F.col(text)))
 
 
+def keep(docs: DataFrame, least: float = 0.1, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language is determined with a cosine of ``least``; learned from four of five labelled rows."""
+    prototypes = train(docs.filter(fold(doc_id, 5) != 0), lang, text)
+    judged = predict(docs, prototypes, text, output="_language")
+    return judged.filter((F.col("_language.lang_pred") != UNDETERMINED) & (F.col("_language.score") >= least)).drop("_language")
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

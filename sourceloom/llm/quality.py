@@ -9,6 +9,9 @@ table gives an empty ledger.  Words are runs of characters other than space and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,15 +20,15 @@ from ..functions.let import let
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 
-# Rules in bit order; a rule is true where the document fails.  Ratios are integer comparisons.
-RULES: dict[str, str] = {
-    "few_words": "n_words < 50",
-    "repeated_words": "100 * n_repeat_words > 50 * n_words",
-    "short_words": "word_chars < 2 * n_words",
-    "long_words": "word_chars > 20 * n_words",
-    "symbols": "4 * n_symbols > n_words",
-    "duplicate_lines": "100 * n_dup_lines > 60 * n_lines",
-    "no_words": "n_words = 0",
+# Rules in bit order: a rule holds where the document fails it.  Ratios are integer comparisons.
+RULES: dict[str, Callable[[Column], Column]] = {
+    "few_words": lambda m: m["n_words"] < 50,
+    "repeated_words": lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"],
+    "short_words": lambda m: m["word_chars"] < 2 * m["n_words"],
+    "long_words": lambda m: m["word_chars"] > 20 * m["n_words"],
+    "symbols": lambda m: 4 * m["n_symbols"] > m["n_words"],
+    "duplicate_lines": lambda m: 100 * m["n_dup_lines"] > 60 * m["n_lines"],
+    "no_words": lambda m: m["n_words"] == 0,
 }
 
 # Versioned policies: which rules reject a document.
@@ -57,34 +60,41 @@ def _repeat_words(words: Column) -> Column:
         F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))))
 
 
-def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the measurements of every whole text; one projection, no shuffle."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def measurements(text: Column) -> Column:
+    """All measurements of a text as one struct."""
+    body = F.coalesce(text, F.lit(""))
     words = F.array_remove(F.split(body, BLANKS), "")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    shape = let(words, lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"), _repeat_words(w).cast("long").alias("n_repeat_words"),
-        F.length(F.array_join(w, "")).cast("long").alias("word_chars")))
-    by_line = let(lines, lambda x: F.struct(
-        F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    symbols = F.regexp_count(body, F.lit(SYMBOLS)).cast("long")
-    return docs.select(F.col(doc_id).alias("doc_id"), shape.alias("_w"), by_line.alias("_l"), symbols.alias("n_symbols")).select(
-        "doc_id", "_w.n_words", "_w.word_chars", "n_symbols", "_l.n_lines", "_l.n_dup_lines", "_w.n_repeat_words")
+    return let(words, lambda w: let(lines, lambda x: F.struct(
+        F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), F.size(x).cast("long").alias("n_lines"),
+        (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        _repeat_words(w).cast("long").alias("n_repeat_words"))))
+
+
+def failures(m: Column) -> Column:
+    """The failure bits of a struct of measurements."""
+    return reduce(Column.bitwiseOR, [F.when(rule(m), F.lit(1 << k)).otherwise(0).cast("long") for k, rule in enumerate(RULES.values())])
 
 
 def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The measurements with ``failed``: bit k is set where rule k fails."""
-    bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(0).cast("long") for k, rule in enumerate(RULES.values())]
-    total = bits[0]
-    for bit in bits[1:]:
-        total = total.bitwiseOR(bit)
-    return measure(docs, doc_id, text).withColumn("failed", total)
+    """doc_id, the measurements, and ``failed``: bit k is set where rule k fails.  One projection, no shuffle."""
+    entry = let(measurements(F.col(text)), lambda m: F.struct(m.alias("m"), failures(m).alias("failed")))
+    return docs.select(F.col(doc_id).alias("doc_id"), entry.alias("_e")).select("doc_id", "_e.m.*", "_e.failed")
+
+
+def keep(docs: DataFrame, policy: str | tuple[str, ...] = "v1", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that no rule of the policy rejects."""
+    return docs.filter(let(measurements(F.col(text)), lambda m: failures(m).bitwiseAND(_policy_mask(policy)) == 0))
+
+
+def _policy_mask(policy: str | tuple[str, ...]) -> int:
+    return mask(POLICIES[policy] if isinstance(policy, str) else policy)
 
 
 def apply_policy(rows: DataFrame, policy: str | tuple[str, ...] = "v1") -> DataFrame:
     """A ledger with ``kept``: no rule of the policy fails."""
-    rules = POLICIES[policy] if isinstance(policy, str) else policy
-    return rows.withColumn("kept", F.col("failed").bitwiseAND(mask(rules)) == 0)
+    return rows.withColumn("kept", F.col("failed").bitwiseAND(_policy_mask(policy)) == 0)
 
 
 def ablations(rows: DataFrame, policy: str | tuple[str, ...] = "v1") -> DataFrame:
