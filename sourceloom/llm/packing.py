@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tokens import LibraryEncoder, default_path
+from .tokens import LibraryEncoder, default_path, per_worker
 from .workdir import stored
 
 SIZE = 1024
@@ -40,10 +40,10 @@ def cut_lengths(n: int, size: int = SIZE) -> list[int]:
     return ([rest] if rest else []) + [size] * (n // size)
 
 
-def _pieces(path: str, end_id: int, size: int):
+def _pieces(shared, end_id: int, size: int):
     def run(batches):
         import pyarrow as pa
-        encoder, tail = LibraryEncoder(path), np.array([end_id], dtype="<u4").tobytes()
+        encoder, tail = shared.value(), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -61,8 +61,9 @@ def _pieces(path: str, end_id: int, size: int):
 def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 2,
                  size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids of every whole text: no piece is longer than ``size``."""
+    shared = per_worker(docs, LibraryEncoder, path or default_path("byte_bpe_50k.json"))
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        _pieces(path or default_path("byte_bpe_50k.json"), end_id, size), PIECES)
+        _pieces(shared, end_id, size), PIECES)
 
 
 def group_sizes(counts: dict[int, int], groups: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -226,7 +227,7 @@ def _placer(rows: np.ndarray):
 
 
 def place(pieces: DataFrame, size: int = SIZE, small: int = SIZE // 8, groups: int = 4096,
-          bucket_rows: int = 100_000) -> DataFrame:
+          bucket_rows: int = 20_000) -> DataFrame:
     """The pieces (doc_id, piece, length and any further columns) with sequence_id and offset.
 
     ``pieces`` is read several times: hand over a written table, without the ids if these are not needed beside the places.

@@ -14,12 +14,13 @@ repeated rows are encoded one by one; texts are never cut short; an empty table
 from __future__ import annotations
 
 import json
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import BYTE_PATTERN, WORD_PATTERN, byte_chars, default_path, is_byte_level, space_pieces, spans_of
+from .tokens import BYTE_PATTERN, WORD_PATTERN, Remembered, byte_chars, default_path, is_byte_level, per_worker, space_pieces, spans_of
 
 END_SHIFT = 0x400  # a last character that carries the word-end mark becomes a character of its own
 NEVER = 1 << 60
@@ -36,7 +37,7 @@ class PrefixCodec:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
-        self.keep, self.byte_level, self.normal = keep, is_byte_level(spec), unicodedata.normalize
+        self.byte_level, self.normal = is_byte_level(spec), unicodedata.normalize
         self.end = model["end_of_word_suffix"] or ""
         self.findall = regex.compile(BYTE_PATTERN if self.byte_level else WORD_PATTERN).findall
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -53,13 +54,14 @@ class PrefixCodec:
             x, y, z = vocab[a], vocab[b], vocab[a + b]
             self.rank[x << 20 | y] = k
             self.made[z], self.left[z], self.right[z] = k, x, y
-        self.automaton = ahocorasick.Automaton()
+        self.sizes, self.automaton = {}, ahocorasick.Automaton()
         for token, i in vocab.items():
             units = self._units(token)
             if units:
                 self.automaton.add_word(units, (i, len(units)))
+                self.sizes[i] = len(units)
         self.automaton.make_automaton()
-        self.compatible, self.parts, self.done = {}, {}, {}
+        self.compatible, self.parts, self.pieces = (Remembered(f, keep) for f in (self._fits, self._part, self._piece))
 
     def _units(self, token: str) -> str:
         """A token as one character per symbol."""
@@ -68,9 +70,9 @@ class PrefixCodec:
             return body[:-1] + chr(ord(body[-1]) + END_SHIFT)
         return token
 
-    def _fits(self, a: int, b: int) -> bool:
-        """Whether encoding the two tokens' text gives the two tokens again."""
-        made, limit = self.made.get, NEVER
+    def _fits(self, pair: int) -> bool:
+        """Whether encoding the text of two tokens (one number of both ids) gives the two tokens again."""
+        a, b, made, limit = pair >> 20, pair & 0xFFFFF, self.made.get, NEVER
         while True:
             if self.rank.get(a << 20 | b, NEVER) < limit:
                 return False
@@ -82,7 +84,7 @@ class PrefixCodec:
             else:
                 return True
 
-    def _part(self, part: str) -> list[int]:
+    def _part(self, part: str) -> bytes:
         """Ids of one pre-token."""
         units = part.encode().decode("latin-1").translate(self.chars)
         if self.end:
@@ -95,40 +97,27 @@ class PrefixCodec:
             if before < 0:
                 last[at] = token
                 continue
-            pair = last[before] << 20 | token
-            fits = compatible.get(pair)
-            if fits is None:
-                fits = compatible[pair] = self._fits(last[before], token)
-            if fits:
+            if compatible[last[before] << 20 | token]:
                 last[at] = token
         ids, at = [], len(units) - 1
         while at >= 0:
             ids.append(last[at])
-            at -= len(self._units(self.names[last[at]]))
+            at -= self.sizes[last[at]]
         ids.reverse()
-        return ids
+        return array("I", ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         if not self.byte_level:
             # per character, as the vocabulary's own lower-casing knows no context
             piece = "".join([c.lower() for c in self.normal("NFC", piece)]) if not piece.isascii() else piece.lower()
-        parts, ids = self.parts, []
-        for p in self.findall(piece):
-            if p not in parts:
-                parts[p] = self._part(p)
-            ids += parts[p]
-        return np.array(ids, dtype="<u4").tobytes()
+        parts = self.parts
+        return b"".join([parts[p] for p in self.findall(piece)])
 
     def _section(self, text: str) -> bytes:
-        pieces = space_pieces(text) if self.byte_level else text.encode().split()
-        done = self.done
-        for piece in set(pieces).difference(done):
-            done[piece] = self._piece(piece if self.byte_level else piece.decode())
-        ids = b"".join([done[p] for p in pieces])
-        for memory in (done, self.parts, self.compatible):
-            if len(memory) > self.keep:
-                memory.clear()
-        return ids
+        for memory in (self.pieces, self.parts, self.compatible):
+            memory.trim()
+        known = self.pieces
+        return b"".join([known[p] for p in (space_pieces(text) if self.byte_level else map(bytes.decode, text.encode().split()))])
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -148,10 +137,10 @@ class PrefixCodec:
         return raw.decode("utf-8", errors="replace")
 
 
-def _codec_rows(path: str, keep: int):
+def _codec_rows(shared):
     def run(batches):
         import pyarrow as pa
-        codec = PrefixCodec(path, keep)
+        codec = shared.value()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in spans_of(texts):
@@ -163,7 +152,8 @@ def _codec_rows(path: str, keep: int):
 
 
 def encode_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None,
-                  keep: int = 400_000) -> DataFrame:
+                  keep: int = 250_000) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit), decoded text, for every whole text; a map without shuffle."""
+    shared = per_worker(docs, PrefixCodec, path or default_path("word_bpe_49k.json"), keep)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        _codec_rows(path or default_path("word_bpe_49k.json"), keep), "doc_id long, ids binary, decoded string")
+        _codec_rows(shared), "doc_id long, ids binary, decoded string")

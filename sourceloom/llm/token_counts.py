@@ -2,7 +2,7 @@
 
 New pre-tokens of a batch lie in one flat symbol array with a start per pre-token.  In each round every pre-token merges
 its own lowest-ranked neighbouring pair, at all places at once, left to right where places overlap; a pre-token without a
-mergeable pair is finished, and its surviving symbols are its tokens.  Counts of recurring pieces are remembered per task.
+mergeable pair is finished, and its surviving symbols are its tokens.  Counts of recurring pieces are remembered by the worker process.
 
 Defined cases: null text has no bytes and no tokens; special strings inside a text count as one token each; repeated rows
 are counted one by one; texts are never cut short; an empty table gives no rows.
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import BYTE_PATTERN, byte_chars, default_path, space_pieces, spans_of
+from .tokens import BYTE_PATTERN, byte_chars, default_path, per_worker, space_pieces, spans_of
 
 NONE = np.int32(2**31 - 1)
 
@@ -77,33 +77,39 @@ def merged_counts(table: MergeTable, parts: list[bytes]) -> np.ndarray:
     return counts
 
 
-def _counter(path: str, keep: int):
-    def run(batches):
-        import pyarrow as pa
+class Counter:
+    """Token counts of texts for one byte-level vocabulary file; remembers recurring pieces."""
+
+    def __init__(self, path: str, keep: int):
         import regex
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        table, findall = MergeTable(spec), regex.compile(BYTE_PATTERN).findall
-        special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
-        parts_known, known = {}, {"": 0}
-
-        def count(texts: list[str]) -> list[int]:
-            nonlocal known, parts_known
-            if len(known) > keep:
-                known = {"": 0}
-            if len(parts_known) > keep:
-                parts_known = {}
-            cut = [[p for section in special.split(t) for p in space_pieces(section)] for t in texts]
-            new = {p: findall(p) for p in set().union(*cut).difference(known)}
-            parts = list(set().union(*new.values()).difference(parts_known))
-            if parts:
-                parts_known.update(zip(parts, merged_counts(table, [p.encode() for p in parts]).tolist()))
-            known.update((p, sum([parts_known[x] for x in found])) for p, found in new.items())
-            return [sum([known[p] for p in pieces]) + len(special.findall(t)) for pieces, t in zip(cut, texts)]
-
+        self.table, self.findall, self.keep = MergeTable(spec), regex.compile(BYTE_PATTERN).findall, keep
+        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+        self.parts, self.known = {}, {"": 0}
+
+    def count(self, texts: list[str]) -> list[int]:
+        if len(self.known) > self.keep:
+            self.known = {"": 0}
+        if len(self.parts) > self.keep:
+            self.parts = {}
+        known, parts = self.known, self.parts
+        cut = [[p for section in self.special.split(t) for p in space_pieces(section)] for t in texts]
+        new = {p: self.findall(p) for p in set().union(*cut).difference(known)}
+        fresh = list(set().union(*new.values()).difference(parts))
+        if fresh:
+            parts.update(zip(fresh, merged_counts(self.table, [p.encode() for p in fresh]).tolist()))
+        known.update((p, sum([parts[x] for x in found])) for p, found in new.items())
+        return [sum([known[p] for p in pieces]) + len(self.special.findall(t)) for pieces, t in zip(cut, texts)]
+
+
+def _counter(shared):
+    def run(batches):
+        import pyarrow as pa
+        counter = shared.value()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            n_tokens = [n for a, b in spans_of(texts) for n in count(texts[a:b])]
+            n_tokens = [n for a, b in spans_of(texts) for n in counter.count(texts[a:b])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n_tokens, pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens"])
@@ -111,8 +117,9 @@ def _counter(path: str, keep: int):
 
 
 def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None,
-                 limit: int = 1024, keep: int = 400_000) -> DataFrame:
+                 limit: int = 1024, keep: int = 800_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every whole text, for a byte-level vocabulary file."""
+    shared = per_worker(docs, Counter, path or default_path("byte_bpe_50k.json"), keep)
     found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        _counter(path or default_path("byte_bpe_50k.json"), keep), "doc_id long, n_bytes long, n_tokens long")
+        _counter(shared), "doc_id long, n_bytes long, n_tokens long")
     return found.withColumn("over_limit", F.col("n_tokens") > limit)

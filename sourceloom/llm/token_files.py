@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tokens import LibraryEncoder, default_path
+from .tokens import LibraryEncoder, default_path, per_worker
 from .workdir import new_path
 
 NO_ID = -(1 << 63)  # stands for a null doc_id
@@ -63,11 +63,11 @@ def unpack(n: int, ranking: bytes, control: bytes, data: bytes) -> np.ndarray:
     return np.frombuffer(ranking, dtype="<u4")[ranks]
 
 
-def _segments(path: str, end_id: int, segment_tokens: int):
+def _segments(shared, end_id: int, segment_tokens: int):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
-        encoder, part = LibraryEncoder(path), TaskContext.get().partitionId()
+        encoder, part = shared.value(), TaskContext.get().partitionId()
         tail = np.array([end_id], dtype="<u4").tobytes()
         held, ids, size, number = [], [], 0, 0
 
@@ -104,7 +104,8 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     placed = rows.repartitionByRange(parts, *key).sortWithinPartitions(*key)
-    placed.mapInArrow(_segments(path or default_path("word_bpe_49k.json"), end_id, segment_tokens), SEGMENT) \
+    shared = per_worker(docs, LibraryEncoder, path or default_path("word_bpe_49k.json"))
+    placed.mapInArrow(_segments(shared, end_id, segment_tokens), SEGMENT) \
         .write.parquet(f"{folder}/segments")
     # index: part totals first, so that no window spans all segments
     sizes = spark.read.schema(SEGMENT).parquet(f"{folder}/segments").select("part", "segment", "n_tokens")

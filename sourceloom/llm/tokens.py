@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame
+
 # The splitting patterns of the two vocabulary kinds.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -42,55 +45,100 @@ def space_pieces(text: str) -> list[str]:
     return [first, *[" " + p for p in others]]
 
 
+SETTLED = 0x250  # below: characters whose classes, cases and normal forms have not changed between Unicode versions
+
+
+def settled_pattern(byte_level: bool) -> str:
+    """The splitting pattern for texts of settled characters only, with the classes spelled out."""
+    import unicodedata
+    kinds = {chr(c): unicodedata.category(chr(c))[0] for c in range(SETTLED)}
+    spaces = " \t\n\x0b\x0c\r\x85\xa0"
+    letters, numbers = ("".join(re.escape(c) for c, k in kinds.items() if k == kind) for kind in "LN")
+    pattern = BYTE_PATTERN if byte_level else WORD_PATTERN
+    for plain in (r"[\p{L}]", r"[\p{N}]"):
+        pattern = pattern.replace(plain, plain[1:-1])
+    return pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(
+        r"\p{N}", f"[{numbers}]").replace(r"\s", f"[{spaces}]").replace(r"\S", f"[^{spaces}]")
+
+
+class Remembered(dict):
+    """Values made once per key; of those not used for ``keep`` new keys, only the later half is kept."""
+
+    def __init__(self, make, keep: int):
+        super().__init__()
+        self.make, self.keep, self.older = make, keep, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.keep:
+            self.older = dict(self)
+            self.clear()
+
+
+class PerWorker:
+    """Built at first use.  As the value of a broadcast variable it lasts as long as the worker process, over many tasks."""
+
+    def __init__(self, build, *args):
+        self.build, self.args, self.made = build, args, None
+
+    def __call__(self):
+        if self.made is None:
+            self.made = self.build(*self.args)
+        return self.made
+
+
+def per_worker(df: DataFrame, build, *args):
+    """A broadcast of ``build(*args)``, which every worker process makes for itself."""
+    return df.sparkSession.sparkContext.broadcast(PerWorker(build, *args))
+
+
 class LibraryEncoder:
-    """Ids by the tokenizers library; ``keep`` bounds the remembered pieces."""
+    """Ids by the tokenizers library; ``keep`` bounds the remembered pieces.
+
+    Texts of settled characters are split into pre-tokens here and each new pre-token is encoded by the library's model.
+    Other texts, and those that may hold special strings, go through the library's whole chain piece by piece.
+    """
 
     def __init__(self, path: str, keep: int = 400_000):
         import os
-
-        import numpy as np
-        import regex
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.library, self.keep, self.pack = Tokenizer.from_file(path), keep, np.array
+        self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.byte_level = is_byte_level(spec)
-        self.findall = regex.compile(BYTE_PATTERN if self.byte_level else WORD_PATTERN).findall
-        self.chars, self.wide = {b: c for b, c in byte_chars().items()}, re.compile("[^\\x00-ɏ]|<\\|").search
-        self.parts, self.done = {}, {}
+        self.findall = re.compile(settled_pattern(self.byte_level)).findall
+        self.wide = re.compile(f"[^\\x00-{chr(SETTLED - 1)}]|<\\|").search
+        self.chars, self.tokenize = byte_chars(), self.library.model.tokenize
+        self.parts, self.pieces = Remembered(self._part, keep), Remembered(self._piece, keep)
 
     def _part(self, part: str) -> bytes:
         """Ids of one pre-token by the library's own model."""
-        found = self.parts.get(part)
-        if found is None:
-            mapped = part.encode().decode("latin-1").translate(self.chars)
-            found = self.pack([t.id for t in self.library.model.tokenize(mapped)], dtype="<u4").tobytes()
-            self.parts[part] = found
-        return found
+        mapped = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(self.chars)
+        return array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if self.wide(piece):  # normal forms, special strings: the library's whole chain
-            return self.pack(self.library.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        low = piece if self.byte_level else piece.lower()
-        return b"".join([self._part(p) for p in self.findall(low)])
+        return array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        pieces = space_pieces(text) if self.byte_level else text.encode().split()
-        done = self.done
-        for piece in set(pieces).difference(done):
-            done[piece] = self._piece(piece if self.byte_level else piece.decode())
-        ids = b"".join([done[p] for p in pieces])
-        if len(done) > self.keep:
-            done.clear()
-        if len(self.parts) > self.keep:
-            self.parts.clear()
-        return ids
+        if self.wide(text):
+            known = self.pieces
+            units = space_pieces(text) if self.byte_level else [p.decode() for p in text.encode().split()]
+        else:
+            known, units = self.parts, self.findall(text if self.byte_level else text.lower())
+        known.trim()
+        return b"".join([known[u] for u in units])
 
 
 def spans_of(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
