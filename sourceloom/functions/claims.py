@@ -226,8 +226,13 @@ def time_clash(p: Column, b: Column) -> Column:
 
 
 def time_contradiction(probe: Column, basis: Column) -> Column:
-    """Explicit time contradiction between two texts."""
-    return let(F.struct(temporal_markers(probe).alias("p"), temporal_markers(basis).alias("b")), lambda s: time_clash(s["p"], s["b"]))
+    """Explicit time contradiction between a text and a passage; a heading line of the passage is no evidence."""
+    return let(F.struct(temporal_markers(probe).alias("p"), temporal_markers(below_heading(basis)).alias("b")), lambda s: time_clash(s["p"], s["b"]))
+
+
+def below_heading(c: Column) -> Column:
+    """What follows the first line break, or the whole text without one."""
+    return F.regexp_replace(c, r"\A[^\n]*\n", "")
 
 
 def author_match(clue_norm: Column, given_norm: Column, family_norm: Column) -> Column:

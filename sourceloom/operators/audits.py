@@ -10,9 +10,8 @@ from pyspark.sql import types as T
 from ..functions import spans as S
 from ..functions.let import let
 from ..functions.text import content_hash, is_blank, norm_ws
-from ..session import bounded_broadcast
 from .admission import VERDICTS, reason_codes
-from .skew import salted_join
+
 
 # Keys that would reveal an answer to an inference input.
 ANSWER_KEYS = ["answer", "decision", "expected", "expected_decision", "gold", "label", "truth",
@@ -162,8 +161,8 @@ def contained_pairs(quotes: DataFrame, documents: DataFrame, grams: int = 3) ->
 
     A quote of at least ``grams + 2`` words is anchored on one run of its inner
     words, which must be whole words of any text that holds it; shorter quotes
-    are anchored on their first three characters or fewer.  Anchors join by
-    equality, hot ones salted, and each candidate is verified once.
+    are anchored on their first three characters or fewer.  Only ids and anchors
+    are exploded and joined; a text is fetched once per candidate.
     """
     q = quotes.select("quote_id", norm_ws(F.col("quote")).alias("q")).filter("q <> ''").withColumn("w", F.split("q", " "))
     d = documents.select("doc_id", norm_ws(F.col("text")).alias("d"))
@@ -173,24 +172,21 @@ def contained_pairs(quotes: DataFrame, documents: DataFrame, grams: int = 3) ->
         return F.transform(starts, lambda i: F.array_join(F.slice(words, i, grams), " "))
 
     def matches(posted: DataFrame, anchors: DataFrame) -> DataFrame:
-        small = bounded_broadcast(anchors)
-        holds = F.contains("d", F.col("q"))
-        if small is not anchors:  # judged inside the scan, no text is shuffled
-            return posted.join(small, "anchor").filter(holds).select("quote_id", "doc_id")
-        ids = salted_join(posted.drop("d"), anchors.drop("q"), ["anchor"]).select("quote_id", "doc_id").distinct()
-        return ids.join(anchors.select("quote_id", "q"), "quote_id").join(d, "doc_id").filter(holds).select("quote_id", "doc_id")
+        ids = posted.join(anchors.drop("q"), "anchor").select("quote_id", "doc_id").distinct()
+        return ids.join(anchors.select("quote_id", "q"), "quote_id").join(d, "doc_id").filter(
+            F.contains("d", F.col("q"))).select("quote_id", "doc_id")
 
     # The longest inner run is the most selective one that needs no corpus statistics.
     inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
     longest = let(inner, lambda words: F.array_max(F.transform(runs(words), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"])
     anchored = q.filter(F.size("w") >= grams + 2).select("quote_id", "q", longest.alias("anchor"))
-    posted = d.select("doc_id", "d", F.explode(F.array_distinct(let(F.split("d", " "), runs))).alias("anchor"))
+    posted = d.select("doc_id", F.explode(F.array_distinct(let(F.split("d", " "), runs))).alias("anchor"))
     hits = matches(posted, anchored)
     short = q.filter(F.size("w") < grams + 2)
     sizes = short.select(F.least(F.length("q"), F.lit(3)).alias("n")).distinct()
     for size in sorted(r["n"] for r in sizes.collect()):  # at most the three values 1, 2, 3
         head = short.filter(F.least(F.length("q"), F.lit(3)) == size).select("quote_id", "q", F.substring("q", 1, size).alias("anchor"))
-        chars = d.filter(F.length("d") >= size).select("doc_id", "d", F.explode(F.array_distinct(F.transform(
+        chars = d.filter(F.length("d") >= size).select("doc_id", F.explode(F.array_distinct(F.transform(
             F.sequence(F.lit(1), F.length("d") - (size - 1)), lambda i: F.col("d").substr(i, F.lit(size))))).alias("anchor"))
         hits = hits.unionByName(matches(chars, head))
     return hits.distinct()

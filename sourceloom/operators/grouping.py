@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, fold, norm_ws
 from ..functions.urls import canonical_url
-from ..session import cut, fingerprint_rows
-from .skew import HOT_ROWS, split_lookup
+from ..session import cut, cut_counted
 
 
 def evidence_keys() -> dict[str, Column]:
@@ -19,43 +18,32 @@ def evidence_keys() -> dict[str, Column]:
             "url": canonical_url(c("url")), "content": content_hash(fold(norm_ws(c("content"))))}
 
 
-def _with_min(pairs: DataFrame, key: str, value: str, name: str, rows: int, hot_rows: int) -> DataFrame:
-    """Attach the smallest ``value`` of its key to every row.
-
-    With no more rows than one hot key needs, a window does it in one shuffle;
-    otherwise a partial aggregate is looked up with the hot keys split off.
-    """
-    if rows <= hot_rows:
-        return pairs.withColumn(name, F.min(value).over(W.partitionBy(key)))
-    low = pairs.groupBy(key).agg(F.min(value).alias(name), F.count(F.lit(1)).alias("_n"))
-    return split_lookup(pairs, low, [key], "_n", hot_rows).drop("_n")
+def _with_min(pairs: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Attach the smallest ``value`` of its key to every row: a partial aggregate, and an inner join whose hot keys the
+    runtime splits (adaptive skew join)."""
+    return pairs.join(pairs.groupBy(key).agg(F.min(value).alias(name)), key)
 
 
-def _by_root(pairs: DataFrame, rows: int, hot_rows: int) -> DataFrame:
+def _by_root(pairs: DataFrame) -> DataFrame:
     """Attach the smallest of a node and its neighbours to every (node, neighbour) pair."""
-    return _with_min(pairs, "u", "v", "m", rows, hot_rows).withColumn("m", F.least("m", "u"))
+    return _with_min(pairs, "u", "v", "m").withColumn("m", F.least("m", "u"))
 
 
-def connected(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """Smallest reachable node per node, from undirected ``edges(u, v)``.
 
     Alternates large-star and small-star contraction, which needs a logarithmic
-    number of passes however long the chains are.  Each pass is a partial
-    aggregate and a lookup that splits hot centres; it is checkpointed, so an
-    executor loss replays one pass.
+    number of passes however long the chains are.  Each pass is checkpointed, so
+    an executor loss replays one pass; count and checksum come with the write.
     """
-    current = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                  .filter("u <> v").distinct())
-    state = fingerprint_rows(current, "u", "v")
+    current, state = cut_counted(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "u", "v")
     while state[0] > 0:
-        rows = 2 * state[0]
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _by_root(both, rows, hot_rows).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        rooted = _by_root(large, rows, hot_rows)
+        large = _by_root(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        rooted = _by_root(large)
         small = rooted.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             rooted.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        current = cut(small)
-        following = fingerprint_rows(current, "u", "v")
+        current, following = cut_counted(small, "u", "v")
         if following == state:
             break
         state = following
@@ -63,7 +51,7 @@ def connected(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def source_groups(rows: DataFrame, scope: list[str], keys: dict[str, Column], id_col: str = "id",
-                  carry: list[Column] | None = None, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+                  carry: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Components of rows that share any key inside the scope.
 
     Returns (signatures, labels).  Rows with all keys equal are folded first, so
@@ -78,9 +66,9 @@ def source_groups(rows: DataFrame, scope: list[str], keys: dict[str, Column], id
     tokens = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.md5(F.to_json(F.struct(
         *scope, F.lit(k).alias("kind"), F.col(k).alias("value"))))) for k in names]))
     links = named.select("node", F.explode(tokens).alias("k"))
-    edges = _with_min(links, "k", "node", "lead", named.count() * len(names), hot_rows).select(
+    edges = _with_min(links, "k", "node", "lead").select(
         F.col("node").alias("u"), F.col("lead").alias("v")).filter("u <> v")
-    labels = connected(edges, hot_rows)
+    labels = connected(edges)
     out = named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return out, labels
 
@@ -115,9 +103,9 @@ def decision_by_sources(groups: DataFrame, scope: list[str], min_independent: in
 
 
 def independent_decision(evidence: DataFrame, scope: list[str], keys: dict[str, Column] | None = None,
-                         min_independent: int = 2, hot_rows: int = HOT_ROWS) -> DataFrame:
+                         min_independent: int = 2) -> DataFrame:
     """Admitted evidence to one decision per scope."""
-    signatures, _ = source_groups(evidence, scope, keys or evidence_keys(), carry=stance_flags(), hot_rows=hot_rows)
+    signatures, _ = source_groups(evidence, scope, keys or evidence_keys(), carry=stance_flags())
     return decision_by_sources(group_summary(signatures, scope), scope, min_independent)
 
 

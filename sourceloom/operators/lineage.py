@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import count
 from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,7 @@ def direct_lineage(relations: DataFrame) -> DataFrame:
     return relations.filter((F.col("status") == "direct") & F.col("kind").isin(LINEAGE_KINDS) & F.col("to_version").isNotNull())
 
 
-def reach(starts: DataFrame, edges: DataFrame, max_hops: int = 1_000) -> DataFrame:
+def reach(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes reachable from each (scope, start), with the first hop count.
 
     Frontier join: a pass extends only rows found by the pass before, drops the
@@ -33,7 +34,7 @@ def reach(starts: DataFrame, edges: DataFrame, max_hops: int = 1_000) -> DataFra
     links = cut(edges.select("scope", "src", "dst").distinct())
     seen = cut(starts.select("scope", "start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct())
     frontier = seen
-    for hop in range(1, max_hops + 1):
+    for hop in count(1):
         step = frontier.join(links, (frontier["scope"] == links["scope"]) & (frontier["node"] == links["src"])).select(
             frontier["scope"], frontier["start"], F.col("dst").alias("node"), F.lit(hop).alias("hops")).distinct()
         frontier = cut(step.join(seen, ["scope", "start", "node"], "left_anti").select("scope", "start", "node", "hops"))
@@ -42,10 +43,9 @@ def reach(starts: DataFrame, edges: DataFrame, max_hops: int = 1_000) -> DataFra
         seen = seen.unionByName(frontier)
         if hop % 8 == 0:
             seen = cut(seen)
-    raise RuntimeError(f"reachability did not finish within {max_hops} hops")
 
 
-def edge_paths(starts: DataFrame, edges: DataFrame, max_hops: int = 1_000) -> DataFrame:
+def edge_paths(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """Shortest path per reachable node with the edge ids used; ties go to the smallest ids.
 
     ``starts(scope, start)``, ``edges(scope, src, dst, edge_id)``.
@@ -54,7 +54,7 @@ def edge_paths(starts: DataFrame, edges: DataFrame, max_hops: int = 1_000) -> Da
     seen = cut(starts.select("scope", "start", F.col("start").alias("node"),
                              F.array().cast("array<string>").alias("path")).distinct())
     frontier = seen
-    for hop in range(1, max_hops + 1):
+    for hop in count(1):
         step = frontier.join(edges, (frontier["scope"] == edges["scope"]) & (frontier["node"] == edges["src"])).select(
             frontier["scope"], frontier["start"], F.col("dst").alias("node"),
             F.array_append(frontier["path"], F.col("edge_id")).alias("path"))
@@ -65,7 +65,6 @@ def edge_paths(starts: DataFrame, edges: DataFrame, max_hops: int = 1_000) -> Da
         seen = seen.unionByName(frontier.select(*seen.columns))
         if hop % 8 == 0:
             seen = cut(seen)
-    raise RuntimeError(f"path search did not finish within {max_hops} hops")
 
 
 def origin_reached(targets: DataFrame, relations: DataFrame, origins: DataFrame) -> DataFrame:
@@ -134,13 +133,12 @@ def tree_paths(nodes: DataFrame, root: Column) -> DataFrame:
     return state.select("scope", "id", F.coalesce(F.col("up") == F.col("root"), F.lit(False)).alias("valid"))
 
 
-def flatten_tree(nodes: DataFrame, max_depth: int = 1_000) -> DataFrame:
+def flatten_tree(nodes: DataFrame) -> DataFrame:
     """Depth and slash path of every node under its root, parents before children."""
     nodes = cut(nodes.select("scope", "id", "parent_id"))
     level = cut(nodes.filter("parent_id IS NULL").select("scope", "id", F.lit(0).alias("depth"), F.col("id").alias("path")))
-    out, depth = level, 0
-    while depth < max_depth:
-        depth += 1
+    out = level
+    for depth in count(1):  # nodes of a cycle hang under no root and are never reached
         child = nodes.join(level.select("scope", F.col("id").alias("parent_id"), F.col("path").alias("_p")), ["scope", "parent_id"])
         level = cut(child.select("scope", "id", F.lit(depth).alias("depth"), F.concat_ws("/", "_p", "id").alias("path")))
         if level.isEmpty():
@@ -148,7 +146,6 @@ def flatten_tree(nodes: DataFrame, max_depth: int = 1_000) -> DataFrame:
         out = out.unionByName(level)
         if depth % 8 == 0:
             out = cut(out)
-    raise RuntimeError("tree deeper than the allowed depth, or cyclic")
 
 
 def observed_links(materials: DataFrame, page_links: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -197,7 +194,7 @@ def version_aliases(materials: DataFrame, fingerprint: Column, seed: Column, sco
         *scope, "version_id", "representative")
 
 
-def revisit_cascade(requests: DataFrame, starts: DataFrame, max_depth: int = 1_000) -> tuple[DataFrame, DataFrame]:
+def revisit_cascade(requests: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Dependency traversal of reanalysis requests; repeated requests go to a cycle log.
 
     ``requests(from_version, to_version)``; returns (visited, cycle_log).
@@ -205,7 +202,7 @@ def revisit_cascade(requests: DataFrame, starts: DataFrame, max_depth: int = 1_0
     requests = cut(requests)
     visited = cut(starts.select("scope", F.col("version_id").alias("node"), F.lit(0).alias("depth")))
     frontier, log = visited, None
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         asked = frontier.join(requests, frontier["node"] == requests["from_version"]).select(
             frontier["scope"], F.col("to_version").alias("node"))
         counted = asked.groupBy("scope", "node").agg(F.count(F.lit(1)).alias("requests"))

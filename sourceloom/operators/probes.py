@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import claims as C
 from ..functions.text import evidence_terms, is_blank
-from .skew import salted_join
 
-MAX_PROBES = 8
+# Separators, and the words and marks that keep a compound whole.
 _SENTENCE = r"[;；。!?！？]+|(?<!\d)\.(?!\d)"
 _CLAUSE = r"(?i)\s+(?:and|as well as)\s+|并且|且"
 _CONDITION = r"(?i)\b(?:if|unless|provided that|when)\b|如果|若|除非"
 _HAN = r"[㐀-䶿一-鿿]{2,}"
+_REPORTS_THAT = (r"(?i)\b(?:allege[ds]?|say|says|said|report(?:s|ed)?|claim(?:s|ed)?|state[ds]?|announce[ds]?|believe[ds]?|"
+                 r"expect(?:s|ed)?)\s+that\b")
+_LEADING_SCOPE = (r"(?i)^(?:\s*(?:in|at|on|near|within|outside|across|under|over|before|after|according\s+to)\b|\s*(?:在|于|截至|据))")
+_SHARED_DIMENSIONS = ["time", "negation", "modality", "comparison_baseline"]
 
 
 def has_predicate(c):
@@ -43,53 +46,88 @@ def _pieces(text, pattern):
     return F.aggregate(cells, zero, step, lambda acc: acc["out"])
 
 
-def claim_probes(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Claims to independently checkable probes with exact offsets; returns (probes, rejects).
+def _spans(text, pattern):
+    return F.transform(_pieces(text, pattern), lambda p: F.struct(
+        p["start"].alias("start"), (p["start"] + F.length(p["text"])).cast("int").alias("end")))
 
-    A sentence without a predicate joins the next one.  A conditional sentence
-    stays whole; a compound is split only when every part has a subject and a
-    predicate.  Claims are short texts, so each is handled inside its row.
-    """
-    text = F.col("text")
-    base = claims.filter(~is_blank(text))
-    rows = base.select("claim_id", "text", F.posexplode(_merge_fragments(_pieces(text, _SENTENCE))).alias("s", "sentence"))
-    body = F.col("sentence.text")
-    parts = _pieces(body, _CLAUSE)
-    subject = lambda v: ~v.rlike("[A-Za-z]") | F.regexp_extract(v, rf"(?is)^(.*?)(?={C.PREDICATE})", 1).rlike("[A-Za-z]")
-    rows = rows.withColumn("parts", F.when(body.rlike(_CONDITION), F.array(F.struct(F.lit(0).alias("start"), body.alias("text")))).otherwise(parts))
-    own = F.forall("parts", lambda p: has_predicate(p["text"]) & subject(p["text"]))
-    clause_like = F.forall("parts", lambda p: F.element_at(F.split(F.regexp_replace(p["text"], "[^A-Za-z ]", ""), " +"), -1).rlike("^[a-z]{3,}$")
-                           & (F.size(F.regexp_extract_all(p["text"], F.lit("[A-Za-z]+"), 0)) >= 2))
-    shared = F.contains(F.substring_index(body, " and ", 1), F.lit(","))
-    many = F.size("parts") > 1
-    split_ok = many & own & ~shared
-    rows = rows.withColumn("ambiguous", many & ~own & ~shared & clause_like)
-    chosen = F.when(split_ok, F.col("parts")).otherwise(F.array(F.struct(F.lit(0).alias("start"), body.alias("text"))))
-    spans = rows.select("claim_id", "ambiguous", "s", F.col("sentence.start").alias("_at"), F.posexplode(chosen).alias("p", "part"))
-    flags = spans.groupBy("claim_id").agg(F.count(F.lit(1)).alias("_n"), F.bool_or("ambiguous").alias("_bad"))
-    joined = spans.join(flags, "claim_id")
-    ok = joined.filter(~F.col("_bad") & (F.col("_n") <= MAX_PROBES))
-    start = F.col("_at") + F.col("part.start")
-    probes = ok.select(
-        "claim_id", start.alias("start"), (start + F.length("part.text")).alias("end"), F.col("part.text").alias("text"),
-        F.concat(F.col("claim_id").cast("string"), F.lit(":probe:"), F.substring(F.sha2(F.concat_ws("|", "claim_id", start, "part.text"), 256), 1, 20)).alias("probe_id"))
-    rejects = flags.filter(F.col("_bad") | (F.col("_n") > MAX_PROBES)).select(
-        "claim_id", F.when(F.col("_bad"), "ambiguous_compound").otherwise("too_many_probes").alias("reason"))
-    return probes, rejects
 
+def _cut(text, span):
+    return text.substr(span["start"] + 1, span["end"] - span["start"])
 
-def _merge_fragments(pieces):
-    """Join a sentence without a predicate to the one after it; trailing ones join the last probe."""
-    zero = F.struct(F.array().cast("array<struct<start:int,text:string>>").alias("out"), F.lit(None).cast("struct<start:int,text:string>").alias("pending"))
+
+def _merge_fragments(text, spans):
+    """Extend a span without a predicate over the next one; trailing ones extend the last span that has one."""
+    span = "struct<start:int,end:int>"
+    zero = F.struct(F.array().cast(f"array<{span}>").alias("out"), F.lit(None).cast("int").alias("pending"))
 
     def step(acc, p):
-        merged = F.when(acc["pending"].isNull(), p).otherwise(F.struct(
-            acc["pending"]["start"].alias("start"), F.concat(acc["pending"]["text"], F.lit(". "), p["text"]).alias("text")))
-        alone = ~has_predicate(merged["text"]) | merged["text"].rlike(r"(?:^|[.\s])[A-Za-z]$")
+        merged = F.struct(F.coalesce(acc["pending"], p["start"]).alias("start"), p["end"].alias("end"))
+        body = _cut(text, merged)
+        alone = ~has_predicate(body) | body.rlike(r"(?:^|[.\s])[A-Za-z]$")
         return F.struct(F.when(alone, acc["out"]).otherwise(F.array_append(acc["out"], merged)).alias("out"),
-                        F.when(alone, merged).alias("pending"))
+                        F.when(alone, merged["start"]).alias("pending"))
+
+    def close(acc):
+        end = F.element_at(spans, -1)["end"]
+        last = F.element_at(acc["out"], -1)
+        longer = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(last["start"].alias("start"), end.alias("end"))))
+        return F.when(acc["pending"].isNull(), acc["out"]).when(F.size(acc["out"]) > 0, longer).otherwise(
+            F.array(F.struct(acc["pending"].alias("start"), end.alias("end"))))
+
+    return F.aggregate(spans, zero, step, close)
+
+
+def _shares_scope(chunk, parts):
+    """Whether splitting a compound could detach a reporting verb, a leading phrase, a comma phrase or a shared dimension."""
+    before = F.regexp_extract(chunk, "(?is)^(.*?)(?:" + _CLAUSE.removeprefix("(?i)") + ")", 1)
+    wanted = F.array_intersect(C.required_dimensions(chunk), F.array(*[F.lit(d) for d in _SHARED_DIMENSIONS]))
+    return (before.rlike(_REPORTS_THAT) | chunk.rlike(_LEADING_SCOPE) | before.rlike("[,，]")
+            | F.exists(parts, lambda p: F.size(F.array_except(wanted, C.required_dimensions(_cut(chunk, p)))) > 0))
+
 
-    return F.aggregate(pieces, zero, step, lambda acc: F.when(acc["pending"].isNull() | (F.size(acc["out"]) > 0), acc["out"]).otherwise(F.array(acc["pending"])))
+def _has_subject(body):
+    return ~body.rlike("[A-Za-z]") | F.regexp_extract(body, rf"(?is)^(.*?)(?={C.PREDICATE})", 1).rlike("[A-Za-z]")
+
+
+def _clause_like(body):
+    words = F.regexp_extract_all(body, F.lit("[A-Za-z]+"), 0)
+    han = F.size(F.regexp_extract_all(body, F.lit("[㐀-䶿一-鿿]"), 0))
+    return F.when(F.size(words) >= 2, F.element_at(words, -1).rlike("^[a-z]{3,}$")).otherwise(han >= 4)
+
+
+def claim_probes(claims: DataFrame, max_probes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Claims to independently checkable probes; returns (probes, rejects).
+
+    A probe's text is a slice of its claim.  A sentence without a predicate joins
+    the next one, a trailing one the sentence before.  A conditional sentence and
+    a compound that shares a scope stay whole; another compound is split when
+    every part has a subject and a predicate, and its claim is a reject when the
+    parts only look like clauses.  Probes of claims with more than ``max_probes``
+    are kept and marked ``over_limit``.
+    """
+    text = F.col("text")
+    base = claims.filter(~is_blank(text)).select("claim_id", "text", _spans(text, _SENTENCE).alias("_s"))
+    rows = base.select("claim_id", "text", F.posexplode(_merge_fragments(text, F.col("_s"))).alias("s", "sentence"))
+    rows = rows.withColumn("chunk", _cut(text, F.col("sentence")))
+    chunk, parts = F.col("chunk"), F.col("parts")
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(chunk).alias("end")))
+    rows = rows.withColumn("parts", F.when(chunk.rlike(_CONDITION), whole).otherwise(_spans(chunk, _CLAUSE)))
+    many = F.size(parts) > 1
+    rows = rows.withColumn("shared", F.when(many, _shares_scope(chunk, parts)).otherwise(F.lit(False)))
+    complete = F.forall(parts, lambda p: has_predicate(_cut(chunk, p)) & _has_subject(_cut(chunk, p)))
+    rows = rows.withColumn("split", many & ~F.col("shared") & complete)
+    rows = rows.withColumn("ambiguous", many & ~F.col("shared") & ~F.col("split") & F.forall(parts, lambda p: _clause_like(_cut(chunk, p))))
+    spans = rows.select("claim_id", "text", "ambiguous", F.col("sentence.start").alias("_at"),
+                        F.explode(F.when(F.col("split"), parts).otherwise(whole)).alias("part"))
+    flags = spans.groupBy("claim_id").agg(F.count(F.lit(1)).alias("_n"), F.bool_or("ambiguous").alias("_bad"))
+    found = spans.join(flags.filter("NOT _bad"), "claim_id").select(
+        "claim_id", (F.col("_at") + F.col("part.start")).alias("start"), (F.col("_at") + F.col("part.end")).alias("end"), "text",
+        (F.col("_n") > max_probes if max_probes else F.lit(False)).alias("over_limit"))
+    body = F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start"))
+    probes = found.select(
+        "claim_id", "start", "end", body.alias("text"), "over_limit",
+        F.concat(F.col("claim_id").cast("string"), F.lit(":probe:"), F.substring(F.sha2(F.concat_ws("|", "claim_id", "start", body), 256), 1, 20)).alias("probe_id"))
+    return probes, flags.filter("_bad").select("claim_id", F.lit("ambiguous_compound").alias("reason"))
 
 
 SIGNALS = {
@@ -108,7 +146,8 @@ def text_marks(df: DataFrame, text: str, prefix: str) -> DataFrame:
     x = F.col(text)
     quantity = C.quantity_markers(x)
     return df.withColumns({
-        f"{prefix}terms": evidence_terms(x), f"{prefix}time": C.temporal_markers(x), f"{prefix}quantity": quantity,
+        f"{prefix}terms": evidence_terms(x), f"{prefix}time": C.temporal_markers(x),
+        f"{prefix}event_time": C.temporal_markers(C.below_heading(x)), f"{prefix}quantity": quantity,
         f"{prefix}units": C.unit_markers(quantity), f"{prefix}numbers": C.numeric_values(x), f"{prefix}compare": C.comparison_constraint(x),
         f"{prefix}tokens": F.transform(C.claim_tokens(x), C.word_forms), f"{prefix}negated": x.rlike(NEGATION)})
 
@@ -117,7 +156,7 @@ def grounding(probes: DataFrame, passages: DataFrame, scope: list[str]) -> DataF
     """Which passages carry a probe's dimensions, as supported or contradicted flags.
 
     Markers are extracted per text first.  Probes then meet passages on shared
-    grounding terms (hot terms salted), and every candidate pair is judged once
+    grounding terms, and every candidate pair is judged once
     on terms, word order, time, quantity and comparison.
     """
     c = F.col
@@ -128,11 +167,11 @@ def grounding(probes: DataFrame, passages: DataFrame, scope: list[str]) -> DataF
     b = text_marks(passages.select(*scope, "passage_id", c("text").alias("basis")), "basis", "b_").withColumns({"stems": stems, "signals": signals})
     left = b.select(*scope, "passage_id", F.explode("b_terms").alias("term"))
     right = p.select(*scope, "probe_id", F.explode("p_terms").alias("term"))
-    pairs = salted_join(left, right, [*scope, "term"], salts=4).select(*scope, "probe_id", "passage_id").distinct()
+    pairs = left.join(right, [*scope, "term"]).select(*scope, "probe_id", "passage_id").distinct()
     rows = pairs.join(p.drop("probe", "p_terms"), [*scope, "probe_id"]).join(b.drop("basis", "b_terms"), [*scope, "passage_id"])
     negated = c("b_negated") & ~c("p_negated")
     rows = rows.withColumns({
-        "order": C.ordered_forms(c("p_tokens"), c("b_tokens")), "clash": C.time_clash(c("p_time"), c("b_time")),
+        "order": C.ordered_forms(c("p_tokens"), c("b_tokens")), "clash": C.time_clash(c("p_time"), c("b_event_time")),
         "outcome": C.comparison_decision(c("p_compare"), c("b_compare"), c("p_numbers"), c("b_numbers"), c("p_units"), c("b_units")),
         "negation_added": negated, "verb_ok": (F.size("verb") == 0) | F.arrays_overlap("verb", "stems"),
         "time_held": F.size(F.array_except("p_time", "b_time")) == 0, "quantity_held": F.size(F.array_except("p_quantity", "b_quantity")) == 0,

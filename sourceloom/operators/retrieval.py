@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import search_terms
-from ..session import bounded_broadcast, cut
+from ..session import cut
 from .admission import reason_codes
 from .lineage import by_locator
-from .skew import salted_join, top_k
+from .skew import top_k
 
 
 def action_rank(action: Column) -> Column:
@@ -25,19 +25,14 @@ def lexical_scores(tasks: DataFrame, documents: DataFrame, scope: list[str] | No
     """Distinct shared terms per (task, version), positive scores only.
 
     ``tasks(task_id, query)``, ``documents(version_id, text)``.  The text is
-    reduced to terms and partitioned by version first.  A small task index is
-    then broadcast, and the count per (version, task) needs no further shuffle;
-    a large one is joined on the term with hot terms salted.
+    reduced to terms and joined to the tasks' terms; hot terms are split at run
+    time, and counts are summed per task before they are shuffled.
     """
     scope = scope or []
     asked = tasks.select(*scope, "task_id", F.explode(search_terms(F.col("query"))).alias("term"))
-    terms = documents.select(*scope, "version_id", search_terms(F.col("text")).alias("terms")).repartition("version_id")
+    terms = documents.select(*scope, "version_id", search_terms(F.col("text")).alias("terms"))
     posted = terms.select(*scope, "version_id", F.explode("terms").alias("term"))
-    small = bounded_broadcast(asked)
-    if small is asked:
-        pairs = salted_join(posted, asked, [*scope, "term"])
-    else:
-        pairs = posted.join(small, [*scope, "term"])
+    pairs = posted.join(asked, [*scope, "term"])
     return pairs.groupBy("version_id", "task_id", *scope).agg(F.count(F.lit(1)).alias("score"))
 
 

@@ -71,12 +71,11 @@ def case_counters() -> dict[str, Column]:
     return {k: v.cast("long") for k, v in flags.items()}
 
 
-def reached_roots(cases: DataFrame, edges: DataFrame, start: Column, max_hops: int = 64) -> DataFrame:
+def reached_roots(cases: DataFrame, edges: DataFrame, start: Column) -> DataFrame:
     """Nodes reachable from a case's own node over the case's edges (small, bounded graphs per case)."""
     from .lineage import reach
     starts = cases.select(F.col("id").alias("scope"), start.alias("start"))
-    return reach(starts, edges.select(F.col("id").alias("scope"), F.col("from").alias("src"), F.col("to").alias("dst")),
-                 max_hops=max_hops).select(F.col("scope").alias("id"), "node")
+    return reach(starts, edges.select(F.col("id").alias("scope"), F.col("from").alias("src"), F.col("to").alias("dst"))).select(F.col("scope").alias("id"), "node")
 
 
 def source_counters(cases: DataFrame, gold_edges: DataFrame, pred_edges: DataFrame, start: Column) -> DataFrame:

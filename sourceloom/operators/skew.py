@@ -7,21 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+HOT_KEYS = 1_000
 
 
 def split_lookup(big: DataFrame, small: DataFrame, keys: list[str], count_col: str,
                  hot_rows: int = HOT_ROWS, how: str = "inner") -> DataFrame:
     """Join ``big`` to one ``small`` row per key, whatever the key frequencies are.
 
-    ``count_col`` holds how many ``big`` rows carry the key.  At most
-    ``rows / hot_rows`` keys can be hot, so the hot part of ``small`` has a
-    proven size bound and is broadcast; the other keys shuffle evenly.
+    ``count_col`` holds how many ``big`` rows carry the key.  The ``HOT_KEYS``
+    heaviest keys, a fixed number, are broadcast; any other key has less than
+    1 / HOT_KEYS of the rows, and these shuffle evenly.
     """
-    hot = small.filter(F.col(count_col) > hot_rows)
-    cold = small.filter(F.coalesce(F.col(count_col) <= hot_rows, F.lit(True)))
+    hot = small.filter(F.col(count_col) > hot_rows).orderBy(F.desc(count_col), *keys).limit(HOT_KEYS)
+    marked = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
+    cold = small.join(marked, keys, "left_anti")
     if how == "inner":
         return big.join(F.broadcast(hot), keys).unionByName(big.join(cold, keys))
-    tagged = big.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+    tagged = big.join(marked, keys, "left")
     on_hot = tagged.filter("_hot").drop("_hot").join(F.broadcast(hot), keys, how)
     return on_hot.unionByName(tagged.filter("_hot IS NULL").drop("_hot").join(cold, keys, how))
 

@@ -67,7 +67,7 @@ def quote_recovery(t):
     """Source text of a quote whose line breaks and runs of spaces were changed by the writer."""
     x = F.col("text")
     quote = F.replace(F.trim(F.substring(norm_ws(x), 11, 70)), F.lit(" "), F.lit("\n "))
-    return t.spread("documents", "doc_id", "text").select("doc_id", norm_ws(S.recovered_text(quote, x)).alias("recovered"))
+    return t("documents").select("doc_id", "text").select("doc_id", norm_ws(S.recovered_text(quote, x)).alias("recovered"))
 
 
 @query("F11", f"""WITH {_SPANS} SELECT finding_id, j::BIGINT AS j, CASE WHEN ok THEN s
@@ -391,7 +391,7 @@ SELECT item_id AS quote_id, doc_id FROM (SELECT item_id, trim(regexp_replace(tex
   (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS n FROM documents) d WHERE contains(n, q)""")
 def quote_containment(t):
     """Every benchmark passage with the documents that hold it."""
-    return U.contained_pairs(t("benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), t.spread("documents", "doc_id", "text"))
+    return U.contained_pairs(t("benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), t("documents").select("doc_id", "text"))
 
 
 @query("A34", """

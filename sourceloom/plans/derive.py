@@ -32,21 +32,28 @@ def vid(c: Column) -> Column:
 
 # -- evidence rows and claims ------------------------------------------------
 
+def claim_of() -> Column:
+    return F.concat_ws("/", "lang", (F.col("n_chars") % 5).cast("string"))
+
+
 def evidence(t: Tables) -> DataFrame:
-    """Documents as evidence; the claim groups documents of one language."""
-    d = t.spread("documents", "doc_id", "text", "lang", "source").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
-    i = F.col("doc_id")
-    claim = F.concat_ws("/", "lang", (i % 25).cast("string"))
-    pub = F.lit(EPOCH) + (i % 400) * HOUR
+    """Documents as evidence; a claim groups documents of one language and length class.
+
+    Exact copies in one source have the same claim, publisher, origin, address and content, so they fold; documents of
+    one source and length share an address.
+    """
+    d = t("documents").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
+    i, n = F.col("doc_id"), F.col("n_chars")
+    pub = F.lit(EPOCH) + (n % 200) * HOUR
     iso = lambda s: F.date_format(ts(s), "yyyy-MM-dd'T'HH:mm:ssXXX")
     return d.select(
-        "doc_id", claim.alias("searched_claim"),
-        F.when(i % 101 == 0, F.lit("other")).otherwise(claim).alias("claim_id"),
+        "doc_id", claim_of().alias("searched_claim"),
+        F.when(i % 101 == 0, F.lit("other")).otherwise(claim_of()).alias("claim_id"),
         F.when(i % 103 == 0, F.lit(" ")).otherwise(F.concat(F.lit("e"), i)).alias("id"),
         F.when(i % 19 == 0, F.concat(F.lit("ftp://"), "source", F.lit("/x"))).otherwise(
-            F.concat(F.lit("https://"), F.upper("source"), F.lit(".example.org:443/"), i,
+            F.concat(F.lit("https://"), F.upper("source"), F.lit(".example.org:443/"), n,
                      F.lit("?utm_source=a&b=2&a=1#top"))).alias("url"),
-        F.concat_ws("/", "source", F.floor(i / 40).cast("string")).alias("publisher_group"),
+        F.concat_ws("/", "source", F.floor(n / 40).cast("string")).alias("publisher_group"),
         F.regexp_extract(F.trim(F.regexp_replace("text", r"\s+", " ")), r"^((?:[^ ]+ ){0,4}[^ ]+)", 1).alias("origin_id"),
         F.when(i % 17 == 0, F.substring(iso(pub), 1, 19)).otherwise(iso(pub)).alias("published_at"),
         iso(pub + ((i % 5) - 1) * HOUR).alias("retrieved_at"),
@@ -57,8 +64,30 @@ def evidence(t: Tables) -> DataFrame:
 
 
 def claims(t: Tables) -> DataFrame:
-    return t("documents").select(F.concat_ws("/", "lang", (F.col("doc_id") % 25).cast("string")).alias("id")).distinct() \
-        .withColumn("as_of", ts(F.lit(EPOCH + 300 * HOUR)))
+    return t("documents").select(claim_of().alias("id")).distinct().withColumn("as_of", ts(F.lit(EPOCH + 150 * HOUR)))
+
+
+EVIDENCE_SQL = """ev0 AS (
+  SELECT d.doc_id, d.lang || '/' || (n_chars % 5) AS claim, text, source, n_chars, l.quality,
+    trim(regexp_replace(text, '\\s+', ' ', 'g')) AS n,
+    1704067200 + (n_chars % 200) * 3600 AS p, 1704067200 + (n_chars % 200 + d.doc_id % 5 - 1) * 3600 AS r, 1704607200 AS cut,
+    trim(regexp_replace(CASE WHEN d.doc_id % 13 = 0 THEN 'no such words ~' ELSE substr(text, 3, 40) END, '\\s+', ' ', 'g')) AS q
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+judged AS (
+  SELECT *, CASE WHEN doc_id % 103 = 0 OR q = '' THEN concat_ws(',', CASE WHEN doc_id % 103 = 0 THEN 'missing_or_empty_id' END,
+    CASE WHEN q = '' THEN 'missing_or_empty_quote' END) ELSE concat_ws(',',
+  CASE WHEN doc_id % 101 = 0 THEN 'claim_id_mismatch' END, CASE WHEN doc_id % 107 = 0 THEN 'invalid_stance' END,
+  CASE WHEN doc_id % 19 = 0 THEN 'invalid_url' END, CASE WHEN doc_id % 17 = 0 THEN 'invalid_published_at' END,
+  CASE WHEN doc_id % 17 <> 0 AND p > cut THEN 'future_published_at' END, CASE WHEN r > cut THEN 'future_retrieved_at' END,
+  CASE WHEN doc_id % 17 <> 0 AND cut - p > 72 * 3600 THEN 'stale_published_at' END,
+  CASE WHEN doc_id % 17 <> 0 AND r < p THEN 'retrieved_before_published' END,
+  CASE WHEN NOT contains(n, q) THEN 'quote_not_in_content' END) END AS reasons
+  FROM ev0),
+ev AS (
+  SELECT claim, doc_id, source || '/' || (n_chars // 40) AS publisher, lower(regexp_extract(n, '^((?:[^ ]+ ){0,4}[^ ]+)', 1)) AS origin,
+    CASE WHEN doc_id % 19 <> 0 THEN source || '/' || n_chars END AS url, sha256(lower(n)) AS hash,
+    CASE WHEN quality = 1 THEN 'supports' WHEN quality = 0 THEN 'contradicts' ELSE 'neutral' END AS stance
+  FROM judged WHERE reasons = '')"""
 
 
 # -- versioned materials and targets ------------------------------------------

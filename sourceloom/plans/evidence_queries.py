@@ -11,37 +11,22 @@ from ..operators import grouping as G
 from . import derive as D
 from .registry import query
 
-_EVIDENCE = """ev0 AS (
-  SELECT d.doc_id, d.lang || '/' || (d.doc_id % 25) AS claim, text,
-    regexp_replace(text, '\\s+', ' ', 'g') AS norm, source, l.quality
-  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
-ev AS (
-  SELECT *, trim(norm) AS n,
-    source || '/' || (doc_id // 40) AS publisher,
-    lower(regexp_extract(trim(norm), '^((?:[^ ]+ ){0,4}[^ ]+)', 1)) AS origin,
-    sha256(lower(trim(norm))) AS hash,
-    CASE WHEN quality = 1 THEN 'supports' WHEN quality = 0 THEN 'contradicts' ELSE 'neutral' END AS stance
-  FROM ev0)"""
+def admitted(t):
+    """Evidence rows that no policy check rejects."""
+    return A.validate_evidence(D.evidence(t), D.claims(t)).filter(F.size("reasons") == 0)
 
 
-def _grouping_keys():
-    c = F.col
-    return {"publisher": fold(norm_ws(c("publisher_group"))), "origin": fold(norm_ws(c("origin_id"))),
-            "url": c("doc_id").cast("string"), "content": content_hash(fold(norm_ws(c("content"))))}
-
-
-
-
-_COMPONENTS = _EVIDENCE + """,
-keyed AS (SELECT claim, doc_id, unnest(['p' || publisher, 'o' || origin, 'h' || hash]) AS k FROM ev),
+# Components by the smallest reachable row: rows meet at the keys they share.
+_WALK = """keyed AS (SELECT {scope} AS claim, doc_id, unnest(['p' || publisher, 'o' || origin, 'h' || hash, 'u' || url]) AS k FROM {rows}),
 edge AS (SELECT DISTINCT a.claim, a.doc_id AS u, b.doc_id AS v FROM keyed a JOIN keyed b ON a.claim = b.claim AND a.k = b.k),
-walk AS (SELECT claim, doc_id AS root, doc_id AS node FROM ev
+walk AS (SELECT DISTINCT claim, doc_id AS root, doc_id AS node FROM keyed
   UNION SELECT w.claim, w.root, e.v FROM walk w JOIN edge e ON e.claim = w.claim AND e.u = w.node),
-comp AS (SELECT claim, node AS doc_id, min(root) AS component FROM walk GROUP BY ALL),
+comp AS (SELECT claim, node AS doc_id, min(root) AS component FROM walk GROUP BY ALL)"""
+
+_COMPONENTS = D.EVIDENCE_SQL + ", " + _WALK.format(scope="claim", rows="ev") + """,
 grp AS (SELECT c.claim, component, bool_or(stance = 'supports') AS s, bool_or(stance = 'contradicts') AS x,
     bool_or(stance = 'neutral') AS n, count(*) AS rows
-  FROM comp c JOIN (SELECT claim, doc_id, CASE WHEN doc_id % 107 = 0 THEN 'maybe' ELSE stance END AS stance FROM ev) e
-    ON e.claim = c.claim AND e.doc_id = c.doc_id GROUP BY ALL)"""
+  FROM comp c JOIN ev e ON e.claim = c.claim AND e.doc_id = c.doc_id GROUP BY ALL)"""
 
 
 @query("F1 F2 F3 G1 G2 A1", D.with_ctes(_COMPONENTS, body="""
@@ -52,7 +37,7 @@ SELECT claim, count(*) FILTER (s) AS supports, count(*) FILTER (x) AS contradict
 FROM grp GROUP BY claim"""))
 def decision_by_independent_sources(t):
     """Claim decision from independent sources, transitive copies collapsed."""
-    return G.independent_decision(D.evidence(t), ["searched_claim"], _grouping_keys()).withColumnRenamed("searched_claim", "claim")
+    return G.independent_decision(admitted(t), ["searched_claim"]).withColumnRenamed("searched_claim", "claim")
 
 
 @query("G1 G2", D.with_ctes(_COMPONENTS, body="""
@@ -60,30 +45,27 @@ SELECT claim, rows, s AS has_supports, x AS has_contradicts, n AS has_neutral, s
   count(*) AS groups FROM grp GROUP BY ALL"""))
 def source_group_sizes(t):
     """Census of source groups per claim by size and stance mix."""
-    signatures, _ = G.source_groups(D.evidence(t), ["searched_claim"], _grouping_keys(), id_col="doc_id",
+    signatures, _ = G.source_groups(admitted(t), ["searched_claim"], G.evidence_keys(), id_col="doc_id",
                                     carry=G.stance_flags())
     groups = G.group_summary(signatures, ["searched_claim"])
     return groups.groupBy(F.col("searched_claim").alias("claim"), "rows", "has_supports", "has_contradicts",
                           "has_neutral", "conflicting").agg(F.count(F.lit(1)).alias("groups"))
 
 
-@query("G1")
+@query("G1", D.with_ctes(D.EVIDENCE_SQL.replace("WHERE reasons = ''", ""), _WALK.format(scope="split_part(claim, '/', 1)", rows="ev"), body="""
+SELECT claim AS lang, count(*) AS groups, max(n) AS largest, sum(n)::BIGINT AS rows
+FROM (SELECT claim, component, count(*) AS n FROM comp GROUP BY ALL) GROUP BY ALL"""))
 def language_source_groups(t):
     """Stress case: one scope per language, so large components and long chains occur."""
     ev = D.evidence(t).withColumn("lang", F.split("searched_claim", "/")[0])
-    signatures, _ = G.source_groups(ev, ["lang"], _grouping_keys(), id_col="doc_id", carry=G.stance_flags())
+    signatures, _ = G.source_groups(ev, ["lang"], G.evidence_keys(), id_col="doc_id", carry=G.stance_flags())
     return G.group_summary(signatures, ["lang"]).groupBy("lang").agg(
         F.count(F.lit(1)).alias("groups"), F.max("rows").alias("largest"), F.sum("rows").alias("rows"))
 
 
-_ROUND_COMPONENTS = _EVIDENCE + """,
-vis AS (SELECT claim || '#' || r AS claim, doc_id, publisher, origin, hash,
-    CASE WHEN doc_id % 107 = 0 THEN 'maybe' ELSE stance END AS stance FROM ev, (VALUES (1), (2), (3)) v(r) WHERE doc_id % 3 + 1 <= r),
-keyed AS (SELECT claim, doc_id, unnest(['p' || publisher, 'o' || origin, 'h' || hash]) AS k FROM vis),
-edge AS (SELECT DISTINCT a.claim, a.doc_id AS u, b.doc_id AS v FROM keyed a JOIN keyed b ON a.claim = b.claim AND a.k = b.k),
-walk AS (SELECT claim, doc_id AS root, doc_id AS node FROM vis
-  UNION SELECT w.claim, w.root, e.v FROM walk w JOIN edge e ON e.claim = w.claim AND e.u = w.node),
-comp AS (SELECT claim, node AS doc_id, min(root) AS component FROM walk GROUP BY ALL),
+_ROUND_COMPONENTS = D.EVIDENCE_SQL + """,
+vis AS (SELECT claim || '#' || r AS claim, doc_id, publisher, origin, hash, url, stance FROM ev, (VALUES (1), (2), (3)) v(r) WHERE doc_id % 3 + 1 <= r), """ \
+    + _WALK.format(scope="claim", rows="vis") + """,
 grp AS (SELECT c.claim, component, bool_or(stance = 'supports') AS s, bool_or(stance = 'contradicts') AS x
   FROM comp c JOIN vis e ON e.claim = c.claim AND e.doc_id = c.doc_id GROUP BY ALL),
 dec AS (SELECT split_part(claim, '#', 1) AS claim, CAST(split_part(claim, '#', 2) AS BIGINT) AS upto_round,
@@ -94,8 +76,8 @@ dec AS (SELECT split_part(claim, '#', 1) AS claim, CAST(split_part(claim, '#', 2
 
 
 def _rounds(t):
-    ev = D.evidence(t).withColumn("round", (F.col("doc_id") % 3 + 1).cast("int"))
-    return G.decision_per_round(ev, "searched_claim", "round", 3, _grouping_keys())
+    ev = admitted(t).withColumn("round", (F.col("doc_id") % 3 + 1).cast("int"))
+    return G.decision_per_round(ev, "searched_claim", "round", 3)
 
 
 @query("W2", D.with_ctes(_ROUND_COMPONENTS, body="SELECT claim, upto_round, supports, contradicts, decision FROM dec"))
@@ -119,21 +101,7 @@ def policy_single_pass_vs_loop(t):
         F.count(F.lit(1)).alias("claims"), F.count_if(F.col("single_pass") == F.col("loop")).alias("same"))
 
 
-@query("F1 F2 F3 X1 X16 X20 X22", """
-WITH e AS (
-  SELECT doc_id, 1704067200 + (doc_id % 400) * 3600 AS p, 1704067200 + (doc_id % 400 + doc_id % 5 - 1) * 3600 AS r,
-    1705147200 AS cut, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS n,
-    trim(regexp_replace(CASE WHEN doc_id % 13 = 0 THEN 'no such words ~' ELSE substr(text, 3, 40) END, '\\s+', ' ', 'g')) AS q
-  FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 103 = 0 OR q = '' THEN concat_ws(',', CASE WHEN doc_id % 103 = 0 THEN 'missing_or_empty_id' END,
-    CASE WHEN q = '' THEN 'missing_or_empty_quote' END) ELSE concat_ws(',',
-  CASE WHEN doc_id % 101 = 0 THEN 'claim_id_mismatch' END, CASE WHEN doc_id % 107 = 0 THEN 'invalid_stance' END,
-  CASE WHEN doc_id % 19 = 0 THEN 'invalid_url' END, CASE WHEN doc_id % 17 = 0 THEN 'invalid_published_at' END,
-  CASE WHEN doc_id % 17 <> 0 AND p > cut THEN 'future_published_at' END, CASE WHEN r > cut THEN 'future_retrieved_at' END,
-  CASE WHEN doc_id % 17 <> 0 AND cut - p > 72 * 3600 THEN 'stale_published_at' END,
-  CASE WHEN doc_id % 17 <> 0 AND r < p THEN 'retrieved_before_published' END,
-  CASE WHEN NOT contains(n, q) THEN 'quote_not_in_content' END) END AS reasons
-FROM e""")
+@query("F1 F2 F3 X1 X16 X20 X22", D.with_ctes(D.EVIDENCE_SQL, body="SELECT doc_id, reasons FROM judged"))
 def evidence_reject_reasons(t):
     """Reason codes of every evidence row under the admission policy."""
     out = A.validate_evidence(D.evidence(t), D.claims(t))

@@ -17,15 +17,6 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, name: str, key: str, *columns: str) -> DataFrame:
-        """A table for CPU-heavy text work: a file that yields fewer tasks than cores is hashed out.
-
-        Input with enough splits, the normal case on a cluster, is left as it is.
-        """
-        df = self(name).select(key, *columns) if columns else self(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
 
 @dataclass(frozen=True)
 class Query:

@@ -69,7 +69,7 @@ def snapshot_flatten(t):
 @query("S5")
 def page_text(t):
     """Visible text, title and publication time of every page."""
-    out = PG.documents_from_pages(t.spread("pages", "page_id"))
+    out = PG.documents_from_pages(t("pages"))
     return out.select("page_id", "title", F.sha2("content", 256).alias("content_hash"), F.length("content").alias("chars"), "published_at")
 
 
@@ -94,7 +94,7 @@ k AS (SELECT DISTINCT page_id, root || replace(replace(replace(replace(url_encod
 @query("S6", f"WITH {_LINKS} SELECT page_id, url, text FROM k")
 def page_links(t):
     """Resolved links with anchor text, once per page."""
-    links = PG.page_links(t.spread("pages", "page_id"), "page_id")
+    links = PG.page_links(t("pages"), "page_id")
     return links.select("page_id", "url", "text")
 
 
@@ -143,7 +143,7 @@ SELECT page_id, count(DISTINCT url) + 1 AS keys FROM k GROUP BY page_id""")
 def link_index(t):
     """Observed comparison keys per page: parsed links and literal text links."""
     from ..operators.lineage import observed_links
-    pages = t.spread("pages", "page_id")
+    pages = t("pages")
     vid = F.col("page_id").alias("version_id")
     links = PG.page_links(pages, "page_id").select(F.col("page_id").alias("version_id"), "url")
     text = pages.select(vid, F.concat(F.lit("see https://cited.example.org/"), "page_id", F.lit(" for more")).alias("content"))
@@ -195,7 +195,7 @@ SELECT doc_id, CASE WHEN num < 1000 THEN 'p' || lpad(num::VARCHAR, 3, '0') ELSE
 UNION ALL SELECT doc_id, 'p001', 0, length(text), sha256(text) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM g) AND trim(text) <> ''""")
 def passages(t):
     """Sentence passages with exact offsets."""
-    out = sentence_passages(t.spread("documents", "doc_id", "text"), "doc_id", "text")
+    out = sentence_passages(t("documents").select("doc_id", "text"), "doc_id", "text")
     return out.select("doc_id", "passage_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.sha2("text", 256).alias("text_hash"))
 
 
@@ -358,7 +358,7 @@ def _claim_text(t):
     n = F.floor("o_totalprice").cast("long")
     name = F.translate(F.col("o_custkey").cast("string"), "0123456789", "abcdefghij")
     base = F.concat(F.lit("Company"), name, F.lit(" shipped "))
-    return t.spread("orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").select(
+    return t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").select(
         i, "o_orderdate", n.alias("n"), (F.when(i % 6 == 0, F.concat(base, F.lit("more than "), n, F.lit(" units before "), F.date_format("o_orderdate", "MMMM yyyy")))
         .when(i % 6 == 1, F.concat(base, F.format_number(n, 0), F.lit(" boxes at $5 each"))).when(i % 6 == 2, F.concat(F.lit("The office may not open if rates exceed "), n, F.lit(" percent")))
         .when(i % 6 == 3, F.concat(base, F.lit("at most "), n, F.lit(" kilograms per day; it was paid"))).when(i % 6 == 4, F.concat(base, F.lit("goods and Partner"), name, F.lit(" paid taxes in "), F.year("o_orderdate")))
@@ -418,9 +418,23 @@ def time_contradictions(t):
     return t("orders").select("o_orderkey", C.time_contradiction(probe, basis).alias("contradicted"))
 
 
-@query("X31 X32")
+_CLAIM_SQL = """c AS (
+  SELECT o_orderkey AS claim_id, CASE o_orderkey % 6
+    WHEN 0 THEN b || 'more than ' || n || ' units before ' || strftime(o_orderdate, '%B %Y') WHEN 1 THEN b || format('{:,}', n) || ' boxes at $5 each'
+    WHEN 2 THEN 'The office may not open if rates exceed ' || n || ' percent' WHEN 3 THEN b || 'at most ' || n || ' kilograms per day; it was paid'
+    WHEN 4 THEN b || 'goods and Partner' || name || ' paid taxes in ' || year(o_orderdate) ELSE b || 'goods according to the ministry' END AS text
+  FROM (SELECT *, floor(o_totalprice)::BIGINT AS n, translate(o_custkey::VARCHAR, '0123456789', 'abcdefghij') AS name,
+          'Company' || translate(o_custkey::VARCHAR, '0123456789', 'abcdefghij') || ' shipped ' AS b FROM orders))"""
+
+
+# Of these sentences only the semicolon separates: the conditional and the compound with a shared year stay whole.
+@query("X31 X32", D.with_ctes(_CLAIM_SQL, """s AS (
+  SELECT claim_id, text, unnest(string_split(text, ';')) AS part, generate_subscripts(string_split(text, ';'), 1) AS k FROM c),
+p AS (SELECT claim_id, trim(part) AS probe, CASE WHEN k = 1 THEN 0 ELSE strpos(text, ';') + 1 END AS start FROM s)""", body="""
+SELECT claim_id, claim_id || ':probe:' || substr(sha256(claim_id || '|' || start || '|' || probe), 1, 20) AS probe_id,
+  start::INT AS "start", (start + length(probe))::INT AS "end", NULL::VARCHAR AS reason FROM p"""))
 def claim_probes(t):
-    """Claims split into probes with exact offsets; ambiguous and oversized claims are rejects."""
+    """Claims split into probes with exact offsets; ambiguous claims are rejects."""
     probes, rejects = P.claim_probes(_claim_text(t).select(F.col("o_orderkey").alias("claim_id"), "text"))
     good = probes.select("claim_id", "probe_id", "start", "end", F.lit(None).cast("string").alias("reason"))
     return good.unionByName(rejects.select("claim_id", F.lit(None).cast("string").alias("probe_id"), F.lit(None).cast("int").alias("start"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", "1m")  # small test files still give a task to every core
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -43,18 +45,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 200_000, max_chars: int = 64_000_000) -> DataFrame:
-    """Broadcast only when the counted rows and text sizes hold; otherwise leave the join to shuffle."""
-    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    size = sum((F.coalesce(F.sum(F.length(c)), F.lit(0)) for c in texts), F.lit(0))
-    head = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), size.alias("chars")).first()
-    return F.broadcast(df) if head["n"] <= max_rows and head["chars"] <= max_chars else df
-
-
-def fingerprint_rows(df: DataFrame, *columns: str) -> tuple[int, int]:
-    """Row count and an order-free checksum, used to detect a fixed point."""
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.bit_xor(F.xxhash64(*columns)), F.lit(0)).alias("x"),
-    ).first()
-    return row["n"], row["x"]
+def cut_counted(df: DataFrame, *columns: str) -> tuple[DataFrame, tuple[int, int]]:
+    """``cut`` with the row count and an order-free checksum, both taken while the rows are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*columns)), F.lit(0)).alias("x")))
+    return out, (seen.get["n"], seen.get["x"])

@@ -57,9 +57,19 @@ def test_components_match_union_find(spark):
     edges += [("hub", f"leaf{i:03d}") for i in range(150)]                 # a hot centre
     want = {k: v for k, v in union_find([(a, b) for a, b in edges if a != b]).items() if k != v}
     df = spark.createDataFrame(edges, "u string, v string")
-    for hot in (1_000_000, 20):
-        got = {r["node"]: r["component"] for r in G.connected(df, hot_rows=hot).collect()}
-        assert got == want
+    assert {r["node"]: r["component"] for r in G.connected(df).collect()} == want
+
+
+def test_admitted_copies_fold_and_addresses_join(spark):
+    """Exact copies become one signature before the graph, and a shared address alone joins two rows."""
+    from sourceloom.plans.evidence_queries import admitted
+    from sourceloom.plans.registry import Tables
+    rows = admitted(Tables(spark, "/root/testdata/sf0.1"))
+    signatures, _ = G.source_groups(rows, ["searched_claim"], G.evidence_keys(), id_col="doc_id", carry=G.stance_flags())
+    assert signatures.count() < rows.count()
+    two = [row("c", 1, "e1", "supports", "p1", "o1"), row("c", 1, "e2", "supports", "p2", "o2")]
+    apart, joined = decisions(spark, two, 1), decisions(spark, [(*r[:5], "https://a.example.org/x?utm_source=" + r[3], *r[6:]) for r in two], 1)
+    assert apart["c", 1]["supports"] == 2 and joined["c", 1]["supports"] == 1
 
 
 def test_grouping_ignores_row_order(spark):
@@ -115,7 +125,9 @@ def test_language_groups_against_union_find(spark):
     edges = []
     for d in docs:
         text = " ".join(d["text"].split())
-        keys = ("p", f"{d['source']}/{d['doc_id'] // 40}"), ("o", " ".join(text.split(" ")[:5]).lower()), ("h", hashlib.sha256(text.lower().encode()).hexdigest())
+        keys = ("p", f"{d['source']}/{d['n_chars'] // 40}"), ("o", " ".join(text.split(" ")[:5]).lower()), ("h", hashlib.sha256(text.lower().encode()).hexdigest())
+        if d["doc_id"] % 19:
+            keys += (("u", f"{d['source']}/{d['n_chars']}"),)
         edges += [((d["lang"], "d", str(d["doc_id"])), (d["lang"], *k)) for k in keys]
     roots = union_find(edges)
     want = {}
