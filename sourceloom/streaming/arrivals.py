@@ -1,21 +1,27 @@
 """Arriving versions and gap events as Structured Streaming jobs.
 
-State is kept by the built-in streaming aggregate, by ``applyInPandasWithState``
-or as tables that ``foreachBatch`` extends; each job has a batch twin with the
-same answer.
+State is kept by the built-in streaming aggregate or as tables that
+``foreachBatch`` extends; each job has a batch twin with the same answer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.admission import material_fingerprint, with_eligibility
+from ..operators.admission import with_eligibility
 from ..operators.skew import split_lookup
+from ..session import cut
+
+
+def _before(spark, path: str, schema: str, batch_id: int) -> DataFrame:
+    """Rows that earlier batches wrote to a table partitioned by batch: one scan, however many batches there were."""
+    empty = spark.createDataFrame([], f"{schema}, n int")
+    rows = spark.read.schema(empty.schema).option("basePath", path).parquet(path) if batch_id else empty
+    return rows.filter(F.col("n") < batch_id).drop("n")
+
 
 def classified_batches(path: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` job: first, duplicate or collision for every arriving version.
@@ -27,17 +33,14 @@ def classified_batches(path: str) -> Callable[[DataFrame, int], None]:
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = spark.createDataFrame([], "version_id string, fingerprint string, at long")
-        for n in range(batch_id):
-            seen = seen.unionByName(spark.read.schema(seen.schema).parquet(f"{path}/first/n={n}"))
+        seen = _before(spark, f"{path}/first", "version_id string, fingerprint string, at long", batch_id)
         own = batch.groupBy("version_id").agg(F.min_by("fingerprint", "position").alias("fingerprint"), F.min("position").alias("at"),
                                               F.count(F.lit(1)).alias("rows"))
-        new = own.join(seen.select("version_id"), "version_id", "left_anti")
-        new.drop("rows").write.mode("overwrite").parquet(f"{path}/first/n={batch_id}")
-        known = own.select("version_id", "rows").join(seen.unionByName(spark.read.parquet(f"{path}/first/n={batch_id}")), "version_id") \
-            .withColumnRenamed("fingerprint", "_fp")
+        known = cut(own.join(seen.select("version_id", F.col("fingerprint").alias("_old"), F.col("at").alias("_at")), "version_id", "left"))
+        known.filter("_at IS NULL").select("version_id", "fingerprint", "at").write.mode("overwrite").parquet(f"{path}/first/n={batch_id}")
+        first = known.select("version_id", "rows", F.coalesce("_old", "fingerprint").alias("_fp"), F.coalesce("_at", "at").alias("at"))
         kind = F.when(F.col("position") == F.col("at"), "first").when(F.col("fingerprint") == F.col("_fp"), "duplicate").otherwise("collision")
-        out = split_lookup(batch, known, ["version_id"], "rows").withColumn("arrival", kind)
+        out = split_lookup(batch, first, ["version_id"], "rows").withColumn("arrival", kind)
         out.select("version_id", "position", "arrival").write.mode("overwrite").parquet(f"{path}/arrivals/n={batch_id}")
     return write
 
@@ -60,24 +63,26 @@ def gap_ledger_stream(events: DataFrame) -> DataFrame:
     return last.withColumn("state", F.when(F.col("last_open") > F.col("last_close"), "open").otherwise("closed"))
 
 
-GATE_OUT = "target_id string, round long, fingerprint string, verified boolean"
-
+def gated_batches(path: str, block: int = 10_000) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` job: verify a round only when its input fingerprint changed since the last one.
 
-def _gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values("round")
-    flags = []
-    for fp in rows["fingerprint"]:
-        flags.append(fp != last)
-        last = fp
-    state.update((last,))
-    yield pd.DataFrame({"target_id": key[0], "round": rows["round"].values, "fingerprint": rows["fingerprint"].values, "verified": flags})
-
-
-def input_gate_stream(rounds: DataFrame) -> DataFrame:
-    """Verify a round only when its input fingerprint changed since the last one."""
-    return rounds.select("target_id", "round", "fingerprint").groupBy("target_id").applyInPandasWithState(
-        _gate, GATE_OUT, "fingerprint string", "append", GroupStateTimeout.NoTimeout)
+    ``rounds(target_id, round, fingerprint)``.  Inside a batch the previous
+    fingerprint comes from windows over blocks of rounds; the first round of a
+    target compares with the last fingerprint that the batch before left, one
+    row per target.  A replayed batch reads the same state and overwrites its own.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        state = "target_id string, round long, fingerprint string"
+        empty = spark.createDataFrame([], state)
+        last = spark.read.schema(empty.schema).parquet(f"{path}/last/{batch_id - 1}") if batch_id else empty
+        rows = batch.select("target_id", "round", "fingerprint")
+        marked = last.withColumn("old", F.lit(True)).unionByName(rows.withColumn("old", F.lit(False))).withColumn("block", F.floor(F.col("round") / block))
+        flagged = input_gate(marked, "block").filter("NOT old")
+        flagged.select("target_id", "round", "fingerprint", "verified").write.mode("overwrite").parquet(f"{path}/rounds/n={batch_id}")
+        last.unionByName(rows).groupBy("target_id").agg(F.max("round").alias("round"), F.max_by("fingerprint", "round").alias("fingerprint")) \
+            .write.mode("overwrite").parquet(f"{path}/last/{batch_id}")
+    return write
 
 
 def input_gate(rounds: DataFrame, bucket: str) -> DataFrame:
@@ -112,15 +117,6 @@ def processed_ledger(path: str) -> Callable[[DataFrame, int], None]:
     A replayed batch overwrites its own folder, so a restart adds nothing twice.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        prior = [f"{path}/batch={n}" for n in range(batch_id)]
-        known = spark.createDataFrame([], "version_id string")
-        for folder in prior:
-            known = known.unionByName(spark.read.parquet(folder).select("version_id"))
-        unprocessed(batch, known).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        known = _before(batch.sparkSession, path, "version_id string", batch_id)
+        unprocessed(batch, known).write.mode("overwrite").parquet(f"{path}/n={batch_id}")
     return write
-
-
-def fingerprinted(materials: DataFrame, position: str) -> DataFrame:
-    """Arrival rows of materials: id, immutable fingerprint and arrival position."""
-    return materials.select("version_id", material_fingerprint(with_id=False).alias("fingerprint"), F.col(position).alias("position"))
