@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import search_terms
@@ -64,47 +65,44 @@ def candidates(tasks: DataFrame, materials: DataFrame, returned: DataFrame) -> D
 def greedy_cover(tasks: DataFrame, options: DataFrame, capacity: int) -> DataFrame:
     """Choose at most ``capacity`` versions per pool so that tasks are covered early.
 
-    One pass serves every pool at once: the most constrained pending task is
-    picked by a minimum, then its option that covers most pending tasks.  Exact
+    One pass serves every pool at once, by windows inside a pool: the most
+    constrained pending task is picked, then its option that covers most pending
+    tasks.  Exact
     tasks (fetch, reanalyse) are covered before searches, and leftover capacity
     is filled in task order.  Returns (pool_id, version_id, pick).
     """
     ranked = tasks.withColumn("_rank", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(task_order())])) \
         .withColumn("_exact", (F.col("action") != "search").cast("int"))
-    pairs = cut(options.distinct().join(ranked.select("pool_id", "task_id", "_rank", "_exact"), ["pool_id", "task_id"]))
-    sizes = pairs.groupBy("pool_id", "task_id").agg(F.count(F.lit(1)).alias("_size"))
-    pairs = cut(pairs.join(sizes, ["pool_id", "task_id"]))
-    chosen = None
-    for phase in (1, 0):
-        for _ in range(capacity):
-            pending, free = pairs, pairs
-            counts = None
-            if chosen is not None:
-                done = pairs.join(chosen.select("pool_id", "version_id"), ["pool_id", "version_id"], "left_semi")
-                pending = pairs.join(done.select("pool_id", "task_id").distinct(), ["pool_id", "task_id"], "left_anti")
-                free = pending.join(chosen.select("pool_id", "version_id"), ["pool_id", "version_id"], "left_anti")
-                counts = chosen.groupBy("pool_id").agg(F.count(F.lit(1)).alias("_used"))
-            free = free.filter(F.col("_exact") == phase)
-            if counts is not None:
-                free = free.join(counts, "pool_id", "left").filter(F.coalesce("_used", F.lit(0)) < capacity)
-            pick = free.groupBy("pool_id").agg(F.min(F.struct("_size", "_rank", "task_id")).alias("_t")).select("pool_id", F.col("_t.task_id").alias("task_id"))
-            covers = pending.filter(F.col("_exact") == phase).groupBy("pool_id", "version_id").agg(F.count_distinct("task_id").alias("_covers"))
-            best = free.join(pick, ["pool_id", "task_id"]).join(covers, ["pool_id", "version_id"]).groupBy("pool_id").agg(
-                F.min(F.struct((-F.col("_covers")).alias("c"), F.col("version_id").alias("v"))).alias("_b"))
-            number = F.lit(1) if counts is None else F.coalesce("_used", F.lit(0)) + 1
-            chose = best if counts is None else best.join(counts, "pool_id", "left")
-            step = cut(chose.select("pool_id", F.col("_b.v").alias("version_id"), number.cast("int").alias("pick")))
-            if step.isEmpty():
-                break
-            chosen = step if chosen is None else chosen.unionByName(step)
-    return fill_capacity(pairs, chosen, capacity)
-
-
-def fill_capacity(pairs: DataFrame, chosen: DataFrame | None, capacity: int) -> DataFrame:
+    pool, of_task, of_version = (W.partitionBy("pool_id", *more) for more in ([], ["task_id"], ["version_id"]))
+    pairs = options.distinct().join(ranked.select("pool_id", "task_id", "_rank", "_exact"), ["pool_id", "task_id"])
+    # one partitioning by pool serves every pass: the state of tasks, versions and pools travels in the rows
+    state = cut(pairs.repartition("pool_id").select(
+        "pool_id", "task_id", "version_id", "_rank", "_exact", F.count(F.lit(1)).over(of_task).alias("_size"),
+        F.lit(False).alias("_covered"), F.lit(0).alias("_picks"), F.lit(None).cast("int").alias("pick")))
+    c = F.col
+    for _ in range(capacity):
+        free = ~c("_covered") & c("pick").isNull() & (c("_picks") < capacity)
+        step = state.withColumn("_phase", F.max(F.when(free, c("_exact"))).over(pool)) \
+            .withColumn("_active", F.coalesce(free & (c("_exact") == c("_phase")), F.lit(False))) \
+            .withColumn("_task", F.min(F.when(c("_active"), F.struct("_size", "_rank", "task_id"))).over(pool)) \
+            .withColumn("_covers", F.count(F.when(~c("_covered") & (c("_exact") == c("_phase")), 1)).over(of_version)) \
+            .withColumn("_best", F.min(F.when(c("_active") & (c("task_id") == c("_task")["task_id"]),
+                                              F.struct((-c("_covers")).alias("n"), c("version_id").alias("v")))).over(pool)["v"]) \
+            .withColumn("_hit", F.coalesce(c("version_id") == c("_best"), F.lit(False))) \
+            .withColumn("pick", F.when(c("_hit"), c("_picks") + 1).otherwise(c("pick"))) \
+            .withColumn("_covered", c("_covered") | F.max("_hit").over(of_task)) \
+            .withColumn("_picks", c("_picks") + c("_best").isNotNull().cast("int"))
+        open_pools = Observation()
+        state = cut(step.observe(open_pools, F.count_if(c("_hit")).alias("n")).select(*state.columns))
+        if not open_pools.get["n"]:
+            break
+    chosen = state.filter("pick IS NOT NULL").select("pool_id", "version_id", "pick").distinct()
+    return fill_capacity(state, chosen, capacity)
+
+
+def fill_capacity(pairs: DataFrame, chosen: DataFrame, capacity: int) -> DataFrame:
     """Give leftover capacity to remaining options in task order, then version order."""
     left = pairs.groupBy("pool_id", "version_id").agg(F.min("_rank").alias("_rank"))
-    if chosen is None:
-        return top_k(left, ["pool_id"], [F.col("_rank"), F.col("version_id")], capacity, "pick").select("pool_id", "version_id", "pick")
     used = chosen.groupBy("pool_id").agg(F.max("pick").alias("_used"))
     spare = left.join(chosen.select("pool_id", "version_id"), ["pool_id", "version_id"], "left_anti")
     spare = top_k(spare, ["pool_id"], [F.col("_rank"), F.col("version_id")], capacity, "_n").join(used, "pool_id", "left")
