@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
+from ..functions.let import let
 from ..functions.text import norm_ws
 from ..operators import admission as A
 from ..operators import audits as U
@@ -13,18 +14,18 @@ from .registry import query
 
 
 def _spans(t):
-    """Two spans per document; every fifth one is shifted by a character."""
+    """A span at the start and one in the middle of every document; every fifth one is shifted by a character."""
     i = F.col("doc_id")
     d = t("documents").select("doc_id", "text").withColumn("j", F.explode(F.array(F.lit(0), F.lit(1))))
-    start = F.col("j") * 20 + i % 7
+    start = F.col("j") * F.floor(F.length("text") / 2) + i % 7
     shift = F.when((i + F.col("j")) % 5 == 0, 1).otherwise(0)
     return d.select(
-        i.alias("finding_id"), D.vid(i).alias("version_id"), (start + shift).cast("int").alias("start"), (start + shift + 15).cast("int").alias("end"),
+        i.alias("finding_id"), "j", D.vid(i).alias("version_id"), (start + shift).cast("int").alias("start"), (start + shift + 15).cast("int").alias("end"),
         F.col("text").substr((start + 1).cast("int"), F.lit(15)).alias("quote"))
 
 
-_SPANS = """sp AS (SELECT doc_id AS finding_id, 'v' || doc_id AS version_id, j, j * 20 + doc_id % 7 + CASE WHEN (doc_id + j) % 5 = 0 THEN 1 ELSE 0 END AS s,
-    substr(text, j * 20 + doc_id % 7 + 1, 15) AS quote, text FROM documents, (VALUES (0), (1)) v(j)),
+_SPANS = """sp AS (SELECT doc_id AS finding_id, 'v' || doc_id AS version_id, j, j * (length(text) // 2) + doc_id % 7 + CASE WHEN (doc_id + j) % 5 = 0 THEN 1 ELSE 0 END AS s,
+    substr(text, j * (length(text) // 2) + doc_id % 7 + 1, 15) AS quote, text FROM documents, (VALUES (0), (1)) v(j)),
 ck AS (SELECT *, s + 15 <= length(text) AND substr(text, s + 1, 15) = quote AS ok FROM sp)"""
 
 
@@ -45,7 +46,7 @@ def basis_rules(t):
     return out.select("finding_id", "spans", F.array_join("reasons", ",").alias("reasons"))
 
 
-_QUOTE = "substr(text, 2 + doc_id % 5, 3 + doc_id % 12)"
+_QUOTE = "substr(text, 2 + length(text) // 3, 3 + doc_id % 12)"
 
 
 @query("F9 X1", f"""
@@ -54,19 +55,19 @@ FROM (SELECT doc_id, text, {_QUOTE} AS q FROM documents)""")
 def unique_quotes(t):
     """Zero-based offset of a quote and whether it occurs exactly once, overlaps counted."""
     i = F.col("doc_id")
-    q = F.col("text").substr((2 + i % 5).cast("int"), (3 + i % 12).cast("int"))
+    q = F.col("text").substr((2 + F.floor(F.length("text") / 3)).cast("int"), (3 + i % 12).cast("int"))
     return t("documents").select("doc_id", S.first_index(q, F.col("text")).cast("long").alias("start"), S.occurs_once(q, F.col("text")).alias("once"))
 
 
 @query("F10 N10", """
 WITH b AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS n FROM documents),
-q AS (SELECT doc_id, n, trim(substr(n, 11, 70)) AS q FROM b),
+q AS (SELECT doc_id, n, trim(substr(n, 1 + length(n) // 4, 70)) AS q FROM b),
 k AS (SELECT doc_id, q, instr(substr(n, instr(n, q) + 1), q) = 0 AS once FROM q)
 SELECT doc_id, CASE WHEN q <> '' AND once THEN q END AS recovered FROM k""")
 def quote_recovery(t):
     """Source text of a quote whose line breaks and runs of spaces were changed by the writer."""
     x = F.col("text")
-    quote = F.replace(F.trim(F.substring(norm_ws(x), 11, 70)), F.lit(" "), F.lit("\n "))
+    quote = F.replace(F.trim(let(norm_ws(x), lambda n: n.substr((1 + F.floor(F.length(n) / 4)).cast("int"), F.lit(70)))), F.lit(" "), F.lit("\n "))
     return t("documents").select("doc_id", "text").select("doc_id", norm_ws(S.recovered_text(quote, x)).alias("recovered"))
 
 
@@ -76,34 +77,36 @@ def offset_repair(t):
     """Given offsets when valid, else those of the verbatim unique quote."""
     rows = _spans(t).join(D.materials(t).select("version_id", "content"), "version_id")
     fixed = S.repaired_start(F.col("start"), F.col("end"), F.col("quote"), F.col("content"))
-    j = F.when(F.col("start") >= 20, 1).otherwise(0)
-    return rows.select("finding_id", j.cast("long").alias("j"), fixed.cast("long").alias("start"))
+    return rows.select("finding_id", F.col("j").cast("long").alias("j"), fixed.cast("long").alias("start"))
 
 
 @query("F12", """
 SELECT doc_id, CASE WHEN q <> '' AND instr(p, q) > 0 AND instr(substr(p, instr(p, q) + 1), q) = 0 THEN instr(p, q) - 1 END AS qualifier_offset
-FROM (SELECT doc_id, substr(text, 5, 80) AS p, substr(text, 20 + doc_id % 40, 2 + doc_id % 5) AS q FROM documents)""")
+FROM (SELECT doc_id, text AS p, substr(text, 1 + length(text) // 2, 2 + doc_id % 5) AS q FROM documents)""")
 def qualifier_spans(t):
     """Qualifier located once inside its parent quote."""
     i, x = F.col("doc_id"), F.col("text")
-    q = x.substr((20 + i % 40).cast("int"), (2 + i % 5).cast("int"))
-    return t("documents").select("doc_id", S.qualifier_offset(x.substr(5, 80), q).cast("long").alias("qualifier_offset"))
+    q = x.substr((1 + F.floor(F.length(x) / 2)).cast("int"), (2 + i % 5).cast("int"))
+    return t("documents").select("doc_id", S.qualifier_offset(x, q).cast("long").alias("qualifier_offset"))
 
 
 @query("X12", """
-WITH q AS (SELECT doc_id, text, substr(text, 1, 12) AS a, CASE WHEN doc_id % 2 = 0 THEN ltrim(substr(text, 13, 12)) ELSE substr(text, 30, 12) END AS b FROM documents)
-SELECT doc_id, coalesce(a <> '' AND b <> '' AND instr(text, b) > 0 AND instr(substr(text, 2), a) = 0 AND instr(substr(text, instr(text, b) + 1), b) = 0
-  AND instr(text, b) - 13 BETWEEN 0 AND 8 AND trim(replace(substr(text, 13, instr(text, b) - 13), chr(10), '')) = '', false) AS adjacent FROM q""")
+WITH q AS (SELECT doc_id, text, substr(text, 1 + length(text) // 3, 12) AS a,
+    CASE WHEN doc_id % 2 = 0 THEN ltrim(substr(text, 13 + length(text) // 3, 12)) ELSE substr(text, 30 + length(text) // 3, 12) END AS b FROM documents),
+k AS (SELECT *, instr(text, a) AS pa, instr(text, b) AS pb FROM q)
+SELECT doc_id, coalesce(a <> '' AND b <> '' AND pb > 0 AND instr(substr(text, pa + 1), a) = 0 AND instr(substr(text, pb + 1), b) = 0
+  AND pb - pa - length(a) BETWEEN 0 AND 8 AND trim(replace(substr(text, pa + length(a), pb - pa - length(a)), chr(10), '')) = '', false) AS adjacent FROM k""")
 def adjacent_quotes(t):
     """Two unique quotes with nothing but a little whitespace between them."""
     x = F.col("text")
-    b = F.when(F.col("doc_id") % 2 == 0, F.ltrim(x.substr(13, 12))).otherwise(x.substr(30, 12))
-    return t("documents").select("doc_id", F.coalesce(S.adjacent_quotes(x.substr(1, 12), b, x), F.lit(False)).alias("adjacent"))
+    part = lambda skip: x.substr((skip + F.floor(F.length(x) / 3)).cast("int"), F.lit(12))
+    b = F.when(F.col("doc_id") % 2 == 0, F.ltrim(part(13))).otherwise(part(30))
+    return t("documents").select("doc_id", F.coalesce(S.adjacent_quotes(part(1), b, x), F.lit(False)).alias("adjacent"))
 
 
 _CITE = D.MATERIALS_SQL + f""", m AS (SELECT *, {D.ELIGIBILITY_SQL} = '' AS eligible FROM (SELECT *, 1705500000 AS as_of FROM materials)),
-sp AS (SELECT doc_id AS o, CASE WHEN doc_id % 23 = 0 THEN 'v?' ELSE version_id END AS version_id, substr(content, 1 + j * 9, 8 + j * 20) AS quote, j,
-    CASE WHEN j = 1 THEN 9 + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END END AS st FROM materials, (VALUES (0), (1)) v(j) WHERE doc_id % 10 <> 0),
+sp AS (SELECT doc_id AS o, CASE WHEN doc_id % 23 = 0 THEN 'v?' ELSE version_id END AS version_id, substr(content, 1 + j * (length(content) // 2), 8 + j * 20) AS quote, j,
+    CASE WHEN j = 1 THEN length(content) // 2 + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END END AS st FROM materials, (VALUES (0), (1)) v(j) WHERE doc_id % 10 <> 0),
 ck AS (SELECT sp.*, coalesce(instr(content, quote) > 0 AND quote <> '', false) AS exact,
     coalesce(quote <> '' AND instr(content, quote) > 0 AND instr(substr(content, instr(content, quote) + 1), quote) = 0, false) AS uniq, coalesce(eligible, false) AS elig,
     CASE WHEN st IS NULL THEN true ELSE coalesce(quote <> '' AND st = instr(content, quote) - 1, false) END AS off FROM sp LEFT JOIN m ON m.version_id = sp.version_id),
@@ -120,8 +123,9 @@ def citation_audit(t):
     pool = A.with_eligibility(m.withColumn("as_of", D.ts(F.lit(1705500000)))).select("version_id", "content", (F.size("reasons") == 0).alias("eligible"))
     rows = m.filter(i % 10 != 0).withColumn("j", F.explode(F.array(F.lit(0), F.lit(1))))
     j = F.col("j")
-    quote = F.col("content").substr(1 + j * 9, 8 + j * 20)
-    start = F.when(j == 1, 9 + F.when(i % 4 == 0, 1).otherwise(0))
+    middle = F.floor(F.length("content") / 2).cast("int")
+    quote = F.col("content").substr(1 + j * middle, 8 + j * 20)
+    start = F.when(j == 1, middle + F.when(i % 4 == 0, 1).otherwise(0))
     spans = rows.select(i.alias("output_id"), F.when(i % 23 == 0, "v?").otherwise(F.col("version_id")).alias("version_id"), quote.alias("quote"),
                         start.alias("start"), (start + F.length(quote)).alias("end"))
     outputs = m.select(i.alias("output_id"), F.when(i % 20 == 0, "unresolved").otherwise("supported").alias("verdict"),
