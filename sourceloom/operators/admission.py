@@ -265,6 +265,19 @@ def claim_packets(targets: DataFrame, materials: DataFrame) -> DataFrame:
     return out.withColumn("packet_ok", F.col("origin_versions") == 1)
 
 
+def packet_inventory(targets: DataFrame, materials: DataFrame) -> DataFrame:
+    """The rows behind ``claim_packets``: every version a target may see, and which one is its own source."""
+    rows = targets.join(materials, "pool_id").filter(available_by(F.col("as_of")))
+    return rows.select("target_id", "version_id", F.coalesce(F.col("version_id") == F.col("source_version_id"), F.lit(False)).alias("is_source"))
+
+
+def scope_rows(cases: DataFrame, materials: DataFrame, initial: DataFrame) -> DataFrame:
+    """The rows behind ``scope_packets``: eligible versions and excluded ones with their reasons, initial ones marked."""
+    marked = materials.join(initial.withColumn("_first", F.lit(True)), ["pool_id", "version_id"], "left")
+    return with_eligibility(cases.join(marked, "pool_id")).select(
+        "case_id", "version_id", F.coalesce("_first", F.lit(False)).alias("initial"), "reasons")
+
+
 def scope_packets(cases: DataFrame, materials: DataFrame, initial: DataFrame) -> DataFrame:
     """Eligible and excluded counts per case for the whole pool and for its initial versions."""
     marked = materials.join(initial.withColumn("_first", F.lit(True)), ["pool_id", "version_id"], "left")

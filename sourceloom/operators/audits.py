@@ -399,6 +399,15 @@ def source_pool(rows: DataFrame) -> DataFrame:
     return out.withColumn("conflicting_values", conflicts.cast("long")).drop("_key", *[f"_n_{f}" for f in fields])
 
 
+def source_conflicts(rows: DataFrame) -> DataFrame:
+    """Values of a merged source that differ from the first one of their field: (url, field, first, additional)."""
+    fields = ["outlet", "publish_time", "source_type"]
+    cells = rows.filter("url <> ''").select("url", "position", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("c")).select("url", "position", "c.*").filter("value <> ''")
+    first = cells.groupBy("url", "field").agg(F.min_by("value", "position").alias("first"), F.count_distinct("value").alias("_n")).filter("_n > 1")
+    return cells.join(first, ["url", "field"]).filter("value <> first").select("url", "field", "first", F.col("value").alias("additional")).distinct()
+
+
 def credibility(pool: DataFrame, facts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Counts of sources, types, agreeing and disputed facts, and grounded tree nodes."""
     a = pool.agg(F.count(F.lit(1)).alias("source_count"), F.count_distinct(F.when(F.col("source_type") != "", F.col("source_type"))).alias("source_types"))

@@ -122,13 +122,13 @@ def tree_paths(nodes: DataFrame, root: Column) -> DataFrame:
     state = cut(rows)
     total = state.count()
     # ``up`` ends at the root, at null (missing parent), or circles for ever.
-    parents = state.select(F.col("scope").alias("_scope"), F.col("id").alias("_id"), F.col("up").alias("_up"))
+    open_rows = F.coalesce(F.col("up") != F.col("root"), F.lit(False))
     for _ in range(ceil(log2(max(total, 2))) + 1):
-        joined = state.join(parents, (F.col("scope") == F.col("_scope")) & (F.col("up") == F.col("_id")), "left")
-        at_root = F.col("up") == F.col("root")
-        state = cut(joined.select("scope", "id", F.when(at_root, F.col("up")).otherwise(F.col("_up")).alias("up"), "root"))
         parents = state.select(F.col("scope").alias("_scope"), F.col("id").alias("_id"), F.col("up").alias("_up"))
-        if state.filter("up IS NOT NULL AND up <> root").isEmpty():
+        # finished rows stay out of the join, where they would all meet at the root's key
+        moved = state.filter(open_rows).join(parents, (F.col("scope") == F.col("_scope")) & (F.col("up") == F.col("_id")), "left")
+        state = cut(state.filter(~open_rows).unionByName(moved.select("scope", "id", F.col("_up").alias("up"), "root")))
+        if state.filter(open_rows).isEmpty():
             break
     return state.select("scope", "id", F.coalesce(F.col("up") == F.col("root"), F.lit(False)).alias("valid"))
 

@@ -633,6 +633,15 @@ def source_pool_merge(t):
     return U.source_pool(_source_rows(t))
 
 
+@query("A30", f"""WITH {_POOL}, cell AS (
+  SELECT url, p, 'outlet' AS field, outlet AS value FROM sp UNION ALL SELECT url, p, 'publish_time', publish_time FROM sp UNION ALL SELECT url, p, 'source_type', source_type FROM sp),
+f AS (SELECT url, field, arg_min(value, p) AS first FROM cell WHERE url <> '' AND value <> '' GROUP BY ALL)
+SELECT DISTINCT url, field, first, value AS additional FROM cell JOIN f USING (url, field) WHERE value <> '' AND value <> first""")
+def source_conflicts(t):
+    """Field values of merged sources that differ from the first one."""
+    return U.source_conflicts(_source_rows(t))
+
+
 @query("A31", f"""WITH {_POOL} SELECT (SELECT count(*) FROM pool) AS source_count, (SELECT count(DISTINCT source_type) FILTER (source_type <> '') FROM pool) AS source_types,
   (SELECT count(*) FROM labels WHERE quality = 1) AS consistent, (SELECT count(*) FROM labels WHERE quality <> 1) AS disputed,
   (SELECT count(*) FROM documents WHERE doc_id > 0) AS causal_nodes, (SELECT count(*) FROM documents WHERE doc_id > 0 AND n_chars % 3 = 0) AS grounded""")
@@ -670,6 +679,14 @@ def versions_per_url(t):
     return D.materials(t).groupBy("url").agg(F.count(F.lit(1)).alias("versions"), F.max_by("version_id", "doc_id").alias("last_version"))
 
 
+@query("J6", D.with_ctes(D.MATERIALS_SQL, body="""
+SELECT url, version_id, row_number() OVER (PARTITION BY url ORDER BY doc_id) AS number FROM materials"""))
+def url_versions(t):
+    """Every version of an address in order of arrival."""
+    from pyspark.sql import Window as W
+    return D.materials(t).select("url", "version_id", F.row_number().over(W.partitionBy("url").orderBy("doc_id")).cast("long").alias("number"))
+
+
 @query("J8 G8", """
 WITH a AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages), r AS (SELECT u, min(page_id) AS page_id FROM a GROUP BY u)
 SELECT q.n AS request, r.page_id FROM (SELECT page_id AS n, CASE WHEN page_id % 2 = 0 THEN u ELSE (SELECT any_value(b.u) FROM a b WHERE b.page_id = a.page_id - 1) END AS u FROM a) q JOIN r ON r.u = q.u""")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import LINEAGE_KINDS as LINEAGE
 from .registry import Tables
 
 EPOCH = 1704067200  # 2024-01-01T00:00:00Z
@@ -141,25 +142,31 @@ ELIGIBILITY_SQL = """concat_ws(',',
 
 # -- lineage graph -------------------------------------------------------------
 
-LINEAGE = ["quotes", "cites", "reprints", "translates", "derives"]
+MORE = 10_000_000  # number of a document's second edge
 
 
 def relations(t: Tables) -> DataFrame:
-    """Each document points at the document of half its number, as a typed edge."""
-    i = F.col("doc_id")
-    return t("documents").filter(i > 0).select(
-        F.concat(F.lit("r"), i).alias("relation_id"), vid(i).alias("from_version"),
-        vid(F.floor(i / 2)).alias("to_version"),
-        F.when(i % 7 == 0, "supports").otherwise(pick(i % 5, *LINEAGE)).alias("kind"),
-        F.when(i % 11 == 0, "declared").otherwise("direct").alias("status"))
+    """Typed edges between documents: chains towards document 0, with shortcuts and cycles where the length decides.
+
+    Every document points at the one of half its number; some also at the one of a third (two ways up), and some at one of
+    those that point at them (a cycle).
+    """
+    d, i, n = t("documents").filter("doc_id > 0"), F.col("doc_id"), F.col("n_chars")
+    edge = lambda rows, number, to, kind, status: rows.select(
+        F.concat(F.lit("r"), number).alias("relation_id"), vid(i).alias("from_version"), vid(to).alias("to_version"), kind.alias("kind"), status.alias("status"))
+    first = edge(d, i, F.floor(i / 2), F.when(i % 7 == 0, "supports").otherwise(pick(i % 5, *LINEAGE)), F.when(i % 11 == 0, "declared").otherwise("direct"))
+    extra = d.filter((i > 3) & ((n % 29 == 0) | (n % 37 == 0)))
+    return first.unionByName(edge(extra, i + MORE, F.when(n % 29 == 0, F.floor(i / 3)).otherwise(2 * i + 1), F.lit("cites"), F.lit("direct")))
 
 
-RELATIONS_SQL = """relations AS (
+RELATIONS_SQL = f"""relations AS (
   SELECT 'r' || doc_id AS relation_id, 'v' || doc_id AS from_version, 'v' || (doc_id // 2) AS to_version,
     CASE WHEN doc_id % 7 = 0 THEN 'supports'
       ELSE ['quotes','cites','reprints','translates','derives'][(doc_id % 5) + 1] END AS kind,
     CASE WHEN doc_id % 11 = 0 THEN 'declared' ELSE 'direct' END AS status
-  FROM documents WHERE doc_id > 0)"""
+  FROM documents WHERE doc_id > 0
+  UNION ALL SELECT 'r' || (doc_id + {MORE}), 'v' || doc_id, 'v' || CASE WHEN n_chars % 29 = 0 THEN doc_id // 3 ELSE 2 * doc_id + 1 END, 'cites', 'direct'
+  FROM documents WHERE doc_id > 3 AND (n_chars % 29 = 0 OR n_chars % 37 = 0))"""
 
 
 def origins(t: Tables) -> DataFrame:

@@ -162,6 +162,22 @@ def scope_packets(t):
     return A.scope_packets(D.targets(t).withColumnRenamed("target_id", "case_id"), m.drop("content"), initial)
 
 
+@query("F32", D.with_ctes(D.MATERIALS_SQL, D.TARGETS_SQL, body="""
+SELECT target_id, version_id, version_id = source_version_id AS is_source FROM targets JOIN materials USING (pool_id) WHERE available_at <= as_of"""))
+def packet_inventory(t):
+    """Versions each target may see."""
+    return A.packet_inventory(D.targets(t), D.materials(t).select("pool_id", "version_id", "available_at"))
+
+
+@query("F33", D.with_ctes(D.MATERIALS_SQL, D.TARGETS_SQL, body=f"""
+SELECT target_id AS case_id, version_id, doc_id % 3 = 0 AS initial, {D.ELIGIBILITY_SQL} AS reasons FROM targets JOIN materials USING (pool_id)"""))
+def case_materials(t):
+    """Materials of each case with the reasons why some are excluded."""
+    m = D.materials(t)
+    out = A.scope_rows(D.targets(t).withColumnRenamed("target_id", "case_id"), m.drop("content"), m.filter("doc_id % 3 = 0").select("pool_id", "version_id"))
+    return out.withColumn("reasons", F.array_join("reasons", ","))
+
+
 @query("F34", D.with_ctes(D.MATERIALS_SQL, body=f"""
 , r AS (SELECT *, {D.ELIGIBILITY_SQL} AS reasons FROM (SELECT *, 1705500000 AS as_of FROM materials))
 SELECT url, arg_min(reasons, doc_id) AS reasons, count(*) AS rejected_rows FROM r WHERE reasons <> '' GROUP BY url

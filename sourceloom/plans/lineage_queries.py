@@ -9,11 +9,13 @@ from . import derive as D
 from .registry import query
 
 _DIRECT = D.RELATIONS_SQL + """, direct AS (SELECT * FROM relations WHERE status = 'direct' AND kind <> 'supports')"""
+# A shortest way is shorter than 40 edges at these sizes; longer walks go round a cycle.
 _WALK = _DIRECT + """, walk AS (SELECT 'v' || doc_id AS start, 'v' || doc_id AS node, 0 AS hops FROM documents
-  UNION SELECT w.start, d.to_version, w.hops + 1 FROM walk w JOIN direct d ON d.from_version = w.node AND d.from_version <> d.to_version)"""
+  UNION SELECT w.start, d.to_version, w.hops + 1 FROM walk w JOIN direct d ON d.from_version = w.node AND d.from_version <> d.to_version WHERE w.hops < 40)"""
 
 
-@query("G3", D.with_ctes(_WALK, body="SELECT start, count(*) AS reached, max(hops)::BIGINT AS hops FROM walk GROUP BY start"))
+@query("G3", D.with_ctes(_WALK, body="""
+SELECT start, count(*) AS reached, max(hops)::BIGINT AS hops FROM (SELECT start, node, min(hops) AS hops FROM walk GROUP BY ALL) GROUP BY start"""))
 def reachability(t):
     """Nodes reachable from every version over direct lineage."""
     links = L.direct_lineage(D.relations(t)).select(F.lit(0).alias("scope"), F.col("from_version").alias("src"), F.col("to_version").alias("dst"))
@@ -55,15 +57,16 @@ def edge_admission(t):
     r = D.relations(t).withColumns({"to_url_key": F.col("to_version"), "quotes_from": F.lit(True), "quotes_to": i % 2 == 0})
     observed = r.filter(i % 3 != 0).select(F.col("from_version").alias("version_id"), F.col("to_version").alias("link_key"))
     ok = L.admitted_edges(r, observed, r.filter("kind = 'cites'").select("from_version", "to_version"))
-    seen = r.join(observed.select(F.col("version_id").alias("from_version"), F.lit(1).alias("_s")).distinct(), "from_version", "left")
+    seen = r.join(observed.select(F.col("version_id").alias("from_version"), F.col("link_key").alias("to_url_key"), F.lit(1).alias("_s")).distinct(),
+                  ["from_version", "to_url_key"], "left")
     marked = seen.join(ok.select("relation_id", F.lit(1).alias("_a")), "relation_id", "left")
     return marked.groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), F.count("_s").alias("observed"), F.count("_a").alias("admitted"))
 
 
 @query("G13", D.with_ctes(_DIRECT, D.ORIGINS_SQL, body="""
 , p AS (SELECT 'v' || doc_id AS start, 'v' || doc_id AS node, '' AS path, 0 AS hops FROM documents
-  UNION ALL SELECT p.start, d.to_version, p.path || ',' || d.relation_id, p.hops + 1 FROM p JOIN direct d ON d.from_version = p.node AND d.from_version <> d.to_version)
-SELECT start, arg_min(node, hops) AS origin, arg_min(path, hops) AS path FROM p WHERE node IN (SELECT version_id FROM origins) GROUP BY start
+  UNION ALL SELECT p.start, d.to_version, p.path || ',' || d.relation_id, p.hops + 1 FROM p JOIN direct d ON d.from_version = p.node AND d.from_version <> d.to_version WHERE p.hops < 25)
+SELECT start, arg_min(node, (hops, path)) AS origin, arg_min(path, (hops, path)) AS path FROM p WHERE node IN (SELECT version_id FROM origins) GROUP BY start
 """.replace("\n, p AS", ", p AS", 1)))
 def origin_path_edges(t):
     """Shortest path to an original with the edge ids used."""

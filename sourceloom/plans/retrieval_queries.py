@@ -58,7 +58,7 @@ def catalog_preview(t):
 
 _POOL_TASKS = D.MATERIALS_SQL + """, alltasks AS (
   SELECT pool_id, 't' || doc_id AS task_id, ['fetch','reanalyse','search'][(doc_id % 3) + 1] AS action,
-    CASE WHEN doc_id % 3 < 2 THEN 'q' ELSE regexp_extract(content, '^\\s*((?:\\S+\\s+){0,11}\\S+)', 1) END AS question,
+    CASE WHEN doc_id % 3 < 2 THEN 'q' ELSE content END AS question,
     CASE WHEN doc_id % 3 = 2 THEN NULL WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN url ELSE version_id END AS locator FROM materials),
 tasks AS (SELECT * FROM alltasks WHERE action <> 'search'),
 ret AS (SELECT pool_id, version_id FROM materials WHERE issuer IN ('src1', 'src4', 'src9', 'src12', 'src16')),
@@ -72,7 +72,7 @@ def _pool_tasks(t):
     m, i = D.materials(t), F.col("doc_id")
     tasks = m.select(
         "pool_id", F.concat(F.lit("t"), i).alias("task_id"), D.pick(i % 3, "fetch", "reanalyse", "search").alias("action"),
-        F.when(i % 3 < 2, "q").otherwise(F.regexp_extract("content", r"^\s*((?:\S+\s+){0,11}\S+)", 1)).alias("question"),
+        F.when(i % 3 < 2, "q").otherwise(F.col("content")).alias("question"),
         F.when(i % 3 == 2, F.lit(None)).when((i % 2 == 0) & (i % 3 == 0), F.col("url")).otherwise(F.col("version_id")).alias("locator"))
     returned = m.filter(F.col("issuer").isin("src1", "src4", "src9", "src12", "src16")).select("pool_id", "version_id")
     return m, tasks, returned
@@ -106,6 +106,17 @@ def greedy_cover(t):
     return R.greedy_cover(tasks, options, 3)
 
 
+@query("T5 T10", D.with_ctes(_POOL_TASKS, body="""
+, ch AS (SELECT pool_id, min(version_id) AS version_id FROM opt GROUP BY pool_id)
+SELECT o.pool_id, o.version_id, o.task_id FROM opt o JOIN ch ON ch.pool_id = o.pool_id AND ch.version_id = o.version_id
+""".replace("\n, ch AS", ", ch AS", 1)))
+def version_answers(t):
+    """Which tasks each returned version answers, one version per pool returned."""
+    m, tasks, returned = _pool_tasks(t)
+    options = R.candidates(_exact(tasks), m, returned)
+    return R.attribution(options.groupBy("pool_id").agg(F.min("version_id").alias("version_id")), options)
+
+
 @query("T6 T5", D.with_ctes(_POOL_TASKS, body="""
 , ch AS (SELECT pool_id, min(version_id) AS version_id FROM opt GROUP BY pool_id),
 f AS (SELECT t.pool_id, t.task_id, count(ch.version_id) AS returned, count(o.version_id) AS n FROM tasks t LEFT JOIN opt o ON o.task_id = t.task_id

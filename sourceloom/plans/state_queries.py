@@ -207,7 +207,9 @@ def source_timeline(t):
     label = F.when(i % 4 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n_chars") % 300).cast("int")).cast("string")).otherwise("unknown")
     d = t("documents").select("source", "doc_id", label.alias("label"))
     day = F.coalesce(F.to_date(F.try_to_timestamp("label", F.lit("yyyy-MM-dd"))), F.lit("9999-12-31").cast("date"))
-    return S.sequence_numbers(d.withColumn("day", day), ["source"], "day", [i]).select("doc_id", F.col("sequence").alias("position"))
+    # the unknown dates of a source share a day, so a bucket is a block of ids within the day
+    placed = d.withColumn("slot", F.struct(day.alias("day"), F.floor(i / 1000).alias("block")))
+    return S.sequence_numbers(placed, ["source"], "slot", [i]).select("doc_id", F.col("sequence").alias("position"))
 
 
 @query("R4 R7", """

@@ -184,7 +184,7 @@ def decomposer_output(t):
 
 
 @query("P5 F8", D.with_ctes(D.RELATIONS_SQL, body="""
-SELECT relation_id, concat_ws(',', CASE WHEN n % 10 = 0 THEN 'invalid_kind' END, CASE WHEN n % 9 = 0 THEN 'unavailable_upstream' END,
+SELECT relation_id, concat_ws(',', CASE WHEN n % 10 = 0 THEN 'invalid_kind' END, CASE WHEN n % 9 = 0 OR (n % 8 <> 0 AND to_version NOT IN (SELECT 'v' || doc_id FROM documents)) THEN 'unavailable_upstream' END,
   CASE WHEN status = 'direct' AND n % 9 <> 0 AND n % 8 = 0 THEN 'direct_without_target' END, CASE WHEN n % 6 = 0 THEN 'empty_basis' END) AS reasons
 FROM (SELECT *, CAST(substr(relation_id, 2) AS BIGINT) AS n FROM relations)"""))
 def relation_output(t):
@@ -193,11 +193,25 @@ def relation_output(t):
     r = D.relations(t).withColumns({"to_version": F.when(n % 9 == 0, "v?").when(n % 8 == 0, F.lit(None)).otherwise(F.col("to_version")),
                                     "kind": F.when(n % 10 == 0, "rumours").otherwise(F.col("kind"))})
     m = D.materials(t)
-    spans = m.filter((F.col("doc_id") % 6 != 0) & (F.col("doc_id") > 0)).select(
-        F.concat(F.lit("r"), "doc_id").alias("finding_id"), "version_id", F.lit(0).alias("start"), F.lit(1).alias("end"), F.substring("content", 1, 1).alias("quote"))
+    middle = F.floor(F.length("content") / 2).cast("int")
+    spans = r.filter(n % 6 != 0).join(m.select(F.col("version_id").alias("from_version"), "content"), "from_version").select(
+        F.col("relation_id").alias("finding_id"), F.col("from_version").alias("version_id"), middle.alias("start"), (middle + 1).alias("end"),
+        F.col("content").substr(middle + 1, F.lit(1)).alias("quote"))
     return P.relation_codes(r, spans, m).withColumn("reasons", F.array_join("reasons", ","))
 
 
+@query("P5", D.with_ctes(D.ORIGINS_SQL, body="""
+SELECT version_id, concat_ws(',', CASE WHEN d.source = 'src0' THEN 'invalid_kind' END, CASE WHEN trim(d.lang) = 'de' THEN 'empty_rationale' END) AS reasons
+FROM origins o JOIN documents d ON o.version_id = 'v' || d.doc_id"""))
+def origin_output(t):
+    """Origin rows of a plug-in: an explicit original kind and a rationale."""
+    d = t("documents").select(D.vid(F.col("doc_id")).alias("version_id"), "source", "lang")
+    o = D.origins(t).join(d, "version_id").select(
+        "version_id", F.when(F.col("source") == "src0", "hearsay").otherwise(F.col("material_kind")).alias("material_kind"),
+        F.when(F.col("lang") == "de", "  ").otherwise("names its own record").alias("rationale"))
+    return P.origin_codes(o).withColumn("reasons", F.array_join("reasons", ","))
+
+
 def _majority(frame: pd.DataFrame) -> pd.DataFrame:
     """A verifier: more supporting than contradicting versions decide the target."""
     n = frame.set_index("stance")["versions"]
