@@ -304,7 +304,7 @@ CASE_EVIDENCE_SQL = """case_evidence AS (
 def gap_events(t: Tables) -> DataFrame:
     """Events as open and close steps of evidence gaps; the event number is the epoch."""
     i, u = F.col("event_id"), F.col("user_id")
-    op = F.when(F.col("event_type").isin("signup", "view"), "open").when(F.col("event_type") == "purchase", "close")
+    op = F.when(F.col("event_type").isin("purchase", "error"), "close").otherwise("open")
     k = F.get_json_object("props", "$.k").cast("long")
     return t("events").select(
         F.concat(F.lit("u"), u).alias("target_id"), F.concat(F.lit("g"), (k % 4).cast("string")).alias("gap_id"),
@@ -312,16 +312,15 @@ def gap_events(t: Tables) -> DataFrame:
         (k % 3 == 0).alias("blocking"),
         F.concat(F.lit("basis"), (k % 5).cast("string")).alias("basis"),
         F.when(k % 4 < 2, "provenance").otherwise("verification").alias("stage"),
-        F.concat(F.lit("owner"), (i % 3).cast("string")).alias("owner")).filter("op IS NOT NULL")
+        F.concat(F.lit("owner"), (i % 3).cast("string")).alias("owner"))
 
 
 GAP_EVENTS_SQL = """gap_events AS (
   SELECT 'u' || user_id AS target_id, 'g' || (k % 4) AS gap_id,
-    CASE WHEN event_type = 'purchase' THEN 'close' ELSE 'open' END AS op, event_id AS epoch, CAST(ts AS DATE) AS day,
+    CASE WHEN event_type IN ('purchase', 'error') THEN 'close' ELSE 'open' END AS op, event_id AS epoch, CAST(ts AS DATE) AS day,
     k % 3 = 0 AS blocking, 'basis' || (k % 5) AS basis,
     CASE WHEN k % 4 < 2 THEN 'provenance' ELSE 'verification' END AS stage, 'owner' || (event_id % 3) AS owner
-  FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
-  WHERE event_type IN ('signup', 'view', 'purchase'))"""
+  FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events))"""
 
 
 def with_ctes(*parts: str, body: str) -> str:
