@@ -45,13 +45,13 @@ def replay_rounds(t):
 
 
 @query("S3", """
-WITH m AS (SELECT md5(substr(text, 1, 12)) AS version_id, md5(text) AS fp FROM documents), s AS (SELECT md5(substr(text, 1, 12)) AS version_id FROM benchmark)
+WITH m AS (SELECT md5(length(text)::VARCHAR) AS version_id, md5(text) AS fp FROM documents), s AS (SELECT md5(length(text)::VARCHAR) AS version_id FROM benchmark)
 SELECT version_id, CASE WHEN count(DISTINCT fp) > 1 THEN 'version_id_collision' ELSE 'duplicate_version_id' END AS problem FROM m GROUP BY version_id HAVING count(*) > 1
 UNION ALL SELECT version_id, 'unknown_seed' FROM s WHERE version_id NOT IN (SELECT version_id FROM m)
 UNION ALL SELECT version_id, 'duplicate_seed' FROM s GROUP BY version_id HAVING count(*) > 1""")
 def snapshot_pool(t):
     """Repeated version ids and unknown seeds of a pool."""
-    key = F.md5(F.substring("text", 1, 12)).alias("version_id")
+    key = F.md5(F.length("text").cast("string")).alias("version_id")
     return R.snapshot_pool(t("documents").select(key, F.md5("text").alias("fingerprint")), t("benchmark").select(key))
 
 
