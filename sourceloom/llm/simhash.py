@@ -127,8 +127,9 @@ def links(prints: DataFrame, hot_rows: int = 20_000) -> DataFrame:
         clear, lambda j: F.expr("h.half").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), j))))
     tagged = lambda key: key.bitwiseOR(F.shiftleft(F.col("h.side").cast("long"), 40))
     entered = halves.select("fingerprint", F.col("h.other").alias("other"), F.explode(F.transform(keys, tagged)).alias("key"))
-    hot = halves.groupBy(tagged(F.col("h.half")).alias("key")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows) \
-        .select("key", F.lit(True).alias("hot"))
+    # at most 2 / hot_rows of all fingerprints; written, so that the join below knows how few they are and spares a shuffle
+    hot = stored(halves.groupBy(tagged(F.col("h.half")).alias("key")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows)
+                 .select("key", F.lit(True).alias("hot")), "hot-keys")
     part = F.when(F.col("hot"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: (
         j * 256 + F.call_function("shiftright", F.col("other"), j * 8).bitwiseAND(255)).cast("int"))).otherwise(F.array(F.lit(-1)))
     split = entered.join(hot, "key", "left").select("key", F.explode(part).alias("part"), "fingerprint")
