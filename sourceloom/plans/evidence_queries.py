@@ -266,24 +266,33 @@ def url_keys(t):
     return t("pages").select("page_id", url_key(F.col("url")).alias("url_key"), F.sha2("url", 256).alias("raw_hash"))
 
 
-@query("X16", """
-SELECT page_id, 'https://site' || (page_id % 9) || '.example.org' || CASE WHEN page_id % 2 = 0 THEN ':8443' ELSE '' END || '/p' || page_id
-  || '?a=' || page_id || '&b=x+y' AS canonical FROM pages""")
+_URL_PARTS = """u AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS head, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path,
+  regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages)"""
+
+
+@query("X16", f"""
+WITH {_URL_PARTS}
+SELECT page_id, head || CASE path WHEN '' THEN '/' ELSE path END || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(kept, '&') END AS canonical
+FROM (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND x NOT LIKE 'utm_%'
+  AND split_part(x, '=', 1) NOT IN ('fbclid', 'gclid', 'msclkid'))) AS kept FROM u)""")
 def canonical_urls(t):
-    """Canonical form: host folded, default port, tracking keys and fragment dropped, query sorted."""
-    i = F.col("page_id")
-    raw = F.concat(F.lit("HTTPS://Site"), (i % 9).cast("string"), F.lit(".Example.ORG."), F.when(i % 2 == 0, ":8443").otherwise(":443"),
-                   F.lit("/p"), i, F.lit("?utm_medium=z&b=x%20y&fbclid=1&a="), i, F.lit("#s"))
+    """Canonical form of page addresses written otherwise: host folded, default port, tracking keys and fragment dropped, query sorted."""
+    u = F.col("url")
+    head, rest = F.regexp_extract(u, "^(https?://[^/?#]+)", 1), F.regexp_extract(u, "^https?://[^/?#]+([^#]*)", 1)
+    raw = F.concat(F.upper(head), F.when(u.startswith("https"), ":443").otherwise(":80"), rest,
+                   F.when(rest.contains("?"), "&").otherwise("?"), F.lit("utm_medium=z&fbclid=1"), F.lit("#s"))
     return t("pages").select("page_id", canonical_url(raw).alias("canonical"))
 
 
-@query("X17", """
-SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://news' || page_id || '.example.com/a%20b?z=1&a=2' WHEN 1 THEN NULL WHEN 2 THEN NULL
-  ELSE 'http://93.184.216.34:8080/x' END AS public FROM pages""")
+@query("X17", f"""
+WITH {_URL_PARTS}
+SELECT page_id, CASE WHEN contains(url, '#') OR url LIKE '%.html' THEN NULL ELSE head || CASE path WHEN '' THEN '/' ELSE path END
+  || CASE q WHEN '' THEN '' ELSE '?' || q END END AS public FROM u""")
 def public_urls(t):
-    """Public form: private hosts rejected, query order kept."""
-    i = F.col("page_id")
-    raw = F.when(i % 4 == 0, F.concat(F.lit("https://NEWS"), i, F.lit(".example.com:443/a%20b?z=1&a=2#q"))).when(
-        i % 4 == 1, F.concat(F.lit("http://10.0.0."), (i % 250).cast("string"), F.lit("/x"))).when(
-        i % 4 == 2, F.lit("http://printer.local/x")).otherwise(F.lit("http://93.184.216.34:8080/x"))
+    """Public form: private hosts rejected, query order kept; some pages stand at private addresses."""
+    u = F.col("url")
+    head, rest = F.regexp_extract(u, "^(https?://[^/?#]+)", 1), F.regexp_extract(u, "^https?://[^/?#]+([^#]*)", 1)
+    raw = F.when(u.contains("#"), F.concat(F.lit("http://10.0.0."), F.length(u) % 250, rest)).when(
+        u.endswith(".html"), F.concat(F.lit("http://printer.local"), rest)).otherwise(
+        F.concat(F.upper(head), F.when(u.startswith("https"), ":443").otherwise(":80"), rest, F.lit("#q")))
     return t("pages").select("page_id", public_url(raw).alias("public"))
