@@ -103,15 +103,20 @@ def clue_codes(clues: DataFrame, documents: DataFrame, cutoff: Column) -> DataFr
 def bibliography_candidates(clues: DataFrame, works: DataFrame, cutoff: Column) -> DataFrame:
     """Works that fit a clue: journal, author, publication month, title topic, known by the cutoff.
 
-    Equi join on (journal, month); the rest filters row by row.
+    Equi join on journal, month and the last word of the family name, which
+    closes the clue's author; the rest filters row by row.
     ``works(doi, title, journal, authors ARRAY<STRUCT<given, family>>, published, created_at, publisher_url)``.
     """
     c = F.col
     day = F.to_date(F.try_to_timestamp(c("publication_date"), F.lit("yyyy-MM-dd")))
     ask = clues.select("clue_id", word_norm(c("journal")).alias("_j"), F.trunc(day, "month").alias("_m"), word_norm(c("author")).alias("_a"),
                        F.transform("keywords", word_norm).alias("_k"), c("formal_dois").alias("_dois"))
-    have = works.withColumns({"_j": word_norm(c("journal")), "_m": F.trunc("published", "month"), "_t": word_norm(c("title"))})
-    rows = ask.join(have, ["_j", "_m"])
+    last = lambda name: F.substring_index(name, " ", -1)
+    ask = ask.withColumn("_l", last(c("_a")))
+    families = F.array_distinct(F.transform("authors", lambda a: last(word_norm(a["family"]))))
+    have = works.withColumns({"_j": word_norm(c("journal")), "_m": F.trunc("published", "month"), "_t": word_norm(c("title"))}) \
+        .withColumn("_l", F.explode(families))
+    rows = ask.join(have, ["_j", "_m", "_l"])
     named = F.exists("authors", lambda a: author_match(c("_a"), word_norm(a["given"]), word_norm(a["family"])))
     topical = F.exists("_k", lambda k: contains_phrase(c("_t"), k))
     known = (c("created_at") <= cutoff) & (c("published") <= F.to_date(cutoff))
@@ -123,9 +128,12 @@ PROOF_CHECKS = ["source_context_bound", "source_unchanged", "formal_identifier_m
                 "page_title_matches", "identity_in_front", "topics_in_primary", "primary_body_present"]
 
 
-def citation_proofs(candidates: DataFrame, documents: DataFrame, archived: DataFrame, cutoff: Column) -> DataFrame:
+def citation_proofs(candidates: DataFrame, documents: DataFrame, archived: DataFrame, cutoff: Column,
+                    front_chars: int = FRONT_CHARS) -> DataFrame:
     """Nine named checks over source, candidate and archived target; valid is their conjunction.
 
+    Identity must stand in the first ``front_chars`` characters, the front matter; ``beyond_front`` marks longer texts.
+
     ``candidates(clue_id, source_url, source_sha256, author, keywords, formal_dois, citation_quotes, doi, title, journal, publisher_url)``,
     ``archived(url, content, title, capture_at, available_at, archive_url)``.
     """
@@ -134,7 +142,7 @@ def citation_proofs(candidates: DataFrame, documents: DataFrame, archived: DataF
     target = archived.select(F.rtrim(c("url"), F.lit("/")).alias("_key"), c("content").alias("text"), c("title").alias("page_title"),
                              "capture_at", "available_at", "archive_url", c("url").alias("target_url"))
     rows = candidates.withColumn("_key", F.rtrim(c("publisher_url"), F.lit("/"))).join(source, "source_url", "left").join(target, "_key", "left")
-    front = F.left("text", F.lit(FRONT_CHARS))
+    front = F.left("text", F.lit(front_chars))
     stamp = capture_ts(F.regexp_extract("archive_url", ARCHIVE, 1))
     original = F.rtrim(F.regexp_extract("archive_url", ARCHIVE, 2), F.lit("/"))
     text_norm = word_norm(c("text"))
@@ -147,7 +155,8 @@ def citation_proofs(candidates: DataFrame, documents: DataFrame, archived: DataF
         & S.literal_anchor(front, c("author")).isNotNull() & S.literal_anchor(front, c("journal")).isNotNull(),
         "topics_in_primary": F.size(F.filter("keywords", lambda k: contains_phrase(text_norm, word_norm(k)))) >= 2,
         "primary_body_present": c("text").rlike(BODY_HEADING)}
-    out = rows.select("clue_id", "doi", *[F.coalesce(v, F.lit(False)).alias(k) for k, v in checks.items()])
+    out = rows.select("clue_id", "doi", F.coalesce(F.length("text") > front_chars, F.lit(False)).alias("beyond_front"),
+                      *[F.coalesce(v, F.lit(False)).alias(k) for k, v in checks.items()])
     valid = F.lit(True)
     for k in PROOF_CHECKS:
         valid = valid & F.col(k)
