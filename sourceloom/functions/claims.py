@@ -28,6 +28,19 @@ DIMENSION_SIGNALS = {
     "comparison_baseline": r"\b(?:more|less|than|versus|compared|increase|decrease)\b|相比|高于|低于|增加|减少",
     "attribution_causality": r"\b(?:according to|said|reported|because|caused by)\b|据|表示|报道|因为|导致",
 }
+RELATION_WORDS = rf"\b(?:before|after|until|since|today|tomorrow|yesterday|{WEEKDAYS}|{MONTHS})\b"
+CJK_TIMES = rf"截至|之前|之后|直到|今天|明天|昨日|周[一二三四五六日天]|{CJK_DATE}"
+QUARTER_WORDS = r"\b(first|second|third|fourth|1st|2nd|3rd|4th)\s+quarter\b"
+QUARTER_SHORT = r"\bq([1-4])\b"
+NUMBER = r"(?<![A-Za-z])[-+]?\d[\d,]*(?:\.\d+)?"
+PERCENT = r"%|％|\bpercent(?:age)?\b|百分之"
+DENOMINATOR = r"\bper\s+[a-z]+|/\s*[a-z]+|\beach\s+[a-z]+"
+COMPARISONS = [  # pattern, direction, inclusive; the first that occurs decides
+    (r"\b(?:approximately|about|around|nearly|almost)\b", "hedged", False),
+    (r"\b(?:at\s+most|up\s+to|no\s+more\s+than)\b", "less", True),
+    (r"\b(?:at\s+least|no\s+less\s+than)\b", "greater", True),
+    (r"\b(?:more\s+than|over|above|greater\s+than)\b", "greater", False),
+    (r"\b(?:less\s+than|under|below|fewer\s+than)\b", "less", False)]
 CORE_DIMENSIONS = ["actor_subject", "predicate_object", "scope_location"]
 UNITS = ("thousand|million|billion|trillion|kg|kilogram|kilograms|gram|grams|lb|lbs|pound|pounds|ounce|ounces|"
          "km|kilometer|kilometers|meter|meters|centimeter|centimeters|mile|miles|inch|inches|foot|feet|liter|"
@@ -118,16 +131,16 @@ def ordered_forms(target: Column, basis: Column) -> Column:
 def temporal_markers(c: Column) -> Column:
     """Distinct time markers: relation words, calendar values, years and quarters."""
     low = F.lower(c)
-    words = _all(low, rf"\b(?:before|after|until|since|today|tomorrow|yesterday|{WEEKDAYS}|{MONTHS})\b")
+    words = _all(low, RELATION_WORDS)
     values = F.filter(F.transform(F.filter(_all(low, TEMPORAL_VALUE), lambda v: ~v.rlike(rf"^(?:{QUARTER}|{YEAR_PERIOD})$")),
                                   lambda v: F.regexp_replace(v, r"(?U)\W+", "")), lambda v: v != "")
-    cjk = _all(c, rf"截至|之前|之后|直到|今天|明天|昨日|周[一二三四五六日天]|{CJK_DATE}")
+    cjk = _all(c, CJK_TIMES)
     years = F.when(c.rlike(_I + TIME_SIGNAL), F.transform(
         _all(low, rf"\b({YEAR})\b", 1), lambda y: F.concat(F.lit("year:"), y))).otherwise(F.array().cast("array<string>"))
-    named = F.transform(_all(low, r"\b(first|second|third|fourth|1st|2nd|3rd|4th)\s+quarter\b", 1),
+    named = F.transform(_all(low, QUARTER_WORDS, 1),
                         lambda q: F.concat(F.lit("quarter:"), F.when(q.isin("first", "1st"), "1").when(
                             q.isin("second", "2nd"), "2").when(q.isin("third", "3rd"), "3").otherwise("4")))
-    short = F.transform(_all(low, r"\bq([1-4])\b", 1), lambda q: F.concat(F.lit("quarter:"), q))
+    short = F.transform(_all(low, QUARTER_SHORT, 1), lambda q: F.concat(F.lit("quarter:"), q))
     months = F.transform(_all(low, rf"\b({MONTHS})\b", 1), lambda m: F.concat(
         F.lit("quarter:"), F.when(m.isin("january", "february", "march"), "1").when(
             m.isin("april", "may", "june"), "2").when(m.isin("july", "august", "september"), "3").otherwise("4")))
@@ -135,7 +148,7 @@ def temporal_markers(c: Column) -> Column:
 
 
 def _numbers(c: Column) -> Column:
-    raw = _all(without_time(c), r"(?<![A-Za-z])[-+]?\d[\d,]*(?:\.\d+)?")
+    raw = _all(without_time(c), NUMBER)
     return F.transform(raw, lambda t: F.replace(t, F.lit(","), F.lit("")).try_cast("double"))
 
 
@@ -151,10 +164,10 @@ def quantity_markers(c: Column) -> Column:
     money = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit("currency:" + v))
                                       for k, v in CURRENCIES.items()]))
     percent = F.array_compact(F.array(F.when(
-        low.rlike(r"%|％|\bpercent(?:age)?\b|百分之"), F.lit("unit:percent"))))
+        low.rlike(PERCENT), F.lit("unit:percent"))))
     units = F.transform(_all(low, rf"\b(?:{UNITS})\b"),
                         lambda u: F.concat(F.lit("unit:"), F.regexp_replace(u, "s+$", "")))
-    per = F.transform(_all(low, r"\bper\s+[a-z]+|/\s*[a-z]+|\beach\s+[a-z]+"), lambda d: F.concat(
+    per = F.transform(_all(low, DENOMINATOR), lambda d: F.concat(
         F.lit("denominator:"), F.regexp_replace(F.regexp_extract(d, "([a-z]+)$", 1), "s+$", "")))
     return F.array_distinct(F.concat(numbers, money, percent, units, per))
 
@@ -162,12 +175,8 @@ def quantity_markers(c: Column) -> Column:
 def comparison_constraint(c: Column) -> Column:
     """Struct (direction, inclusive): greater, less or hedged; null when none is stated."""
     low = F.lower(c)
-    pair = lambda d, inc: F.struct(F.lit(d).alias("direction"), F.lit(inc).alias("inclusive"))
-    return (F.when(low.rlike(r"\b(?:approximately|about|around|nearly|almost)\b"), pair("hedged", False))
-            .when(low.rlike(r"\b(?:at\s+most|up\s+to|no\s+more\s+than)\b"), pair("less", True))
-            .when(low.rlike(r"\b(?:at\s+least|no\s+less\s+than)\b"), pair("greater", True))
-            .when(low.rlike(r"\b(?:more\s+than|over|above|greater\s+than)\b"), pair("greater", False))
-            .when(low.rlike(r"\b(?:less\s+than|under|below|fewer\s+than)\b"), pair("less", False)))
+    return F.coalesce(*[F.when(low.rlike(pattern), F.struct(F.lit(direction).alias("direction"), F.lit(inclusive).alias("inclusive")))
+                        for pattern, direction, inclusive in COMPARISONS])
 
 
 def comparison_decision(want: Column, seen: Column, limits: Column, values: Column, want_units: Column, seen_units: Column) -> Column:

@@ -93,6 +93,7 @@ def _starts(lengths: pd.Series) -> pd.Series:
     return lengths.map(lambda v: (np.cumsum(v) - v).astype("int32"))
 
 
+# Fixed value: where a sentence ends.
 SENTENCE_END = r"([.!?])(?=\s+(?:[A-Z0-9\[(]|The\b|In\b|Source\b|Scope\b))"
 _MARK = "\x01"
 

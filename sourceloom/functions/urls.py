@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .let import let
 
+# The shapes of addresses and hosts.
 _SPLIT = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 _LABELS = r"^[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?(\.[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?)*$"
 _V4 = r"^\d{1,3}(\.\d{1,3}){3}$"
