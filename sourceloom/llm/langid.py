@@ -29,7 +29,7 @@ UNDETERMINED = "und"
 class Profiles:
     """Text vectors for one seed and number of dimensions."""
 
-    def __init__(self, dims: int, seed: int, block: int = 65_536):
+    def __init__(self, dims: int, seed: int, block: int = 16_384):
         self.dims, self.seed, self.block, self.known = dims, seed, block, {}
 
     def letters(self, points: np.ndarray) -> np.ndarray:

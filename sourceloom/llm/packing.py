@@ -44,17 +44,23 @@ def _pieces(shared, end_id: int, size: int):
     def run(batches):
         import pyarrow as pa
         encoder, tail = shared.value(), np.array([end_id], dtype="<u4").tobytes()
+        kinds, names = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()], [c.split()[0] for c in PIECES.split(", ")]
+        rows, held = [], 0
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 5, kinds)], names=names)
+
         for batch in batches:
-            rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids, start = encoder.encode(text.as_py()) + tail, 0
                 for piece, length in enumerate(cut_lengths(len(ids) // 4, size)):
                     rows.append((doc_id, piece, start, length, ids[4 * start:4 * (start + length)]))
                     start += length
-            columns = list(zip(*rows)) or [[]] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                             names=[c.split()[0] for c in PIECES.split(", ")])
+                held += start
+                if held > 1_000_000:
+                    yield flush()
+                    rows, held = [], 0
+        yield flush()
     return run
 
 

@@ -94,7 +94,7 @@ def _segments(shared, end_id: int, segment_tokens: int):
 
 
 def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None,
-          end_id: int = 1, segment_tokens: int = 4_000_000) -> None:
+          end_id: int = 1, segment_tokens: int = 4_000_000, keep: int = 400_000) -> None:
     """Encode every whole text, append ``end_id`` and write segments and their index below ``folder``.
 
     Texts are range-partitioned once, before encoding: the sampling of the ranges then reads ids and texts but encodes nothing.
@@ -104,7 +104,7 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     placed = rows.repartitionByRange(parts, *key).sortWithinPartitions(*key)
-    shared = per_worker(docs, LibraryEncoder, path or default_path("word_bpe_49k.json"))
+    shared = per_worker(docs, LibraryEncoder, path or default_path("word_bpe_49k.json"), keep)
     placed.mapInArrow(_segments(shared, end_id, segment_tokens), SEGMENT) \
         .write.parquet(f"{folder}/segments")
     # index: part totals first, so that no window spans all segments

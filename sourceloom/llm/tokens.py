@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import weakref
 from array import array
 from collections.abc import Iterator
 
@@ -62,16 +63,19 @@ def settled_pattern(byte_level: bool) -> str:
 
 
 class Remembered(dict):
-    """Values made once per key; of those not used for ``keep`` new keys, only the later half is kept."""
+    """Values made once per key by a method; of those not used for ``keep`` new keys, only the later half is kept.
+
+    The method is held weakly: an owner without users is freed at once, with all it remembers.
+    """
 
     def __init__(self, make, keep: int):
         super().__init__()
-        self.make, self.keep, self.older = make, keep, {}
+        self.make, self.keep, self.older = weakref.WeakMethod(make), keep, {}
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
-            value = self.make(key)
+            value = self.make()(key)
         self[key] = value
         return value
 
@@ -105,7 +109,7 @@ class LibraryEncoder:
     Other texts, and those that may hold special strings, go through the library's whole chain piece by piece.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 250_000):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
         from tokenizers import Tokenizer
@@ -141,7 +145,7 @@ class LibraryEncoder:
         return b"".join([known[u] for u in units])
 
 
-def spans_of(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def spans_of(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts of about so many characters, at least one text each."""
     begin, size = 0, 0
     for k, text in enumerate(texts):
