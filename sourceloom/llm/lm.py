@@ -30,7 +30,7 @@ from .workdir import stored
 NO_ID = -(1 << 63)
 BUCKETS = 24  # of context frequency: 0 for unseen, then powers of two
 QUARTERS = 4  # held-out estimates are binned by quarters of a power of two
-NOTHING = -10_000  # bin of a zero estimate
+NOTHING = -1_024  # bin of a zero estimate; others lie above, and below 1,024
 
 BLOCK = ("block long, n_tokens long, n_train long, n_train_docs long, doc_ids binary, train binary, lengths binary, tokens binary, "
          "hashes binary")
@@ -165,7 +165,7 @@ def frequency_bucket(counts: np.ndarray) -> np.ndarray:
 
 
 def _bins(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, np.round(QUARTERS * np.log2(np.where(x > 0, x, 1))), NOTHING).astype(np.int64)
+    return np.where(x > 0, np.clip(np.round(QUARTERS * np.log2(np.where(x > 0, x, 1))), NOTHING + 1, 1_023), NOTHING).astype(np.int64)
 
 
 def _counted(starts: int):
@@ -182,10 +182,11 @@ def _counted(starts: int):
         contexts = np.r_[words, np.uint64(starts)].astype(np.float64)[block.before]
         times, live = block.pair_counts.astype(np.int64), block.pair_counts > 0
         ch, c2, c1 = contexts[live] - 1, pairs[live].astype(np.float64) - 1, words[block.word[live]].astype(np.float64) - 1
-        event = np.stack([frequency_bucket(ch), _bins(np.divide(c2, ch, out=np.zeros_like(c2), where=ch > 0)), _bins(c1)], axis=1)
-        kinds, at = np.unique(event, axis=0, return_inverse=True)
-        n = np.bincount(at.ravel(), weights=times[live], minlength=len(kinds)).astype(np.int64)
-        events = [{"bucket": int(b), "q2": int(x), "q1": int(y), "n": int(m)} for (b, x, y), m in zip(kinds, n)]
+        # one number per event: bucket, then the two bins
+        event = (frequency_bucket(ch) << 22) + (_bins(np.divide(c2, ch, out=np.zeros_like(c2), where=ch > 0)) - NOTHING << 11) + _bins(c1) - NOTHING
+        kinds, at = np.unique(event, return_inverse=True)
+        n = np.bincount(at, weights=times[live], minlength=len(kinds)).astype(np.int64)
+        events = [{"bucket": e >> 22, "q2": (e >> 11 & 2047) + NOTHING, "q1": (e & 2047) + NOTHING, "n": m} for e, m in zip(kinds.tolist(), n.tolist())]
         return pd.DataFrame([(key[0], int(rows["known"].sum()), head["doc_ids"], head["train"], head["lengths"], head["tokens"],
                               squeeze(words), squeeze(pairs), events)], columns=[c.split()[0] for c in COUNTED.split(", ")[:8]] + ["events"])
     return run
@@ -199,8 +200,8 @@ def learn_weights(events: dict[tuple[int, int, int], int], n_train: int, vocabul
         return weights
     keys, counts = np.array(list(events), dtype=np.int64), np.array(list(events.values()), dtype=np.float64)
     parts = np.stack([np.full(len(keys), 1 / (vocabulary + 1)),
-                      np.where(keys[:, 2] == NOTHING, 0, 2.0 ** (np.maximum(keys[:, 2], -9000) / QUARTERS)) / max(n_train - 1, 1),
-                      np.where(keys[:, 1] == NOTHING, 0, 2.0 ** (np.maximum(keys[:, 1], -4000) / QUARTERS))], axis=1)
+                      np.where(keys[:, 2] == NOTHING, 0, 2.0 ** (keys[:, 2] / QUARTERS)) / max(n_train - 1, 1),
+                      np.where(keys[:, 1] == NOTHING, 0, 2.0 ** (keys[:, 1] / QUARTERS))], axis=1)
 
     def fit(chosen: np.ndarray) -> np.ndarray:
         mixed, own, times = np.full(3, 1 / 3), parts[chosen], counts[chosen]
@@ -243,7 +244,7 @@ def _scores(weights: np.ndarray, n_train: int, vocabulary: int, starts: int):
     return run
 
 
-def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", block_tokens: int = 3_000_000,
+def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", block_tokens: int = 2_250_000,
           bucket_entries: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
