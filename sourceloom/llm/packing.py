@@ -65,9 +65,9 @@ def _pieces(shared, end_id: int, size: int):
 
 
 def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 2,
-                 size: int = SIZE) -> DataFrame:
+                 size: int = SIZE, keep: int = 150_000) -> DataFrame:
     """doc_id, piece, start, length, ids of every whole text: no piece is longer than ``size``."""
-    shared = per_worker(docs, LibraryEncoder, path or default_path("byte_bpe_50k.json"))
+    shared = per_worker(docs, LibraryEncoder, path or default_path("byte_bpe_50k.json"), keep)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         _pieces(shared, end_id, size), PIECES)
 
