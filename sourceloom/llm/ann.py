@@ -12,7 +12,8 @@ run of (shard, rows before queries) and queries are streamed past it, so a task
 
 Defined cases: vectors that are null, zero, empty or hold a null, NaN or infinite component take no part; neither do those
 whose length differs from the most common one; null ids take no part; ties go to the smaller id; repeated rows count as often
-as they occur; with fewer candidates than asked for, all that were found are returned; an empty table gives no rows.
+as they occur among the neighbours, but a repeated query is asked and ranked once; one id with several different vectors is as
+many queries, each with ranks of its own; with fewer candidates than asked for, all that were found are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -74,8 +75,8 @@ class Forest:
                 depth -= 1
             yield found
 
-    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, wanted: int):
-        """query_id, id, score of the k best candidates of each query, the query's own id left out."""
+    def nearest(self, query_ids: np.ndarray, versions: np.ndarray, queries: np.ndarray, k: int, wanted: int):
+        """query_id, version, id, score of the k best candidates of each query, the query's own id left out."""
         lengths = np.linalg.norm(queries, axis=1)
         units = (queries / lengths[:, None]).astype(np.float32)
         for q, found in enumerate(self.candidates(units, wanted)):
@@ -85,7 +86,7 @@ class Forest:
                 found = found[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-4]
             score = np.sum(self.vectors[found] * queries[q], axis=1) / (self.lengths[found] * lengths[q])
             best = np.lexsort((self.ids[found], -score))[:k]
-            yield from zip([query_ids[q]] * len(best), self.ids[found[best]], score[best])
+            yield from zip([query_ids[q]] * len(best), [versions[q]] * len(best), self.ids[found[best]], score[best])
 
 
 def _search(trees: int, k: int, wanted: int, seed: int, query_rows: int):
@@ -93,17 +94,18 @@ def _search(trees: int, k: int, wanted: int, seed: int, query_rows: int):
         import pyarrow as pa
         shard, parts, forest = None, [], None
 
-        def answer(ids, vectors):
+        def answer(ids, versions, vectors):
             for at in range(0, len(ids), query_rows):
-                rows = list(forest.nearest(ids[at:at + query_rows], vectors[at:at + query_rows], k, wanted))
-                columns = list(zip(*rows)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(map(int, columns[0])), pa.int64()), pa.array(list(map(int, columns[1])), pa.int64()),
-                                                  pa.array(list(map(float, columns[2])), pa.float64())], names=["query_id", "vec_id", "score"])
+                rows = list(forest.nearest(ids[at:at + query_rows], versions[at:at + query_rows], vectors[at:at + query_rows], k, wanted))
+                columns = list(zip(*rows)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([*[pa.array(list(map(int, c)), pa.int64()) for c in columns[:3]],
+                                                  pa.array(list(map(float, columns[3])), pa.float64())], names=["query_id", "version", "vec_id", "score"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             shards, asks, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            versions = batch.column(4).to_numpy(zero_copy_only=False)
             vectors = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype="<f8").reshape(batch.num_rows, -1)
             cuts = np.flatnonzero((np.diff(shards) != 0) | (np.diff(asks) != 0)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
@@ -116,7 +118,7 @@ def _search(trees: int, k: int, wanted: int, seed: int, query_rows: int):
                     forest = Forest(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), trees, seed)
                     parts = []
                 if forest is not None:
-                    yield from answer(ids[a:b], vectors[a:b])
+                    yield from answer(ids[a:b], versions[a:b], vectors[a:b])
     return run
 
 
@@ -128,7 +130,7 @@ def _raw(batches):
         for i, v, ask in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             if i is None or not v or any(x is None for x in v):
                 continue
-            x = np.array(v, dtype="<f8")
+            x = np.array(v, dtype="<f8") + 0.0  # one form of zero, so that equal vectors are equal bytes
             if np.isfinite(x).all() and x.any():
                 ids.append(i)
                 raw.append(x.tobytes())
@@ -150,10 +152,12 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddi
     if sizes is None:
         return usable.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     usable, shards = usable.filter(F.col("dims") == sizes["dims"]), -(-sizes["n"] // shard_rows)
-    entries = usable.select(F.pmod(F.xxhash64("id", "vector"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("ask"), "id", "vector")
-    asked = usable.filter("asks").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("ask"), "id", "vector")
+    entries = usable.select(F.pmod(F.xxhash64("id", "vector"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("ask"), "id", "vector", F.lit(0).cast("long").alias("version"))
+    different = usable.filter("asks").select("id", "vector").distinct()
+    asked = different.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("ask"), "id", "vector",
+                             F.xxhash64("vector").alias("version"))
     runs = entries.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "ask")
     wanted = int(candidate_share * -(-sizes["n"] // shards))
-    found = runs.mapInArrow(_search(trees, k, max(wanted, least), seed, query_rows), "query_id long, vec_id long, score double")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = runs.mapInArrow(_search(trees, k, max(wanted, least), seed, query_rows), "query_id long, version long, vec_id long, score double")
+    best = W.partitionBy("query_id", "version").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

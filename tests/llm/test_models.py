@@ -179,6 +179,18 @@ def test_neighbours_awkward(spark):
     assert {r["query_id"]: sorted(r["v"]) for r in got} == {q: [x for x in range(6) if x != q][:5] for q in range(0, 300, 50)}
 
 
+def test_repeated_queries_are_ranked_once(spark):
+    near = [(k, [1.0, k / 100]) for k in range(1, 9)]
+    rows = [(0, [1.0, 0.0]), (0, [1.0, -0.0]), (0, [1.0, 0.0]), *near, (3, [1.0, 0.03]), (50, [1.0, 0.0]), (50, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard_rows in (32_768, 4):
+        got = Counter((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, F.col("vec_id") % 50 == 0, shard_rows=shard_rows).collect())
+        assert sorted((r, v) for q, r, v in got if q == 0) == [(1, 50), (2, 1), (3, 2), (4, 3), (5, 3)]
+        # two vectors under one id are two queries: both have five ranks
+        first, second = [(1, 0), (2, 0), (3, 0), (4, 1), (5, 2)], [(1, 8), (2, 7), (3, 6), (4, 5), (5, 4)]
+        assert Counter((r, v) for q, r, v in got.elements() if q == 50) == Counter(first + second) and max(got.values()) == 1
+
+
 # language model
 
 
