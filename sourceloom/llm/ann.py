@@ -7,8 +7,9 @@ trees ascend together, one bit at a time, and take in the rows that match up to
 candidates is reached (the last step is taken whole).  Candidates are compared with the original vectors, and the best of all
 shards are the answer.
 
-A shard's size and its share of candidates are fixed, so recall does not change with the table.  Each shard is one sorted
-run of (shard, rows before queries) and queries are streamed past it, so a task holds one shard and one batch of queries.
+A shard's size and its share of candidates are fixed, so recall does not fall as the table grows; shards of up to ``least`` rows
+are searched whole and exactly.  Each shard is one sorted run of (shard, rows before queries) and queries are streamed past it,
+so a task holds one shard and one batch of queries.
 
 Defined cases: vectors that are null, zero, empty or hold a null, NaN or infinite component take no part; neither do those
 whose length differs from the most common one; null ids take no part; ties go to the smaller id; repeated rows count as often

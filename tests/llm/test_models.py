@@ -156,6 +156,18 @@ def test_small_tables_are_searched_whole(spark):
         assert all(abs(got[q][k + 1][1] - s) < 1e-12 for k, (_, s) in enumerate(best))
 
 
+def test_larger_tables_use_the_forest(spark, tmp_path):
+    vectors = np.random.default_rng(3).standard_normal((6_000, 64))  # a shard of more rows than are searched whole
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit, got = vectors / np.linalg.norm(vectors, axis=1, keepdims=True), {}
+    for r in queries.op5_nearest_neighbours(spark, str(tmp_path)).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = {q: set(np.argsort(-(unit @ unit[q]))[1:6].tolist()) for q in range(0, 6_000, 50)}
+    assert set(got) == set(want)
+    assert 0.9 <= np.mean([len(got[q] & best) / 5 for q, best in want.items()]) < 1  # a whole scan would find all
+
+
 def test_recall_over_shards(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     want = exact([(r["vec_id"], r["embedding"]) for r in table.collect()], lambda i: i % 50 == 0)
