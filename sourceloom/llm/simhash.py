@@ -122,14 +122,19 @@ def links(prints: DataFrame, hot_rows: int = 20_000) -> DataFrame:
     halves = prints.select(fp, F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.shiftrightunsigned(fp, 32).alias("half"), fp.bitwiseAND(low).alias("other")),
         F.struct(F.lit(1).alias("side"), fp.bitwiseAND(low).alias("half"), F.shiftrightunsigned(fp, 32).alias("other")))).alias("h"))
-    clear = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda j: F.expr("h.half").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), j)) == 0)
-    keys = F.concat(F.array(F.col("h.half")), F.transform(
-        clear, lambda j: F.expr("h.half").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), j))))
-    tagged = lambda key: key.bitwiseOR(F.shiftleft(F.col("h.side").cast("long"), 40))
-    entered = halves.select("fingerprint", F.col("h.other").alias("other"), F.explode(F.transform(keys, tagged)).alias("key"))
-    # at most 2 / hot_rows of all fingerprints; written, so that the join below knows how few they are and spares a shuffle
-    hot = stored(halves.groupBy(tagged(F.col("h.half")).alias("key")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows)
-                 .select("key", F.lit(True).alias("hot")), "hot-keys")
+
+    def keys(side, half):
+        """The half itself and its neighbours with one clear bit set, marked by the side."""
+        clear = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda j: half.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), j)) == 0)
+        neighbours = F.transform(clear, lambda j: half.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), j)))
+        return F.transform(F.concat(F.array(half), neighbours), lambda key: key.bitwiseOR(F.shiftleft(side.cast("long"), 40)))
+
+    entered = halves.select("fingerprint", F.col("h.other").alias("other"), F.explode(keys(F.col("h.side"), F.col("h.half"))).alias("key"))
+    # counted per half, then entered as the fingerprints are: at most 66 / hot_rows of all fingerprints are hot; written, so that
+    # the join below knows how few they are and spares a shuffle
+    sizes = halves.groupBy("h.side", "h.half").agg(F.count(F.lit(1)).alias("n"))
+    hot = stored(sizes.select("n", F.explode(keys(F.col("side"), F.col("half"))).alias("key")).groupBy("key").agg(F.sum("n").alias("n"))
+                 .filter(F.col("n") > hot_rows).select("key", F.lit(True).alias("hot")), "hot-keys")
     part = F.when(F.col("hot"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: (
         j * 256 + F.call_function("shiftright", F.col("other"), j * 8).bitwiseAND(255)).cast("int"))).otherwise(F.array(F.lit(-1)))
     split = entered.join(hot, "key", "left").select("key", F.explode(part).alias("part"), "fingerprint")

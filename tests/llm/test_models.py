@@ -125,6 +125,24 @@ def test_links_connect_as_all_pairs_do(spark, hot_rows):
     assert len({(root(p), want[p]) for p in prints}) == len(set(want.values()))
 
 
+def test_hot_neighbour_keys_are_split(spark, monkeypatch):
+    """A half of more than hot_rows fingerprints makes the keys with one more bit hot as well."""
+    others = np.random.default_rng(6).choice(2**32, 300, replace=False).tolist()
+    df = spark.createDataFrame([(0x0F0F0F0F << 32 | x,) for x in others], "fingerprint long")
+
+    def sizes(batches):
+        import pyarrow as pa
+        from collections import Counter
+        found = Counter((k, p) for batch in batches for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        yield pa.RecordBatch.from_pydict({"a": [k for k, _ in found], "b": list(found.values())}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    monkeypatch.setattr(simhash, "_links", sizes)
+    rows = simhash.links(df, 100).collect()
+    assert rows and max(r["b"] for r in rows) <= 100
+    whole = simhash.links(df, 1_000).collect()
+    assert sum(r["b"] == 300 for r in whole) == 17  # the half and its 16 neighbours
+
+
 def test_dedup_empty(spark):
     assert simhash.dedup(empty_documents(spark)).count() == 0
     assert simhash.components(empty_documents(spark)).count() == 0
