@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, lm, packing, quality, simhash, token_codec, token_counts, token_files
+from . import ann, chat, langid, lm, merkle, packing, quality, simhash, token_codec, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -129,3 +129,49 @@ def op5_nearest_neighbours(spark, folder):
 @query()
 def op7_language_model(spark, folder):
     return lm.score(_table(spark, folder, "documents"), langid.fold("doc_id", 7) != 2)
+
+
+def _crc32_sql(value: str) -> str:
+    """Unsigned CRC-32 of an ASCII string, bit by bit."""
+    bits = "list_reduce(list_concat([xor(c, b)], [0::BIGINT FOR _ IN range(8)]), lambda x, _: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    codes = f"[ascii(x)::BIGINT FOR x IN regexp_extract_all({value}, '.')]"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: {bits}), 4294967295)"
+
+
+def _merkle_sql() -> str:
+    """The trees of ``documents`` level by level; six levels are enough for 16 million rows of a source, and of sources."""
+    sized = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    text = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda t: "sha256(" + " || ".join([sized(c) for c in ("doc_id", "source", "lang", "n_chars")] + [sized(t)]) + ")"
+    parts = [f"""leaves AS (SELECT doc_id, leaf, coalesce(bad, leaf) AS asked, coalesce('.' || source, '') AS k,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+  FROM (SELECT *, {leaf('text')} AS leaf, CASE WHEN {_crc32_sql('doc_id::VARCHAR')} % 5 = 0 THEN {leaf(text)} END AS bad FROM documents)),
+s0 AS (SELECT k, i, leaf AS h FROM leaves)"""]
+
+    def levels(a: str) -> None:
+        for n in range(6):
+            parts.append(f"""{a}{n}x AS (SELECT *, count(*) OVER (PARTITION BY k) AS n,
+  coalesce(string_agg(h, '') OVER (PARTITION BY k, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(h, '') OVER (PARTITION BY k, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {a}{n})""")
+            parts.append(f"""{a}{n + 1} AS (SELECT k, i // 16 AS i, CASE WHEN max(n) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h
+  FROM {a}{n}x GROUP BY k, i // 16)""")
+
+    levels("s")
+    parts.append("r0 AS (SELECT 0 AS k, row_number() OVER (ORDER BY k) - 1 AS i, h, k AS name FROM s6)")
+    levels("r")
+    parts.append("p0 AS (SELECT doc_id, leaf, asked AS h, k, i, '' AS p FROM leaves)")
+    for n, (a, at) in enumerate([("s", m) for m in range(6)] + [("r", m) for m in range(6)]):
+        if (a, at) == ("r", 0):
+            parts.append("p6r AS (SELECT doc_id, leaf, p6.h, 0 AS k, r0.i AS i, p, r0.h AS subroot FROM p6 JOIN r0 ON r0.name = p6.k)")
+        before, more = ("p6r" if n == 6 else f"p{n}"), ", subroot" if a == "r" else ""
+        parts.append(f"""p{n + 1} AS (SELECT doc_id, leaf, CASE WHEN x.n = 1 THEN q.h ELSE sha256(x.l || q.h || x.r) END AS h, q.k, q.i // 16 AS i,
+  p || x.l || x.r AS p{more} FROM {before} q JOIN {a}{at}x x ON x.k = q.k AND x.i = q.i)""")
+    return "WITH " + ",\n".join(parts) + """
+SELECT doc_id, leaf, subroot, r6.h AS root, sha256(p) AS proof_sha256, p12.h AS folded_root, p12.h = r6.h AS verified FROM p12, r6"""
+
+
+@query(_merkle_sql())
+def op11_merkle_manifest(spark, folder):
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.document_proofs(_table(spark, folder, "documents"), tampered=tampered).select(
+        "doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"), "verified")
