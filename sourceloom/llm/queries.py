@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, lm, merkle, packing, quality, simhash, token_codec, token_counts, token_files
+from . import ann, chat, langid, lm, merkle, packing, quality, simhash, token_codec, token_counts, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -175,3 +175,19 @@ def op11_merkle_manifest(spark, folder):
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return merkle.document_proofs(_table(spark, folder, "documents"), tampered=tampered).select(
         "doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"), "verified")
+
+
+BASE32_SQL = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hexed, {1 + 10 * (k // 8)}, 10))::BIGINT >> {35 - 5 * (k % 8)}) & 31) + 1), 1)"
+    for k in range(32))
+
+
+@query(f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hexed FROM pages),
+h AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS head FROM p)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, {BASE32_SQL} AS payload_digest,
+  CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to,
+  NULL::VARCHAR AS error FROM h""")
+def op12_warc(spark, folder):
+    return warc.round_trip(_table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
