@@ -29,11 +29,13 @@ UNDETERMINED = "und"
 class Profiles:
     """Text vectors for one seed and number of dimensions."""
 
-    def __init__(self, dims: int, seed: int, block: int = 16_384):
-        self.dims, self.seed, self.block, self.known = dims, seed, block, {}
+    def __init__(self, dims: int, seed: int, block: int = 8_192, keep: int = 8_192):
+        self.dims, self.seed, self.block, self.keep, self.known = dims, seed, block, keep, {}
 
     def letters(self, points: np.ndarray) -> np.ndarray:
-        """The random vectors of code points; 0 is the boundary symbol."""
+        """The random vectors of code points; 0 is the boundary symbol.  ``keep`` of them are remembered."""
+        if len(self.known) > self.keep:
+            self.known.clear()
         rows = []
         for p in points.tolist():
             if p not in self.known:
@@ -56,12 +58,13 @@ class Profiles:
         middle = np.flatnonzero(symbols[1:-1]) + 1
         grams = (symbols[middle - 1] * base + symbols[middle]) * base + symbols[middle + 1]
         keys, counts = np.unique(owner[middle - 1] * base**3 + grams, return_counts=True)
-        letters = self.letters(alphabet)
-        first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
         for at in range(0, len(keys), self.block):
             docs, codes = np.divmod(keys[at:at + self.block], base**3)
             some, where = np.unique(codes, return_inverse=True)
-            bound = first[some // base**2] * second[some // base % base] * letters[some % base]
+            used, places = np.unique(np.stack([some // base**2, some // base % base, some % base]), return_inverse=True)
+            letters = self.letters(alphabet[used])  # of this block only, however many letters the texts have
+            a, b, c = places.reshape(3, -1)
+            bound = np.roll(letters, 2, axis=1)[a] * np.roll(letters, 1, axis=1)[b] * letters[c]
             starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
             weight = counts[at:at + self.block].astype(np.float32)
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(docs)]):
@@ -80,7 +83,7 @@ def _bundles(dims: int, seed: int):
         profiles, sums = Profiles(dims, seed), {}
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in spans_of(texts):
+            for a, b in spans_of(texts, 200_000):
                 units = _unit(profiles.vectors(texts[a:b]))
                 for lang, unit in zip(langs[a:b], units):
                     sums[lang] = sums.get(lang, 0) + unit.astype(np.float64)
@@ -116,7 +119,7 @@ def _predictions(prototypes: dict[str, np.ndarray], dims: int, seed: int):
         for texts in series:
             texts = ["" if t is None else t for t in texts.tolist()]
             found = [(UNDETERMINED, 0.0)] * len(texts)
-            for a, b in spans_of(texts) if names else ():
+            for a, b in spans_of(texts, 200_000) if names else ():
                 cosines = _unit(profiles.vectors(texts[a:b])) @ matrix.T
                 best = cosines.argmax(axis=1)
                 for k, (i, row) in enumerate(zip(best.tolist(), cosines)):

@@ -105,20 +105,35 @@ def _blocks(block_tokens: int):
     return run
 
 
+def rows_of(batches):
+    """The rows of batches as dictionaries, one at a time: a row is a whole block."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield batch.slice(at, 1).to_pylist()[0]
+
+
 class Block:
-    """A block's tokens and different pairs."""
+    """A block's tokens and different pairs; numbers local to the block have 32 bits."""
 
     def __init__(self, row, n_words: int):
-        self.tokens, self.sizes = spread(row["tokens"], "<u4").astype(np.int64), spread(row["lengths"], "<u4").astype(np.int64)
+        self.tokens, self.sizes = spread(row["tokens"], "<u4").astype(np.int32), spread(row["lengths"], "<u4").astype(np.int64)
         self.train = spread(row["train"], "u1").astype(bool)
         self.ends = np.cumsum(self.sizes)
-        before = np.r_[0, self.tokens[:-1]]
-        before[np.r_[0, self.ends[:-1]]] = n_words  # the start context
-        self.codes, self.pair_of = np.unique(before * (n_words + 1) + self.tokens, return_inverse=True)
-        self.before, self.word = np.divmod(self.codes, n_words + 1)
-        self.learn = np.repeat(self.train, self.sizes)
-        self.pair_counts = np.bincount(self.pair_of, weights=self.learn, minlength=len(self.codes)).astype(np.uint32)
-        self.word_counts = np.bincount(self.tokens, weights=self.learn, minlength=n_words).astype(np.uint32)
+        codes = np.empty(len(self.tokens), dtype=np.int64)
+        codes[1:] = self.tokens[:-1]
+        codes[np.r_[0, self.ends[:-1]]] = n_words  # the start context
+        codes *= n_words + 1
+        codes += self.tokens
+        codes, pair_of = np.unique(codes, return_inverse=True)
+        self.pair_of = pair_of.astype(np.int32)
+        self.before, self.word = (codes // (n_words + 1)).astype(np.int32), (codes % (n_words + 1)).astype(np.int32)
+        self.n_words = n_words
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of the words and of the pairs."""
+        learn = np.repeat(self.train, self.sizes)
+        return (np.bincount(self.tokens[learn], minlength=self.n_words).astype(np.uint32),
+                np.bincount(self.pair_of[learn], minlength=len(self.word)).astype(np.uint32))
 
     def pair_hashes(self, hashes: np.ndarray) -> np.ndarray:
         with_start = np.r_[hashes, np.array([specials()[1]], dtype=np.uint64)]
@@ -128,19 +143,21 @@ class Block:
 def _asks(bits: int):
     def run(batches):
         import pyarrow as pa
-        for batch in batches:
-            for row in batch.to_pylist():
-                hashes = np.frombuffer(row["hashes"], dtype="<u8")
-                block = Block(row, len(hashes))
-                for kind, keys, counts in ((1, hashes, block.word_counts), (2, block.pair_hashes(hashes), block.pair_counts)):
-                    order = np.argsort(keys)
-                    keys, counts = keys[order], counts[order]
-                    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
-                    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else []
-                    rows = [(int(bucket[a]), row["block"], kind, squeeze(np.diff(keys[a:b], prepend=np.uint64(0))), squeeze(counts[a:b]))
-                            for a, b in zip(starts, [*starts[1:], len(keys)])]
-                    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in ASK.split(", ")])
+        for row in rows_of(batches):
+            hashes = np.frombuffer(row["hashes"], dtype="<u8")
+            block = Block(row, len(hashes))
+            word_counts, pair_counts = block.counts()
+            pairs = block.pair_hashes(hashes)
+            del block
+            for kind, keys, counts in ((1, hashes, word_counts), (2, pairs, pair_counts)):
+                order = np.argsort(keys)
+                keys, counts = keys[order], counts[order]
+                bucket = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), dtype=np.int32)
+                starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else []
+                rows = [(int(bucket[a]), row["block"], kind, squeeze(np.diff(keys[a:b], prepend=np.uint64(0))), squeeze(counts[a:b]))
+                        for a, b in zip(starts, [*starts[1:], len(keys)])]
+                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in ASK.split(", ")])
     return run
 
 
@@ -176,12 +193,15 @@ def _counted(starts: int):
         hashes = np.frombuffer(head["hashes"], dtype="<u8")
         block = Block(head, len(hashes))
         found = {k: np.concatenate([spread(c, "<u8") for c in g.sort_values("bucket")["counts"]]) for k, g in rows[rows["kind"] > 0].groupby("kind")}
-        words, pairs = np.empty(len(hashes), dtype=np.uint64), np.empty(len(block.codes), dtype=np.uint64)
+        words, pairs = np.empty(len(hashes), dtype=np.uint64), np.empty(len(block.word), dtype=np.uint64)
         words[np.argsort(hashes)] = found[1]  # answers come in the order of the hashes
         pairs[np.argsort(block.pair_hashes(hashes))] = found[2]
-        contexts = np.r_[words, np.uint64(starts)].astype(np.float64)[block.before]
-        times, live = block.pair_counts.astype(np.int64), block.pair_counts > 0
-        ch, c2, c1 = contexts[live] - 1, pairs[live].astype(np.float64) - 1, words[block.word[live]].astype(np.float64) - 1
+        del found
+        times = block.counts()[1]
+        live = np.flatnonzero(times).astype(np.int32)
+        before, word = block.before[live], block.word[live]
+        del block
+        ch, c2, c1 = np.r_[words, np.uint64(starts)][before].astype(np.float64) - 1, pairs[live].astype(np.float64) - 1, words[word].astype(np.float64) - 1
         # one number per event: bucket, then the two bins
         event = (frequency_bucket(ch) << 22) + (_bins(np.divide(c2, ch, out=np.zeros_like(c2), where=ch > 0)) - NOTHING << 11) + _bins(c1) - NOTHING
         kinds, at = np.unique(event, return_inverse=True)
@@ -224,27 +244,29 @@ def learn_weights(events: dict[tuple[int, int, int], int], n_train: int, vocabul
 def _scores(weights: np.ndarray, n_train: int, vocabulary: int, starts: int):
     def run(batches):
         import pyarrow as pa
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, pairs = spread(row["words"], "<u8").astype(np.float64), spread(row["pairs"], "<u8").astype(np.float64)
-                block = Block(row, len(words))
-                contexts = np.r_[words, float(starts)][block.before]
-                mixed = weights[frequency_bucket(contexts)]
-                own = words[block.word]
-                p = mixed[:, 0] / (vocabulary + 1) + mixed[:, 1] * own / max(n_train, 1) + mixed[:, 2] * np.divide(
-                    pairs, contexts, out=np.zeros_like(pairs), where=contexts > 0)
-                base = np.log10((words + 1) / (n_train + vocabulary + 1))
-                first = block.ends - block.sizes
-                sums = [np.add.reduceat(x, first) for x in (np.log10(p)[block.pair_of], base[block.tokens], (words > 0)[block.tokens].astype(np.int64))]
-                ids = spread(row["doc_ids"], "<i8")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=ids == NO_ID), pa.array(~block.train), pa.array(block.sizes), pa.array(sums[2]),
-                     pa.array(np.full(len(ids), n_train, dtype=np.int64)), pa.array(sums[1]), pa.array(sums[0])],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for row in rows_of(batches):
+            words, pairs = spread(row["words"], "<u8").astype(np.float64), spread(row["pairs"], "<u8").astype(np.float64)
+            block = Block(row, len(words))
+            contexts = np.r_[words, float(starts)][block.before]
+            chosen = frequency_bucket(contexts).astype(np.int8)
+            p = np.divide(pairs, contexts, out=np.zeros_like(pairs), where=contexts > 0)
+            p *= weights[chosen, 2]
+            p += weights[chosen, 1] * words[block.word] / max(n_train, 1)
+            p += weights[chosen, 0] / (vocabulary + 1)
+            del pairs, contexts, chosen
+            np.log10(p, out=p)
+            base = np.log10((words + 1) / (n_train + vocabulary + 1))
+            first = block.ends - block.sizes
+            sums = [np.add.reduceat(x[at], first) for x, at in ((p, block.pair_of), (base, block.tokens), ((words > 0).astype(np.int64), block.tokens))]
+            ids = spread(row["doc_ids"], "<i8")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, mask=ids == NO_ID), pa.array(~block.train), pa.array(block.sizes), pa.array(sums[2]),
+                 pa.array(np.full(len(ids), n_train, dtype=np.int64)), pa.array(sums[1]), pa.array(sums[0])],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     return run
 
 
-def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", block_tokens: int = 2_500_000,
+def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", block_tokens: int = 1_500_000,
           bucket_entries: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 

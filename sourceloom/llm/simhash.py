@@ -143,24 +143,41 @@ def links(prints: DataFrame, hot_rows: int = 20_000) -> DataFrame:
     return grouped.mapInArrow(_links, "a long, b long")
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """doc_id, fingerprint, component (smallest fingerprint linked), component_id (smallest doc_id linked), one row per row."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    prints = stored(fingerprints(rows, "text", width).drop("text"), "fingerprints")
+def _labelled(prints: DataFrame) -> DataFrame:
+    """fingerprint, component (smallest fingerprint linked), component_id (smallest doc_id linked) of (doc_id, fingerprint) rows."""
     nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("smallest"))
     found = connected(links(nodes.select("fingerprint")).select(F.col("a").alias("u"), F.col("b").alias("v")))
     labelled = nodes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
         "fingerprint", "smallest", F.coalesce("component", "fingerprint").alias("component"))
     names = labelled.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    table = labelled.join(names, "component").select("fingerprint", "component", "component_id")
-    return prints.join(table, "fingerprint").select("doc_id", "fingerprint", "component", "component_id")
+    return labelled.join(names, "component").select("fingerprint", "component", "component_id")
+
+
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+    """doc_id, fingerprint, component (smallest fingerprint linked), component_id (smallest doc_id linked), one row per row."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    prints = stored(fingerprints(rows, "text", width).drop("text"), "fingerprints")
+    return prints.join(_labelled(prints), "fingerprint").select("doc_id", "fingerprint", "component", "component_id")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """The rows of ``docs`` with one document left of each component: the smallest doc_id, then the smallest fingerprint."""
-    kept = components(docs, doc_id, text, width).groupBy("component").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "fingerprint")).alias("k")).select(
-        F.col("k.doc_id").alias("_id"), F.col("k.fingerprint").alias("_fp"))
-    marked = fingerprints(docs, text, width, "_own")
-    on = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_fp"))
-    return marked.join(kept, on, "left_semi").dropDuplicates([doc_id, "_own"]).drop("_own")
+    """The rows of ``docs`` with one document left of each component: the smallest doc_id (null last), then the smallest text hash.
+
+    A document is an id and a text; of rows equal in both, one is left.  Everything is decided on ids and hashes.  The texts are
+    read once more to drop what is not left, usually little: Spark joins by the written list's true size.  Empty tables stay empty.
+    """
+    key = {"_id": F.col(doc_id).cast("long"), "_hash": F.xxhash64(F.col(text))}
+    rows = docs.select(key["_id"].alias("doc_id"), key["_hash"].alias("hash"), F.col(text).alias("text"))
+    prints = stored(fingerprints(rows, "text", width).drop("text"), "fingerprints")
+    one = prints.groupBy("doc_id", "hash", "fingerprint").agg(F.count(F.lit(1)).alias("n")).join(_labelled(prints), "fingerprint")
+    rank = F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "hash")
+    kept = one.groupBy("component").agg(F.min(rank).alias("k")).select("component", F.col("k").alias("first"))
+    # what goes, and what is left of several equal rows
+    judged = stored(one.join(kept, "component").select(
+        F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.when(rank == F.col("first"), F.lit(True)).otherwise(False).alias("_left"), "n")
+        .filter("n > 1 OR NOT _left").drop("n"), "judged")
+    keyed = docs.withColumns(key)
+    same = lambda other: keyed["_id"].eqNullSafe(other["_id"]) & (keyed["_hash"] == other["_hash"])
+    several = judged.filter("_left")
+    left = keyed.join(judged, same(judged), "left_anti").drop(*key)
+    return left.unionByName(keyed.join(several, same(several), "left_semi").dropDuplicates(list(key)).drop(*key))
