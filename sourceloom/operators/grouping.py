@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, fold, norm_ws
 from ..functions.urls import canonical_url
-from ..session import cut, cut_counted
+from ..session import cut_counted
+from .skew import HUB_ROWS, hub_lookup
 
 
 def evidence_keys() -> dict[str, Column]:
@@ -18,31 +19,28 @@ def evidence_keys() -> dict[str, Column]:
             "url": canonical_url(c("url")), "content": content_hash(fold(norm_ws(c("content"))))}
 
 
-def _with_min(pairs: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Attach the smallest ``value`` of its key to every row: a partial aggregate, and an inner join whose hot keys the
-    runtime splits (adaptive skew join)."""
-    return pairs.join(pairs.groupBy(key).agg(F.min(value).alias(name)), key)
+def _smallest(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.min(value).alias(name))
 
 
-def _by_root(pairs: DataFrame) -> DataFrame:
-    """Attach the smallest of a node and its neighbours to every (node, neighbour) pair."""
-    return _with_min(pairs, "u", "v", "m").withColumn("m", F.least("m", "u"))
-
-
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame:
     """Smallest reachable node per node, from undirected ``edges(u, v)``.
 
     Alternates large-star and small-star contraction, which needs a logarithmic
-    number of passes however long the chains are.  Each pass is checkpointed, so
-    an executor loss replays one pass; count and checksum come with the write.
+    number of passes however long the chains are.  An edge is kept once, from its larger
+    node u to its smaller node v, so a node's smallest neighbour is a partial
+    aggregate over u.  Each pass is checkpointed, so an executor loss replays one
+    pass; count and checksum come with the write.
     """
     current, state = cut_counted(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "u", "v")
     while state[0] > 0:
-        both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _by_root(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        rooted = _by_root(large)
-        small = rooted.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            rooted.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        # every larger neighbour of v moves to v's smallest neighbour
+        large = hub_lookup(current, "v", _smallest(current, "u", "v", "m").withColumnRenamed("u", "v"), state[0], hub_rows).select(
+            "u", F.coalesce("m", "v").alias("v"))
+        # u and its smaller neighbours move to the smallest of them
+        least = _smallest(large, "u", "v", "m")
+        small = hub_lookup(large, "u", least, state[0], hub_rows).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+            least.select("u", F.col("m").alias("v"))).distinct()
         current, following = cut_counted(small, "u", "v")
         if following == state:
             break
@@ -62,11 +60,11 @@ def source_groups(rows: DataFrame, scope: list[str], keys: dict[str, Column], id
     keyed = rows.withColumns({f"key_{k}": c for k, c in keys.items()})
     signatures = keyed.groupBy(*scope, *names).agg(F.min(id_col).alias("node"), *(carry or []))
     # A node name must be unique across scopes.
-    named = cut(signatures.withColumn("node", F.md5(F.to_json(F.struct(*scope, *names, "node")))))
+    named, (n, _) = cut_counted(signatures.withColumn("node", F.md5(F.to_json(F.struct(*scope, *names, "node")))), "node")
     tokens = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.md5(F.to_json(F.struct(
         *scope, F.lit(k).alias("kind"), F.col(k).alias("value"))))) for k in names]))
     links = named.select("node", F.explode(tokens).alias("k"))
-    edges = _with_min(links, "k", "node", "lead").select(
+    edges = hub_lookup(links, "k", _smallest(links, "k", "node", "lead"), n * len(names)).select(
         F.col("node").alias("u"), F.col("lead").alias("v")).filter("u <> v")
     labels = connected(edges)
     out = named.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 HOT_KEYS = 1_000
+HUB_ROWS = 10_000
 
 
 def split_lookup(big: DataFrame, small: DataFrame, keys: list[str], count_col: str,
@@ -21,13 +22,28 @@ def split_lookup(big: DataFrame, small: DataFrame, keys: list[str], count_col: s
     hot = small.filter(F.col(count_col) > hot_rows).orderBy(F.desc(count_col), *keys).limit(HOT_KEYS)
     marked = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
     cold = small.join(marked, keys, "left_anti")
-    if how == "inner":
-        return big.join(F.broadcast(hot), keys).unionByName(big.join(cold, keys))
     tagged = big.join(marked, keys, "left")
     on_hot = tagged.filter("_hot").drop("_hot").join(F.broadcast(hot), keys, how)
     return on_hot.unionByName(tagged.filter("_hot IS NULL").drop("_hot").join(cold, keys, how))
 
 
+def hub_lookup(rows: DataFrame, key: str, table: DataFrame, total: int, hub_rows: int = HUB_ROWS) -> DataFrame:
+    """Left join of ``rows`` to ``table``, which has one row per ``key`` at most, that no hub can pile up in one task.
+
+    A hub is a key with more than ``hub_rows`` of the at most ``total`` rows and more than a 1 / (2 x partitions) share of them, so
+    there are at most 2 x partitions hubs: their few table rows are broadcast and their rows stay where they are.  Only the
+    other rows are shuffled by key.  Without enough rows for any hub there is nothing to part.
+    """
+    limit = max(hub_rows, total // (2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    if total <= limit:
+        return rows.join(table, key, "left")
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    hubs = F.broadcast(counts.drop("_n").join(table, key, "left").withColumn("_hub", F.lit(True)))
+    marked = rows.join(hubs, key, "left")
+    others = marked.filter("_hub IS NULL").select(rows.columns).join(table, key, "left")
+    return marked.filter("_hub").drop("_hub").unionByName(others)
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 16,
                 how: str = "inner") -> DataFrame:
     """Spread each key of ``big`` over ``salts`` partitions; ``small`` is repeated per salt."""

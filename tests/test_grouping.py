@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.operators import grouping as G
 from sourceloom.operators.admission import validate_evidence
-from sourceloom.operators.skew import lagged, running_sums, split_lookup
+from sourceloom.operators.skew import hub_lookup, lagged, running_sums, split_lookup
 
 COLS = "claim_id string, round int, id string, publisher_group string, origin_id string, url string, content string, stance string"
 
@@ -60,6 +60,37 @@ def test_components_match_union_find(spark):
     assert {r["node"]: r["component"] for r in G.connected(df).collect()} == want
 
 
+def test_stars_with_hubs(spark):
+    """Centres that are the smallest, a middle and the largest node, joined by a chain of hubs."""
+    n = 60_000
+    ids = spark.range(n).withColumn("k", F.col("id") % 3)
+    centre = F.when(F.col("k") == 0, F.lit(-1)).when(F.col("k") == 1, F.lit(n // 2)).otherwise(F.lit(n + 5))
+    edges = ids.select(F.col("id").alias("u"), centre.cast("long").alias("v")).unionByName(
+        spark.createDataFrame([(-1, n // 2), (n + 5, n + 9), (n + 20, n + 21)], "u long, v long"))
+    # n // 2 is one of the leaves of the smallest centre or stands between two
+    got = {(r["component"], r["n"]) for r in G.connected(edges, hub_rows=1_000).groupBy("component").agg(F.count("*").alias("n")).collect()}
+    labels = union_find([(r["u"], r["v"]) for r in edges.collect() if r["u"] != r["v"]])
+    want = {}
+    for node, root in labels.items():
+        if node != root:
+            want[root] = want.get(root, 0) + 1
+    assert got == set(want.items())
+
+
+def test_hub_rows_stay_spread(spark):
+    """A key with nine of ten rows: the fullest task holds little more than its share, and every row finds its value."""
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = spark.range(200_000).select(F.when(F.col("id") % 10 > 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id").repartition(16)
+        table = rows.groupBy("k").agg(F.min("id").alias("m")).filter("k % 3 <> 0")
+        out = hub_lookup(rows, "k", table, 200_000)
+        most = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        assert most <= 2 * 200_000 / 16
+        assert out.exceptAll(rows.join(table, "k", "left")).isEmpty() and out.count() == 200_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_admitted_copies_fold_and_addresses_join(spark):
     """Exact copies become one signature before the graph, and a shared address alone joins two rows."""
     from sourceloom.plans.evidence_queries import admitted
