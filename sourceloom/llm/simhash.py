@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.grouping import connected
+from ..operators.skew import hub_lookup
 from .tokens import spans_of
 from .workdir import stored
 
@@ -143,21 +144,22 @@ def links(prints: DataFrame, hot_rows: int = 20_000) -> DataFrame:
     return grouped.mapInArrow(_links, "a long, b long")
 
 
-def _labelled(prints: DataFrame) -> DataFrame:
-    """fingerprint, component (smallest fingerprint linked), component_id (smallest doc_id linked) of (doc_id, fingerprint) rows."""
+def _labelled(prints: DataFrame, n: int) -> DataFrame:
+    """fingerprint, component (smallest fingerprint linked), component_id (smallest doc_id linked) of ``n`` (doc_id, fingerprint) rows."""
     nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("smallest"))
     found = connected(links(nodes.select("fingerprint")).select(F.col("a").alias("u"), F.col("b").alias("v")))
     labelled = nodes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
         "fingerprint", "smallest", F.coalesce("component", "fingerprint").alias("component"))
     names = labelled.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    return labelled.join(names, "component").select("fingerprint", "component", "component_id")
+    return hub_lookup(labelled, "component", names, n).select("fingerprint", "component", "component_id")
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """doc_id, fingerprint, component (smallest fingerprint linked), component_id (smallest doc_id linked), one row per row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     prints = stored(fingerprints(rows, "text", width).drop("text"), "fingerprints")
-    return prints.join(_labelled(prints), "fingerprint").select("doc_id", "fingerprint", "component", "component_id")
+    n = prints.count()
+    return hub_lookup(prints, "fingerprint", _labelled(prints, n), n).select("doc_id", "fingerprint", "component", "component_id")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -169,11 +171,13 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     key = {"_id": F.col(doc_id).cast("long"), "_hash": F.xxhash64(F.col(text))}
     rows = docs.select(key["_id"].alias("doc_id"), key["_hash"].alias("hash"), F.col(text).alias("text"))
     prints = stored(fingerprints(rows, "text", width).drop("text"), "fingerprints")
-    one = prints.groupBy("doc_id", "hash", "fingerprint").agg(F.count(F.lit(1)).alias("n")).join(_labelled(prints), "fingerprint")
+    total = prints.count()
+    copies = prints.groupBy("doc_id", "hash", "fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    one = stored(hub_lookup(copies, "fingerprint", _labelled(prints, total), total), "labelled")
     rank = F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "hash")
     kept = one.groupBy("component").agg(F.min(rank).alias("k")).select("component", F.col("k").alias("first"))
     # what goes, and what is left of several equal rows
-    judged = stored(one.join(kept, "component").select(
+    judged = stored(hub_lookup(one, "component", kept, total).select(
         F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.when(rank == F.col("first"), F.lit(True)).otherwise(False).alias("_left"), "n")
         .filter("n > 1 OR NOT _left").drop("n"), "judged")
     keyed = docs.withColumns(key)
