@@ -266,7 +266,7 @@ def _scores(weights: np.ndarray, n_train: int, vocabulary: int, starts: int):
     return run
 
 
-def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", block_tokens: int = 1_500_000,
+def score(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", block_tokens: int = 2_000_000,
           bucket_entries: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
