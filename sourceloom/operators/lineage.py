@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
 from ..functions.urls import url_key
-from ..session import cut
-from .skew import top_k
+from ..session import cut, cut_counted, written
+from .skew import hub_lookup, top_k
 
 # Relation kinds that carry lineage, and the originals a finding may name.
 LINEAGE_KINDS = ["quotes", "cites", "reprints", "translates", "derives"]
@@ -45,45 +45,90 @@ def reach(starts: DataFrame, edges: DataFrame) -> DataFrame:
             seen = cut(seen)
 
 
-def edge_paths(starts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Shortest path per reachable node with the edge ids used; ties go to the smallest ids.
+def _gathered(rows: DataFrame) -> DataFrame:
+    """Unions of a loop in the usual number of partitions: otherwise each pass would add to it."""
+    return rows.coalesce(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    ``starts(scope, start)``, ``edges(scope, src, dst, edge_id)``.
+
+def chains(edges: DataFrame, keep: DataFrame) -> DataFrame:
+    """Where the nodes with one way on lead: (node, end, steps, path), by pointer doubling.
+
+    ``edges(src, dst, edge_id)`` with one row per (src, dst), ``keep(node)``.  A node with exactly one edge that is not kept goes where
+    that edge goes, so whatever is asked about it is answered at the first node that is kept, has several edges or none.  After k passes
+    a row points 2^k edges on, and steps and edge ids are joined as pointers jump.  ``end`` is null on a closed round, which leads nowhere.
     """
-    edges = cut(edges.select("scope", "src", "dst", "edge_id"))
-    seen = cut(starts.select("scope", "start", F.col("start").alias("node"),
-                             F.array().cast("array<string>").alias("path")).distinct())
-    frontier = seen
-    for hop in count(1):
-        step = frontier.join(edges, (frontier["scope"] == edges["scope"]) & (frontier["node"] == edges["src"])).select(
-            frontier["scope"], frontier["start"], F.col("dst").alias("node"),
-            F.array_append(frontier["path"], F.col("edge_id")).alias("path"))
-        best = step.groupBy("scope", "start", "node").agg(F.min("path").alias("path"))
-        frontier = cut(best.join(seen, ["scope", "start", "node"], "left_anti"))
+    one = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_n"), F.min("dst").alias("up"), F.min("edge_id").alias("_e")).filter("_n = 1")
+    first = one.join(keep.select(F.col("node").alias("src")), "src", "left_anti").select(
+        F.col("src").alias("node"), "up", F.lit(1).cast("long").alias("steps"), F.array_compact(F.array("_e")).alias("path"), F.lit(False).alias("done"))
+    state, (total, _) = cut_counted(first, "node")
+    for _ in range(ceil(log2(max(total, 2))) + 1):
+        # pointers that have arrived stay out of the lookup
+        table = state.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"), F.col("path").alias("_path"),
+                             F.col("done").alias("_done"))
+        moved = hub_lookup(state.filter("NOT done"), "up", table, total).select(
+            "node", F.coalesce("_up", "up").alias("up"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
+            F.when(F.col("_up").isNull(), F.col("path")).otherwise(F.concat("path", "_path")).alias("path"),
+            F.coalesce("_done", F.lit(True)).alias("done"))
+        state = written(_gathered(state.filter("done").unionByName(moved)))
+        if state.filter("NOT done").isEmpty():
+            break
+    return state.select("node", F.when(F.col("done"), F.col("up")).alias("end"), "steps", F.when(F.col("done"), F.col("path")).alias("path"))
+
+
+def contracted(edges: DataFrame, led: DataFrame, total: int) -> DataFrame:
+    """(src, dst, steps, path): the edges of the nodes that ``chains`` leaves, each followed to where it leads."""
+    bare = edges.join(led.select(F.col("node").alias("src")), "src", "left_anti")
+    table = led.select(F.col("node").alias("dst"), "end", F.col("steps").alias("_steps"), F.col("path").alias("_path"), F.lit(True).alias("_led"))
+    followed = hub_lookup(bare, "dst", table, total).filter("_led IS NULL OR end IS NOT NULL").select(
+        "src", F.coalesce("end", "dst").alias("dst"), F.struct(
+            (F.coalesce("_steps", F.lit(0)) + 1).alias("steps"),
+            F.concat(F.array_compact(F.array("edge_id")), F.coalesce("_path", F.array().cast("array<string>"))).alias("path")).alias("w"))
+    return followed.filter("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w")).select("src", "dst", "w.steps", "w.path")
+
+
+def single_edges(edges: DataFrame) -> tuple[DataFrame, int]:
+    """One edge per (src, dst), that of the smallest id, without loops; and their number.  Without ``edge_id`` paths stay empty."""
+    named = edges if "edge_id" in edges.columns else edges.withColumn("edge_id", F.lit(None).cast("string"))
+    out, (n, _) = cut_counted(named.filter("src <> dst").groupBy("src", "dst").agg(F.min("edge_id").alias("edge_id")), "src", "dst")
+    return out, n
+
+
+def nearest(goals: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nearest goal of every node that reaches one: (scope, node, goal, steps, path), one row per scope and node.
+
+    ``goals(scope, node)``, ``edges(src, dst[, edge_id])``.  Of shortest ways the one with the smallest edge ids wins.  Chains are contracted first,
+    in a logarithmic number of passes; then rows are improved backwards from the goals over the contracted edges, one pass per branching on
+    the way.  There is no row per (node, node) pair.  A goal's own row has no steps.
+    """
+    edges, n = single_edges(edges)
+    goals = goals.select("scope", "node").distinct()
+    led = written(chains(edges, goals.select("node").distinct()))
+    hops, (total, _) = cut_counted(contracted(edges, led, n), "src", "dst")
+    best = written(goals.select("scope", "node", F.struct(F.lit(0).cast("long").alias("steps"), F.array().cast("array<string>").alias("path"),
+                                                      F.col("node").alias("goal")).alias("b")))
+    frontier = best
+    while True:
+        step = hops.join(frontier.withColumnRenamed("node", "dst"), "dst").select("scope", F.col("src").alias("node"), F.struct(
+            (F.col("b.steps") + F.col("steps")).alias("steps"), F.concat("path", "b.path").alias("path"), "b.goal").alias("b"))
+        found = step.groupBy("scope", "node").agg(F.min("b").alias("b"))
+        old = best.select("scope", "node", F.col("b").alias("_b"))
+        frontier = written(found.join(old, ["scope", "node"], "left").filter(F.col("_b").isNull() | (F.col("b") < F.col("_b"))).select("scope", "node", "b"))
         if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier.select(*seen.columns))
-        if hop % 8 == 0:
-            seen = cut(seen)
+            break
+        best = written(_gathered(best.join(frontier.select("scope", "node"), ["scope", "node"], "left_anti").unionByName(frontier)))
+    on_chains = led.filter("end IS NOT NULL").join(best.withColumnRenamed("node", "end"), "end").select(
+        "scope", "node", F.col("b.goal").alias("goal"), (F.col("steps") + F.col("b.steps")).alias("steps"), F.concat("path", "b.path").alias("path"))
+    return best.select("scope", "node", "b.goal", "b.steps", "b.path").unionByName(on_chains)
 
 
 def origin_reached(targets: DataFrame, relations: DataFrame, origins: DataFrame) -> DataFrame:
     """Targets flagged by whether their source reaches an original over direct lineage.
 
-    The question is the same for every target of one source version, so the walk
-    runs backwards from the originals once and the targets look their source up.
+    The question is the same for every target of one source version, so it is
+    answered once per version and the targets look their source up.
     """
-    links = cut(direct_lineage(relations).select(F.col("to_version").alias("src"), F.col("from_version").alias("dst")).distinct())
-    good = cut(origins.select(F.col("version_id").alias("node")).distinct())
-    frontier = good
-    hops = 0
-    while not frontier.isEmpty():
-        hops += 1
-        step = frontier.join(links, frontier["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(good, "node", "left_anti"))
-        good = good.unionByName(frontier)
-        if hops % 8 == 0:
-            good = cut(good)
+    links = direct_lineage(relations).select(F.col("from_version").alias("src"), F.col("to_version").alias("dst"))
+    good = nearest(origins.select(F.lit(0).alias("scope"), F.col("version_id").alias("node")), links)
     hit = good.select(F.col("node").alias("source_version_id"), F.lit(True).alias("_hit"))
     return targets.join(hit, "source_version_id", "left").withColumn("has_origin", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
@@ -92,11 +137,15 @@ def located_origins(targets: DataFrame, relations: DataFrame, origins: DataFrame
                     citations: DataFrame) -> DataFrame:
     """Originals each target reaches over edges that were observed or citation-bound."""
     admitted = admitted_edges(direct_lineage(relations), observed, citations)
-    links = admitted.select(F.lit(0).alias("scope"), F.col("from_version").alias("src"), F.col("to_version").alias("dst"))
-    starts = targets.select(F.lit(0).alias("scope"), F.col("source_version_id").alias("start")).distinct()
-    found = reach(starts, links).join(origins.withColumnRenamed("version_id", "node"), "node")
-    return targets.join(found.select(F.col("start").alias("source_version_id"), F.col("node").alias("version_id"),
-                                     "material_kind"), "source_version_id")
+    edges, n = single_edges(admitted.select(F.col("from_version").alias("src"), F.col("to_version").alias("dst")))
+    led = written(chains(edges, origins.select(F.col("version_id").alias("node")).distinct()))
+    # a start on a chain reaches what the end of its chain reaches; only these ends are walked from, over contracted edges
+    starts = cut(targets.select(F.col("source_version_id").alias("node")).distinct().join(led, "node", "left").filter("steps IS NULL OR end IS NOT NULL").select(
+        F.col("node").alias("source_version_id"), F.coalesce("end", "node").alias("start")))
+    scope = F.lit(0).alias("scope")
+    found = reach(starts.select(scope, "start").distinct(), contracted(edges, led, n).select(scope, "src", "dst")).join(
+        origins.withColumnRenamed("version_id", "node"), "node").select("start", F.col("node").alias("version_id"), "material_kind")
+    return targets.join(starts.join(found, "start").drop("start"), "source_version_id")
 
 
 def admitted_edges(relations: DataFrame, observed: DataFrame, citations: DataFrame) -> DataFrame:
@@ -134,18 +183,22 @@ def tree_paths(nodes: DataFrame, root: Column) -> DataFrame:
 
 
 def flatten_tree(nodes: DataFrame) -> DataFrame:
-    """Depth and slash path of every node under its root, parents before children."""
-    nodes = cut(nodes.select("scope", "id", "parent_id"))
-    level = cut(nodes.filter("parent_id IS NULL").select("scope", "id", F.lit(0).alias("depth"), F.col("id").alias("path")))
-    out = level
-    for depth in count(1):  # nodes of a cycle hang under no root and are never reached
-        child = nodes.join(level.select("scope", F.col("id").alias("parent_id"), F.col("path").alias("_p")), ["scope", "parent_id"])
-        level = cut(child.select("scope", "id", F.lit(depth).alias("depth"), F.concat_ws("/", "_p", "id").alias("path")))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-        if depth % 8 == 0:
-            out = cut(out)
+    """Depth and slash path of every node under its root, by pointer doubling: a logarithmic number of passes.
+
+    Nodes below a missing parent or on a closed round hang under no root and have no row.
+    """
+    key = F.struct("scope", "id")
+    first = nodes.select(key.alias("node"), F.when(F.col("parent_id").isNotNull(), F.struct("scope", F.col("parent_id").alias("id"))).alias("up"),
+                         F.col("id").alias("path"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"))
+    state, (total, _) = cut_counted(first, "node")
+    for _ in range(ceil(log2(max(total, 2))) + 1):
+        table = state.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
+        moved = hub_lookup(state.filter("up IS NOT NULL"), "up", table, total).filter("_path IS NOT NULL").select(
+            "node", F.col("_up").alias("up"), F.concat_ws("/", "_path", "path").alias("path"), (F.col("depth") + F.col("_depth")).alias("depth"))
+        state = written(_gathered(state.filter("up IS NULL").unionByName(moved)))
+        if state.filter("up IS NOT NULL").isEmpty():
+            break
+    return state.filter("up IS NULL").select("node.scope", "node.id", "depth", "path")
 
 
 def observed_links(materials: DataFrame, page_links: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -197,24 +250,18 @@ def version_aliases(materials: DataFrame, fingerprint: Column, seed: Column, sco
 def revisit_cascade(requests: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Dependency traversal of reanalysis requests; repeated requests go to a cycle log.
 
-    ``requests(from_version, to_version)``; returns (visited, cycle_log).
+    ``requests(from_version, to_version)``; returns (visited, cycle_log).  A version is visited once, at the least number of requests from a
+    start, and then asks for all its requests: the one that visits a version is no repeat, all others are.
     """
     requests = cut(requests)
-    visited = cut(starts.select("scope", F.col("version_id").alias("node"), F.lit(0).alias("depth")))
-    frontier, log = visited, None
-    for depth in count(1):
-        asked = frontier.join(requests, frontier["node"] == requests["from_version"]).select(
-            frontier["scope"], F.col("to_version").alias("node"))
-        counted = asked.groupBy("scope", "node").agg(F.count(F.lit(1)).alias("requests"))
-        marked = cut(counted.join(visited.select("scope", "node", F.lit(True).alias("_old")), ["scope", "node"], "left"))
-        repeats = marked.select("scope", "node", F.lit(depth).alias("depth"),
-                                (F.col("requests") - F.when(F.col("_old"), 0).otherwise(1)).alias("repeats")).filter("repeats > 0")
-        log = repeats if log is None else log.unionByName(repeats)
-        frontier = marked.filter("_old IS NULL").select("scope", "node", F.lit(depth).alias("depth"))
-        if frontier.isEmpty():
-            return visited, log
-        visited = cut(visited.unionByName(frontier))
-    raise RuntimeError("cascade did not finish")
+    back = requests.select(F.col("to_version").alias("src"), F.col("from_version").alias("dst"))
+    visited = cut(nearest(starts.select("scope", F.col("version_id").alias("node")), back).select("scope", "node", F.col("steps").cast("int").alias("depth")))
+    asked = visited.withColumnRenamed("node", "from_version").join(requests, "from_version").groupBy(
+        "scope", F.col("to_version").alias("node"), (F.col("depth") + 1).alias("depth")).agg(F.count(F.lit(1)).alias("requests"))
+    new = visited.withColumn("_new", F.lit(1))
+    log = asked.join(new, ["scope", "node", "depth"], "left").select(
+        "scope", "node", "depth", (F.col("requests") - F.coalesce("_new", F.lit(0))).alias("repeats")).filter("repeats > 0")
+    return visited, log
 
 
 def by_locator(tasks: DataFrame, materials: DataFrame) -> DataFrame:

@@ -70,13 +70,11 @@ SELECT start, arg_min(node, (hops, path)) AS origin, arg_min(path, (hops, path))
 """.replace("\n, p AS", ", p AS", 1)))
 def origin_path_edges(t):
     """Shortest path to an original with the edge ids used."""
-    links = L.direct_lineage(D.relations(t)).select(F.lit(0).alias("scope"), F.col("from_version").alias("src"), F.col("to_version").alias("dst"),
-                                                    F.col("relation_id").alias("edge_id")).filter("src <> dst")
-    starts = t("documents").select(F.lit(0).alias("scope"), D.vid(F.col("doc_id")).alias("start"))
-    hit = L.edge_paths(starts, links).join(D.origins(t).withColumnRenamed("version_id", "node"), "node")
-    best = hit.groupBy("start").agg(F.min(F.struct(F.size("path").alias("n"), "path", "node")).alias("b"))
-    return best.select("start", F.col("b.node").alias("origin"), F.concat(
-        F.when(F.col("b.n") > 0, ",").otherwise(""), F.array_join("b.path", ",")).alias("path"))
+    links = L.direct_lineage(D.relations(t)).select(F.col("from_version").alias("src"), F.col("to_version").alias("dst"), F.col("relation_id").alias("edge_id"))
+    found = L.nearest(D.origins(t).select(F.lit(0).alias("scope"), F.col("version_id").alias("node")), links)
+    starts = t("documents").select(D.vid(F.col("doc_id")).alias("node"))
+    return found.join(starts, "node", "left_semi").select(F.col("node").alias("start"), F.col("goal").alias("origin"), F.concat(
+        F.when(F.col("steps") > 0, ",").otherwise(""), F.array_join("path", ",")).alias("path"))
 
 
 @query("G6", """

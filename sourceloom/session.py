@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``cut`` as a Parquet table in the checkpoint folder, for loops of many passes: a checkpointed frame hands the constraints of its
+    plan on to the next pass, where the optimizer derives further ones; a table has none, and its true size is known.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/pass-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_counted(df: DataFrame, *columns: str) -> tuple[DataFrame, tuple[int, int]]:
     """``cut`` with the row count and an order-free checksum, both taken while the rows are written."""
     seen = Observation()
