@@ -106,16 +106,19 @@ def nearest(goals: DataFrame, edges: DataFrame) -> DataFrame:
     hops, (total, _) = cut_counted(contracted(edges, led, n), "src", "dst")
     best = written(goals.select("scope", "node", F.struct(F.lit(0).cast("long").alias("steps"), F.array().cast("array<string>").alias("path"),
                                                       F.col("node").alias("goal")).alias("b")))
-    frontier = best
-    while True:
+    frontier = best  # ``best`` may hold several rows of a node: the smallest counts
+    for turn in count(1):
         step = hops.join(frontier.withColumnRenamed("node", "dst"), "dst").select("scope", F.col("src").alias("node"), F.struct(
             (F.col("b.steps") + F.col("steps")).alias("steps"), F.concat("path", "b.path").alias("path"), "b.goal").alias("b"))
         found = step.groupBy("scope", "node").agg(F.min("b").alias("b"))
-        old = best.select("scope", "node", F.col("b").alias("_b"))
-        frontier = written(found.join(old, ["scope", "node"], "left").filter(F.col("_b").isNull() | (F.col("b") < F.col("_b"))).select("scope", "node", "b"))
-        if frontier.isEmpty():
+        known = (found["scope"] == best["scope"]) & (found["node"] == best["node"]) & (best["b"] <= found["b"])
+        frontier = written(_gathered(found.join(best, known, "left_anti")))
+        done = frontier.isEmpty()
+        best = best.unionByName(frontier)
+        if done or turn % 8 == 0:
+            best = written(_gathered(best.groupBy("scope", "node").agg(F.min("b").alias("b"))))
+        if done:
             break
-        best = written(_gathered(best.join(frontier.select("scope", "node"), ["scope", "node"], "left_anti").unionByName(frontier)))
     on_chains = led.filter("end IS NOT NULL").join(best.withColumnRenamed("node", "end"), "end").select(
         "scope", "node", F.col("b.goal").alias("goal"), (F.col("steps") + F.col("b.steps")).alias("steps"), F.concat("path", "b.path").alias("path"))
     return best.select("scope", "node", "b.goal", "b.steps", "b.path").unionByName(on_chains)
