@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import search_terms
-from ..session import cut
+from ..session import cut, written
 from .admission import reason_codes
 from .lineage import by_locator
 from .skew import top_k
@@ -37,9 +37,70 @@ def lexical_scores(tasks: DataFrame, documents: DataFrame, scope: list[str] | No
     return pairs.groupBy("version_id", "task_id", *scope).agg(F.count(F.lit(1)).alias("score"))
 
 
+def ranked_terms(tasks: DataFrame, documents: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Each task's terms in an array, rarest first, and a written table of each version's asked terms.
+
+    Terms that no document has are left out.  The arrays are as long as a query or a text, whatever the number of rows.
+    """
+    asked = tasks.select(*scope, "task_id", F.explode(search_terms(F.col("query"))).alias("term")).distinct()
+    terms = documents.select(*scope, "version_id", search_terms(F.col("text")).alias("terms"))
+    posted = terms.select(*scope, "version_id", F.explode("terms").alias("term")).join(
+        asked.select(*scope, "term").distinct(), [*scope, "term"], "left_semi")
+    held = written(posted.groupBy(*scope, "version_id").agg(F.collect_list("term").alias("held")))
+    frequency = held.select(*scope, F.explode("held").alias("term")).groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = asked.join(frequency, [*scope, "term"]).groupBy(*scope, "task_id").agg(
+        F.sort_array(F.collect_list(F.struct("_n", "term")))["term"].alias("terms"))
+    return ranked, held
+
+
+def _shared(tasks: DataFrame, held: DataFrame, terms: Column, scope: list[str]) -> DataFrame:
+    """(task, version) pairs that share one of ``terms``, with the number shared."""
+    asked = tasks.select(*scope, "task_id", F.explode(terms).alias("term"))
+    posted = held.select(*scope, "version_id", F.explode("held").alias("term"))
+    return posted.join(asked, [*scope, "term"]).groupBy(*scope, "task_id", "version_id").agg(F.count(F.lit(1)).alias("part"))
+
+
+def _completed(pairs: DataFrame, tasks: DataFrame, held: DataFrame, read: Column, scope: list[str]) -> DataFrame:
+    """Whole scores of pairs whose first ``read`` terms are counted in ``part``: the others are looked up for these versions only."""
+    rest = tasks.select(*scope, "task_id", F.slice("terms", read + 1, F.size("terms")).alias("_rest"))
+    rows = pairs.select(*scope, "task_id", "version_id", "part").join(rest, [*scope, "task_id"]).join(held, [*scope, "version_id"])
+    return rows.select("version_id", "task_id", *scope, (F.col("part") + F.size(F.array_intersect("_rest", "held"))).alias("score"))
+
+
+def lexical_survivors(tasks: DataFrame, documents: DataFrame, k: int, scope: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs that can still be among the best ``k`` of their task; the tasks and versions that complete their scores.
+
+    The rarer half of a task's m terms gives first counts.  The whole scores of the 4 k best of these set a floor: the k-th of them.
+    A version at or over the floor shares at least one of the m - floor + 1 rarest terms, so only these are ever joined, and a
+    pair stays if its count and all unread terms together reach the floor.  Nothing is dropped that could tie.
+    """
+    scope = scope or []
+    key, c = [*scope, "task_id"], F.col
+    ranked, held = ranked_terms(tasks, documents, scope)
+    ranked = written(ranked.withColumn("half", F.ceil(F.size("terms") / 2).cast("int")))
+    first = written(_shared(ranked, held, F.slice("terms", F.lit(1), c("half")), scope))
+    best = top_k(first, key, [c("part").desc(), c("version_id")], 4 * k)
+    floors = top_k(_completed(best, ranked, held, c("half"), scope), key, [c("score").desc()], k).groupBy(*key).agg(
+        F.when(F.count(F.lit(1)) == k, F.min("score")).alias("floor"))
+    bounded = written(ranked.join(floors, key, "left").withColumn("floor", F.coalesce("floor", F.lit(1)).cast("int")).withColumn(
+        "read", F.greatest(F.size("terms") - c("floor") + 1, c("half"))))
+    more = _shared(bounded.filter("read > half"), held, F.slice("terms", c("half") + 1, c("read") - c("half")), scope)
+    # a pair is a few bytes but costs an array lookup, so partitions must not be merged by their size in bytes
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = first.unionByName(more).repartition(parts, *key, "version_id").groupBy(*key, "version_id").agg(F.sum("part").alias("part"))
+    least = bounded.select(*key, (c("floor") + c("read") - F.size("terms")).alias("_least"))
+    return counts.join(least, key).filter("part >= _least").drop("_least"), bounded, held
+
+
 def lexical_topk(tasks: DataFrame, documents: DataFrame, k: int, scope: list[str] | None = None) -> DataFrame:
-    """Best ``k`` versions per task; ties go to the smaller version id."""
-    return top_k(lexical_scores(tasks, documents, scope), ["task_id"], [F.col("score").desc(), F.col("version_id")], k)
+    """Best ``k`` versions per task by distinct shared terms; ties go to the smaller version id.
+
+    Exact: hot terms are looked up only for pairs that the rare terms leave in question.  Repeated task rows count once; version ids
+    are unique; null queries and texts have no terms.
+    """
+    pairs, asked, held = lexical_survivors(tasks, documents, k, scope)
+    scores = _completed(pairs, asked, held, F.col("read"), scope or [])
+    return top_k(scores, [*(scope or []), "task_id"], [F.col("score").desc(), F.col("version_id")], k)
 
 
 def unseen(candidates: DataFrame, returned: DataFrame, keys: list[str]) -> DataFrame:

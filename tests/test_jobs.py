@@ -175,3 +175,31 @@ def test_processed_ledger_is_idempotent(spark):
         write(batch, n)
     got = spark.read.option("recursiveFileLookup", True).parquet(path)
     assert sorted((r["version_id"], r["position"]) for r in got.collect()) == [("v1", 1), ("v2", 2), ("v3", 5)]
+
+
+def test_lexical_topk_reads_hot_terms_for_survivors_only(spark):
+    rng = random.Random(21)
+    hot, rare = [f"hot{i}" for i in range(12)], [f"rare{i}" for i in range(300)]
+    docs = [(i, " ".join(rng.sample(hot, 9) + rng.sample(rare, 6))) for i in range(1500)] + [(5000, None), (5001, ""), (5002, "unknown")]
+    tasks = [(i, " ".join(rng.sample(hot, 6) + docs[40 * i][1].split()[9:] + ["nowhere"])) for i in range(30)]
+    tasks += [(100, None), (101, "nowhere"), (102, hot[0]), (103, rare[0] + " " + hot[1]), (7, tasks[7][1])]
+    t, d = spark.createDataFrame(tasks, "task_id int, query string"), spark.createDataFrame(docs, "version_id int, text string").repartition(4)
+    shared = lambda q, x: len(set((q or "").split()) & set((x or "").split()))
+    for k in (1, 5):
+        want = set()
+        for i, q in set(tasks):
+            scores = sorted((-shared(q, x), v) for v, x in docs if shared(q, x))
+            want |= {(i, v, -s, r + 1) for r, (s, v) in enumerate(scores[:k])}
+        got = [tuple(r) for r in R.lexical_topk(t, d, k).select("task_id", "version_id", "score", "rank").collect()]
+        assert set(got) == want and len(got) == len(want)
+    every = sum(1 for i, q in set(tasks) for _, x in docs if shared(q, x))
+    kept = R.lexical_survivors(t.filter("task_id < 100"), d, 1)[0].count()
+    assert every > 40_000 and kept < every / 50
+
+
+def test_lexical_topk_in_scopes(spark):
+    docs = spark.createDataFrame([("a", 1, "vote road"), ("a", 2, "vote"), ("b", 1, "road")], "pool string, version_id int, text string")
+    tasks = spark.createDataFrame([("a", "t", "vote road"), ("b", "t", "vote road")], "pool string, task_id string, query string")
+    got = {(r["pool"], r["version_id"], r["score"], r["rank"]) for r in R.lexical_topk(tasks, docs, 2, ["pool"]).collect()}
+    assert got == {("a", 1, 2, 1), ("a", 2, 1, 2), ("b", 1, 1, 1)}
+    assert R.lexical_topk(tasks.limit(0), docs, 2, ["pool"]).count() == 0 and R.lexical_topk(tasks, docs.limit(0), 2, ["pool"]).count() == 0
