@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
-from ..functions.text import content_hash, is_blank, record_fingerprint
+from ..functions.text import content_hash, is_blank, norm_ws, record_fingerprint, sentence_passages
 from ..functions.times import age_hours, aware_ts, capture_ts
 from ..functions.urls import canonical_url, host_of, public_url, url_key
 from .skew import split_lookup
@@ -271,6 +271,17 @@ def packet_inventory(targets: DataFrame, materials: DataFrame) -> DataFrame:
     return rows.select("target_id", "version_id", F.coalesce(F.col("version_id") == F.col("source_version_id"), F.lit(False)).alias("is_source"))
 
 
+def packet_passages(targets: DataFrame, materials: DataFrame) -> DataFrame:
+    """Sentence passages of the one source version of every complete packet, blanks collapsed.
+
+    Texts are cut once per version, whatever the number of targets, and no text enters the join that decides the packets.
+    """
+    ok = claim_packets(targets, materials.drop("content")).filter("packet_ok").select("target_id", F.col("origin_version_id").alias("version_id"))
+    texts = materials.select("version_id", "content").join(ok.select("version_id").distinct(), "version_id", "left_semi")
+    cut_up = sentence_passages(texts, "version_id", "content").select("version_id", "passage_id", norm_ws(F.col("text")).alias("text"))
+    return ok.join(cut_up, "version_id").select("target_id", "version_id", "passage_id", "text")
+
+
 def scope_rows(cases: DataFrame, materials: DataFrame, initial: DataFrame) -> DataFrame:
     """The rows behind ``scope_packets``: eligible versions and excluded ones with their reasons, initial ones marked."""
     marked = materials.join(initial.withColumn("_first", F.lit(True)), ["pool_id", "version_id"], "left")

@@ -214,6 +214,23 @@ def packet_exposure(packets: DataFrame, pool: DataFrame) -> DataFrame:
         F.bool_and(F.coalesce(same, F.lit(False))).alias("all_registered"))
 
 
+def exposure_lists(packets: DataFrame, pool: DataFrame) -> DataFrame:
+    """The entries behind ``packet_exposure``, each distinct one once: full and preview ids, excerpts with place, size and hash.
+
+    ``packets(packet_id, version_id, form, start, text)``; ``start`` counts the characters before an excerpt in its version.
+    ``registered`` is false for an unknown version and for text that the pool does not hold there; null texts are not registered.
+    Texts are compared once per entry and only digests go on.
+    """
+    c = F.col
+    sent = F.when(c("form") == "full", c("content")).when(c("form") == "preview", F.left("content", F.lit(800))).otherwise(
+        c("content").substr((c("start") + 1).cast("int"), F.length("text")))
+    excerpt = c("form") == "excerpt"
+    same = F.coalesce((c("text") == sent) & (~excerpt | (F.length("text") > 0)), F.lit(False))
+    return packets.join(pool, "version_id", "left").select(
+        "packet_id", "form", "version_id", F.when(excerpt, c("start")).alias("start"), F.length("text").cast("long").alias("characters"),
+        F.when(excerpt, content_hash(c("text"))).alias("text_sha256"), same.alias("registered")).distinct()
+
+
 def scope_coverage(targets: DataFrame, eligible: DataFrame, cited: DataFrame) -> DataFrame:
     """Scoped versions that are missing and cited versions outside the scope, per target.
 

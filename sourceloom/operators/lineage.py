@@ -151,6 +151,22 @@ def located_origins(targets: DataFrame, relations: DataFrame, origins: DataFrame
     return targets.join(starts.join(found, "start").drop("start"), "source_version_id")
 
 
+def origin_summary(claims: DataFrame, found: DataFrame) -> DataFrame:
+    """Status of each item and its distinct (url, version_id, material_kind) sources with merged, sorted claim ids.
+
+    ``claims(item, claim_id)``, ``found(item, claim_id, url, version_id, material_kind)``.  An item is located when each of its claims
+    is, partial when some are; an unresolved item is one row without a source.  An array holds claims of one item only, and
+    these are capped per item (``retrieval.split_capped``), however many items share a source.
+    """
+    rows = found.select("item", "claim_id", "url", "version_id", "material_kind").distinct()
+    hit = rows.select("item", "claim_id").distinct().withColumn("_hit", F.lit(1))
+    per = claims.select("item", "claim_id").distinct().join(hit, ["item", "claim_id"], "left").groupBy("item").agg(
+        F.count(F.lit(1)).alias("claims"), F.count("_hit").alias("located"))
+    status = F.when(F.col("located") == F.col("claims"), "located").when(F.col("located") > 0, "partial").otherwise("unresolved")
+    sources = rows.groupBy("item", "url", "version_id", "material_kind").agg(F.sort_array(F.collect_list("claim_id")).alias("claim_ids"))
+    return per.select("item", status.alias("status"), "claims", "located").join(sources, "item", "left")
+
+
 def admitted_edges(relations: DataFrame, observed: DataFrame, citations: DataFrame) -> DataFrame:
     """Edges whose target address was seen on the source page, or cites edges with a bound citation
     pair and quotes from both ends.

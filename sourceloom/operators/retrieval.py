@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import search_terms
+from ..functions.text import is_blank, search_terms
 from ..session import cut, written
 from .admission import reason_codes
 from .lineage import by_locator
@@ -222,7 +222,18 @@ def bounded_distinct(rows: DataFrame, key: str, value: str, order: str, limit: i
     return kept, flags
 
 
-def kept_and_omitted(rows: DataFrame, key: str, order: list[Column], limit: int) -> DataFrame:
-    """Counts of kept and omitted rows per key with the cap applied by order."""
+def split_capped(rows: DataFrame, key: str, value: str, order: str, limit: int) -> DataFrame:
+    """Distinct non-blank values per key by first appearance, ``kept`` up to ``limit`` and listed as omitted beyond it.
+
+    The first ``limit`` are found by a top-k that is cut before the shuffle, the others are the rest: no window holds all values of
+    a key.  Equal positions are ordered by value; a null key or value is left out.
+    """
+    first = rows.filter(F.col(key).isNotNull() & ~is_blank(F.col(value))).groupBy(key, value).agg(F.min(order).alias(order))
+    kept = top_k(first, [key], [F.col(order), F.col(value)], limit).select(key, value, F.lit(True).alias("kept"))
+    return first.join(kept, [key, value], "left").fillna(False, ["kept"])
+
+
+def kept_and_omitted(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """Counts of kept and omitted rows per key under the cap."""
     n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return n.select(key, F.least(F.col("n"), F.lit(limit)).cast("long").alias("kept"), F.greatest(F.col("n") - limit, F.lit(0)).cast("long").alias("omitted"))

@@ -58,6 +58,11 @@ def coverage(gold: DataFrame, predictions: DataFrame, key: str = "id") -> DataFr
     return joined.select(key, problem.alias("problem")).filter("problem IS NOT NULL")
 
 
+def unjudged(predicted: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
+    """Predicted ids that no gold row judges; their cases are not to be scored before adjudication.  Null keys match nothing."""
+    return predicted.select(*keys).distinct().join(gold.select(*keys).distinct(), keys, "left_anti")
+
+
 def case_counters() -> dict[str, Column]:
     """0/1 counters of the admission decision from truth, decision and high_risk."""
     c = F.col

@@ -415,6 +415,27 @@ def exposure_audit(t):
     return U.packet_exposure(packets, pool)
 
 
+@query("A34", """
+WITH p AS (SELECT doc_id, source AS packet_id, ['full', 'preview', 'excerpt'][n_chars % 3 + 1] AS form, length(text) // 3 AS start, text,
+  CASE WHEN doc_id % 19 = 0 THEN NULL ELSE text END AS content FROM documents),
+s AS (SELECT *, CASE form WHEN 'full' THEN CASE WHEN start % 8 = 0 THEN text || '!' ELSE text END WHEN 'preview' THEN substr(text, 1, 800 - start % 5 // 4)
+  ELSE substr(text, start + 1 + start % 2, 120) END AS sent FROM p)
+SELECT DISTINCT packet_id, form, 'v' || doc_id AS version_id, CASE WHEN form = 'excerpt' THEN start END AS start, length(sent) AS characters,
+  CASE WHEN form = 'excerpt' THEN sha256(sent) END AS text_sha256, coalesce(CASE form WHEN 'full' THEN sent = content WHEN 'preview' THEN sent = substr(content, 1, 800)
+    ELSE sent = substr(content, start + 1, length(sent)) AND length(sent) > 0 END, false) AS registered FROM s""")
+def exposure_lists(t):
+    """What each packet exposed, entry by entry: full ids, preview ids, excerpts with place and hash."""
+    x, s = F.col("text"), F.col("start")
+    d = t("documents").withColumn("start", F.floor(F.length("text") / 3))
+    sent = F.when(F.col("form") == "full", F.concat(x, F.when(s % 8 == 0, "!").otherwise(""))).when(
+        F.col("form") == "preview", x.substr(F.lit(1), F.lit(800) - F.when(s % 5 == 4, 1).otherwise(0))).otherwise(
+        x.substr((s + 1 + s % 2).cast("int"), F.lit(120)))
+    packets = d.select(F.col("source").alias("packet_id"), D.vid(F.col("doc_id")).alias("version_id"),
+                       D.pick(F.col("n_chars") % 3, "full", "preview", "excerpt").alias("form"), "start", "text").withColumn("text", sent)
+    pool = t("documents").filter(F.col("doc_id") % 19 != 0).select(D.vid(F.col("doc_id")).alias("version_id"), F.col("text").alias("content"))
+    return U.exposure_lists(packets, pool)
+
+
 @query("A33", "SELECT lang AS stage, sha256(text) AS content_hash, count(*) AS times FROM documents GROUP BY ALL HAVING count(*) > 1")
 def exposure_counts(t):
     """Versions sent more than once to one stage."""

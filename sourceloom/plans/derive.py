@@ -140,6 +140,19 @@ ELIGIBILITY_SQL = """concat_ws(',',
     CASE WHEN available_at > retrieved_at THEN 'available_after_retrieval' END)"""
 
 
+# -- sentence passages (SQL only) ----------------------------------------------
+
+PASSAGES_SQL = """b AS (SELECT doc_id, text, regexp_replace(text, '([.!?])(\\s+)([A-Z0-9\\[(])', '\\1' || chr(1) || '\\2\\3', 'g') AS m FROM documents),
+p AS (SELECT doc_id, text, string_split(m, chr(1)) AS ps FROM b),
+r AS (SELECT doc_id, text, unnest(ps) AS piece, generate_subscripts(ps, 1) AS n FROM p),
+o AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at0 FROM r),
+k AS (SELECT doc_id, n, at0 + length(piece) - length(regexp_replace(piece, '^\\s+', '')) AS st, regexp_replace(regexp_replace(piece, '^\\s+', ''), '\\s+$', '') AS body FROM o),
+g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS num FROM k WHERE length(regexp_replace(body, '\\s+', ' ', 'g')) >= 24),
+passages AS (
+SELECT doc_id, CASE WHEN num < 1000 THEN 'p' || lpad(num::VARCHAR, 3, '0') ELSE 'p' || num END AS passage_id, st::BIGINT AS start, (st + length(body))::BIGINT AS "end", body FROM g
+UNION ALL SELECT doc_id, 'p001', 0, length(text), text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM g) AND trim(text) <> '')"""
+
+
 # -- lineage graph -------------------------------------------------------------
 
 MORE = 10_000_000  # number of a document's second edge

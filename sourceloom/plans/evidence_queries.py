@@ -169,6 +169,14 @@ def packet_inventory(t):
     return A.packet_inventory(D.targets(t), D.materials(t).select("pool_id", "version_id", "available_at"))
 
 
+@query("F32 X9", D.with_ctes(D.MATERIALS_SQL, D.TARGETS_SQL, D.PASSAGES_SQL, body="""
+SELECT target_id, version_id, passage_id, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS text FROM targets JOIN materials m USING (pool_id) JOIN passages p ON p.doc_id = m.doc_id
+WHERE version_id = source_version_id AND available_at <= as_of"""))
+def packet_passages(t):
+    """Passages that a complete packet shows: those of its one source version."""
+    return A.packet_passages(D.targets(t), D.materials(t))
+
+
 @query("F33", D.with_ctes(D.MATERIALS_SQL, D.TARGETS_SQL, body=f"""
 SELECT target_id AS case_id, version_id, doc_id % 3 = 0 AS initial, {D.ELIGIBILITY_SQL} AS reasons FROM targets JOIN materials USING (pool_id)"""))
 def case_materials(t):

@@ -31,6 +31,15 @@ def origin_path(t):
     return L.origin_reached(targets, D.relations(t), D.origins(t))
 
 
+def located(t, targets):
+    """Originals of ``targets`` over the edges that were observed or bound by a citation."""
+    i = F.substring("relation_id", 2, 20).cast("long")
+    r = D.relations(t).withColumns({"to_url_key": F.col("to_version"), "quotes_from": F.lit(True), "quotes_to": i % 2 == 0})
+    observed = D.relations(t).filter(i % 3 != 0).select(F.col("from_version").alias("version_id"), F.col("to_version").alias("link_key"))
+    citations = D.relations(t).filter("kind = 'cites'").select("from_version", "to_version")
+    return L.located_origins(targets, r, D.origins(t), observed, citations)
+
+
 @query("G5 J11 A28", D.with_ctes(D.RELATIONS_SQL, D.ORIGINS_SQL, body="""
 , adm AS (SELECT * FROM relations WHERE status = 'direct' AND kind <> 'supports' AND (CAST(substr(relation_id, 2) AS BIGINT) % 3 <> 0
     OR (kind = 'cites' AND CAST(substr(relation_id, 2) AS BIGINT) % 2 = 0))),
@@ -39,12 +48,7 @@ loc AS (SELECT start, node, material_kind FROM w JOIN origins o ON o.version_id
 SELECT node AS version_id, material_kind, count(*) AS claims FROM loc GROUP BY ALL""".replace("\n, adm AS", ", adm AS", 1)))
 def located_origins(t):
     """Originals reached over observed or citation-bound edges, with the number of claims each serves."""
-    i = F.substring("relation_id", 2, 20).cast("long")
-    r = D.relations(t).withColumns({"to_url_key": F.col("to_version"), "quotes_from": F.lit(True), "quotes_to": i % 2 == 0})
-    observed = D.relations(t).filter(i % 3 != 0).select(F.col("from_version").alias("version_id"), F.col("to_version").alias("link_key"))
-    citations = D.relations(t).filter("kind = 'cites'").select("from_version", "to_version")
-    targets = t("documents").select(D.vid(F.col("doc_id")).alias("source_version_id"))
-    out = L.located_origins(targets, r, D.origins(t), observed, citations)
+    out = located(t, t("documents").select(D.vid(F.col("doc_id")).alias("source_version_id")))
     return out.groupBy("version_id", "material_kind").agg(F.count(F.lit(1)).alias("claims"))
 
 
@@ -212,6 +216,24 @@ def origin_summary(t):
     return origin_status(t("conversations").select(F.col("conv_id").alias("item"), (F.length("text") % 3 == 0).alias("hit")))
 
 
+@query("A28 G5", D.with_ctes(D.RELATIONS_SQL, D.ORIGINS_SQL, D.MATERIALS_SQL, body="""
+, adm AS (SELECT * FROM relations WHERE status = 'direct' AND kind <> 'supports' AND (CAST(substr(relation_id, 2) AS BIGINT) % 3 <> 0
+    OR (kind = 'cites' AND CAST(substr(relation_id, 2) AS BIGINT) % 2 = 0))),
+w AS (SELECT 'v' || doc_id AS start, 'v' || doc_id AS node FROM documents UNION SELECT w.start, a.to_version FROM w JOIN adm a ON a.from_version = w.node),
+loc AS (SELECT DISTINCT m0.pool_id, 'c' || m0.doc_id AS claim_id, m.url, o.version_id, o.material_kind FROM w JOIN origins o ON o.version_id = w.node
+  JOIN materials m ON m.version_id = o.version_id JOIN materials m0 ON m0.version_id = w.start),
+st AS (SELECT m.pool_id, count(*) AS claims, count(l.claim_id) AS located FROM materials m LEFT JOIN (SELECT DISTINCT claim_id FROM loc) l ON l.claim_id = 'c' || m.doc_id GROUP BY m.pool_id)
+SELECT st.pool_id AS item, CASE WHEN located = claims THEN 'located' WHEN located > 0 THEN 'partial' ELSE 'unresolved' END AS status, claims, located,
+  url, version_id, material_kind, claim_ids FROM st LEFT JOIN (SELECT pool_id, url, version_id, material_kind, string_agg(claim_id, ',' ORDER BY claim_id) AS claim_ids
+  FROM loc GROUP BY ALL) s ON s.pool_id = st.pool_id""".replace("\n, adm AS", ", adm AS", 1)))
+def origin_sources(t):
+    """Status of every item and its distinct sources, each with the ids of the claims it serves."""
+    m, i = D.materials(t), F.col("doc_id")
+    claims = m.select(F.col("pool_id").alias("item"), F.concat(F.lit("c"), i).alias("claim_id"), F.col("version_id").alias("source_version_id"))
+    found = located(t, claims.select("item", "claim_id", "source_version_id")).join(m.select("version_id", "url"), "version_id")
+    return L.origin_summary(claims, found).withColumn("claim_ids", F.array_join("claim_ids", ","))
+
+
 def origin_status(claims):
     """Status of an item from its claims: all, some or none located."""
     per = claims.groupBy("item").agg(F.count(F.lit(1)).alias("claims"), F.count_if("hit").alias("located"))

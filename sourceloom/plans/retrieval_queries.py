@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import evidence_terms, search_terms
+from ..functions.text import evidence_terms, norm_ws, search_terms
 from ..functions.claims import content_tokens, ordered_match, word_forms
 from ..operators import retrieval as R
 from . import derive as D
@@ -171,7 +171,16 @@ def bounded_lists(t):
 SELECT conv_id, least(count(*), 3) AS kept, greatest(count(*) - 3, 0) AS omitted FROM conversations GROUP BY conv_id""")
 def capped_claims(t):
     """Claims kept and omitted per item under the cap."""
-    return R.kept_and_omitted(t("conversations"), "conv_id", [F.col("turn")], 3)
+    return R.kept_and_omitted(t("conversations"), "conv_id", 3)
+
+
+@query("T10", """
+WITH c AS (SELECT conv_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS claim, min(turn) AS turn FROM conversations WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' GROUP BY ALL)
+SELECT conv_id, claim, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, claim) <= 3 AS kept FROM c""")
+def omitted_claims(t):
+    """Distinct claims of an item in order of appearance: the three kept and the list of those left out."""
+    rows = t("conversations").select("conv_id", "turn", norm_ws(F.col("text")).alias("claim"))
+    return R.split_capped(rows, "conv_id", "claim", "turn", 3).select("conv_id", "claim", "turn", "kept")
 
 
 @query("X13", """

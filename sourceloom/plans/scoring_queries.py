@@ -147,6 +147,16 @@ def coverage_problems(t):
     return M.coverage(gold, pred)
 
 
+@query("U2", """
+WITH p AS (SELECT DISTINCT source AS case_id, md5(text) AS evidence_id FROM documents WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT source AS case_id, md5(text) AS evidence_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND text IS NOT NULL)
+SELECT * FROM p EXCEPT SELECT * FROM g""")
+def unjudged_evidence(t):
+    """Evidence texts of each source that no accepted label covers."""
+    rows = t("documents").filter("text IS NOT NULL").select("doc_id", F.col("source").alias("case_id"), F.md5("text").alias("evidence_id"))
+    return M.unjudged(rows, rows.join(t("labels").filter("quality = 1"), "doc_id", "left_semi"), ["case_id", "evidence_id"])
+
+
 @query("J10", D.with_ctes(D.CALLS_SQL, body="""
 , s AS (SELECT arm, case_id, CAST(sum(coalesce(input_tokens, 0) + coalesce(output_tokens, 0)) AS BIGINT) AS tokens FROM calls GROUP BY ALL)
 SELECT a.case_id, a.tokens AS baseline, b.tokens AS candidate, b.tokens - a.tokens AS delta FROM s a JOIN s b ON a.case_id = b.case_id

@@ -113,6 +113,19 @@ def win_rule(t):
     return U.win_rule(U.arm_scores(_results(t)).join(tokens, "arm"), 1.5).withColumn("token_ratio", F.round("token_ratio", 9))
 
 
+@query("X30", """
+WITH c AS (SELECT conv_id, coalesce(sum(length(text)) FILTER (role = 'user'), 0)::BIGINT AS packet_chars,
+  coalesce(sum(len(regexp_extract_all(text, '[^ ]+'))) FILTER (role = 'assistant'), 0)::BIGINT AS output_tokens FROM conversations GROUP BY conv_id)
+SELECT *, round_even(packet_chars / 4.0, 0)::BIGINT + output_tokens AS packet_tokens, round(output_tokens / nullif(packet_chars, 0), 9) AS output_ratio FROM c""")
+def packet_token_estimate(t):
+    """Estimate of the tokens each conversation sent by itself: a quarter of the characters asked plus the words answered."""
+    said = lambda role, n: F.coalesce(F.sum(F.when(F.col("role") == role, n)), F.lit(0)).cast("long")
+    words = F.size(F.regexp_extract_all("text", F.lit("[^ ]+"), 0))
+    per = t("conversations").groupBy("conv_id").agg(said("user", F.length("text")).alias("packet_chars"), said("assistant", words).alias("output_tokens"))
+    return per.select("*", U.packet_tokens(F.col("packet_chars"), F.col("output_tokens")).alias("packet_tokens"),
+                      F.round(F.try_divide("output_tokens", "packet_chars"), 9).alias("output_ratio"))
+
+
 @query("A26", D.with_ctes(_RESULTS, D.CALLS_SQL, body=f"""
 , a AS (SELECT arm, count(*) AS cases, count(*) FILTER (valid AND verdict = truth) AS matches FROM results GROUP BY arm),
 u AS (SELECT arm, count(*) FILTER ({_KNOWN}) = count(*) AS c, sum(input_tokens + output_tokens) FILTER ({_KNOWN}) AS n FROM calls GROUP BY arm)

@@ -1,5 +1,6 @@
 """Retrieval, lineage, state, streaming, loaders and sinks on small inputs."""
 
+import hashlib
 import json
 import os
 import random
@@ -9,9 +10,13 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from sourceloom.operators import admission as A
+from sourceloom.operators import audits as U
 from sourceloom.operators import lineage as L
 from sourceloom.operators import retrieval as R
+from sourceloom.operators import scoring as M
 from sourceloom.operators import state as S
+from sourceloom.operators import usage as US
 from sourceloom.sources import records as RC
 from sourceloom.streaming import arrivals as ST
 
@@ -203,3 +208,50 @@ def test_lexical_topk_in_scopes(spark):
     got = {(r["pool"], r["version_id"], r["score"], r["rank"]) for r in R.lexical_topk(tasks, docs, 2, ["pool"]).collect()}
     assert got == {("a", 1, 2, 1), ("a", 2, 1, 2), ("b", 1, 1, 1)}
     assert R.lexical_topk(tasks.limit(0), docs, 2, ["pool"]).count() == 0 and R.lexical_topk(tasks, docs.limit(0), 2, ["pool"]).count() == 0
+
+
+def test_split_capped_lists_what_is_left_out(spark):
+    rows = [("a", i, x) for i, x in enumerate(["one", "two", "one", " ", None, "three", "four"])] + [("b", 0, "z"), ("b", 0, "y"), (None, 1, "n")]
+    rows += [("hot", i, f"w{i % 50}") for i in range(3000)]
+    out = R.split_capped(spark.createDataFrame(rows, "item string, at int, claim string"), "item", "claim", "at", 2).collect()
+    kept, left = ({(r["item"], r["claim"]) for r in out if r["kept"] is flag} for flag in (True, False))
+    assert kept == {("a", "one"), ("a", "two"), ("b", "y"), ("b", "z"), ("hot", "w0"), ("hot", "w1")}
+    assert left == {("a", "three"), ("a", "four")} | {("hot", f"w{i}") for i in range(2, 50)}
+
+
+def test_origin_summary_merges_claims_per_source(spark):
+    claims = spark.createDataFrame([("i", "c1"), ("i", "c2"), ("j", "c3"), ("k", "c4"), ("k", "c5")], "item string, claim_id string")
+    found = [("i", "c2", "u", "v1", "study"), ("i", "c1", "u", "v1", "study"), ("i", "c1", "u", "v1", "study"), ("i", "c1", "u", "v1", "notice"), ("k", "c5", None, "v2", "study")]
+    out = L.origin_summary(claims, spark.createDataFrame(found, "item string, claim_id string, url string, version_id string, material_kind string"))
+    assert {(r["item"], r["status"], r["claims"], r["located"], r["version_id"], r["material_kind"], tuple(r["claim_ids"] or ())) for r in out.collect()} == {
+        ("i", "located", 2, 2, "v1", "study", ("c1", "c2")), ("i", "located", 2, 2, "v1", "notice", ("c1",)),
+        ("j", "unresolved", 1, 0, None, None, ()), ("k", "partial", 2, 1, "v2", "study", ("c5",))}
+
+
+def test_exposure_lists_place_and_hash(spark):
+    pool = spark.createDataFrame([("v1", "abcdefgh"), ("v2", None)], "version_id string, content string")
+    sent = [("p", "v1", "full", None, "abcdefgh"), ("p", "v1", "full", None, "abcdefgh"), ("p", "v1", "preview", None, "abcdefgh"), ("p", "v1", "excerpt", 2, "cde"),
+            ("p", "v1", "excerpt", 3, "cde"), ("p", "v1", "excerpt", 8, ""), ("q", "v2", "full", None, "x"), ("q", "v9", "full", None, None)]
+    out = U.exposure_lists(spark.createDataFrame(sent, "packet_id string, version_id string, form string, start long, text string"), pool).collect()
+    digest = hashlib.sha256(b"cde").hexdigest()
+    assert {(r["version_id"], r["form"], r["start"], r["registered"]) for r in out} == {
+        ("v1", "full", None, True), ("v1", "preview", None, True), ("v1", "excerpt", 2, True), ("v1", "excerpt", 3, False), ("v1", "excerpt", 8, False),
+        ("v2", "full", None, False), ("v9", "full", None, False)} and len(out) == 7
+    assert {r["text_sha256"] for r in out if r["form"] == "excerpt"} == {digest, hashlib.sha256(b"").hexdigest()}
+
+
+def test_packet_passages_need_one_source(spark):
+    at = "timestamp'2024-01-0{}'"
+    m = spark.sql(" UNION ALL ".join(f"SELECT 1 AS pool_id, '{v}' AS version_id, '{x}' AS content, {at.format(d)} AS available_at" for v, x, d in (
+        ("a", "The first sentence has  enough length. The second sentence is long as well.", 1), ("b", "Not yet available to anybody here.", 5), ("c", "  ", 1))))
+    t = spark.sql(" UNION ALL ".join(f"SELECT '{i}' AS target_id, 1 AS pool_id, '{v}' AS source_version_id, {at.format(3)} AS as_of" for i, v in (("x", "a"), ("y", "b"), ("z", "c"), ("w", "none"))))
+    got = {(r["target_id"], r["passage_id"], r["text"]) for r in A.packet_passages(t, m).collect()}
+    assert got == {("x", "p001", "The first sentence has enough length."), ("x", "p002", "The second sentence is long as well.")}
+    assert A.packet_passages(t.limit(0), m).count() == 0
+
+
+def test_unjudged_ids_and_token_estimate(spark):
+    ids = lambda rows: spark.createDataFrame(rows, "case_id string, evidence_id string")
+    assert {tuple(r) for r in M.unjudged(ids([("a", "1"), ("a", "2"), ("a", "2"), ("b", "1")]), ids([("a", "1"), ("a", "1")]), ["case_id", "evidence_id"]).collect()} == {("a", "2"), ("b", "1")}
+    rows = spark.createDataFrame([(2, 0), (6, 1), (10, 0), (0, 3)], "chars long, out long")
+    assert [r[0] for r in rows.select(US.packet_tokens(F.col("chars"), F.col("out"))).collect()] == [0, 3, 2, 3]
