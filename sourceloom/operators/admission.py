@@ -79,11 +79,21 @@ def with_eligibility(rows: DataFrame, cutoff: str = "as_of") -> DataFrame:
         c("published_at"), c("available_at"), c("retrieved_at"), c("availability_basis"), c(cutoff)))
 
 
+def version_facts(materials: DataFrame) -> DataFrame:
+    """What rules need to know of a version's text, taken once per version: hash, length and whether all its fields are filled.
+
+    The text itself stays behind, so joins of targets and versions carry a few bytes per pair.
+    """
+    c = F.col
+    filled = ~is_blank(c("version_id")) & ~is_blank(c("url")) & ~is_blank(c("issuer")) & ~is_blank(c("content")) & ~is_blank(c("availability_basis"))
+    return materials.withColumns({"content_sha256": content_hash(c("content")), "content_chars": F.length("content").cast("long"),
+                                  "filled": F.coalesce(filled, F.lit(False))}).drop("content")
+
+
 def strictly_eligible(cutoff: Column) -> Column:
-    """One boolean over the same columns, written independently for audits."""
+    """One boolean over rows of ``version_facts``, written independently for audits."""
     c = F.col
-    filled = ~is_blank(c("version_id")) & ~is_blank(c("url")) & ~is_blank(c("issuer")) \
-        & ~is_blank(c("content")) & ~is_blank(c("availability_basis"))
+    filled = c("filled")
     times = (c("available_at") <= cutoff) & (c("available_at") <= c("retrieved_at"))
     published = c("published_at").isNull() | ((c("published_at") <= cutoff) & (c("published_at") <= c("retrieved_at")))
     return F.coalesce(filled & times & published, F.lit(False))
@@ -224,16 +234,21 @@ def publisher_fields(materials: DataFrame) -> DataFrame:
     return materials.drop("retrieved_at")
 
 
-def delta_projection(materials: DataFrame, seen: DataFrame) -> DataFrame:
-    """Full text for versions not seen before; hash and length for the others."""
-    flag = seen.select("target_id", "version_id").distinct().withColumn("_seen", F.lit(True))
-    rows = materials.join(flag, ["target_id", "version_id"], "left")
-    old = F.coalesce(F.col("_seen"), F.lit(False))
-    return rows.select(
-        "target_id", "version_id", old.alias("seen"),
-        F.when(~old, F.col("content")).alias("content"),
-        F.when(old, content_hash(F.col("content"))).alias("content_sha256"),
-        F.when(old, F.length("content")).alias("content_chars"))
+def delta_projection(pairs: DataFrame, versions: DataFrame, seen: DataFrame) -> DataFrame:
+    """Full text for versions a target has not seen before; hash and length for the others.
+
+    ``pairs(target_id, version_id)``; ``versions`` are materials with unique ids.  Pairs are parted on ids alone: hash and length are
+    taken once per version and joined to seen pairs, texts are joined to unseen pairs only.
+    """
+    flag = seen.select("target_id", "version_id").distinct().withColumn("seen", F.lit(True))
+    rows = pairs.select("target_id", "version_id").join(flag, ["target_id", "version_id"], "left").fillna(False, ["seen"])
+    facts = version_facts(versions).select("version_id", "content_sha256", "content_chars")
+    none = F.lit(None)
+    old = rows.filter("seen").join(facts, "version_id").select(
+        "target_id", "version_id", "seen", none.cast("string").alias("content"), "content_sha256", "content_chars")
+    new = rows.filter("NOT seen").join(versions.select("version_id", "content"), "version_id").select(
+        "target_id", "version_id", "seen", "content", none.cast("string").alias("content_sha256"), none.cast("long").alias("content_chars"))
+    return old.unionByName(new)
 
 
 def known_proposals(proposals: DataFrame, documents: DataFrame) -> DataFrame:

@@ -227,18 +227,21 @@ def probability_validity(t):
 
 
 @query("F24", """
-WITH r AS (SELECT event_id AS i, ['source_attribution','real_world_provenance','other_factual'][(event_id % 3) + 1] AS scope,
-  ['supported','contradicted','conflicting','unresolved'][(event_id % 4) + 1] AS v, CASE WHEN event_id % 5 < 2 THEN 'high' ELSE 'low' END AS risk, event_id % 2 = 0 AS auth, event_id % 7 AS ev FROM events)
+WITH e AS (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k FROM events),
+r AS (SELECT event_id AS i, CASE event_type WHEN 'click' THEN 'source_attribution' WHEN 'purchase' THEN 'real_world_provenance' WHEN 'error' THEN 'real_world_provenance' ELSE 'other_factual' END AS scope,
+  CASE WHEN value < 25 THEN 'supported' WHEN value < 50 THEN 'contradicted' WHEN value < 100 THEN 'conflicting' ELSE 'unresolved' END AS v,
+  CASE WHEN k >= 60 THEN 'high' ELSE 'low' END AS risk, hour(ts) >= 12 AS auth, k // 10 AS ev FROM e)
 SELECT i AS event_id, concat_ws(',', CASE WHEN v IN ('supported', 'contradicted') AND ev = 0 THEN 'settled_needs_evidence' END,
   CASE WHEN scope = 'real_world_provenance' AND NOT auth AND NOT (v = 'unresolved' AND risk = 'high') THEN 'unauthenticated_must_stay_open' END,
   CASE WHEN scope = 'source_attribution' AND v = 'supported' AND risk <> 'low' THEN 'attribution_must_be_low_risk' END) AS reasons FROM r""")
 def risk_invariants(t):
     """Invariants between claim scope, verdict, authentication and risk."""
-    i = F.col("event_id")
+    kind, value, k = F.col("event_type"), F.col("value"), F.regexp_extract("props", "[0-9]+", 0).cast("int")
     r = t("events").select(
-        i, D.pick(i % 3, "source_attribution", "real_world_provenance", "other_factual").alias("claim_scope"),
-        D.pick(i % 4, "supported", "contradicted", "conflicting", "unresolved").alias("fact_verdict"),
-        F.when(i % 5 < 2, "high").otherwise("low").alias("fraud_risk"), (i % 2 == 0).alias("independent_authentication"), (i % 7).alias("evidence_count"))
+        "event_id", F.when(kind == "click", "source_attribution").when(kind.isin("purchase", "error"), "real_world_provenance").otherwise("other_factual").alias("claim_scope"),
+        F.when(value < 25, "supported").when(value < 50, "contradicted").when(value < 100, "conflicting").otherwise("unresolved").alias("fact_verdict"),
+        F.when(k >= 60, "high").otherwise("low").alias("fraud_risk"), (F.hour("ts") >= 12).alias("independent_authentication"),
+        F.floor(k / 10).alias("evidence_count"))
     return r.select("event_id", F.array_join(A.risk_codes(), ",").alias("reasons"))
 
 
@@ -599,8 +602,9 @@ def merged_spans(t):
     return U.merged_spans(spans, D.materials(t), 2).select("finding_id", "start", "end", "quote")
 
 
-_PROBES = """pr AS (SELECT event_id AS probe_id, user_id AS target_id, d, CASE WHEN d = 0 AND event_id % 9 = 0 THEN 'unresolved' WHEN d = 2 AND event_id % 5 = 0 THEN 'contradicted'
-    WHEN d = 2 AND event_id % 7 = 0 THEN 'conflicting' WHEN d = 3 AND event_id % 4 = 0 THEN 'contradicted' WHEN d = 3 AND event_id % 6 = 1 THEN 'unresolved' ELSE 'supported' END AS v
+_PROBES = """pr AS (SELECT event_id AS probe_id, user_id AS target_id, d, CASE WHEN d = 0 AND event_type = 'error' THEN 'unresolved' WHEN d = 1 AND CAST(regexp_extract(props, '[0-9]+') AS INT) < 10 THEN 'unresolved'
+    WHEN d = 2 AND value > 150 THEN 'contradicted' WHEN d = 2 AND value > 100 THEN 'conflicting' WHEN d = 3 AND hour(ts) >= 18 THEN 'contradicted' WHEN d = 3 AND hour(ts) < 6 THEN 'unresolved'
+    ELSE 'supported' END AS v
   FROM events, (VALUES (0), (1), (2), (3)) x(d)),
 pv AS (SELECT probe_id, any_value(target_id) AS target_id, CASE WHEN NOT (max(v) FILTER (d = 0) = 'supported' AND max(v) FILTER (d = 1) = 'supported' AND max(v) FILTER (d = 2) <> 'unresolved') THEN 'unresolved'
     WHEN max(v) FILTER (d = 2) <> 'supported' THEN max(v) FILTER (d = 2) WHEN bool_or(v = 'contradicted') THEN 'contradicted' WHEN bool_or(v = 'conflicting') THEN 'conflicting'
@@ -608,11 +612,14 @@ pv AS (SELECT probe_id, any_value(target_id) AS target_id, CASE WHEN NOT (max(v)
 
 
 def _probe_checks(t):
-    i, d = F.col("event_id"), F.col("d")
-    rows = t("events").select("event_id", "user_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("d"))
-    v = (F.when((d == 0) & (i % 9 == 0), "unresolved").when((d == 2) & (i % 5 == 0), "contradicted").when((d == 2) & (i % 7 == 0), "conflicting")
-         .when((d == 3) & (i % 4 == 0), "contradicted").when((d == 3) & (i % 6 == 1), "unresolved").otherwise("supported"))
-    return rows.select(i.alias("probe_id"), F.col("user_id").alias("target_id"), D.pick(d, "actor_subject", "scope_location", "predicate_object", "time").alias("dimension"), v.alias("verdict"))
+    """Every event as a probe: who from its type, where from its property, what from its value, when from its hour."""
+    d, value, hour = F.col("d"), F.col("value"), F.hour("ts")
+    rows = t("events").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    v = (F.when((d == 0) & (F.col("event_type") == "error"), "unresolved")
+         .when((d == 1) & (F.regexp_extract("props", "[0-9]+", 0).cast("int") < 10), "unresolved")
+         .when((d == 2) & (value > 150), "contradicted").when((d == 2) & (value > 100), "conflicting")
+         .when((d == 3) & (hour >= 18), "contradicted").when((d == 3) & (hour < 6), "unresolved").otherwise("supported"))
+    return rows.select(F.col("event_id").alias("probe_id"), F.col("user_id").alias("target_id"), D.pick(d, "actor_subject", "scope_location", "predicate_object", "time").alias("dimension"), v.alias("verdict"))
 
 
 @query("A46", f"WITH {_PROBES} SELECT probe_id, verdict FROM pv")

@@ -134,7 +134,7 @@ SELECT target_id, count(*) AS versions, count(*) FILTER (reasons = '') AS by_cod
 FROM (SELECT *, {D.ELIGIBILITY_SQL} AS reasons FROM targets JOIN materials USING (pool_id)) GROUP BY target_id"""))
 def eligibility_agreement(t):
     """The coded rule, the strict boolean and the availability-only rule side by side."""
-    rows = A.with_eligibility(D.targets(t).join(D.materials(t), "pool_id"))
+    rows = A.with_eligibility(D.targets(t).join(A.version_facts(D.materials(t)), "pool_id"))
     return rows.groupBy("target_id").agg(
         F.count(F.lit(1)).alias("versions"), F.count_if(F.size("reasons") == 0).alias("by_codes"),
         F.count_if(A.strictly_eligible(F.col("as_of"))).alias("strict"),
@@ -245,11 +245,10 @@ SELECT target_id, version_id, doc_id % 2 = 0 AS seen, CASE WHEN doc_id % 2 <> 0
 FROM targets JOIN materials USING (pool_id)"""))
 def incremental_projection(t):
     """Full text for unseen versions of a target, hash and length for seen ones."""
-    pool = D.targets(t).join(D.materials(t), "pool_id")
-    seen = pool.filter("doc_id % 2 = 0").select("target_id", "version_id")
-    out = A.delta_projection(pool.select("target_id", "version_id", "content"), seen)
-    return out.select("target_id", "version_id", "seen", F.length("content").cast("long").alias("full_chars"),
-                      "content_sha256", F.col("content_chars").cast("long").alias("content_chars"))
+    m = D.materials(t)
+    pool = D.targets(t).join(m.select("pool_id", "doc_id", "version_id"), "pool_id")
+    out = A.delta_projection(pool, m, pool.filter("doc_id % 2 = 0"))
+    return out.select("target_id", "version_id", "seen", F.length("content").cast("long").alias("full_chars"), "content_sha256", "content_chars")
 
 
 @query("F31 F38 U2", """

@@ -175,27 +175,34 @@ def balanced_accuracy(t):
     return out.select("arm", *[F.round(c, 9).alias(c) for c in ("sensitivity", "specificity", "balanced_accuracy")]).join(F.broadcast(best))
 
 
-_OUTCOMES = D.CASES_SQL + """, o AS (
-  SELECT id, CASE WHEN id % 2 = 0 THEN 'original' ELSE 'blinded' END AS variant, CASE WHEN j = 0 THEN 'direct' ELSE 'harness' END AS arm,
-    CASE WHEN id % 3 = 0 THEN 'attribution_control' ELSE 'authenticity' END AS role, (id + j) % 7 <> 0 AS valid,
-    ['supported','contradicted','conflicting','unresolved'][((id + j) % 4) + 1] AS observed,
-    CASE WHEN id % 3 = 0 THEN 'supported' ELSE 'unresolved' END AS cutoff_expected,
-    CASE WHEN id % 3 = 0 THEN 'supported' ELSE 'contradicted' END AS future_expected,
-    CASE WHEN (id + j) % 2 = 0 THEN 'high' ELSE 'low' END AS fraud_risk
-  FROM cases, (VALUES (0), (1)) v(j))"""
+_OUTCOMES = """o AS (
+  SELECT l.doc_id AS id, CASE WHEN lang = 'en' THEN 'original' ELSE 'blinded' END AS variant, CASE WHEN j = 0 THEN 'direct' ELSE 'harness' END AS arm,
+    CASE WHEN toxic = 0 AND quality = 1 THEN 'attribution_control' ELSE 'authenticity' END AS role,
+    CASE WHEN j = 0 THEN length(text) >= 200 ELSE regexp_matches(text, '[.!?]\\s*$') END AS valid,
+    CASE WHEN shown >= 60 THEN 'supported' WHEN shown >= 45 THEN 'contradicted' WHEN shown >= 30 THEN 'conflicting' ELSE 'unresolved' END AS observed,
+    CASE WHEN toxic = 0 AND quality = 1 THEN 'supported' ELSE 'unresolved' END AS cutoff_expected,
+    CASE WHEN toxic = 0 AND quality = 1 THEN 'supported' ELSE 'contradicted' END AS future_expected,
+    CASE WHEN toxic = 1 OR (j = 1 AND quality = 0) THEN 'high' ELSE 'low' END AS fraud_risk, length(text) // 4 AS asked, len(regexp_extract_all(text, '[^ ]+')) AS words
+  FROM labels l JOIN documents d ON d.doc_id = l.doc_id, (VALUES (0), (1)) v(j),
+    LATERAL (SELECT 1000 * (length(text) - length(replace(text, CASE WHEN j = 0 THEN 'e' ELSE 'o' END, ''))) // greatest(length(text), 1) AS shown) q)"""
 
 
 def _outcomes(t):
-    i = F.col("id")
-    rows = D.cases(t).select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("j"))
-    control = i % 3 == 0
+    """Two arms judge every labelled text by how often a letter occurs in it; what was right comes from the labels."""
+    x, n, j = F.col("text"), F.length("text"), F.col("j")
+    control = (F.col("toxic") == 0) & (F.col("quality") == 1)
+    letters = F.length(F.when(j == 0, F.replace(x, F.lit("e"), F.lit(""))).otherwise(F.replace(x, F.lit("o"), F.lit(""))))
+    shown = F.floor(F.lit(1000) * (n - letters) / F.greatest(n, F.lit(1)))
+    rows = t("labels").join(t("documents").select("doc_id", "lang", "text"), "doc_id").withColumn("j", F.explode(F.array(F.lit(0), F.lit(1))))
     return rows.select(
-        "id", F.when(i % 2 == 0, "original").otherwise("blinded").alias("variant"), F.when(F.col("j") == 0, "direct").otherwise("harness").alias("arm"),
-        F.when(control, "attribution_control").otherwise("authenticity").alias("role"), ((i + F.col("j")) % 7 != 0).alias("valid"),
-        D.pick((i + F.col("j")) % 4, "supported", "contradicted", "conflicting", "unresolved").alias("observed"),
+        F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", "original").otherwise("blinded").alias("variant"),
+        F.when(j == 0, "direct").otherwise("harness").alias("arm"), F.when(control, "attribution_control").otherwise("authenticity").alias("role"),
+        F.when(j == 0, n >= 200).otherwise(x.rlike(r"[.!?]\s*$")).alias("valid"),
+        F.when(shown >= 60, "supported").when(shown >= 45, "contradicted").when(shown >= 30, "conflicting").otherwise("unresolved").alias("observed"),
         F.when(control, "supported").otherwise("unresolved").alias("cutoff_expected"),
         F.when(control, "supported").otherwise("contradicted").alias("future_expected"),
-        F.when((i + F.col("j")) % 2 == 0, "high").otherwise("low").alias("fraud_risk"))
+        F.when((F.col("toxic") == 1) | ((j == 1) & (F.col("quality") == 0)), "high").otherwise("low").alias("fraud_risk"),
+        F.floor(n / 4).alias("asked"), F.size(F.regexp_extract_all("text", F.lit("[^ ]+"), 0)).alias("words"))
 
 
 @query("A24 A39", D.with_ctes(_OUTCOMES, body="""
@@ -225,13 +232,13 @@ def outcome_flags(t):
 SELECT count(*) AS cases, count(*) FILTER (valid AND observed = cutoff_expected) AS strict_correct, count(*) FILTER (future_expected = 'contradicted') AS later_false,
   count(*) FILTER (future_expected = 'contradicted' AND valid AND fraud_risk = 'high') AS detected,
   count(*) FILTER (future_expected <> 'contradicted' AND valid AND fraud_risk = 'high') AS control_flags,
-  CAST(sum(id % 100) AS BIGINT) AS tokens, CAST(sum(id % 77) AS BIGINT) AS direct_tokens, round(sum(id % 100) / sum(id % 77)::DOUBLE, 9) AS token_ratio,
+  CAST(sum(words) AS BIGINT) AS tokens, CAST(sum(asked) AS BIGINT) AS direct_tokens, round(sum(words) / sum(asked)::DOUBLE, 9) AS token_ratio,
   count(*) FILTER (valid AND observed = cutoff_expected) >= 0.75 * count(*) AS accuracy_goal,
   count(*) FILTER (future_expected = 'contradicted' AND valid AND fraud_risk = 'high') = count(*) FILTER (future_expected = 'contradicted') AS detection_goal,
-  sum(id % 100) / sum(id % 77)::DOUBLE <= 2 AS token_goal FROM o"""))
+  sum(words) / sum(asked)::DOUBLE <= 2 AS token_goal FROM o"""))
 def screening_summary(t):
     """Screening summary with its goal booleans."""
-    return U.screening(_outcomes(t), F.col("id") % 77, F.col("id") % 100).withColumn("token_ratio", F.round("token_ratio", 9))
+    return U.screening(_outcomes(t), F.col("asked"), F.col("words")).withColumn("token_ratio", F.round("token_ratio", 9))
 
 
 @query("A47", """

@@ -255,3 +255,16 @@ def test_unjudged_ids_and_token_estimate(spark):
     assert {tuple(r) for r in M.unjudged(ids([("a", "1"), ("a", "2"), ("a", "2"), ("b", "1")]), ids([("a", "1"), ("a", "1")]), ["case_id", "evidence_id"]).collect()} == {("a", "2"), ("b", "1")}
     rows = spark.createDataFrame([(2, 0), (6, 1), (10, 0), (0, 3)], "chars long, out long")
     assert [r[0] for r in rows.select(US.packet_tokens(F.col("chars"), F.col("out"))).collect()] == [0, 3, 2, 3]
+
+
+def test_delta_projection_joins_texts_to_unseen_pairs_only(spark):
+    m = spark.createDataFrame([("a", "Text A"), ("b", None), ("c", "")], "version_id string, content string").withColumns(
+        {k: F.lit("x") for k in ("url", "issuer", "availability_basis")})
+    pairs = spark.createDataFrame([("t", "a"), ("t", "b"), ("u", "a"), ("u", "c")], "target_id string, version_id string")
+    seen = spark.createDataFrame([("t", "a"), ("t", "a"), ("u", "c"), ("zz", "a")], "target_id string, version_id string")
+    out = {(r["target_id"], r["version_id"], r["seen"], r["content"], r["content_sha256"], r["content_chars"]) for r in A.delta_projection(pairs, m, seen).collect()}
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert out == {("t", "a", True, None, digest("Text A"), 6), ("t", "b", False, None, None, None),
+                   ("u", "a", False, "Text A", None, None), ("u", "c", True, None, digest(""), 0)}
+    assert {(r["version_id"], r["filled"]) for r in A.version_facts(m).collect()} == {("a", True), ("b", False), ("c", False)}
+    assert "content" not in A.version_facts(m).columns
