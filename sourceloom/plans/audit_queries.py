@@ -360,19 +360,28 @@ def bounded_fields(t):
 
 
 @query("F41", """
-SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 3 = 0 AND doc_id % 6 = 0 THEN 'locator_not_absolute' END, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 = 0 THEN 'visible_url_needs_reanalysis' END,
-  CASE WHEN doc_id % 3 = 0 AND doc_id % 4 = 0 THEN 'locator_not_in_basis' END, CASE WHEN doc_id % 3 = 1 AND doc_id % 7 = 0 THEN 'version_not_available' END,
-  CASE WHEN doc_id % 3 = 2 AND doc_id % 2 = 0 THEN 'no_grounded_term' END) AS reasons FROM documents""")
+WITH p AS (SELECT doc_id, source, n_chars, regexp_extract_all(lower(text), '[a-z]{3,}') AS w FROM documents WHERE text IS NOT NULL),
+q AS (SELECT *, coalesce(w[len(w) // 3 + 1], '') AS a, coalesce(w[2 * len(w) // 3 + 1], '') AS b, list_slice(w, len(w) // 2 + 1, len(w) // 2 + 6) AS lead FROM p),
+r AS (SELECT *, ['fetch', 'reanalyse', 'search'][n_chars % 3 + 1] AS action, 'see https://' || source || '.example.org/' || a || ' now' AS basis,
+  CASE WHEN length(b) > 4 THEN 'https://' || source || '.example.org' ELSE '' END || '/' || substr(b, 1, 1) AS locator,
+  list_filter([a, b], lambda x: x <> '' AND x NOT IN ('the','and','that','this','with','from','before','after','until','has','have','had','was','were','will')) AS probe FROM q)
+SELECT doc_id, concat_ws(',', CASE WHEN action = 'fetch' AND NOT regexp_matches(locator, '^https?://[^/?#]+') THEN 'locator_not_absolute' END,
+  CASE WHEN action = 'fetch' AND length(a) = length(b) THEN 'visible_url_needs_reanalysis' END, CASE WHEN action = 'fetch' AND NOT contains(basis, locator) THEN 'locator_not_in_basis' END,
+  CASE WHEN action = 'reanalyse' AND n_chars < 1500 THEN 'version_not_available' END, CASE WHEN action = 'search' AND NOT list_has_any(lead, probe) THEN 'no_grounded_term' END) AS reasons FROM r""")
 def task_validity(t):
-    """Proposed tasks against their own context."""
+    """Proposed tasks against their own context: addresses, quotes and terms come from words in the middle of each text."""
     from ..functions.text import evidence_terms
-    i = F.col("doc_id")
-    loc = F.when(i % 6 == 0, F.concat(F.lit("/rel/"), i)).otherwise(F.concat(F.lit("https://a.example.org/"), i))
-    rows = t("documents").select(
-        i, D.pick(i % 3, "fetch", "reanalyse", "search").alias("action"), loc.alias("locator"),
-        F.when(i % 4 == 0, "nothing here").otherwise(F.concat(F.lit("see "), loc, F.lit(" now"))).alias("basis_quote"),
-        evidence_terms(F.lit("budget report")).alias("probe_terms"), evidence_terms(F.when(i % 2 == 0, "unrelated words").otherwise("the budget office")).alias("lead_terms"),
-        (i % 5 == 0).alias("url_visible"), (i % 7 != 0).alias("version_available"))
+    n, w = F.size("w"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)
+    word = lambda k: F.coalesce(F.get("w", F.floor(n * k / 3).cast("int")), F.lit(""))
+    rows = t("documents").filter("text IS NOT NULL").withColumn("w", w).withColumns({"a": word(1), "b": word(2)})
+    host = F.concat(F.lit("https://"), "source", F.lit(".example.org"))
+    lead = F.concat_ws(" ", F.slice("w", F.floor(n / 2).cast("int") + 1, 6))
+    rows = rows.select(
+        "doc_id", D.pick(F.col("n_chars") % 3, "fetch", "reanalyse", "search").alias("action"),
+        F.concat(F.when(F.length("b") > 4, host).otherwise(""), F.lit("/"), F.substring("b", 1, 1)).alias("locator"),
+        F.concat(F.lit("see "), host, F.lit("/"), "a", F.lit(" now")).alias("basis_quote"),
+        evidence_terms(F.concat_ws(" ", "a", "b")).alias("probe_terms"), evidence_terms(lead).alias("lead_terms"),
+        (F.length("a") == F.length("b")).alias("url_visible"), (F.col("n_chars") >= 1500).alias("version_available"))
     return rows.select("doc_id", F.array_join(A.task_codes(), ",").alias("reasons"))
 
 
@@ -602,7 +611,7 @@ def merged_spans(t):
     return U.merged_spans(spans, D.materials(t), 2).select("finding_id", "start", "end", "quote")
 
 
-_PROBES = """pr AS (SELECT event_id AS probe_id, user_id AS target_id, d, CASE WHEN d = 0 AND event_type = 'error' THEN 'unresolved' WHEN d = 1 AND CAST(regexp_extract(props, '[0-9]+') AS INT) < 10 THEN 'unresolved'
+_PROBES = """pr AS (SELECT event_id AS probe_id, user_id || '/' || CAST(ts AS DATE) AS target_id, d, CASE WHEN d = 0 AND event_type = 'error' THEN 'unresolved' WHEN d = 1 AND CAST(regexp_extract(props, '[0-9]+') AS INT) < 10 THEN 'unresolved'
     WHEN d = 2 AND value > 150 THEN 'contradicted' WHEN d = 2 AND value > 100 THEN 'conflicting' WHEN d = 3 AND hour(ts) >= 18 THEN 'contradicted' WHEN d = 3 AND hour(ts) < 6 THEN 'unresolved'
     ELSE 'supported' END AS v
   FROM events, (VALUES (0), (1), (2), (3)) x(d)),
@@ -619,7 +628,7 @@ def _probe_checks(t):
          .when((d == 1) & (F.regexp_extract("props", "[0-9]+", 0).cast("int") < 10), "unresolved")
          .when((d == 2) & (value > 150), "contradicted").when((d == 2) & (value > 100), "conflicting")
          .when((d == 3) & (hour >= 18), "contradicted").when((d == 3) & (hour < 6), "unresolved").otherwise("supported"))
-    return rows.select(F.col("event_id").alias("probe_id"), F.col("user_id").alias("target_id"), D.pick(d, "actor_subject", "scope_location", "predicate_object", "time").alias("dimension"), v.alias("verdict"))
+    return rows.select(F.col("event_id").alias("probe_id"), F.concat_ws("/", "user_id", F.to_date("ts").cast("string")).alias("target_id"), D.pick(d, "actor_subject", "scope_location", "predicate_object", "time").alias("dimension"), v.alias("verdict"))
 
 
 @query("A46", f"WITH {_PROBES} SELECT probe_id, verdict FROM pv")
