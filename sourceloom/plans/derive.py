@@ -41,11 +41,12 @@ def evidence(t: Tables) -> DataFrame:
     """Documents as evidence; a claim groups documents of one language and length class.
 
     Exact copies in one source have the same claim, publisher, origin, address and content, so they fold; documents of
-    one source and length share an address.
+    one source and length share an address.  The quote starts at a third of the text, the origin is told by five words in its middle.
     """
     d = t("documents").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
     i, n = F.col("doc_id"), F.col("n_chars")
     pub = F.lit(EPOCH) + (n % 200) * HOUR
+    even = F.trim(F.regexp_replace("text", r"\s+", " "))
     iso = lambda s: F.date_format(ts(s), "yyyy-MM-dd'T'HH:mm:ssXXX")
     return d.select(
         "doc_id", claim_of().alias("searched_claim"),
@@ -55,11 +56,11 @@ def evidence(t: Tables) -> DataFrame:
             F.concat(F.lit("https://"), F.upper("source"), F.lit(".example.org:443/"), n,
                      F.lit("?utm_source=a&b=2&a=1#top"))).alias("url"),
         F.concat_ws("/", "source", F.floor(n / 40).cast("string")).alias("publisher_group"),
-        F.regexp_extract(F.trim(F.regexp_replace("text", r"\s+", " ")), r"^((?:[^ ]+ ){0,4}[^ ]+)", 1).alias("origin_id"),
+        F.regexp_extract(F.trim(even.substr(F.floor(F.length(even) / 2).cast("int") + 1, F.length(even))), r"^((?:[^ ]+ ){0,4}[^ ]+)", 1).alias("origin_id"),
         F.when(i % 17 == 0, F.substring(iso(pub), 1, 19)).otherwise(iso(pub)).alias("published_at"),
         iso(pub + ((i % 5) - 1) * HOUR).alias("retrieved_at"),
         F.col("text").alias("content"),
-        F.when(i % 13 == 0, F.lit("no such words ~")).otherwise(F.substring("text", 3, 40)).alias("quote"),
+        F.when(i % 13 == 0, F.lit("no such words ~")).otherwise(F.col("text").substr(F.floor(F.length("text") / 3).cast("int") + 1, F.lit(40))).alias("quote"),
         F.when(i % 107 == 0, F.lit("maybe")).when(F.col("quality") == 1, "supports").when(
             F.col("quality") == 0, "contradicts").otherwise("neutral").alias("stance"))
 
@@ -72,7 +73,7 @@ EVIDENCE_SQL = """ev0 AS (
   SELECT d.doc_id, d.lang || '/' || (n_chars % 5) AS claim, text, source, n_chars, l.quality,
     trim(regexp_replace(text, '\\s+', ' ', 'g')) AS n,
     1704067200 + (n_chars % 200) * 3600 AS p, 1704067200 + (n_chars % 200 + d.doc_id % 5 - 1) * 3600 AS r, 1704607200 AS cut,
-    trim(regexp_replace(CASE WHEN d.doc_id % 13 = 0 THEN 'no such words ~' ELSE substr(text, 3, 40) END, '\\s+', ' ', 'g')) AS q
+    trim(regexp_replace(CASE WHEN d.doc_id % 13 = 0 THEN 'no such words ~' ELSE substr(text, length(text) // 3 + 1, 40) END, '\\s+', ' ', 'g')) AS q
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
 judged AS (
   SELECT *, CASE WHEN doc_id % 103 = 0 OR q = '' THEN concat_ws(',', CASE WHEN doc_id % 103 = 0 THEN 'missing_or_empty_id' END,
@@ -85,7 +86,7 @@ judged AS (
   CASE WHEN NOT contains(n, q) THEN 'quote_not_in_content' END) END AS reasons
   FROM ev0),
 ev AS (
-  SELECT claim, doc_id, source || '/' || (n_chars // 40) AS publisher, lower(regexp_extract(n, '^((?:[^ ]+ ){0,4}[^ ]+)', 1)) AS origin,
+  SELECT claim, doc_id, source || '/' || (n_chars // 40) AS publisher, lower(regexp_extract(trim(substr(n, length(n) // 2 + 1)), '^((?:[^ ]+ ){0,4}[^ ]+)', 1)) AS origin,
     CASE WHEN doc_id % 19 <> 0 THEN source || '/' || n_chars END AS url, sha256(lower(n)) AS hash,
     CASE WHEN quality = 1 THEN 'supports' WHEN quality = 0 THEN 'contradicts' ELSE 'neutral' END AS stance
   FROM judged WHERE reasons = '')"""
