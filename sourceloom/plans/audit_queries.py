@@ -386,7 +386,7 @@ def task_validity(t):
 
 
 @query("F42", """
-WITH c AS (SELECT doc_id, doc_id % 3 AS j, 'v' || doc_id AS v, trim(substr(text, 2, 60)) AS quote, CASE WHEN doc_id % 5 = 0 THEN 'v' || doc_id ELSE trim(substr(text, 6, 9)) END AS locator, text FROM documents)
+WITH c AS (SELECT doc_id, doc_id % 3 AS j, 'v' || doc_id AS v, trim(substr(text, length(text) // 2 + 1, 60)) AS quote, CASE WHEN doc_id % 5 = 0 THEN 'v' || doc_id ELSE trim(substr(text, length(text) // 2 + 5, 9)) END AS locator, text FROM documents)
 SELECT doc_id AS citation_id, concat_ws(',', CASE WHEN NOT contains(quote, locator) THEN 'locator_not_in_quote' END,
   CASE WHEN NOT (quote <> '' AND instr(text, quote) > 0 AND instr(substr(text, instr(text, quote) + 1), quote) = 0) THEN 'quote_not_unique' END,
   CASE WHEN doc_id % 5 = 0 THEN 'cites_itself' END, CASE WHEN doc_id % 4 = 0 THEN 'duplicate_citation' END) AS reasons FROM c
@@ -396,8 +396,9 @@ UNION ALL SELECT doc_id + 1000000000, concat_ws(',', CASE WHEN NOT contains(quot
 def citation_drafts(t):
     """Citation drafts: locator in quote, unique quote, not itself, no repeat."""
     i, x = F.col("doc_id"), F.col("text")
-    c = t("documents").select(i.alias("citation_id"), D.vid(i).alias("version_id"), F.trim(x.substr(2, 60)).alias("quote"),
-                              F.when(i % 5 == 0, D.vid(i)).otherwise(F.trim(x.substr(6, 9))).alias("locator"), F.lit("cites").alias("kind"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    c = t("documents").select(i.alias("citation_id"), D.vid(i).alias("version_id"), F.trim(x.substr(half + 1, F.lit(60))).alias("quote"),
+                              F.when(i % 5 == 0, D.vid(i)).otherwise(F.trim(x.substr(half + 5, F.lit(9)))).alias("locator"), F.lit("cites").alias("kind"))
     again = c.filter(F.col("citation_id") % 4 == 0).withColumn("citation_id", F.col("citation_id") + 1000000000)
     return U.draft_codes(c.unionByName(again), D.materials(t)).withColumn("reasons", F.array_join("reasons", ","))
 
