@@ -174,6 +174,11 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     total = prints.count()
     copies = prints.groupBy("doc_id", "hash", "fingerprint").agg(F.count(F.lit(1)).alias("n"))
     one = stored(hub_lookup(copies, "fingerprint", _labelled(prints, total), total), "labelled")
+    return keep_first(docs, one, key, total)
+
+
+def keep_first(docs: DataFrame, one: DataFrame, key: dict, total: int) -> DataFrame:
+    """The rows of ``docs`` that ``one`` (doc_id, hash, component, n rows alike) leaves: the first document of each component, once."""
     rank = F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "hash")
     kept = one.groupBy("component").agg(F.min(rank).alias("k")).select("component", F.col("k").alias("first"))
     # what goes, and what is left of several equal rows

@@ -3,8 +3,8 @@
 import pytest
 from common import awkward_documents, empty_documents
 from pyspark.sql import functions as F
-from test_models import fingerprint, groups
 from test_quality import brute
+from test_similar import left_by_similarity
 from test_tokens import check_packing
 
 import corpus_pipeline as P
@@ -48,12 +48,7 @@ def test_quality(stages):
 
 def test_near_copies(stages):
     _, docs, _, rows = stages[2]
-    prints = {r["doc_id"]: fingerprint(r["text"]) for r in docs.collect()}
-    roots = groups(set(prints.values()))
-    first = {}
-    for d in sorted(prints):
-        first.setdefault(roots[prints[d]], d)
-    assert sorted(r["doc_id"] for r in rows) == sorted(first.values())
+    assert sorted(r["doc_id"] for r in rows) == left_by_similarity([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
 def test_packing(stages):
