@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourceloom.llm import langid, packing, quality, simhash
+from sourceloom.llm import langid, packing, quality, similar
 from sourceloom.llm.workdir import stored
 
 
@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
-    return simhash.dedup(docs)
+    """Keeps one document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return similar.dedup(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
