@@ -216,7 +216,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     total = prints.count()
     nodes = stored(prints.groupBy(F.col("hash").alias("node")).agg(F.first("print").alias("print"), F.first("close").alias("close")), "nodes")
     found = stored(candidates(nodes), "candidates")
-    asked = found.select(F.explode(F.array("a", "b")).alias("hash")).distinct()
+    # written, so that Spark knows how short the list is and spares a shuffle of all texts
+    asked = stored(found.select(F.explode(F.array("a", "b")).alias("hash")).distinct(), "asked")
 
     def hashed(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in series:
