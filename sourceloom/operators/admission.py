@@ -358,7 +358,8 @@ def bounded_text(c: Column, limit: int) -> tuple[Column, Column]:
 def bounded_list(c: Column, limit: int) -> tuple[Column, Column]:
     """First distinct non-blank items within ``limit`` positions and the truncation flag."""
     head = F.slice(c, 1, limit)
-    return F.array_distinct(F.filter(F.transform(head, F.trim), lambda x: x != "")), F.size(c) > limit
+    # trim by itself takes a second argument: transform would hand it the position as the characters to trim
+    return F.array_distinct(F.filter(F.transform(head, lambda x: F.trim(x)), lambda x: x != "")), F.size(c) > limit
 
 
 def task_codes() -> Column:
