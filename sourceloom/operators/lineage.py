@@ -18,6 +18,7 @@ LINEAGE_KINDS = ["quotes", "cites", "reprints", "translates", "derives"]
 RELATION_KINDS = LINEAGE_KINDS + ["supports", "contradicts"]
 RELATION_STATUS = ["direct", "declared", "inferred", "unresolved", "excluded"]
 ORIGINAL_KINDS = ["original_record", "original_interview", "original_dataset", "original_observation"]
+OPEN_PASSES = 6
 SOURCE_LIKE = ["source", "study", "report", "doi.org", "research", "原文", "来源", "研究"]
 
 
@@ -35,9 +36,9 @@ def reach(starts: DataFrame, edges: DataFrame) -> DataFrame:
     seen = cut(starts.select("scope", "start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct())
     frontier = seen
     for hop in count(1):
-        step = frontier.join(links, (frontier["scope"] == links["scope"]) & (frontier["node"] == links["src"])).select(
+        step = frontier.join(links.hint("merge"), (frontier["scope"] == links["scope"]) & (frontier["node"] == links["src"])).select(
             frontier["scope"], frontier["start"], F.col("dst").alias("node"), F.lit(hop).alias("hops")).distinct()
-        frontier = cut(step.join(seen, ["scope", "start", "node"], "left_anti").select("scope", "start", "node", "hops"))
+        frontier = cut(step.join(seen.hint("merge"), ["scope", "start", "node"], "left_anti").select("scope", "start", "node", "hops"))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
@@ -50,18 +51,33 @@ def _gathered(rows: DataFrame) -> DataFrame:
     return rows.coalesce(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _ending(rows: DataFrame, total: int) -> DataFrame:
+    """(node): the at most ``total`` open rows of ``chains`` that come to an end; others lead into a closed round.  Only pointers are doubled here."""
+    state = rows.select("node", "up", F.lit(False).alias("done"))
+    for _ in range(ceil(log2(max(total, 2))) + 1):
+        if state.filter("NOT done").isEmpty():
+            break
+        table = state.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("done").alias("_done"))
+        moved = hub_lookup(state.filter("NOT done"), "up", table, total).select(
+            "node", F.coalesce("_up", "up").alias("up"), F.coalesce("_done", F.lit(True)).alias("done"))
+        state = written(_gathered(state.filter("done").unionByName(moved)))
+    return state.filter("done").select("node")
+
+
 def chains(edges: DataFrame, keep: DataFrame) -> DataFrame:
     """Where the nodes with one way on lead: (node, end, steps, path), by pointer doubling.
 
     ``edges(src, dst, edge_id)`` with one row per (src, dst), ``keep(node)``.  A node with exactly one edge that is not kept goes where
     that edge goes, so whatever is asked about it is answered at the first node that is kept, has several edges or none.  After k passes
-    a row points 2^k edges on, and steps and edge ids are joined as pointers jump.  ``end`` is null on a closed round, which leads nowhere.
+    a row points 2^k edges on, and steps and edge ids are joined as pointers jump.  ``end`` is null on a closed round, which leads nowhere;
+    what is still open after ``OPEN_PASSES`` is asked whether it ends before its edge ids are joined further: a round would double them for ever.
     """
     one = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_n"), F.min("dst").alias("up"), F.min("edge_id").alias("_e")).filter("_n = 1")
-    first = one.join(keep.select(F.col("node").alias("src")), "src", "left_anti").select(
+    first = one.join(keep.select(F.col("node").alias("src")).hint("merge"), "src", "left_anti").select(
         F.col("src").alias("node"), "up", F.lit(1).cast("long").alias("steps"), F.array_compact(F.array("_e")).alias("path"), F.lit(False).alias("done"))
     state, (total, _) = cut_counted(first, "node")
-    for _ in range(ceil(log2(max(total, 2))) + 1):
+    rounds = None
+    for turn in range(1, ceil(log2(max(total, 2))) + 2):
         # pointers that have arrived stay out of the lookup
         table = state.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"), F.col("path").alias("_path"),
                              F.col("done").alias("_done"))
@@ -70,14 +86,26 @@ def chains(edges: DataFrame, keep: DataFrame) -> DataFrame:
             F.when(F.col("_up").isNull(), F.col("path")).otherwise(F.concat("path", "_path")).alias("path"),
             F.coalesce("_done", F.lit(True)).alias("done"))
         state = written(_gathered(state.filter("done").unionByName(moved)))
-        if state.filter("NOT done").isEmpty():
+        still = state.filter("NOT done")
+        if still.isEmpty():
             break
-    return state.select("node", F.when(F.col("done"), F.col("up")).alias("end"), "steps", F.when(F.col("done"), F.col("path")).alias("path"))
+        if turn == OPEN_PASSES:
+            # what a done row points at is an end, so an open row that reaches one meets no row there
+            ends = _ending(still, total)
+            rounds = still.join(ends.hint("merge"), "node", "left_anti").select("node", "steps")
+            state = written(_gathered(state.filter("done").unionByName(still.join(ends.hint("merge"), "node", "left_semi").select(state.columns))))
+            if state.filter("NOT done").isEmpty():
+                break
+    out = state.select("node", F.when(F.col("done"), F.col("up")).alias("end"), "steps", F.when(F.col("done"), F.col("path")).alias("path"))
+    if rounds is None:
+        return out
+    return out.unionByName(rounds.select("node", F.lit(None).cast(edges.schema["dst"].dataType).alias("end"), "steps",
+                                         F.lit(None).cast("array<string>").alias("path")))
 
 
 def contracted(edges: DataFrame, led: DataFrame, total: int) -> DataFrame:
     """(src, dst, steps, path): the edges of the nodes that ``chains`` leaves, each followed to where it leads."""
-    bare = edges.join(led.select(F.col("node").alias("src")), "src", "left_anti")
+    bare = edges.join(led.select(F.col("node").alias("src")).hint("merge"), "src", "left_anti")
     table = led.select(F.col("node").alias("dst"), "end", F.col("steps").alias("_steps"), F.col("path").alias("_path"), F.lit(True).alias("_led"))
     followed = hub_lookup(bare, "dst", table, total).filter("_led IS NULL OR end IS NOT NULL").select(
         "src", F.coalesce("end", "dst").alias("dst"), F.struct(
@@ -108,18 +136,18 @@ def nearest(goals: DataFrame, edges: DataFrame) -> DataFrame:
                                                       F.col("node").alias("goal")).alias("b")))
     frontier = best  # ``best`` may hold several rows of a node: the smallest counts
     for turn in count(1):
-        step = hops.join(frontier.withColumnRenamed("node", "dst"), "dst").select("scope", F.col("src").alias("node"), F.struct(
+        step = hops.join(frontier.withColumnRenamed("node", "dst").hint("merge"), "dst").select("scope", F.col("src").alias("node"), F.struct(
             (F.col("b.steps") + F.col("steps")).alias("steps"), F.concat("path", "b.path").alias("path"), "b.goal").alias("b"))
         found = step.groupBy("scope", "node").agg(F.min("b").alias("b"))
         known = (found["scope"] == best["scope"]) & (found["node"] == best["node"]) & (best["b"] <= found["b"])
-        frontier = written(_gathered(found.join(best, known, "left_anti")))
+        frontier = written(_gathered(found.join(best.hint("merge"), known, "left_anti")))
         done = frontier.isEmpty()
         best = best.unionByName(frontier)
         if done or turn % 8 == 0:
             best = written(_gathered(best.groupBy("scope", "node").agg(F.min("b").alias("b"))))
         if done:
             break
-    on_chains = led.filter("end IS NOT NULL").join(best.withColumnRenamed("node", "end"), "end").select(
+    on_chains = led.filter("end IS NOT NULL").join(best.withColumnRenamed("node", "end").hint("merge"), "end").select(
         "scope", "node", F.col("b.goal").alias("goal"), (F.col("steps") + F.col("b.steps")).alias("steps"), F.concat("path", "b.path").alias("path"))
     return best.select("scope", "node", "b.goal", "b.steps", "b.path").unionByName(on_chains)
 
@@ -133,7 +161,7 @@ def origin_reached(targets: DataFrame, relations: DataFrame, origins: DataFrame)
     links = direct_lineage(relations).select(F.col("from_version").alias("src"), F.col("to_version").alias("dst"))
     good = nearest(origins.select(F.lit(0).alias("scope"), F.col("version_id").alias("node")), links)
     hit = good.select(F.col("node").alias("source_version_id"), F.lit(True).alias("_hit"))
-    return targets.join(hit, "source_version_id", "left").withColumn("has_origin", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return targets.join(hit.hint("merge"), "source_version_id", "left").withColumn("has_origin", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def located_origins(targets: DataFrame, relations: DataFrame, origins: DataFrame, observed: DataFrame,
@@ -143,12 +171,12 @@ def located_origins(targets: DataFrame, relations: DataFrame, origins: DataFrame
     edges, n = single_edges(admitted.select(F.col("from_version").alias("src"), F.col("to_version").alias("dst")))
     led = written(chains(edges, origins.select(F.col("version_id").alias("node")).distinct()))
     # a start on a chain reaches what the end of its chain reaches; only these ends are walked from, over contracted edges
-    starts = cut(targets.select(F.col("source_version_id").alias("node")).distinct().join(led, "node", "left").filter("steps IS NULL OR end IS NOT NULL").select(
+    starts = cut(targets.select(F.col("source_version_id").alias("node")).distinct().join(led.hint("merge"), "node", "left").filter("steps IS NULL OR end IS NOT NULL").select(
         F.col("node").alias("source_version_id"), F.coalesce("end", "node").alias("start")))
     scope = F.lit(0).alias("scope")
     found = reach(starts.select(scope, "start").distinct(), contracted(edges, led, n).select(scope, "src", "dst")).join(
-        origins.withColumnRenamed("version_id", "node"), "node").select("start", F.col("node").alias("version_id"), "material_kind")
-    return targets.join(starts.join(found, "start").drop("start"), "source_version_id")
+        origins.withColumnRenamed("version_id", "node").hint("merge"), "node").select("start", F.col("node").alias("version_id"), "material_kind")
+    return targets.join(starts.join(found.hint("merge"), "start").drop("start").hint("merge"), "source_version_id")
 
 
 def origin_summary(claims: DataFrame, found: DataFrame) -> DataFrame:
@@ -173,10 +201,10 @@ def admitted_edges(relations: DataFrame, observed: DataFrame, citations: DataFra
 
     ``relations`` carries to_url_key, quotes_from and quotes_to.
     """
-    seen = relations.join(observed.select(F.col("version_id").alias("from_version"), F.col("link_key").alias("to_url_key")).distinct(),
+    seen = relations.join(observed.select(F.col("version_id").alias("from_version"), F.col("link_key").alias("to_url_key")).distinct().hint("merge"),
                           ["from_version", "to_url_key"], "left_semi")
     bound = relations.filter((F.col("kind") == "cites") & F.col("quotes_from") & F.col("quotes_to")).join(
-        citations.select("from_version", "to_version").distinct(), ["from_version", "to_version"], "left_semi")
+        citations.select("from_version", "to_version").distinct().hint("merge"), ["from_version", "to_version"], "left_semi")
     return seen.unionByName(bound.select(*seen.columns)).distinct()
 
 

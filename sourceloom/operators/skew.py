@@ -32,15 +32,16 @@ def hub_lookup(rows: DataFrame, key: str, table: DataFrame, total: int, hub_rows
 
     A hub is a key with more than ``hub_rows`` of the at most ``total`` rows and more than a 1 / (2 x partitions) share of them, so
     there are at most 2 x partitions hubs: their few table rows are broadcast and their rows stay where they are.  Only the
-    other rows are shuffled by key.  Without enough rows for any hub there is nothing to part.
+    other rows are shuffled by key.  Without enough rows for any hub there is nothing to part.  The table itself is never broadcast: a
+    compressed table under Spark's threshold is many times larger in memory, and a loop would send one through the driver per pass.
     """
     limit = max(hub_rows, total // (2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     if total <= limit:
-        return rows.join(table, key, "left")
+        return rows.join(table.hint("merge"), key, "left")
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    hubs = F.broadcast(counts.drop("_n").join(table, key, "left").withColumn("_hub", F.lit(True)))
+    hubs = F.broadcast(counts.drop("_n").join(table.hint("merge"), key, "left").withColumn("_hub", F.lit(True)))
     marked = rows.join(hubs, key, "left")
-    others = marked.filter("_hub IS NULL").select(rows.columns).join(table, key, "left")
+    others = marked.filter("_hub IS NULL").select(rows.columns).join(table.hint("merge"), key, "left")
     return marked.filter("_hub").drop("_hub").unionByName(others)
 
 

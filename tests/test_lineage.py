@@ -125,3 +125,22 @@ def test_hub_of_a_star(spark, passes):
         spark.createDataFrame([(-1, -2), (-2, -3), (-2, -4)], "src long, dst long"))
     got = L.nearest(spark.createDataFrame([(0, -3)], "scope int, node long"), edges)
     assert got.groupBy("steps").count().orderBy("steps").collect()[-1]["count"] == 50_000 and len(passes) < 15
+
+
+def test_closed_rounds_carry_no_growing_paths(spark, monkeypatch):
+    """Pointers on closed rounds, and those that lead into one, stop joining edge ids; chains beside them still arrive."""
+    longest, real = [0], L.written
+    def watched(df):
+        out = real(df)
+        if "path" in out.columns:
+            longest[0] = max(longest[0], out.agg(F.max(F.size("path"))).first()[0] or 0)
+        return out
+    monkeypatch.setattr(L, "written", watched)
+    pairs = [(f"a{k}", f"b{k}") for k in range(500)] + [(f"b{k}", f"a{k}") for k in range(500)] + [("in", "a7"), ("r0", "r1"), ("r1", "r2"), ("r2", "r0")]
+    chain = [(f"c{k}", f"c{k + 1}") for k in range(40)]
+    edges = spark.createDataFrame([(a, b, f"{a}>{b}") for a, b in pairs + chain], "src string, dst string, edge_id string")
+    out = L.chains(edges, spark.createDataFrame([("c40",)], "node string"))
+    rows = {r["node"]: r for r in out.collect()}
+    assert len(rows) == len(pairs) + 40 and longest[0] <= 64
+    assert all(rows[a]["end"] is None and rows[a]["path"] is None for a, _ in pairs)
+    assert all(rows[f"c{k}"]["end"] == "c40" and rows[f"c{k}"]["path"] == [f"c{j}>c{j + 1}" for j in range(k, 40)] for k in range(40))
