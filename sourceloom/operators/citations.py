@@ -100,11 +100,16 @@ def clue_codes(clues: DataFrame, documents: DataFrame, cutoff: Column) -> DataFr
         (F.coalesce(c("_names_day") & ~c("_near_day"), F.lit(False)), "citation_day_not_bound")).alias("reasons"))
 
 
+def _topic_key(phrase: Column) -> Column:
+    """The first two words of a normal phrase: a title holds the phrase only if it holds them."""
+    return F.substring_index(phrase, " ", 2)
+
+
 def bibliography_candidates(clues: DataFrame, works: DataFrame, cutoff: Column) -> DataFrame:
     """Works that fit a clue: journal, author, publication month, title topic, known by the cutoff.
 
-    Equi join on journal, month and the last word of the family name, which
-    closes the clue's author; the rest filters row by row.
+    Equi join on journal, month, the last word of the family name, which closes the clue's author, and the first two words of a keyword,
+    which stand in the title; the rest filters row by row.  A work that several keywords of a clue fit is found under the first of them.
     ``works(doi, title, journal, authors ARRAY<STRUCT<given, family>>, published, created_at, publisher_url)``.
     """
     c = F.col
@@ -112,16 +117,19 @@ def bibliography_candidates(clues: DataFrame, works: DataFrame, cutoff: Column)
     ask = clues.select("clue_id", word_norm(c("journal")).alias("_j"), F.trunc(day, "month").alias("_m"), word_norm(c("author")).alias("_a"),
                        F.transform("keywords", word_norm).alias("_k"), c("formal_dois").alias("_dois"))
     last = lambda name: F.substring_index(name, " ", -1)
-    ask = ask.withColumn("_l", last(c("_a")))
+    ask = ask.withColumn("_l", last(c("_a"))).withColumn("_key", F.explode(F.array_distinct(F.transform("_k", _topic_key))))
     families = F.array_distinct(F.transform("authors", lambda a: last(word_norm(a["family"]))))
-    have = works.withColumns({"_j": word_norm(c("journal")), "_m": F.trunc("published", "month"), "_t": word_norm(c("title"))}) \
-        .withColumn("_l", F.explode(families))
-    rows = ask.join(have, ["_j", "_m", "_l"])
+    known = (c("created_at") <= cutoff) & (c("published") <= F.to_date(cutoff)) & c("doi").rlike(r"(?i)^10\.\d{4,9}/[^\s<>\"?#]+$")
+    have = works.filter(known).select("doi", "title", "journal", "authors", "published", "publisher_url", word_norm(c("journal")).alias("_j"),
+                                      F.trunc("published", "month").alias("_m"), F.split(word_norm(c("title")), " ").alias("_w"), families.alias("_f"))
+    pairs = F.transform("_w", lambda w, i: F.concat_ws(" ", w, F.get("_w", i + 1)))
+    have = have.withColumn("_l", F.explode("_f")).drop("_f").withColumn("_key", F.explode(F.array_distinct(F.concat("_w", pairs))))
+    rows = ask.join(have, ["_j", "_m", "_l", "_key"])
     named = F.exists("authors", lambda a: author_match(c("_a"), word_norm(a["given"]), word_norm(a["family"])))
-    topical = F.exists("_k", lambda k: contains_phrase(c("_t"), k))
-    known = (c("created_at") <= cutoff) & (c("published") <= F.to_date(cutoff))
-    doi_ok = c("doi").rlike(r"(?i)^10\.\d{4,9}/[^\s<>\"?#]+$") & ((F.size("_dois") == 0) | F.array_contains("_dois", F.lower("doi")))
-    return rows.filter(named & topical & known & doi_ok).select("clue_id", F.lower("doi").alias("doi"), "title", "journal", "published", "publisher_url")
+    title = F.array_join("_w", " ")
+    topical = _topic_key(F.get(F.filter("_k", lambda k: contains_phrase(title, k)), F.lit(0))) == c("_key")
+    doi_ok = (F.size("_dois") == 0) | F.array_contains("_dois", F.lower("doi"))
+    return rows.filter(topical & doi_ok & named).select("clue_id", F.lower("doi").alias("doi"), "title", "journal", "published", "publisher_url")
 
 
 PROOF_CHECKS = ["source_context_bound", "source_unchanged", "formal_identifier_matches", "archive_identity", "publisher_url",
