@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import claims as C
@@ -95,10 +96,10 @@ def _clause_like(body):
     return F.when(F.size(words) >= 2, F.element_at(words, -1).rlike("^[a-z]{3,}$")).otherwise(han >= 4)
 
 
-def claim_probes(claims: DataFrame, max_probes: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Claims to independently checkable probes; returns (probes, rejects).
+def probe_rows(claims: DataFrame, max_probes: int | None = None) -> DataFrame:
+    """Claims to independently checkable probes, rejects among them: (claim_id, start, end, text, over_limit, probe_id, reason).
 
-    A probe's text is a slice of its claim.  A sentence without a predicate joins
+    A rejected claim is one row with a reason and no probe; every text is read once.  A probe's text is a slice of its claim.  A sentence without a predicate joins
     the next one, a trailing one the sentence before.  A conditional sentence and
     a compound that shares a scope stay whole; another compound is split when
     every part has a subject and a predicate, and its claim is a reject when the
@@ -107,27 +108,38 @@ def claim_probes(claims: DataFrame, max_probes: int | None = None) -> tuple[Data
     """
     text = F.col("text")
     base = claims.filter(~is_blank(text)).select("claim_id", "text", _spans(text, _SENTENCE).alias("_s"))
-    rows = base.select("claim_id", "text", F.posexplode(_merge_fragments(text, F.col("_s"))).alias("s", "sentence"))
+    rows = base.select("claim_id", "text", F.posexplode(
+        F.when(F.size("_s") <= 1, F.col("_s")).otherwise(_merge_fragments(text, F.col("_s")))).alias("s", "sentence"))  # one span has nothing to join
     rows = rows.withColumn("chunk", _cut(text, F.col("sentence")))
     chunk, parts = F.col("chunk"), F.col("parts")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length(chunk).alias("end")))
-    rows = rows.withColumn("parts", F.when(chunk.rlike(_CONDITION), whole).otherwise(_spans(chunk, _CLAUSE)))
+    rows = rows.withColumn("parts", F.when(chunk.rlike(_CONDITION) | ~chunk.rlike(_CLAUSE), whole).otherwise(_spans(chunk, _CLAUSE)))
     many = F.size(parts) > 1
     rows = rows.withColumn("shared", F.when(many, _shares_scope(chunk, parts)).otherwise(F.lit(False)))
     complete = F.forall(parts, lambda p: has_predicate(_cut(chunk, p)) & _has_subject(_cut(chunk, p)))
     rows = rows.withColumn("split", many & ~F.col("shared") & complete)
     rows = rows.withColumn("ambiguous", many & ~F.col("shared") & ~F.col("split") & F.forall(parts, lambda p: _clause_like(_cut(chunk, p))))
     spans = rows.select("claim_id", "text", "ambiguous", F.col("sentence.start").alias("_at"),
-                        F.explode(F.when(F.col("split"), parts).otherwise(whole)).alias("part"))
-    flags = spans.groupBy("claim_id").agg(F.count(F.lit(1)).alias("_n"), F.bool_or("ambiguous").alias("_bad"))
-    found = spans.join(flags.filter("NOT _bad"), "claim_id").select(
-        "claim_id", (F.col("_at") + F.col("part.start")).alias("start"), (F.col("_at") + F.col("part.end")).alias("end"), "text",
-        (F.col("_n") > max_probes if max_probes else F.lit(False)).alias("over_limit"))
+                        F.explode(F.when(F.col("split"), parts).otherwise(whole)).alias("part")).select(
+        "claim_id", "ambiguous", (F.col("_at") + F.col("part.start")).alias("start"), (F.col("_at") + F.col("part.end")).alias("end"), "text")
     body = F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start"))
-    probes = found.select(
-        "claim_id", "start", "end", body.alias("text"), "over_limit",
-        F.concat(F.col("claim_id").cast("string"), F.lit(":probe:"), F.substring(F.sha2(F.concat_ws("|", "claim_id", "start", body), 256), 1, 20)).alias("probe_id"))
-    return probes, flags.filter("_bad").select("claim_id", F.lit("ambiguous_compound").alias("reason"))
+    claim = W.partitionBy("claim_id")
+    found = spans.withColumn("text", body).select(
+        "claim_id", "start", "end", "text", F.count(F.lit(1)).over(claim).alias("_n"), F.bool_or("ambiguous").over(claim).alias("_bad"),
+        F.row_number().over(claim.orderBy("start", "end")).alias("_k"))
+    good = lambda c: F.when(~F.col("_bad"), c)
+    return found.filter(F.when(F.col("_bad"), F.col("_k") == 1).otherwise(F.col("claim_id").isNotNull())).select(
+        "claim_id", good(F.col("start")).alias("start"), good(F.col("end")).alias("end"), good(F.col("text")).alias("text"),
+        good(F.col("_n") > max_probes if max_probes else F.lit(False)).alias("over_limit"),
+        good(F.concat(F.col("claim_id").cast("string"), F.lit(":probe:"), F.substring(
+            F.sha2(F.concat_ws("|", "claim_id", "start", "text"), 256), 1, 20))).alias("probe_id"),
+        F.when(F.col("_bad"), "ambiguous_compound").alias("reason"))
+
+
+def claim_probes(claims: DataFrame, max_probes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``probe_rows`` as (probes, rejects); a plan that reads both cuts every claim twice."""
+    rows = probe_rows(claims, max_probes)
+    return rows.filter("reason IS NULL").drop("reason"), rows.filter("reason IS NOT NULL").select("claim_id", "reason")
 
 
 SIGNALS = {
