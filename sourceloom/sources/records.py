@@ -70,6 +70,14 @@ def flatten_rounds(snapshots: DataFrame, rounds: Column, *keep: str) -> DataFram
         "position", F.col("_p") + 1).drop("_p")
 
 
+def round_ends(snapshots: DataFrame, rounds: Column, *keep: str) -> DataFrame:
+    """Rounds numbered from one with their number of items and the last one: what ``flatten_rounds`` grouped by round would give,
+    read off the lists, so that no item becomes a row and nothing is shuffled.  Rounds without items have no row.
+    """
+    outer = snapshots.select(*keep, F.posexplode(rounds).alias("_r", "_items")).filter(F.size("_items") > 0)
+    return outer.select(*keep, (F.col("_r") + 1).alias("round"), F.size("_items").alias("items"), F.element_at("_items", -1).alias("last_item"))
+
+
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Snapshot files ``{"target": .., "rounds": [[material, ..], ..]}`` to material rows."""
     schema = T.StructType([T.StructField("target", TARGET), T.StructField("rounds", T.ArrayType(T.ArrayType(MATERIAL)))])
