@@ -111,7 +111,12 @@ def without_time(c: Column) -> Column:
 
 def claim_tokens(c: Column) -> Column:
     """Surface tokens in order, time expressions and articles left out."""
-    return F.filter(_all(F.lower(without_time(c)), "[a-z]+"), lambda t: ~t.isin(ARTICLES))
+    return bare_tokens(without_time(c))
+
+
+def bare_tokens(bare: Column) -> Column:
+    """``claim_tokens`` of a text that went through ``without_time``."""
+    return F.filter(_all(F.lower(bare), "[a-z]+"), lambda t: ~t.isin(ARTICLES))
 
 
 def ordered_match(target: Column, basis: Column) -> Column:
@@ -120,12 +125,13 @@ def ordered_match(target: Column, basis: Column) -> Column:
 
 
 def ordered_forms(target: Column, basis: Column) -> Column:
-    """``ordered_match`` over arrays that already hold each token's forms."""
+    """``ordered_match`` over arrays that already hold each token's forms; a token that is nowhere in the basis decides first."""
     def step(cursor, forms):
         hits = F.transform(basis, lambda b, i: (i >= cursor) & F.arrays_overlap(forms, b))
         found = let(F.array_position(hits, True), lambda h: F.when(h > 0, h.cast("int")).otherwise(F.lit(-1)))
         return F.when(cursor < 0, cursor).otherwise(found)
-    return F.aggregate(target, F.lit(0), step) >= 0
+    held = let(F.flatten(basis), lambda flat: F.forall(target, lambda forms: F.arrays_overlap(forms, flat)))
+    return F.when(held, F.aggregate(target, F.lit(0), step) >= 0).otherwise(F.lit(False))
 
 
 def temporal_markers(c: Column) -> Column:
@@ -147,14 +153,15 @@ def temporal_markers(c: Column) -> Column:
     return F.array_distinct(F.concat(words, values, cjk, years, named, short, months))
 
 
-def _numbers(c: Column) -> Column:
-    raw = _all(without_time(c), NUMBER)
-    return F.transform(raw, lambda t: F.replace(t, F.lit(","), F.lit("")).try_cast("double"))
-
-
 def numeric_values(c: Column) -> Column:
     """Numbers in order of appearance; thousands separators dropped, time text blanked."""
-    return F.filter(_numbers(c), lambda v: v.isNotNull())
+    return bare_numbers(without_time(c))
+
+
+def bare_numbers(bare: Column) -> Column:
+    """``numeric_values`` of a text that went through ``without_time``."""
+    values = F.transform(_all(bare, NUMBER), lambda t: F.replace(t, F.lit(","), F.lit("")).try_cast("double"))
+    return F.filter(values, lambda v: v.isNotNull())
 
 
 def quantity_markers(c: Column) -> Column:

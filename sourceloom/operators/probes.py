@@ -155,13 +155,14 @@ NEGATION = "(?i)" + C.DIMENSION_SIGNALS["negation"]
 
 def text_marks(df: DataFrame, text: str, prefix: str) -> DataFrame:
     """Everything the pair rules need, extracted once per text instead of once per pair."""
-    x = F.col(text)
-    quantity = C.quantity_markers(x)
-    return df.withColumns({
-        f"{prefix}terms": evidence_terms(x), f"{prefix}time": C.temporal_markers(x),
-        f"{prefix}event_time": C.temporal_markers(C.below_heading(x)), f"{prefix}quantity": quantity,
-        f"{prefix}units": C.unit_markers(quantity), f"{prefix}numbers": C.numeric_values(x), f"{prefix}compare": C.comparison_constraint(x),
-        f"{prefix}tokens": F.transform(C.claim_tokens(x), C.word_forms), f"{prefix}negated": x.rlike(NEGATION)})
+    x, c = F.col(text), lambda name: F.col(f"{prefix}{name}")
+    # what several marks are made from is a column of its own, which is evaluated once
+    base = df.withColumns({f"{prefix}time": C.temporal_markers(x), f"{prefix}quantity": C.quantity_markers(x), f"{prefix}bare": C.without_time(x)})
+    return base.withColumns({
+        f"{prefix}terms": evidence_terms(x),
+        f"{prefix}event_time": F.when(F.contains(x, F.lit("\n")), C.temporal_markers(C.below_heading(x))).otherwise(c("time")),
+        f"{prefix}units": C.unit_markers(c("quantity")), f"{prefix}numbers": C.bare_numbers(c("bare")), f"{prefix}compare": C.comparison_constraint(x),
+        f"{prefix}tokens": F.transform(C.bare_tokens(c("bare")), C.word_forms), f"{prefix}negated": x.rlike(NEGATION)}).drop(f"{prefix}bare")
 
 
 def grounding(probes: DataFrame, passages: DataFrame, scope: list[str]) -> DataFrame:
@@ -183,7 +184,8 @@ def grounding(probes: DataFrame, passages: DataFrame, scope: list[str]) -> DataF
     rows = pairs.join(p.drop("probe", "p_terms"), [*scope, "probe_id"]).join(b.drop("basis", "b_terms"), [*scope, "passage_id"])
     negated = c("b_negated") & ~c("p_negated")
     rows = rows.withColumns({
-        "order": C.ordered_forms(c("p_tokens"), c("b_tokens")), "clash": C.time_clash(c("p_time"), c("b_event_time")),
+        "order": C.ordered_forms(c("p_tokens"), c("b_tokens")), "clash": F.when(
+            (F.size("p_time") > 0) & (F.size("b_event_time") > 0), C.time_clash(c("p_time"), c("b_event_time"))).otherwise(F.lit(False)),
         "outcome": C.comparison_decision(c("p_compare"), c("b_compare"), c("p_numbers"), c("b_numbers"), c("p_units"), c("b_units")),
         "negation_added": negated, "verb_ok": (F.size("verb") == 0) | F.arrays_overlap("verb", "stems"),
         "time_held": F.size(F.array_except("p_time", "b_time")) == 0, "quantity_held": F.size(F.array_except("p_quantity", "b_quantity")) == 0,
