@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.grouping import connected
-from ..operators.skew import hub_lookup
+from ..operators.skew import hub_lookup, marked
 from .tokens import spans_of
 from .workdir import stored
 
@@ -166,7 +166,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     """The rows of ``docs`` with one document left of each component: the smallest doc_id (null last), then the smallest text hash.
 
     A document is an id and a text; of rows equal in both, one is left.  Everything is decided on ids and hashes.  The texts are
-    read once more to drop what is not left, usually little: Spark joins by the written list's true size.  Empty tables stay empty.
+    read once more to drop what is not left, usually little: only texts that may be on the written list are shuffled.  Empty tables stay empty.
     """
     key = {"_id": F.col(doc_id).cast("long"), "_hash": F.xxhash64(F.col(text))}
     rows = docs.select(key["_id"].alias("doc_id"), key["_hash"].alias("hash"), F.col(text).alias("text"))
@@ -188,5 +188,8 @@ def keep_first(docs: DataFrame, one: DataFrame, key: dict, total: int) -> DataFr
     keyed = docs.withColumns(key)
     same = lambda other: keyed["_id"].eqNullSafe(other["_id"]) & (keyed["_hash"] == other["_hash"])
     several = judged.filter("_left")
-    left = keyed.join(judged, same(judged), "left_anti").drop(*key)
-    return left.unionByName(keyed.join(several, same(several), "left_semi").dropDuplicates(list(key)).drop(*key))
+    # texts that no listed document can have stay where they are; only the others meet the list
+    sifted = marked(keyed, [F.col("_id"), F.col("_hash")], judged, [F.col("_id"), F.col("_hash")])
+    keyed = sifted.filter("_maybe").drop("_maybe")
+    left = sifted.filter("NOT _maybe").drop("_maybe").unionByName(keyed.join(judged, same(judged), "left_anti"))
+    return left.unionByName(keyed.join(several, same(several), "left_semi").dropDuplicates(list(key))).drop(*key)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.grouping import connected
-from ..operators.skew import hub_lookup
+from ..operators.skew import hub_lookup, marked
 from .simhash import _hashes, keep_first
 from .tokens import spans_of
 from .workdir import stored
@@ -192,10 +192,14 @@ def verified(links: DataFrame, sets: DataFrame, similarity: float, links_per_row
     """The links whose two sets of ``sets`` (node, shingles) are alike; an a with many links is spread by b."""
     total = links.count()
     many = links.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / links_per_row).cast("int").alias("spread")).filter("spread > 1")
-    spread = hub_lookup(links, "a", many, total).withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("spread", F.lit(1))).cast("int"))
-    left = sets.join(many, sets["node"] == many["a"], "left").select(
-        F.col("node").alias("a"), F.col("shingles").alias("x"), F.explode(F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1)).alias("salt"))
-    both = spread.join(left, ["a", "salt"]).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    asked = hub_lookup(links, "a", many, total)
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    few = asked.filter("spread IS NULL").select("a", "b").join(left, "a")
+    salted = asked.filter("spread IS NOT NULL").select("a", "b", F.pmod(F.xxhash64("b"), F.col("spread")).cast("int").alias("salt"))
+    # only the sets of an a with many links are repeated; the sets of the others are dealt by node once for both sides
+    spread = left.join(many, "a").select("a", "x", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt"))
+    both = few.unionByName(salted.join(spread, ["a", "salt"]).select("a", "b", "x")).join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
@@ -222,8 +226,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
         for texts in series:
             yield pd.Series([shingles(t, width).view(np.int64) for t in texts])
 
-    sets = stored(rows.join(asked, "hash", "left_semi").groupBy(F.col("hash").alias("node")).agg(F.first("text").alias("text")).select(
-        "node", F.pandas_udf(hashed, "array<long>")("text").alias("shingles")), "shingles")
+    # texts without a link stay where they are; of the others one text per hash is shuffled
+    texts = marked(rows, [F.col("hash")], asked, [F.col("hash")]).filter("_maybe").groupBy("hash").agg(F.first("text").alias("text"))
+    sets = stored(texts.join(asked, "hash", "left_semi").select(
+        F.col("hash").alias("node"), F.pandas_udf(hashed, "array<long>")("text").alias("shingles")), "shingles")
     labels = connected(verified(found, sets, similarity).select(F.col("a").alias("u"), F.col("b").alias("v")))
     copies = prints.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n"))
     one = stored(hub_lookup(copies, "hash", labels.withColumnRenamed("node", "hash"), total).withColumn(

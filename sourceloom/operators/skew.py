@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 HOT_KEYS = 1_000
 HUB_ROWS = 10_000
+SIFT_BITS = 1 << 24
 
 
 def split_lookup(big: DataFrame, small: DataFrame, keys: list[str], count_col: str,
@@ -45,6 +46,22 @@ def hub_lookup(rows: DataFrame, key: str, table: DataFrame, total: int, hub_rows
     return marked.filter("_hub").drop("_hub").unionByName(others)
 
 
+def marked(rows: DataFrame, keys: list[Column], listed: DataFrame, listed_keys: list[Column], name: str = "_maybe", bits: int = SIFT_BITS) -> DataFrame:
+    """``rows`` with ``name``: False only if no row of ``listed`` has the keys, so rows surely not listed need no shuffle.
+
+    One hash per key sets one of ``bits`` bits, a number that does not grow with the input; the bitmaps of 32,768 bits each are
+    broadcast.  With more keys more rows are marked in vain; callers decide marked rows by an exact join.
+    """
+    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(bits)) + 1
+    maps = listed.select(place(listed_keys).alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_map"))
+    at = F.bitmap_bit_position(place(keys))
+    byte = F.conv(F.hex(F.substring("_map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0, F.lit(False))
+    found = rows.withColumn("_bucket", F.bitmap_bucket_number(place(keys))).join(F.broadcast(maps), "_bucket", "left")
+    return found.select(*rows.columns, hit.alias(name))
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 16,
                 how: str = "inner") -> DataFrame:
     """Spread each key of ``big`` over ``salts`` partitions; ``small`` is repeated per salt."""

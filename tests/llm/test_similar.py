@@ -124,3 +124,26 @@ def test_long_text(spark):
     text = " ".join(f"x{i % 5000} y{i}" for i in range(150_000))
     df = spark.createDataFrame([(1, text), (2, text + " end"), (3, "short one")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in similar.dedup(df).collect()) == [1, 3]
+
+
+def test_texts_without_a_copy_are_not_shuffled(spark):
+    """Where the list of copies is too large to broadcast, only the texts on it are shuffled."""
+    sc = spark.sparkContext
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, 2_000)) for _ in range(200)]
+    rows = list(enumerate(texts + [texts[0] + " end", texts[1]]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    size = sum(len(t) for _, t in rows)
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before, limit = stages(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(r["doc_id"] for r in similar.dedup(df).collect()) == list(range(200))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sum(n for k, n in stages().items() if k not in before) < size / 2
