@@ -132,7 +132,8 @@ def greedy_cover(tasks: DataFrame, options: DataFrame, capacity: int) -> DataFra
     tasks (fetch, reanalyse) are covered before searches, and leftover capacity
     is filled in task order.  Returns (pool_id, version_id, pick).
     """
-    ranked = tasks.withColumn("_rank", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(task_order())])) \
+    # a number for the order: questions may be whole texts, and a task's order stands in each of its pairs
+    ranked = tasks.withColumn("_rank", F.dense_rank().over(W.partitionBy("pool_id").orderBy(*task_order()))) \
         .withColumn("_exact", (F.col("action") != "search").cast("int"))
     pool, of_task, of_version = (W.partitionBy("pool_id", *more) for more in ([], ["task_id"], ["version_id"]))
     pairs = options.distinct().join(ranked.select("pool_id", "task_id", "_rank", "_exact"), ["pool_id", "task_id"])
