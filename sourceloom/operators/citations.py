@@ -19,6 +19,12 @@ ARCHIVE = r"^https://web\.archive\.org/web/(\d{14})(?:id_)?/(https?://.+)$"
 FRONT_CHARS = 24000
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` in as many partitions as shuffles have: quotes and contents shrink so much in a shuffle that partitions merged by their
+    size in bytes would hold far more in memory."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def quote_rows(clues: DataFrame) -> DataFrame:
     """One row per supplied quote with what it carries; a clue set holds at most a few quotes."""
     rows = clues.select("clue_id", "source_url", "author", "journal", "keywords", F.posexplode("quotes").alias("pos", "quote"))
@@ -46,7 +52,7 @@ def formal_joins(quotes: DataFrame, documents: DataFrame) -> DataFrame:
     block = quotes.filter(c("identity") & (c("keyword_hits") >= 2)).select("clue_id", "source_url", c("quote").alias("block"), c("dois").alias("bd"), c("urls").alias("bu"))
     notice = quotes.filter(c("context") & (F.size("dates") > 0)).select(*cols).select(
         "clue_id", c("quote").alias("notice"), c("dois").alias("nd"), c("urls").alias("nu"), c("dates").alias("notice_dates"))
-    pairs = block.join(notice, "clue_id").filter("block <> notice").filter((F.size("bd") <= 1) & (F.size("nd") <= 1))
+    pairs = dealt(block, "clue_id").join(notice, "clue_id").filter("block <> notice").filter((F.size("bd") <= 1) & (F.size("nd") <= 1))
     same_doi = (F.size("bd") == 1) & (F.size("nd") == 1) & (c("bd") == c("nd"))
     clash = (F.size("bd") > 0) & (F.size("nd") > 0) & (c("bd") != c("nd"))
     no_doi = (F.size("bd") == 0) & (F.size("nd") == 0)
@@ -54,7 +60,7 @@ def formal_joins(quotes: DataFrame, documents: DataFrame) -> DataFrame:
     url_clash = no_doi & (F.size("bu") > 0) & (F.size("nu") > 0) & (F.size(shared_urls) == 0)
     common = F.when(same_doi, F.transform("bd", lambda d: F.concat(F.lit("doi:"), d))).when(no_doi, shared_urls).otherwise(F.array().cast("array<string>"))
     rows = pairs.filter(~clash & ~url_clash).withColumn("identifiers", F.array_sort(common)).join(
-        documents.select(c("url").alias("source_url"), "content"), "source_url")
+        dealt(documents.select(c("url").alias("source_url"), "content"), "source_url"), "source_url")
     adjacent = S.adjacent_quotes(c("block"), c("notice"), c("content"))
     return rows.withColumn("join_basis", F.when(F.size("identifiers") > 0, "shared_identifier").when(adjacent, "adjacent_spans")).filter(
         "join_basis IS NOT NULL").select("clue_id", "block", "notice", "join_basis", "identifiers", "notice_dates")
@@ -69,15 +75,16 @@ def clue_codes(clues: DataFrame, documents: DataFrame, cutoff: Column) -> DataFr
     c = F.col
     quotes = quote_rows(clues)
     day = F.to_date(F.try_to_timestamp(c("publication_date"), F.lit("yyyy-MM-dd")))
-    bound = quotes.join(clues.select("clue_id", day.alias("_day")), "clue_id")
-    joins = formal_joins(quotes, documents).join(clues.select("clue_id", day.alias("_day")), "clue_id")
+    days = dealt(clues.select("clue_id", day.alias("_day")), "clue_id")
+    bound = quotes.select("clue_id", "quote", "narrative", "dates").join(days, "clue_id")
+    joins = formal_joins(quotes, documents).select("clue_id", "notice_dates", "identifiers").join(days, "clue_id")
     formal = joins.groupBy("clue_id").agg(F.count(F.lit(1)).alias("_formal"), F.count_if(F.array_contains("notice_dates", c("_day"))).alias("_dated"),
                                           F.count_distinct(F.get("identifiers", F.lit(0))).alias("_ids"))
     near = month_day_present(c("quote"), c("_day")) | F.array_contains("dates", c("_day"))
     per = bound.groupBy("clue_id").agg(
         F.count_if("narrative").alias("_narrative"), F.bool_or(F.array_contains("dates", c("_day"))).alias("_quoted_day"),
         F.bool_or(names_a_day(c("quote")) | (F.size("dates") > 0)).alias("_names_day"), F.bool_or(near).alias("_near_day"))
-    docs = documents.select(c("url").alias("source_url"), "content", "available_at", "published_at")
+    docs = dealt(documents.select(c("url").alias("source_url"), "content", "available_at", "published_at"), "source_url")
     rows = clues.join(docs, "source_url", "left").join(per, "clue_id", "left").join(formal, "clue_id", "left").fillna(0, ["_narrative", "_formal", "_dated", "_ids"])
     joined = word_norm(F.array_join("quotes", "\n"))
     n_author, keys = word_norm(c("author")), F.transform("keywords", word_norm)
