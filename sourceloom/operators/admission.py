@@ -350,16 +350,20 @@ def admit_references(refs: DataFrame, pool: DataFrame, scope: list[str]) -> Data
         "admitted", F.coalesce(F.col("_in"), F.lit(False)) & (F.col("url") != "")).drop("_in")
 
 
+def _trimmed(c: Column) -> Column:
+    """Without the space separators of Unicode at both ends, as SQL's trim; Spark's trim knows the ASCII blank alone."""
+    return F.regexp_replace(c, r"\A\p{Zs}++|(?<!\p{Zs})\p{Zs}++\z", "")
+
+
 def bounded_text(c: Column, limit: int) -> tuple[Column, Column]:
     """Trimmed text of at most ``limit`` characters and the flag that something was cut."""
-    return F.trim(F.left(c, F.lit(limit))), F.length(c) > limit
+    return _trimmed(F.left(c, F.lit(limit))), F.length(c) > limit
 
 
 def bounded_list(c: Column, limit: int) -> tuple[Column, Column]:
     """First distinct non-blank items within ``limit`` positions and the truncation flag."""
     head = F.slice(c, 1, limit)
-    # trim by itself takes a second argument: transform would hand it the position as the characters to trim
-    return F.array_distinct(F.filter(F.transform(head, lambda x: F.trim(x)), lambda x: x != "")), F.size(c) > limit
+    return F.array_distinct(F.filter(F.transform(head, _trimmed), lambda x: x != "")), F.array_size(c) > limit
 
 
 def task_codes() -> Column:
