@@ -80,11 +80,10 @@ def search_terms(c: Column) -> Column:
 
 def evidence_terms(c: Column) -> Column:
     """Distinct grounding terms: Latin words, numbers and percents; CJK 2- and 3-grams."""
-    latin = F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9%]{3,}"), 0),
-                     lambda t: ~t.isin(EVIDENCE_STOPWORDS))
+    latin = F.array_except(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9%]{3,}"), 0), F.array(*[F.lit(w) for w in EVIDENCE_STOPWORDS]))
     cjk = F.flatten(F.transform(_cjk_runs(c), lambda r: F.when(
         F.length(r) == 1, F.array(r)).otherwise(F.concat(_grams(r, 2), _grams(r, 3)))))
-    return F.array_distinct(F.concat(latin, cjk))
+    return F.when(F.octet_length(c) == F.length(c), latin).otherwise(F.array_distinct(F.concat(latin, cjk)))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))

@@ -142,60 +142,85 @@ def claim_probes(claims: DataFrame, max_probes: int | None = None) -> tuple[Data
     return rows.filter("reason IS NULL").drop("reason"), rows.filter("reason IS NOT NULL").select("claim_id", "reason")
 
 
-SIGNALS = {
-    "quantity_unit_denominator": C.QUANTITY_SIGNAL, "time": C.TIME_SIGNAL + r"|\b(?:19|20)\d{2}\b",
-    "modality": C.DIMENSION_SIGNALS["modality"] + r"|\b(?:implemented|occurred|confirmed)\b",
-    "comparison_baseline": C.DIMENSION_SIGNALS["comparison_baseline"] + r"|\b(?:higher|lower)\b|\d",
-    "attribution_causality": C.DIMENSION_SIGNALS["attribution_causality"] + r"|\b(?:source|statement)\b",
-    "negation": C.DIMENSION_SIGNALS["negation"], "condition": C.DIMENSION_SIGNALS["condition"]}
+# What counts as a signal in a passage beside the signals of a probe.
+MORE_SIGNALS = {
+    "quantity_unit_denominator": C.QUANTITY_SIGNAL, "time": r"\b(?:19|20)\d{2}\b", "modality": r"(?=[ioc])\b(?:implemented|occurred|confirmed)\b",
+    "comparison_baseline": r"\d|(?=[hl])\b(?:higher|lower)\b", "attribution_causality": r"(?=s)\b(?:source|statement)\b"}
+SIGNALS = ["quantity_unit_denominator", "time", "modality", "comparison_baseline", "attribution_causality", "negation", "condition"]
 
 
 NEGATION = "(?i)" + C.DIMENSION_SIGNALS["negation"]
 
 
 def text_marks(df: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Everything the pair rules need, extracted once per text instead of once per pair."""
+    """Everything the pair rules need, extracted once per text instead of once per pair; ``<prefix>kinds`` and ``<prefix>timed`` spare searches."""
     x, c = F.col(text), lambda name: F.col(f"{prefix}{name}")
+    kinds = C.Kinds(c("kinds"))
     # what several marks are made from is a column of its own, which is evaluated once
-    base = df.withColumns({f"{prefix}time": C.temporal_markers(x), f"{prefix}quantity": C.quantity_markers(x), f"{prefix}bare": C.without_time(x)})
+    base = df.withColumn(f"{prefix}kinds", C.Kinds.bits(x)).withColumn(f"{prefix}timed", C.tells_time(x, kinds)).withColumns({
+        f"{prefix}time": C.temporal_markers(x, kinds, c("timed")), f"{prefix}quantity": C.quantity_markers(x, kinds),
+        f"{prefix}bare": F.when(c("timed"), C.without_time(x)).otherwise(x)})
     return base.withColumns({
         f"{prefix}terms": evidence_terms(x),
         f"{prefix}event_time": F.when(F.contains(x, F.lit("\n")), C.temporal_markers(C.below_heading(x))).otherwise(c("time")),
-        f"{prefix}units": C.unit_markers(c("quantity")), f"{prefix}numbers": C.bare_numbers(c("bare")), f"{prefix}compare": C.comparison_constraint(x),
-        f"{prefix}tokens": F.transform(C.bare_tokens(c("bare")), C.word_forms), f"{prefix}negated": x.rlike(NEGATION)}).drop(f"{prefix}bare")
+        f"{prefix}units": C.unit_markers(c("quantity")), f"{prefix}numbers": C.bare_numbers(c("bare")), f"{prefix}compare": C.comparison_constraint(x, kinds),
+        f"{prefix}line": F.concat(F.lit(" "), F.array_join(C.bare_tokens(c("bare")), " "), F.lit(" ")),
+        f"{prefix}tokens": F.transform(C.bare_tokens(c("bare")), C.low_forms),
+        f"{prefix}negated": kinds.told("negation", x.rlike(NEGATION))}).drop(f"{prefix}bare")
+
+
+def _signals(x, kinds: C.Kinds, timed):
+    """The dimensions a passage has signals of, by ``SIGNALS``."""
+    told = lambda k: (timed if k == "time" else kinds.told(k, x.rlike("(?i)" + C.DIMENSION_SIGNALS[k])) if k in C.DIMENSION_SIGNALS else F.lit(False))
+    more = lambda k: x.rlike("(?i)" + MORE_SIGNALS[k]) if k in MORE_SIGNALS else F.lit(False)
+    return F.array_compact(F.array(*[F.when(told(k) | more(k), F.lit(k)) for k in SIGNALS]))
+
+
+def _in_order():
+    """Whether the words of the probe's line stand in the passage's in their order, in any of their forms.
+
+    The whole line in the passage is in order; a word without an ending that no stem of the passage equals is not; the rest is walked.
+    """
+    forms = lambda line: F.transform(F.array_remove(F.split(line, " "), ""), C.low_forms)
+    plain = F.regexp_extract_all("p_line", F.lit("(?<= )[a-z]{2,}[a-cefh-rt-z](?= )"), 0)
+    return plain, F.when(F.contains("b_line", "p_line"), True).when(F.size(F.array_except("p_plain", "stems")) > 0, False).otherwise(
+        C.ordered_forms(forms(F.col("p_line")), forms(F.col("b_line"))))
 
 
 def grounding(probes: DataFrame, passages: DataFrame, scope: list[str]) -> DataFrame:
     """Which passages carry a probe's dimensions, as supported or contradicted flags.
 
-    Markers are extracted per text first.  Probes then meet passages on shared
-    grounding terms, and every candidate pair is judged once
-    on terms, word order, time, quantity and comparison.
+    Markers are extracted per text first.  Probes then meet the passages of their
+    scope, one shuffle of each side, and pairs without a shared grounding term are
+    dropped where they meet: pairs are judged on terms, word order, time, quantity
+    and comparison as they arise, and never shuffled.
     """
     c = F.col
-    p = text_marks(probes.select(*scope, "probe_id", c("text").alias("probe")), "probe", "p_").withColumns({
-        "verb": C.predicate_markers(c("probe")), "dimensions": C.required_dimensions(c("probe"))})
-    stems = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(F.lower("basis"), F.lit("[a-z]{3,}"), 0), C.word_forms)))
-    signals = F.array_compact(F.array(*[F.when(c("basis").rlike("(?i)" + v), F.lit(k)) for k, v in SIGNALS.items()]))
-    b = text_marks(passages.select(*scope, "passage_id", c("text").alias("basis")), "basis", "b_").withColumns({"stems": stems, "signals": signals})
-    left = b.select(*scope, "passage_id", F.explode("b_terms").alias("term"))
-    right = p.select(*scope, "probe_id", F.explode("p_terms").alias("term"))
-    pairs = left.join(right, [*scope, "term"]).select(*scope, "probe_id", "passage_id").distinct()
-    rows = pairs.join(p.drop("probe", "p_terms"), [*scope, "probe_id"]).join(b.drop("basis", "b_terms"), [*scope, "passage_id"])
+    plain, order = _in_order()
+    stems = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(F.lower("basis"), F.lit("[a-z]{3,}"), 0), C.low_forms)))
+    p = text_marks(probes.filter("probe_id IS NOT NULL").select(*scope, "probe_id", c("text").alias("probe")), "probe", "p_").withColumns({
+        "verb": C.predicate_markers(c("probe")), "dimensions": C.required_dimensions(c("probe"), C.Kinds(c("p_kinds")), c("p_timed")),
+        "p_plain": plain}).drop("probe", "p_kinds", "p_timed")
+    b = text_marks(passages.filter("passage_id IS NOT NULL").select(*scope, "passage_id", c("text").alias("basis")), "basis", "b_").withColumns({
+        "stems": stems, "signals": _signals(c("basis"), C.Kinds(c("b_kinds")), c("b_timed"))}).drop("basis", "b_kinds", "b_timed")
+    # coalesce: a null filter derived from the overlap would extract every term twice; merge: marks are far larger than their estimate
+    rows = p.hint("merge").join(b, scope).filter(F.coalesce(F.arrays_overlap("p_terms", "b_terms"), F.lit(False)))
     negated = c("b_negated") & ~c("p_negated")
-    rows = rows.withColumns({
-        "order": C.ordered_forms(c("p_tokens"), c("b_tokens")), "clash": F.when(
+    compares = F.coalesce(c("p_compare")["direction"] != "hedged", F.lit(False))
+    rows = rows.withColumn("order", order).withColumns({
+        "clash": F.when(
             (F.size("p_time") > 0) & (F.size("b_event_time") > 0), C.time_clash(c("p_time"), c("b_event_time"))).otherwise(F.lit(False)),
         "outcome": C.comparison_decision(c("p_compare"), c("b_compare"), c("p_numbers"), c("b_numbers"), c("p_units"), c("b_units")),
-        "negation_added": negated, "verb_ok": (F.size("verb") == 0) | F.arrays_overlap("verb", "stems"),
-        "time_held": F.size(F.array_except("p_time", "b_time")) == 0, "quantity_held": F.size(F.array_except("p_quantity", "b_quantity")) == 0,
-        "numbers_apart": (F.size("p_numbers") > 0) & (F.size("b_numbers") > 0) & ~F.arrays_overlap("p_numbers", "b_numbers"),
-        "compares": F.coalesce(c("p_compare")["direction"] != "hedged", F.lit(False))})
-    rows = rows.select(*scope, "probe_id", "passage_id", F.explode("dimensions").alias("dimension"), "signals", "order", "clash", "outcome",
+        "negation_added": negated, "verb_ok": c("order") & ((F.size("verb") == 0) | F.arrays_overlap("verb", "stems")),
+        "time_held": (F.size("p_time") == 0) | (F.size(F.array_except("p_time", "b_time")) == 0), "compares": compares,
+        "quantity_held": ~compares & (F.size(F.array_except("p_quantity", "b_quantity")) == 0),
+        "numbers_apart": ~compares & (F.size("p_numbers") > 0) & (F.size("b_numbers") > 0) & ~F.arrays_overlap("p_numbers", "b_numbers")})
+    # outer: every probe has dimensions, and a filter derived from a plain explode would find them twice
+    rows = rows.select(*scope, "probe_id", "passage_id", F.explode_outer("dimensions").alias("dimension"), "signals", "order", "clash", "outcome",
                        "negation_added", "verb_ok", "time_held", "quantity_held", "numbers_apart", "compares")
     d = c("dimension")
     signal = d.isin(C.CORE_DIMENSIONS) | F.array_contains("signals", d)
-    supported = (F.when(d.isin("actor_subject", "scope_location"), c("order")).when(d == "predicate_object", c("order") & c("verb_ok") & ~c("negation_added"))
+    supported = (F.when(d.isin("actor_subject", "scope_location"), c("order")).when(d == "predicate_object", c("verb_ok") & ~c("negation_added"))
                  .when(d == "time", c("time_held") & ~c("clash"))
                  .when(d == "quantity_unit_denominator", F.when(c("compares"), c("outcome") == "supported").otherwise(c("quantity_held")))
                  .when(d == "comparison_baseline", c("outcome") == "supported").otherwise(F.lit(True)))
